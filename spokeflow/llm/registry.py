@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spokeflow.llm import exact_dedup, sharding
+from spokeflow.llm import bpe, exact_dedup, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +24,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), path, decode=True))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sharding, op5_exact_dedup)}
+    return {f.__name__: f for f in (op3_sharding, op5_exact_dedup, op7_bpe, op10_simhash)}
 
 
 OP5_SQL = r"""
