@@ -18,6 +18,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,7 +175,7 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 def small_batches(batch: pa.RecordBatch, column: int, most: int = BATCH) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of a text column, and one row at least."""
-    at, held, lengths = 0, 0, pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    at, held, lengths = 0, 0, pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     lengths = np.nan_to_num(np.asarray(lengths, dtype=float))
     for i, n in enumerate(lengths):
         held += n
