@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, exact_dedup, sharding, simhash
+from spokeflow.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.proportional_shards(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -29,12 +34,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), path, decode=True))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    out = quality.judged(docs, model, F.col("source"), F.col("lang"))
+    return out.select(
+        "doc_id", "source", "lang", F.col("__evidence").alias("evidence"), F.col("__host_share").alias("host_share"),
+        F.col("__path_share").alias("path_share"), F.col("__posterior").alias("posterior"), F.col("__kept").alias("kept"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sharding, op5_exact_dedup, op7_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_sharding, op5_exact_dedup, op7_bpe, op8_quality, op10_simhash)}
 
 
 OP5_SQL = r"""

@@ -223,7 +223,7 @@ def simhash_components(
     )
 
 
-def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 5) -> DataFrame:
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
     """The documents of smallest id in their components, with all their columns."""
     found = simhash_components(docs, radius, shingle, id_col, text_col)
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
