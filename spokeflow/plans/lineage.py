@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -27,12 +28,18 @@ def written(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     The table outlives the executors that wrote it, holds one copy of each row and keeps column
-    pruning for its readers. It is removed when the driver ends.
+    pruning for its readers. It is removed when the driver ends. The shuffle files behind it are
+    dropped as soon as it stands, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spokeflow-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
