@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash
+from spokeflow.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.proportional_shards(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_sharding, op5_exact_dedup, op7_bpe, op8_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_sharding, op5_exact_dedup, op7_bpe, op8_quality, op10_simhash)}
 
 
 OP5_SQL = r"""
