@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeflow.llm import bpe, decontaminate, exact_dedup, quality, sharding, simhash, substring_dedup
+from spokeflow.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_rollup,
+)
+from spokeflow.plans.lineage import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +42,30 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.proportional_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated counts come in, exact ones revise them, copies go out, and a batch is replayed."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts = written(token_rollup.token_counts(_table(spark, sf_dir, "documents"), path, "byte_bpe_50k"))
+    guess = F.ceil(F.col("n_bytes") / 4).cast("long")
+    rollup = token_rollup.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit(1, token_rollup.inserts(counts.withColumn("n_tokens", guess)))
+    revised = token_rollup.revisions(counts, guess, F.col("n_tokens"))
+    rollup.commit(2, revised)
+    first = counts.groupBy("text_md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = counts.join(first, "text_md5").where("doc_id > first")
+    rollup.commit(3, token_rollup.deletes(copies))
+    rollup.commit(2, revised)
+    return rollup.totals()
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), path, decode=True))
@@ -48,12 +81,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_sharding, op5_exact_dedup, op7_bpe, op8_quality, op10_simhash)}
+    every = (
+        op1_decontaminate, op2_substrings, op3_sharding, op4_html, op5_exact_dedup,
+        op6_token_rollup, op7_bpe, op8_quality, op9_secrets, op10_simhash,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP5_SQL = r"""
