@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; named in a lambda it would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -15,8 +22,7 @@ def mean(x: Column) -> Column:
 
 
 def variance(x: Column) -> Column:
-    m = mean(x)
-    return F.try_divide(total(F.transform(x, lambda v: (v - m) * (v - m))), F.size(x))
+    return let(x, lambda a: let(mean(a), lambda m: F.try_divide(total(F.transform(a, lambda v: (v - m) * (v - m))), F.size(a))))
 
 
 def differences(x: Column) -> Column:
@@ -27,41 +33,48 @@ def differences(x: Column) -> Column:
 
 def quantile(x: Column, q: float) -> Column:
     """Linear between the two nearest order statistics."""
-    s = F.array_sort(x)
-    at = (F.size(x) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.try_element_at(s, low + 1), F.try_element_at(s, F.least(low + 2, F.size(x)))
-    return a + (b - a) * (at - low)
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(q)
+        low = F.floor(at).cast("int")
+        a, b = F.try_element_at(s, low + 1), F.try_element_at(s, F.least(low + 2, F.size(s)))
+        return a + (b - a) * (at - low)
+
+    return let(F.array_sort(x), between)
 
 
 def ratio_beyond(x: Column, r: float) -> Column:
     """Share of values further than r standard deviations from the mean."""
-    m, sd = mean(x), F.sqrt(variance(x))
-    return F.try_divide(F.size(F.filter(x, lambda v: F.abs(v - m) > r * sd)), F.size(x))
+    limits = F.struct(mean(x).alias("m"), F.sqrt(variance(x)).alias("sd"))
+    return let(limits, lambda l: F.try_divide(F.size(F.filter(x, lambda v: F.abs(v - l["m"]) > r * l["sd"])), F.size(x)))
 
 
 def reoccurring_share(x: Column) -> Column:
     """Share of points whose value occurs more than once."""
-    s = F.array_sort(x)
-    n = F.size(x)
-    same = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: ((i > 1) & (F.try_element_at(s, i) == F.try_element_at(s, F.greatest(i - 1, F.lit(1)))))
-        | ((i < n) & (F.try_element_at(s, i) == F.try_element_at(s, F.least(i + 1, n)))),
-    )
-    return F.try_divide(F.size(F.filter(same, lambda b: b)), n)
+
+    def share(s: Column) -> Column:
+        n = F.size(s)
+        same = F.transform(
+            s,
+            lambda v, i: ((i > 0) & (v == F.get(s, i - 1))) | ((i < n - 1) & (v == F.get(s, i + 1))),
+        )
+        return F.try_divide(F.size(F.filter(same, lambda b: b)), n)
+
+    return let(F.array_sort(x), share)
 
 
 def longest_strike(x: Column, above: bool) -> Column:
     """Longest run of values above (or below) the mean."""
-    m = mean(x)
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
 
-    def step(a: Column, v: Column) -> Column:
-        now = F.when(v > m if above else v < m, a["now"] + 1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(a["best"], now).alias("best"))
+    def run(m: Column) -> Column:
+        def step(a: Column, v: Column) -> Column:
+            now = F.when(v > m if above else v < m, a["now"] + 1).otherwise(0)
+            return F.struct(now.alias("now"), F.greatest(a["best"], now).alias("best"))
 
-    return F.aggregate(x, start, step, lambda a: a["best"])
+        return F.aggregate(x, start, step, lambda a: a["best"])
+
+    return let(mean(x), run)
 
 
 def sum_of_changes(x: Column) -> Column:
@@ -85,10 +98,14 @@ def looks_symmetric(x: Column, r: float = 0.95) -> Column:
 
 def change_variance(x: Column, low: float = 0.0, high: float = 0.8, absolute: bool = True) -> Column:
     """Variance of steps between neighbours that both lie between two quantiles; none gives 0."""
-    a, b = quantile(x, low), quantile(x, high)
-    n = F.size(x)
-    pairs = F.zip_with(
-        F.slice(x, 1, F.greatest(n - 1, F.lit(1))), F.slice(x, 2, F.greatest(n - 1, F.lit(1))),
-        lambda p, q: F.when((p >= a) & (p <= b) & (q >= a) & (q <= b), F.abs(q - p) if absolute else q - p),
-    )
-    return F.coalesce(variance(F.filter(pairs, lambda d: d.isNotNull())), F.lit(0.0))
+    def steps(q: Column) -> Column:
+        n = F.size(x)
+        inside = lambda v: (v >= q["a"]) & (v <= q["b"])
+        pairs = F.zip_with(
+            F.slice(x, 1, F.greatest(n - 1, F.lit(1))), F.slice(x, 2, F.greatest(n - 1, F.lit(1))),
+            lambda v, w: F.when(inside(v) & inside(w), F.abs(w - v) if absolute else w - v),
+        )
+        return F.filter(pairs, lambda d: d.isNotNull())
+
+    limits = F.struct(quantile(x, low).alias("a"), quantile(x, high).alias("b"))
+    return F.coalesce(variance(let(limits, steps)), F.lit(0.0))

@@ -9,10 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from spokeflow.functions.arrays import quantile
+
 TRAIL = 200
 
 _STATISTICS: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg, "median": F.median, "std": F.stddev_pop, "max": F.max, "min": F.min, "sum": F.sum, "count": F.count,
+    "mean": F.avg, "std": F.stddev_pop, "max": F.max, "min": F.min, "sum": F.sum, "count": F.count,
 }
 
 
@@ -24,7 +26,10 @@ def running(x: Column, kind: str, partition: Sequence[str], order: Sequence[str]
     """A statistic over `before` rows back to `after` rows ahead, cut at the ends of a run."""
     if before < after:
         raise ValueError("a running statistic needs at least as many rows before as after")
-    return _STATISTICS[kind](x).over(frame(partition, order, before, after))
+    w = frame(partition, order, before, after)
+    if kind == "median":  # no frame may be given to it: the frame's values are collected, before + after + 1 at most
+        return quantile(F.collect_list(x).over(w), 0.5)
+    return _STATISTICS[kind](x).over(w)
 
 
 def trailing(x: Column, kind: str, partition: Sequence[str], order: Sequence[str], rows: int = TRAIL) -> Column:

@@ -44,6 +44,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches hold at most `most` bytes, unless the session already asks for less.
+
+    A batch lies in memory several times over: in the JVM's buffers, in the worker's, and as Python strings.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    bytes_now = int(now[:-1]) if now.endswith("b") and now[:-1].isdigit() else int(now) if now.isdigit() else 1 << 62
+    if bytes_now > most:
+        spark.conf.set(key, str(most))
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

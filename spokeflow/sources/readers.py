@@ -46,7 +46,7 @@ def pressure_text(spark: SparkSession, path: str | Sequence[str], columns: int =
     data = stamped.where((F.size("fields") == columns + 1) & (F.col("fields")[0] != "amp") & (F.col("frame") >= 0))
     cells = data.select("path", "frame", "ts", F.col("fields")[0].cast("int").alias("xi"), F.posexplode(F.slice("fields", 2, columns)).alias("col", "v"))
     top = F.max("xi").over(Window.partitionBy("path"))
-    return cells.select("path", "frame", "ts", (top - F.col("xi")).alias("row"), "col", F.try_to_number(F.lit("0"), F.lit("0")).cast("double").alias("_z"), F.expr("try_cast(v AS double)").alias("p")).drop("_z")
+    return cells.select("path", "frame", "ts", (top - F.col("xi")).alias("row"), "col", F.expr("try_cast(v AS double)").alias("p"))
 
 
 def impedance(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
