@@ -1 +1,62 @@
+"""Clustering and neighbours over embeddings."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spokeflow.operators import components, dbscan
+from spokeflow.queries import query, table
+
+_PAIRS = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= 1.3 * 1.3),
+d AS (SELECT v.id, count(p.b) AS n FROM v LEFT JOIN p ON p.a = v.id GROUP BY 1)"""
+
+
+def _points(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+
+
+@query(f"WITH {_PAIRS} SELECT id, n FROM d WHERE n > 0")
+def radius_neighbours(spark, sf):
+    pairs = dbscan.neighbour_pairs(_points(spark, sf), 1.3)
+    return pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+
+
+def _dbscan_sql(self_counts: int) -> str:
+    return f"""WITH RECURSIVE {_PAIRS}, c AS (SELECT id FROM d WHERE n + {self_counts} >= 4), e AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
+r AS (SELECT id, id AS reach FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach), k AS (SELECT id, min(reach) AS cluster FROM r GROUP BY 1),
+o AS (SELECT p.b AS id, min(k.cluster) AS cluster FROM p JOIN k ON k.id = p.a WHERE p.b NOT IN (SELECT id FROM c) GROUP BY 1)
+SELECT d.id, coalesce(k.cluster, o.cluster) AS cluster, d.n + {self_counts} >= 4 AS core FROM d LEFT JOIN k USING (id) LEFT JOIN o ON o.id = d.id"""
+
+
+@query(_dbscan_sql(1))
+def dbscan_counting_self(spark, sf):
+    return dbscan.dbscan(_points(spark, sf), 1.3, 4)
+
+
+@query(_dbscan_sql(0))
+def dbscan_excluding_self(spark, sf):
+    return dbscan.dbscan(_points(spark, sf), 1.3, 4, count_self=False)
+
+
+@query(f"SELECT cluster, count(*) AS points, count(CASE WHEN core THEN 1 END) AS cores FROM ({_dbscan_sql(1)}) GROUP BY 1")
+def cluster_sizes(spark, sf):
+    return dbscan.cluster_sizes(dbscan.dbscan(_points(spark, sf), 1.3, 4))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+d AS (SELECT q.id AS query, v.id, list_sum(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v q JOIN v ON q.id <> v.id WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM d)
+SELECT query, id, round(sqrt(d), 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 9""")
+def nearest_neighbours(spark, sf):
+    """Queries are the rows whose id is divisible by 20, against all rows."""
+    pts = _points(spark, sf)
+    out = dbscan.nearest_neighbours(pts, pts.where("id % 20 = 0"), 9)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS a, (c_nationkey * 7 + 3) % 25 AS b FROM customer WHERE c_nationkey % 3 > 0), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r AS (SELECT DISTINCT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+def graph_components(spark, sf):
+    c = table(spark, sf, "customer").where("c_nationkey % 3 > 0").select(F.col("c_nationkey").cast("bigint").alias("src"), ((F.col("c_nationkey") * 7 + 3) % 25).cast("bigint").alias("dst"))
+    return components.connected_components(c)

@@ -1 +1,135 @@
+"""Pressure-frame operators on embeddings read as small grids."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spokeflow.operators import frames, series
+from spokeflow.queries import PX, pixels, query, r6, rounded
+
+_KEYS = ["t", "hub"]
+_MARKED = f"""q AS (SELECT t, col % 2 AS odd, quantile_cont(p, 0.25) AS a, quantile_cont(p, 0.75) AS b FROM {PX} GROUP BY ALL),
+m AS (SELECT x.*, ((x.col - hub + 8) % 16 + 16) % 16 - 8 AS lag, p >= b + 0.5 * (b - a) AND abs(((x.col - hub + 8) % 16 + 16) % 16 - 8) <= 5 AS hit FROM {PX} x JOIN q ON x.t = q.t AND x.col % 2 = q.odd)"""
+
+
+def _marked(spark, sf):
+    return frames.contact(pixels(spark, sf), ["run", "t"], "hub", columns=16, multiple=0.5)
+
+
+@query(f"""SELECT "row", col, round(avg(p), 6) + 0.0 AS mean, round(stddev_pop(p), 6) AS std FROM {PX} GROUP BY 1, 2""")
+def frame_calibration(spark, sf):
+    return rounded(frames.calibration(pixels(spark, sf)), "mean", "std")
+
+
+@query(f"""WITH c AS (SELECT "row", col, avg(p) AS mean, stddev_pop(p) AS std FROM {PX} GROUP BY 1, 2)
+SELECT x.t, x."row", x.col, round(-(p - mean) / nullif(std, 0), 6) + 0.0 AS p FROM {PX} x JOIN c ON x."row" = 3 - c."row" AND x.col = 15 - c.col""")
+def frame_zscore(spark, sf):
+    px = pixels(spark, sf)
+    z = frames.calibrated(px, frames.calibration(px), turned=True, rows=4, columns=16)
+    return z.select("t", "row", "col", r6("p").alias("p"))
+
+
+@query(f"""SELECT t, "row", col, round(p - median(p) OVER (PARTITION BY run, "row", col), 6) + 0.0 AS p FROM {PX}""")
+def frame_drift(spark, sf):
+    return frames.without_drift(pixels(spark, sf), ["run"]).select("t", "row", "col", r6("p").alias("p"))
+
+
+@query(f"""SELECT x.t, x."row", x.col, round(CASE WHEN x.col = 5 THEN (SELECT avg(y.p) FROM {PX} y WHERE y.t = x.t AND abs(y."row" - x."row") <= 1 AND y.col IN (4, 6)) ELSE x.p END, 6) + 0.0 AS p FROM {PX} x""")
+def frame_imputation(spark, sf):
+    out = frames.imputed(pixels(spark, sf), ["run", "t", "hub"], bad=5, rows=4, columns=16)
+    return out.select("t", "row", "col", r6("p").alias("p"))
+
+
+@query(f"WITH {_MARKED} SELECT t, count(CASE WHEN hit THEN 1 END) AS npix_all, count(CASE WHEN hit AND col % 2 = 0 THEN 1 END) AS npix_grouser, count(CASE WHEN hit AND col % 2 = 1 THEN 1 END) AS npix_nongrouser, bool_or(hit AND col < 5) AS ambiguous FROM m GROUP BY 1")
+def contact_area(spark, sf):
+    return frames.contact_area(_marked(spark, sf), ["t"])
+
+
+@query(f"""WITH {_MARKED}, s AS (SELECT *, CASE WHEN col % 2 = 0 THEN 'grouser' ELSE 'nongrouser' END AS subset FROM m UNION ALL SELECT *, 'all' FROM m)
+SELECT t, subset, count(CASE WHEN hit THEN 1 END)::INT AS npix, round(coalesce(sum(CASE WHEN hit THEN p END), 0), 6) + 0.0 AS total, count(CASE WHEN NOT hit THEN 1 END)::INT AS n_out FROM s GROUP BY ALL""")
+def contact_sets(spark, sf):
+    out = frames.contact_sets(_marked(spark, sf), ["t"])
+    return out.select("t", "subset", "npix", r6(F.aggregate("values", F.lit(0.0), lambda a, b: a + b)).alias("total"), F.size("noncontact").alias("n_out"))
+
+
+@query(f"""WITH {_MARKED}, x AS (SELECT t, CASE WHEN hit THEN p / nullif(max(p) OVER (PARTITION BY t), 0) END AS x FROM m), c AS (SELECT t, avg(x) AS mu FROM x GROUP BY 1)
+SELECT x.t, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS std, round(max(x), 6) + 0.0 AS max, round(min(x), 6) + 0.0 AS min, round(CASE WHEN stddev_pop(x) > 1e-9 THEN avg((x - mu) ** 3) / stddev_pop(x) ** 3 END, 5) + 0.0 AS skew FROM x JOIN c USING (t) GROUP BY 1""")
+def contact_statistics(spark, sf):
+    out = frames.contact_statistics(_marked(spark, sf), ["t"])
+    return rounded(out.select("t", "mean", "std", "max", "min", (F.round(F.when(F.col("std") > 1e-9, F.col("skew")), 5) + 0.0).alias("skew")), "mean", "std", "max", "min")
+
+
+@query("""WITH c AS (SELECT l_returnflag, l_quantity AS q, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS mu FROM lineitem)
+SELECT l_returnflag, round(avg((q - mu) ** 3) / stddev_pop(q) ** 3, 6) + 0.0 AS skew, round(avg((q - mu) ** 4) / var_pop(q) ** 2 - 3, 6) + 0.0 AS kurtosis, round(stddev_pop(q), 6) AS std FROM c GROUP BY 1""")
+def moments(spark, sf):
+    from spokeflow.queries import table
+
+    q = F.col("l_quantity")
+    out = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.skewness(q).alias("skew"), F.kurtosis(q).alias("kurtosis"), F.stddev_pop(q).alias("std"))
+    return rounded(out, "skew", "kurtosis", "std")
+
+
+@query(f"""WITH {_MARKED}, c AS (SELECT t, col, lag, max(p) AS p FROM m GROUP BY ALL)
+SELECT m.t, round((CASE WHEN count(CASE WHEN hit AND col < hub THEN 1 END) = 0 THEN 0.01 ELSE count(CASE WHEN hit AND col < hub THEN 1 END) END)::DOUBLE / (CASE WHEN count(CASE WHEN hit AND col > hub THEN 1 END) = 0 THEN 0.01 ELSE count(CASE WHEN hit AND col > hub THEN 1 END) END)::DOUBLE, 6) AS area_ratio,
+round(count(DISTINCT CASE WHEN hit THEN col END) / 16, 6) + 0.0 AS row_wheel_ratio, -any_value(l.lag) AS maxcol_imu_diff FROM m JOIN (SELECT t, arg_max(lag, (p, -col)) AS lag FROM c GROUP BY 1) l USING (t) GROUP BY 1""")
+def contact_geometry(spark, sf):
+    return rounded(frames.geometry(_marked(spark, sf), ["t"], "hub", 16), "area_ratio", "row_wheel_ratio")
+
+
+@query(f"""WITH {_MARKED}, s AS (SELECT t, any_value(hub) AS hub, count(DISTINCT CASE WHEN hit AND col >= hub THEN col END) AS n, arg_max(col, (p, -"row", -col)) FILTER (hit) AS top FROM m GROUP BY 1)
+SELECT t, round(CASE WHEN n > 0 THEN 254.5 * (cos(n * (1598.0::DOUBLE / 96) / 254.5) - 1) ELSE 0 END, 6) + 0.0 AS sink, round((1598.0::DOUBLE / 96) * (hub - top) / 254.5, 6) + 0.0 AS theta_m FROM s""")
+def wheel_sinkage(spark, sf):
+    return rounded(frames.sink_depth(_marked(spark, sf), ["t"], "hub"), "sink", "theta_m")
+
+
+@query(f"""WITH {_MARKED}, h AS (SELECT t, quantile_cont(CASE WHEN hit THEN p END, 0.95) AS p95 FROM m GROUP BY 1)
+SELECT m.t, coalesce(count(CASE WHEN hit THEN 1 END) < 15 AND count(CASE WHEN hit AND p > p95 THEN 1 END) <= 4 AND avg(CASE WHEN hit AND p > p95 THEN p END) > 200, false) AS sharp FROM m JOIN h USING (t) GROUP BY 1""")
+def sharp_contacts(spark, sf):
+    return frames.sharp(_marked(spark, sf), ["t"], level=200.0)
+
+
+@query(f"""WITH {_MARKED}, w AS (SELECT t, max(CASE WHEN hit THEN col END) - min(CASE WHEN hit THEN col END) + 1 AS w, count(CASE WHEN hit AND "row" = 0 THEN 1 END) AS l, count(CASE WHEN hit AND "row" = 3 THEN 1 END) AS r FROM m GROUP BY 1)
+SELECT t, 0 AS published, CASE WHEN w IS NULL THEN 0 WHEN l / (w * 1.0) < 2.0 / w THEN 1 WHEN r / (w * 1.0) < 2.0 / w THEN -1 ELSE 0 END AS intended FROM w""")
+def wheel_lean(spark, sf):
+    m = _marked(spark, sf)
+    a = frames.lean(m, ["t"]).withColumnRenamed("lean", "published")
+    return a.join(frames.lean(m, ["t"], intended=True, quarter=1).withColumnRenamed("lean", "intended"), "t")
+
+
+@query(f"""SELECT x.t, l.l AS lag, x."row", round(p, 6) + 0.0 AS p FROM {PX} x, (VALUES (0), (1), (3)) l(l) WHERE hub % 2 = 0 AND col = ((hub - 2 * l.l) % 16 + 16) % 16""")
+def unwrapped_strips(spark, sf):
+    out = frames.unwrapped(pixels(spark, sf), ["t", "hub"], "hub", [0, 1, 3], "grouser", 16)
+    return out.select("t", "lag", "row", r6("p").alias("p"))
+
+
+@query(f"""WITH s AS (SELECT run, x.t, l.l AS lag, p FROM {PX} x, (VALUES (0), (1)) l(l) WHERE col = ((hub - l.l) % 16 + 16) % 16),
+f AS (SELECT run, t, lag, sum(p) AS s, sum(p * p) AS q, count(*) AS n, max(p) AS m0 FROM s GROUP BY ALL), g AS (SELECT *, max(m0) OVER (PARTITION BY run, t) AS m FROM f),
+w AS (SELECT run, t, lag, sum(s) OVER w AS s, sum(q) OVER w AS q, sum(n) OVER w AS n, max(m) OVER w AS m FROM g WINDOW w AS (PARTITION BY run, lag ORDER BY t ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))
+SELECT run, t, lag, round(s / n / nullif(m, 0), 6) + 0.0 AS unwrap_mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0)) / nullif(m, 0), 6) + 0.0 AS unwrap_std FROM w""")
+def unwrap_features(spark, sf):
+    strips = frames.unwrapped(pixels(spark, sf), ["run", "t", "hub"], "hub", [0, 1], "all", 16)
+    return rounded(frames.unwrap_features(strips, ["run"], "t", 20), "unwrap_mean", "unwrap_std")
+
+
+@query(f"""SELECT t, round(quantile_cont(p, 0.0), 6) + 0.0 AS p0, round(quantile_cont(p, 0.05), 6) + 0.0 AS p5, round(quantile_cont(p, 0.25), 6) + 0.0 AS p25, round(quantile_cont(p, 0.75), 6) + 0.0 AS p75,
+round(quantile_cont(p, 0.95), 6) + 0.0 AS p95, round(quantile_cont(p, 1.0), 6) + 0.0 AS p100 FROM {PX} GROUP BY 1""")
+def frame_percentiles(spark, sf):
+    return rounded(frames.frame_percentiles(pixels(spark, sf), ["t"]), "p0", "p5", "p25", "p75", "p95", "p100")
+
+
+@query(f"SELECT t, col, round(max(p), 6) + 0.0 AS top FROM {PX} GROUP BY ALL")
+def frame_column_maxima(spark, sf):
+    return rounded(frames.extremes(pixels(spark, sf), ["t"]), "top")
+
+
+@query(f"SELECT t, 'x' || len(list(p)) AS size, round(list_sum(list(p)), 6) + 0.0 AS total FROM {PX} GROUP BY 1")
+def frame_arrays(spark, sf):
+    out = frames.frames(pixels(spark, sf), ["t"], columns=16)
+    return out.select("t", F.concat(F.lit("x"), F.size("frame")).alias("size"), r6(F.aggregate("frame", F.lit(0.0), lambda a, b: a + b)).alias("total"))
+
+
+@query()
+def image_geometry(spark, sf):
+    """Region properties have no SQL form."""
+    strips = frames.unwrapped(pixels(spark, sf), ["run", "t", "hub"], "hub", [0, 1], "all", 16)
+    return series.image_features(strips, ["run", "lag"], "t")

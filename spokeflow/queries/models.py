@@ -1 +1,146 @@
+"""Ensembles, predictions and what judges them."""
 
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from spokeflow.operators import assemble, evaluate, forest, ml
+from spokeflow.queries import events, query, r6, rounded, table
+
+
+def _wide(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 9).alias("run"), F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(12)])
+
+
+_F = [f"f{i}" for i in range(12)]
+
+
+@query("""WITH g AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, n FROM g""")
+def group_sizes(spark, sf):
+    """Folds by greedy choice are tested on their own; here each group has exactly one and keeps its rows."""
+    li = table(spark, sf, "lineitem")
+    folds = assemble.group_folds(li, "l_suppkey", 10)
+    return li.join(F.broadcast(folds), "l_suppkey").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query()
+def slip_regression(spark, sf):
+    """Out-of-fold predictions of boosted regression trees, by run."""
+    df = _wide(spark, sf)
+    out = ml.out_of_fold(df, ml.regressor(_F, trees=5, leaf=20), "run", folds=3)
+    return evaluate.errors(out, "label", "prediction", ["fold"]).select("fold", r6("rmse").alias("rmse"))
+
+
+@query()
+def composition_classes(spark, sf):
+    """Boosted trees, one class against the rest."""
+    df = _wide(spark, sf)
+    model = ml.boosted_classifier(_F, trees=3, leaf=20).fit(df)
+    return evaluate.confusion(model.transform(df), "label", "prediction")
+
+
+@query()
+def hydration_levels(spark, sf):
+    df = _wide(spark, sf).withColumn("rot", (F.col("id") % 360).cast("double"))
+    model = ml.forest_classifier(_F).fit(df)
+    out = ml.hydration(model.transform(df), "rot")
+    return out.select("id", r6("p_dry").alias("p_dry"), r6("p_max").alias("p_max"), "level")
+
+
+@query()
+def composition_names(spark, sf):
+    df = _wide(spark, sf)
+    model = ml.forest_classifier(_F, trees=5).fit(df)
+    names = [f"class{i}" for i in range(64)]
+    return ml.with_class(model.transform(df), names).select("id", r6("confidence").alias("confidence"), "class")
+
+
+@query()
+def cart_forest(spark, sf):
+    """Forest by majority shares: one task a tree, then votes in Arrow batches."""
+    df = _wide(spark, sf)
+    classes = 1 + int(df.agg(F.max("label")).first()[0])
+    nodes = forest.fit_forest(df, _F, "label", classes, trees=8, max_depth=6)
+    return forest.apply_forest(df, forest.load_trees(nodes), _F, classes).select("id", "prediction")
+
+
+@query()
+def forest_importances(spark, sf):
+    df = _wide(spark, sf)
+    ranked = ml.importances(ml.forest_classifier(_F, trees=5).fit(df), _F)
+    return evaluate.top(spark.createDataFrame(ranked, "feature string, importance double"), "importance", 5, ["feature"])
+
+
+@query("SELECT event_id, 'nan'::DOUBLE AS surface FROM events")
+def surface_stub(spark, sf):
+    e = events(spark, sf)
+    return e.select("event_id", ml.surface(e).alias("surface"))
+
+
+@query("SELECT quality, toxic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY quality), 6) AS share FROM labels GROUP BY 1, 2")
+def confusion_matrix(spark, sf):
+    return rounded(evaluate.confusion(table(spark, sf, "labels"), "quality", "toxic"), "share")
+
+
+_RES = "(SELECT l_returnflag, l_discount * 10 AS y, l_tax * 10 AS yhat FROM lineitem)"
+
+
+@query(f"SELECT l_returnflag, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(avg(yhat - y), 6) + 0.0 AS bias, round(stddev_pop(yhat - y), 6) AS spread, round(avg(CASE WHEN yhat - y = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM {_RES} GROUP BY 1")
+def prediction_errors(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_discount") * 10).alias("y"), (F.col("l_tax") * 10).alias("yhat"))
+    return rounded(evaluate.errors(li, "y", "yhat", ["l_returnflag"]), "rmse", "bias", "spread", "accuracy")
+
+
+@query(f"SELECT floor(y / 0.05)::INT AS bin, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(avg(yhat - y), 6) + 0.0 AS bias FROM {_RES} WHERE y >= 0 AND y < 1.1 GROUP BY 1")
+def residuals_by_bin(spark, sf):
+    li = table(spark, sf, "lineitem").select((F.col("l_discount") * 10).alias("y"), (F.col("l_tax") * 10).alias("yhat"))
+    return rounded(evaluate.binned_residuals(li, "y", "yhat").select("bin", "rmse", "bias"), "rmse", "bias")
+
+
+@query("""WITH m AS (SELECT user_id, event_type, avg(value) AS s FROM events GROUP BY ALL) SELECT user_id, arg_min(event_type, (-s, event_type)) AS best, round(max(s), 6) AS score FROM m GROUP BY 1""")
+def best_class(spark, sf):
+    return rounded(evaluate.best_class(events(spark, sf), ["user_id"], "event_type", "value"), "score")
+
+
+@query("SELECT event_type, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, count(*) AS n FROM events GROUP BY 1")
+def share_above(spark, sf):
+    return rounded(evaluate.share_of(events(spark, sf), F.col("value") > 50, ["event_type"]), "share")
+
+
+@query("SELECT p_brand, p_type, round(median(p_retailprice), 6) AS median FROM part GROUP BY ALL")
+def median_summary(spark, sf):
+    return rounded(evaluate.medians(table(spark, sf, "part"), "p_retailprice", ["p_brand", "p_type"]), "median")
+
+
+@query("""WITH b AS (SELECT least(floor((l_quantity - 0) / 0.5), 99)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1) SELECT bin, n, round(n / sum(n) OVER () / 0.5, 9) AS density FROM b""")
+def quantity_histogram(spark, sf):
+    out = evaluate.histogram(table(spark, sf, "lineitem"), "l_quantity", 0.0, 50.0)
+    return out.withColumn("density", F.round("density", 9))
+
+
+@query("""SELECT x::DOUBLE AS x, round(avg(exp(-0.5 * ((x - value) / 0.5) ** 2)) / (0.5 * sqrt(2 * pi())), 9) AS density FROM events, range(0, 100, 5) r(x) GROUP BY 1""")
+def kernel_density(spark, sf):
+    out = evaluate.kernel_density(events(spark, sf), "value", list(range(0, 100, 5)))
+    return out.withColumn("density", F.round("density", 9))
+
+
+@query()
+def feature_elimination(spark, sf):
+    df = _wide(spark, sf)
+    left = ml.eliminated(df, lambda f: ml.forest_classifier(f, trees=3, depth=4), _F[:5], 3)
+    return spark.createDataFrame([(f,) for f in left], "feature string")
+
+
+@query()
+def stratified_folds(spark, sf):
+    return ml.stratified_folds(_wide(spark, sf), "label").groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
+@query()
+def class_probabilities(spark, sf):
+    df = _wide(spark, sf)
+    model = ml.forest_classifier(_F, trees=5).fit(df)
+    p = vector_to_array("probability")
+    return model.transform(df).select("id", r6(F.aggregate(p, F.lit(0.0), lambda a, b: a + b)).alias("total"))
