@@ -8,7 +8,7 @@ from spokeflow.operators import components, dbscan
 from spokeflow.queries import query, table
 
 _PAIRS = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
-p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= 1.3 * 1.3),
+p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= 1.15 * 1.15),
 d AS (SELECT v.id, count(p.b) AS n FROM v LEFT JOIN p ON p.a = v.id GROUP BY 1)"""
 
 
@@ -18,7 +18,7 @@ def _points(spark, sf):
 
 @query(f"WITH {_PAIRS} SELECT id, n FROM d WHERE n > 0")
 def radius_neighbours(spark, sf):
-    pairs = dbscan.neighbour_pairs(_points(spark, sf), 1.3)
+    pairs = dbscan.neighbour_pairs(_points(spark, sf), 1.15)
     return pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
 
 
@@ -31,17 +31,17 @@ SELECT d.id, coalesce(k.cluster, o.cluster) AS cluster, d.n + {self_counts} >= 4
 
 @query(_dbscan_sql(1))
 def dbscan_counting_self(spark, sf):
-    return dbscan.dbscan(_points(spark, sf), 1.3, 4)
+    return dbscan.dbscan(_points(spark, sf), 1.15, 4)
 
 
 @query(_dbscan_sql(0))
 def dbscan_excluding_self(spark, sf):
-    return dbscan.dbscan(_points(spark, sf), 1.3, 4, count_self=False)
+    return dbscan.dbscan(_points(spark, sf), 1.15, 4, count_self=False)
 
 
 @query(f"SELECT cluster, count(*) AS points, count(CASE WHEN core THEN 1 END) AS cores FROM ({_dbscan_sql(1)}) GROUP BY 1")
 def cluster_sizes(spark, sf):
-    return dbscan.cluster_sizes(dbscan.dbscan(_points(spark, sf), 1.3, 4))
+    return dbscan.cluster_sizes(dbscan.dbscan(_points(spark, sf), 1.15, 4))
 
 
 @query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),

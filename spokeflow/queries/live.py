@@ -1 +1,83 @@
+"""Streams over replayed events, drained and compared with the same views in a batch."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from spokeflow.plans.lineage import shared_folder
+from spokeflow.queries import EV, events, query, r6, table
+from spokeflow.streaming import live
+
+
+def _replayed(spark, sf, parts: int = 3):
+    path = f"{shared_folder(spark)}/topic-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.repartitionByRange(parts, "ts").write.parquet(path)
+    return live.replay(spark, path, e.schema)
+
+
+def _drained(df, mode: str):
+    """The stream's table in memory, with its state and progress in the shared folder."""
+    spark = df.sparkSession
+    name = f"live_{uuid.uuid4().hex}"
+    return live.collected(df, name, mode, f"{shared_folder(spark)}/{name}")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL""")
+def stream_bins(spark, sf):
+    out = _drained(live.tumbling_means(_replayed(spark, sf), "ts", "value", ["event_type"], "1 hour"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(value, ts) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")
+def stream_latest(spark, sf):
+    out = _drained(live.latest(_replayed(spark, sf), ["user_id"], "ts", ["value", "event_type"]), "complete")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_once(spark, sf):
+    return _drained(live.once(_replayed(spark, sf).select("user_id", "event_type"), ["user_id", "event_type"]), "append")
+
+
+_PAIRS = f"""(SELECT user_id, t AS begin_at, n AS end_at FROM (SELECT user_id, t, event_type, lead(event_type) OVER w AS k, lead(t) OVER w AS n FROM {EV} WHERE event_type IN ('click', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY t)) WHERE event_type = 'click' AND k = 'error')"""
+
+
+@query(f'SELECT user_id, begin_at AS "begin", end_at AS "end" FROM {_PAIRS}')
+def start_stop_intervals(spark, sf):
+    return live.intervals(events(spark, sf), ["user_id"], "t", "event_type", "click", "error")
+
+
+@query(f"""SELECT event_id FROM {EV} e ASOF JOIN {_PAIRS} p ON e.user_id = p.user_id AND e.t >= p.begin_at WHERE e.event_type = 'view' AND e.t <= p.end_at""")
+def gated_samples(spark, sf):
+    e = events(spark, sf).select("event_id", "user_id", "event_type", "t", "value")
+    spans = live.intervals(e, ["user_id"], "t", "event_type", "click", "error")
+    return live.gated(e.where("event_type = 'view'"), spans, ["user_id"], "t").select("event_id")
+
+
+@query("""WITH e AS (SELECT *, max(CASE WHEN event_type = 'click' THEN ts END) OVER w AS a, max(CASE WHEN event_type = 'error' THEN ts END) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT event_id FROM e WHERE event_type NOT IN ('click', 'error') AND a IS NOT NULL AND (b IS NULL OR a > b)""")
+def stream_gate(spark, sf):
+    """Rows between a start and a stop command, with a flag of state a run."""
+    rows = _replayed(spark, sf, 1).select("event_id", "user_id", "event_type", "ts")
+    return _drained(live.running_gate(rows, "user_id", "ts", "event_type", "click", "error"), "append").select("event_id")
+
+
+@query("SELECT event_id, 'start' AS command, event_type AS argument FROM events WHERE user_id % 2 = 0")
+def parsed_commands(spark, sf):
+    word = F.when(F.col("user_id") % 2 == 0, "Start ").otherwise("fly ")
+    e = events(spark, sf).select("event_id", F.concat(word, "event_type").alias("value"))
+    return live.commands(e).select("event_id", "command", "argument")
+
+
+@query(f"SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, floor(t / 86400) ORDER BY t) AS n FROM {EV}) WHERE n = 1")
+def thinned_samples(spark, sf):
+    return live.thinned(events(spark, sf), "t", ["user_id"], 86400.0).select("event_id")
+
+
+@query()
+def stream_means_of_mean(spark, sf):
+    out = _drained(live.tumbling_means(_replayed(spark, sf), "ts", "value", ["event_type"], "1 day"), "complete")
+    return out.groupBy("event_type").agg(r6(F.avg("mean")).alias("mean"))

@@ -1 +1,267 @@
+"""Files written and read back, names and dates parsed, runs assembled."""
 
+from __future__ import annotations
+
+import io
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from spokeflow.functions import scalars as s
+from spokeflow.operators import assemble, evaluate, masks
+from spokeflow.plans.lineage import shared_folder
+from spokeflow.queries import EV, PX, events, pixels, query, r6, rounded, table
+from spokeflow.sources import readers, writers
+
+
+def _fresh(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""SELECT t AS frame_ts, "row", col, round(p, 6) + 0.0 AS p FROM {PX} WHERE t < 50""")
+def pressure_files(spark, sf):
+    """Frames written as pressure text, one file a frame, and read again."""
+    px = pixels(spark, sf).where("t < 50").withColumn("ts", F.col("t").cast("double"))
+    path = _fresh(spark, "pressure")
+    lines = writers.pressure_lines(px, ["t"], columns=16, rows=4)
+    writers.write_pressure(lines.repartition(4), path)
+    back = readers.pressure_text(spark, path, columns=16)
+    return back.select(F.round("ts").cast("bigint").alias("frame_ts"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), r6("p").alias("p"))
+
+
+@query(f"""SELECT user_id, count(*) AS n, round(sum(value), 6) AS re, round(sum(event_id), 6) + 0.0 AS im, round(max(t), 3) + 0.0 AS f FROM {EV} WHERE user_id < 40 GROUP BY 1""")
+def impedance_files(spark, sf):
+    """Sweeps written as text blocks and read again."""
+    e = events(spark, sf).where("user_id < 40")
+    row = F.concat_ws(" ", F.col("value").cast("string"), F.col("event_id").cast("double").cast("string"), F.col("t").cast("decimal(20,6)").cast("string"))
+    body = e.groupBy("user_id").agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.count("*").alias("n"))
+    head = F.concat(F.lit("Peaks=1\nstarttime=1/2/2024 3:04:05 PM\nid="), F.col("user_id").cast("string"), F.lit("\nprimary_data\n3\n"), F.col("n").cast("string"), F.lit("\n"), F.col("rows"), F.lit("\n"))
+    path = _fresh(spark, "idf")
+    body.select(head.alias("value"), "user_id").repartition("user_id").write.partitionBy("user_id").text(path)
+    back = readers.impedance(spark, path).where("primary is not null")
+    x = back.select(F.regexp_extract("path", r"user_id=(\d+)", 1).cast("bigint").alias("user_id"), F.explode("primary").alias("s"))
+    out = x.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("s.re").alias("re"), F.sum("s.im").alias("im"), F.max("s.freq").alias("f"))
+    return out.select("user_id", "n", F.round("re", 6).alias("re"), r6("im").alias("im"), (F.round("f", 3) + 0.0).alias("f"))
+
+
+def _content(pdf_to_bytes, schema: str):
+    def run(batches):
+        for pdf in batches:
+            yield pdf_to_bytes(pdf)
+
+    return lambda df: df.mapInPandas(run, schema)
+
+
+@query("SELECT vec_id, 64 AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) + 0.0 AS total FROM embeddings")
+def array_files(spark, sf):
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for v in pdf["embedding"]:
+            b = io.BytesIO()
+            np.save(b, np.asarray(v, float))
+            out.append(b.getvalue())
+        return pd.DataFrame({"path": pdf["vec_id"].map("run/{}.npy".format), "content": out})
+
+    files = _content(save, "path string, content binary")(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    back = readers.arrays_of(files)
+    out = back.groupBy(F.regexp_extract("path", r"(\d+)\.npy", 1).cast("bigint").alias("vec_id")).agg(F.count("*").cast("int").alias("n"), F.sum(F.col("values")[0]).alias("total"))
+    return rounded(out, "total")
+
+
+@query(f"""SELECT user_id, 'ft_' || c.i AS channel, count(*) AS n, round(sum(value * c.i), 6) + 0.0 AS total FROM {EV}, range(6) c(i) GROUP BY ALL
+UNION ALL SELECT user_id, 'rho', count(*), round(sum(value), 6) + 0.0 FROM {EV} GROUP BY 1""")
+def sensor_streams(spark, sf):
+    """Sensor arrays become long channels; of two generations of a wheel file the newer counts."""
+    e = events(spark, sf)
+    root = F.concat(F.lit("data/"), F.col("user_id").cast("string"), F.lit("/"))
+    t, v = F.col("t"), F.col("value")
+    ati = e.select(F.concat(root, F.lit("ati.npy")).alias("path"), F.array(t, *[v * i for i in range(6)]).alias("values"))
+    new = e.select(F.concat(root, F.lit("wheel_v3.npy")).alias("path"), F.array(t, F.lit(0.0), v).alias("values"))
+    old = e.select(F.concat(root, F.lit("wheel.npy")).alias("path"), F.array(t, v * 2).alias("values"))
+    long = readers.sensor_stream(ati.unionByName(new).unionByName(old))
+    out = long.groupBy(F.substring_index("run", "/", -1).cast("bigint").alias("user_id"), "channel").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rounded(out, "total")
+
+
+@query(f"""SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 0 ELSE user_id % 2 END + event_id % 3 AS rock, CASE WHEN event_id % 5 = 0 THEN 0 ELSE round(value, 2) END AS rock_depth FROM {EV}""")
+def rock_files(spark, sf):
+    e = events(spark, sf)
+    flag = F.when(F.col("user_id") % 7 == 0, "Nan").otherwise((F.col("user_id") % 2).cast("string"))
+    depth = F.when(F.col("event_id") % 5 == 0, ".").otherwise(F.round("value", 2).cast("string"))
+    line = F.concat_ws(" ", F.concat(F.col("event_id").cast("string"), F.lit("_25")), flag, (F.col("event_id") % 3).cast("string"), depth)
+    path = _fresh(spark, "rocks")
+    e.select(line.alias("value")).write.text(path)
+    back = readers.rock_labels(spark, path)
+    return back.select(F.floor("ts").cast("bigint").alias("event_id"), F.col("rock").cast("bigint").alias("rock"), "rock_depth")
+
+
+@query("SELECT vec_id AS id, 64 AS dims, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings")
+def point_files(spark, sf):
+    """Points in the binary layout, read in slices."""
+    import struct
+
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "path": pdf["vec_id"].astype(str), "content": [struct.pack("<ii", 1, len(v)) + np.asarray(v, "<f4").tobytes() for v in pdf["embedding"]],
+        })
+
+    files = _content(save, "path string, content binary")(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return readers.points_binary_of(files).select(F.col("path").cast("bigint").alias("id"), F.size("features").alias("dims"), r6(F.col("features")[0].cast("double")).alias("first"))
+
+
+@query("SELECT p_partkey AS i, (p_size % 256)::INT AS value FROM part")
+def image_files(spark, sf):
+    """Labels in the IDX layout."""
+    import struct
+
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "path": pdf["p_partkey"].astype(str), "content": [bytes([0, 0, 8, 1]) + struct.pack(">i", 1) + bytes([v % 256]) for v in pdf["p_size"]],
+        })
+
+    files = _content(save, "path string, content binary")(table(spark, sf, "part").select("p_partkey", "p_size"))
+    return readers.idx_of(files).select(F.col("path").cast("bigint").alias("i"), F.col("values")[0].alias("value"))
+
+
+@query(f"""SELECT t AS frame, 'xts' AS topic, 16 AS x_coils, 4 AS y_coils, round(sum(p) / 256, 6) + 0.0 AS total FROM {PX} GROUP BY 1""")
+def frame_json_messages(spark, sf):
+    px = pixels(spark, sf)
+    rows = px.groupBy("t", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "p"))), lambda c: c["p"]).alias("r"))
+    words = rows.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "r"))), lambda c: c["r"]).alias("words"))
+    back = readers.frame_messages(writers.frame_json(words, "xts", frame="t"))
+    total = F.aggregate(F.flatten("frame_data"), F.lit(0.0), lambda a, b: a + b)
+    return back.select("frame", "topic", "x_coils", "y_coils", r6(total).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def run_store(spark, sf):
+    """Runs stored one folder each; reading two of them touches only theirs."""
+    path = _fresh(spark, "runs")
+    writers.write_runs(events(spark, sf).drop("ts"), path, "event_type")
+    back = writers.read_runs(spark, path).where(F.col("event_type").isin("click", "view"))
+    return back.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("SELECT vec_id AS id, CASE WHEN label % 3 = 0 THEN -1 ELSE label END AS cluster FROM embeddings")
+def cluster_file(spark, sf):
+    path = _fresh(spark, "clusters")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 3 != 0, F.col("label")).alias("cluster"))
+    writers.write_clusters(e, path)
+    back = spark.read.text(path).select(F.split("value", " ").alias("f"))
+    return back.select(F.col("f")[0].cast("bigint").alias("id"), F.col("f")[1].cast("int").alias("cluster"))
+
+
+@query("SELECT count(*) AS n, round(avg(l_discount), 6) AS mean FROM lineitem")
+def metric_file(spark, sf):
+    path = _fresh(spark, "metrics")
+    writers.write_metrics(table(spark, sf, "lineitem").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean")), path)
+    return spark.read.option("header", True).schema("n bigint, mean double").csv(path)
+
+
+@query("SELECT c_custkey, c_name AS note FROM customer WHERE c_custkey < 100")
+def note_file(spark, sf):
+    path = _fresh(spark, "notes")
+    writers.write_notes(table(spark, sf, "customer").where("c_custkey < 100").select("c_custkey", F.col("c_name").alias("note")), path)
+    return spark.read.schema("c_custkey bigint, note string").json(path)
+
+
+_NAME = "'x_lab' || o_orderkey || '_terrain_flatlvl_vel_1_EISfreqsweep_2_grousers_4_loading_' || o_orderstatus || '_material_mm_hydra_' || (o_orderkey % 3) || '_pretreat_0_date_20190' || (100 + o_orderkey % 30) || '_rep_' || (o_orderkey % 5)"
+
+
+@query("""SELECT o_orderkey, 'lab' || o_orderkey AS label, 'flatlvl' AS terrain, o_orderstatus AS loading, (o_orderkey % 3)::VARCHAR AS hydration, '20190' || (100 + o_orderkey % 30) AS date, (o_orderkey % 5)::VARCHAR AS rep FROM orders""")
+def run_names(spark, sf):
+    o = table(spark, sf, "orders").withColumn("name", F.expr(_NAME))
+    f = s.run_fields(F.col("name"))
+    return o.select("o_orderkey", *[f[k].alias(k) for k in ("label", "terrain", "loading", "hydration", "date", "rep")])
+
+
+@query("""SELECT c_custkey, string_split(c_name, '#')[2] AS number, string_split(c_mktsegment, 'H')[1] AS head FROM customer""")
+def path_tokens(spark, sf):
+    c = table(spark, sf, "customer")
+    p = F.concat(F.lit("a/b/"), F.col("c_name"))
+    return c.select("c_custkey", s.path_token(p, 1, 1, "#").alias("number"), F.split("c_mktsegment", "H")[0].alias("head"))
+
+
+@query("""SELECT event_id, round(epoch_us(date_trunc('second', ts))::DOUBLE / 1e6, 3) AS seconds, json_extract_string(props, '$.k')::INT AS k, event_type = 'click' AS is_click, lpad(event_id::VARCHAR, 8, '0') AS padded FROM events""")
+def dates_and_json(spark, sf):
+    e = events(spark, sf)
+    text = F.date_format(F.col("ts").cast("timestamp"), "M/d/yyyy h:mm:ss a")
+    return e.select(
+        "event_id", F.round(s.parse_twelve_hour(text), 3).alias("seconds"), F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.col("event_type").startswith("click").alias("is_click"), F.lpad(F.col("event_id").cast("string"), 8, "0").alias("padded"),
+    )
+
+
+@query("SELECT event_id, epoch_us(ts)::DOUBLE / 1e6 AS seconds FROM events")
+def stamps(spark, sf):
+    e = events(spark, sf)
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy/MM/dd HH:mm:ss.SSSSSS")
+    return e.select("event_id", s.parse_stamp(text).alias("seconds"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 END AS label, least(user_id % 4, 1) AS rock FROM events""")
+def label_codes(spark, sf):
+    e = assemble.clipped_rock(events(spark, sf).withColumn("rock", F.col("user_id") % 4))
+    return assemble.labelled(e, "event_type", {"click": 0, "view": 1}).select("event_id", "label", "rock")
+
+
+@query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'bedrock' ELSE 'dune' END AS pattern, o_orderkey % 2 AS rock, o_custkey FROM orders),
+c AS (SELECT *, count(CASE WHEN pattern = 'bedrock' THEN 1 END) OVER (PARTITION BY o_custkey) > 1 AS w FROM p) SELECT o_orderkey, CASE WHEN w AND rock = 0 THEN 'flatlvl' ELSE pattern END AS pattern FROM c""")
+def flat_rows(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", "bedrock").otherwise("dune").alias("pattern"), (F.col("o_orderkey") % 2).alias("rock"))
+    return assemble.with_flat_rows(o, ["o_custkey"]).select("o_orderkey", "pattern")
+
+
+@query("""SELECT o_orderkey AS key, o_totalprice AS price, NULL::DOUBLE AS quantity FROM orders UNION ALL SELECT l_orderkey, NULL, l_quantity FROM lineitem""")
+def stacked_runs(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("quantity"))
+    return assemble.stacked([o, li])
+
+
+@query("""SELECT user_id, round(max(CASE WHEN event_type = 'click' THEN m END), 6) AS click, round(max(CASE WHEN event_type = 'view' THEN m END), 6) AS "view" FROM (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY ALL) GROUP BY 1""")
+def wide_features(spark, sf):
+    m = events(spark, sf).groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
+    return rounded(assemble.wide(m, ["user_id"], "event_type", "m", ["click", "view"]), "click", "view")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_tax FROM lineitem")
+def selected_features(spark, sf):
+    li = table(spark, sf, "lineitem")
+    names = masks.select_features(li.columns, exclude=["date", "flag", "status", "price", "supp", "quant", "disc"])
+    return assemble.aligned(li, names)
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(['l_tax', 'l_discount']) AS name FROM lineitem) GROUP BY 1")
+def long_features(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return assemble.long(li, ["l_orderkey", "l_linenumber"], ["l_tax", "l_discount"]).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.x AS trees, b.x AS depth, c.x AS leaf FROM (VALUES (32), (64)) a(x), (VALUES (3), (6), (10)) b(x), (VALUES (5), (10), (50)) c(x)")
+def parameter_sweep(spark, sf):
+    return evaluate.sweep(spark, trees=[32, 64], depth=[3, 6, 10], leaf=[5, 10, 50])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 10")
+def top_rows(spark, sf):
+    return evaluate.top(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), "l_extendedprice", 10, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def complement(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+    return evaluate.without(c, table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def lookup_join(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+
+
+@query("SELECT event_id, len(string_split(props, ':')) = 2 AS complete FROM events")
+def complete_lines(spark, sf):
+    return events(spark, sf).select("event_id", masks.complete_fields(F.col("props"), 2, ":").alias("complete"))

@@ -257,7 +257,7 @@ def scalar_expressions(spark, sf):
     )
 
 
-@query(f"""SELECT event_id, round(sqrt(v * v + u * u + 1), 6) AS r, round(acos(1 / sqrt(v * v + u * u + 1)), 6) AS theta, round(atan2(u, v), 6) + 0.0 AS phi, round(v * 641.42::DOUBLE, 6) AS mm, round(v / 256, 9) AS pressure
+@query(f"""SELECT event_id, round(sqrt(v * v + u * u + 1), 6) AS r, round(acos(1 / sqrt(v * v + u * u + 1)), 6) AS theta, round(atan2(u, v), 6) + 0.0 AS phi, round(v * 641.42::DOUBLE, 6) AS mm, v / 256 AS pressure
 FROM (SELECT event_id, value AS v, user_id::DOUBLE AS u FROM {EV})""")
 def sensor_geometry(spark, sf):
     e = events(spark, sf)
@@ -265,5 +265,5 @@ def sensor_geometry(spark, sf):
     g = s.spherical(v, u, F.lit(1.0))
     return e.select(
         "event_id", F.round(g["r"], 6).alias("r"), F.round(g["theta"], 6).alias("theta"), r6(g["phi"]).alias("phi"),
-        F.round(s.scaled(v, 641.42), 6).alias("mm"), F.round(s.scaled(v, 1 / 256), 9).alias("pressure"),
+        F.round(s.scaled(v, 641.42), 6).alias("mm"), s.scaled(v, 1 / 256).alias("pressure"),
     )

@@ -77,6 +77,11 @@ def impedance(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def arrays(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.npy") -> DataFrame:
     """path, i, values from `.npy` files of one or two dimensions; object arrays are refused."""
+    return arrays_of(_files(spark, path, pattern))
+
+
+def arrays_of(files: DataFrame) -> DataFrame:
+    """`arrays` of files already read as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -85,7 +90,7 @@ def arrays(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.npy
                 x = x.reshape(len(x), -1).astype(float)
                 yield pd.DataFrame({"path": p, "i": np.arange(len(x)), "values": list(x)})
 
-    return _files(spark, path, pattern).mapInPandas(run, "path string, i bigint, values array<double>")
+    return files.mapInPandas(run, "path string, i bigint, values array<double>")
 
 
 #: Suffix of a sensor's file, its channel, and the columns taken beside the first, the time; -1 is the last.
@@ -133,6 +138,11 @@ def points_text(spark: SparkSession, path: str) -> DataFrame:
 
 def points_binary(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """path, id, features: two int32 (points, dimensions), then float32 rows."""
+    return points_binary_of(_files(spark, path))
+
+
+def points_binary_of(files: DataFrame) -> DataFrame:
+    """`points_binary` of files already read as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -143,11 +153,16 @@ def points_binary(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
                     part = x[at : at + 10_000]
                     yield pd.DataFrame({"path": p, "id": np.arange(at, at + len(part)), "features": list(part)})
 
-    return _files(spark, path).mapInPandas(run, "path string, id bigint, features array<float>")
+    return files.mapInPandas(run, "path string, id bigint, features array<float>")
 
 
 def idx(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """path, i, values of IDX files (big-endian, bytes): images flat, labels as one value."""
+    return idx_of(_files(spark, path))
+
+
+def idx_of(files: DataFrame) -> DataFrame:
+    """`idx` of files already read as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,7 +172,7 @@ def idx(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
                 x = np.frombuffer(content, np.uint8, int(np.prod(shape)), 4 + 4 * dims).reshape(shape[0], -1)
                 yield pd.DataFrame({"path": p, "i": np.arange(len(x)), "values": list(x.astype(np.int32))})
 
-    return _files(spark, path).mapInPandas(run, "path string, i bigint, values array<int>")
+    return files.mapInPandas(run, "path string, i bigint, values array<int>")
 
 
 def feature_list(spark: SparkSession, path: str) -> list[str]:
