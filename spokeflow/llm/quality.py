@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spokeflow.llm.bpe import _Memo
 from spokeflow.llm.simhash import BKTree, fingerprint
-from spokeflow.plans.lineage import written
+from spokeflow.plans.lineage import bounded_batches, written
 
 SAMPLE = 4000
 SUPPORT = 6  # labelled documents that a word must occur in
@@ -67,7 +67,7 @@ class Model:
     prior: float = 0.5  # share of good documents it was fitted on
 
     def __post_init__(self):
-        self._seen = _Memo(self._look, 200_000)
+        self._seen = _Memo(self._look, 50_000)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_seen"}
@@ -195,7 +195,8 @@ def evidence(model: Model, text: Column) -> Column:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.evidence(texts.tolist()))
 
-    return score(F.coalesce(text, F.lit("")))
+    # a pure function, but one that the optimizer must not copy into filters, which would run it twice
+    return score.asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def site(url: Column) -> tuple[Column, Column]:
@@ -239,6 +240,7 @@ def priors(scored: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text") -> DataFrame:
     """`docs` with __evidence, __host_share, __path_share, __posterior and __kept."""
+    bounded_batches(docs.sparkSession)
     rows = docs.withColumns({"__host": host, "__path": path, "__evidence": evidence(model, F.col(text_col))})
     p = 1 / (1 + F.exp(-F.col("__evidence") - math.log(model.prior / (1 - model.prior))))
     shares = priors(rows.select(F.col("__host").alias("_host"), F.col("__path").alias("_path"), p.alias("_p")))
