@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spokeflow.plans.lineage import bounded_batches
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 250_000  # pieces in a generation of a worker's memory
+REMEMBERED = 100_000  # pieces in a generation of a worker's memory
 LONG = 1 << 20  # characters from which a text is taken a run of pieces at a time
 BATCH = 4 << 20  # characters of text in an output batch
 
@@ -205,6 +207,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     out.append(pa.array(map(bpe.decode, ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=["_id", "ids", "decoded"][: len(out)])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = rows.mapInArrow(run, f"_id {kind}, ids array<int>" + ", decoded string" * decode)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeflow.llm.bpe import small_batches
+from spokeflow.plans.lineage import bounded_batches
 
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -221,6 +222,7 @@ def contaminated(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document and test item that it holds: id, item_id, score, question_overlap, answer_overlap."""
+    bounded_batches(docs.sparkSession)
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeflow.llm.bpe import small_batches
+from spokeflow.plans.lineage import bounded_batches
 
 # Element sets of the HTML standard and words that name parts of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -329,6 +330,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     names=["_id", "_url", "text", "n_chars"],
                 )
 
+    bounded_batches(pages.sparkSession)
     kinds = pages.schema[id_col].dataType.simpleString(), pages.schema[url_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     out = rows.mapInArrow(run, f"_id {kinds[0]}, _url {kinds[1]}, text string, n_chars bigint")

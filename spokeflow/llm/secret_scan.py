@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from spokeflow.llm.bpe import small_batches
 from spokeflow.operators.forest import Tree, grow, votes
+from spokeflow.plans.lineage import bounded_batches
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 NEAR = 40  # characters looked at before a candidate
@@ -130,6 +131,7 @@ def scan(
     id_col: str = "doc_id", text_col: str = "text", path_col: str = "source",
 ) -> DataFrame:
     """One row per candidate: id, start and length in characters, sha256 of the string, score, is_secret."""
+    bounded_batches(docs.sparkSession)
     words = dictionary(tokenizer)
     trees = train(words, labelled_findings(findings, 11, words))
     held = docs.sparkSession.sparkContext.broadcast((words, trees))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeflow.llm.bpe import loaded, small_batches
+from spokeflow.plans.lineage import bounded_batches
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
@@ -96,6 +97,7 @@ def token_counts(docs: DataFrame, tokenizer: str, version: str, text_col: str =
                 n = [len(bpe.encode(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.md5(text)).alias("text_md5"), text.alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
