@@ -191,7 +191,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     choice = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]))
     keyed = distinct.select("fp", choice.alias("k")).select("fp", F.xxhash64("k.c", "k.bits").alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join shuffles both sides itself and adaptive execution can split a hot shard
+    sizes = written(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / tree_size).cast("int")
     rows = keyed.join(sizes, "shard").select("fp", "shard", parts.alias("parts"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))

@@ -135,14 +135,15 @@ def repeated_windows(base: DataFrame, length: int = LENGTH, hot: int = HOT, chun
     """_id, _h, spans: the byte ranges [a, b) of each text that repeated strings cover, maximal and in order."""
     spark = base.sparkSession
     segs = anchored(base, length)
-    several = segs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written, so that the join shuffles both sides itself and adaptive execution can split a hot anchor
+    several = written(segs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     again = written(segs.join(several, "key", "left_semi"))
     contents = written(
         again.groupBy("key", "seg").agg(
             F.count("*").alias("n"), F.min(F.struct("_id", "_h", "first")).alias("at"), F.max("windows").alias("windows")
         )
     )
-    mixed = contents.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
+    mixed = written(contents.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"))
     wanted = contents.join(mixed, "key").select(
         "key", "seg", "n", "d", "windows", F.col("at._id").alias("_i"), F.col("at._h").alias("_g"), F.col("at.first").alias("_f")
     )
