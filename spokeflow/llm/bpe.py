@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from spokeflow.plans.lineage import bounded_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 100_000  # pieces in a generation of a worker's memory
+REMEMBERED = 180_000  # pieces in a generation of a worker's memory
 LONG = 1 << 20  # characters from which a text is taken a run of pieces at a time
 BATCH = 4 << 20  # characters of text in an output batch
 

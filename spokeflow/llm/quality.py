@@ -7,7 +7,8 @@ than chance lets them (method of moments). The posterior odds of a document are
 odds of its path; it is kept when they reach even.
 
 The evidence takes one Arrow UDF over whole texts. Priors are grouped aggregates with partial sums, one row
-per path; they come back by an equi-join that is broadcast only if its measured size allows it.
+per path; they come back by an equi-join, broadcast if their counted rows are within BROADCAST_ROWS and
+shuffled, with adaptive skew handling, beyond.
 
 The classifier is fitted on the driver on at most SAMPLE labelled documents, taken in the order of a hash of
 their ids, copies and near copies among them once. One half of them gives the word and shape weights, the
@@ -36,6 +37,7 @@ from spokeflow.plans.lineage import bounded_batches, written
 
 SAMPLE = 4000
 SUPPORT = 6  # labelled documents that a word must occur in
+BROADCAST_ROWS = 100_000  # paths up to which their shares are sent to every executor, some 10 MB
 LIMIT = 12.0  # most evidence of one document, as a logarithm
 _STRIP = re.compile(r"^\W+|\W+$")
 
@@ -67,7 +69,7 @@ class Model:
     prior: float = 0.5  # share of good documents it was fitted on
 
     def __post_init__(self):
-        self._seen = _Memo(self._look, 50_000)
+        self._seen = _Memo(self._look, 120_000)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_seen"}
@@ -210,8 +212,8 @@ def _strength(n: float, groups: int, squares: float, spread: float, mean: float)
     n: documents, squares: sum of squared group sizes, spread: sum of size * (group mean - mean)^2.
     """
     within = mean * (1 - mean)
-    room = within * (n - squares / n)
-    if n <= 0 or room <= 0:
+    room = within * (n - squares / n) if n > 0 else 0.0
+    if room <= 0:
         return 1e6
     rho = min(max((spread - within * (groups - 1)) / room, 1e-6), 0.999)
     return (1 - rho) / rho
@@ -235,24 +237,35 @@ def priors(scored: DataFrame) -> DataFrame:
     cells = cells.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
     p = cells.agg(*moments(F.col("n"), F.col("s") / F.col("n"), F.col("host_share"))).first()
     b = _strength(p.n or 0, p.k, p.q or 0, p.v or 0, mean)
-    return cells.select("_host", "_path", "n", "host_share", ((F.col("s") + b * F.col("host_share")) / (F.col("n") + b)).alias("path_share"))
+    shares = cells.select("_host", "_path", "n", "host_share", ((F.col("s") + b * F.col("host_share")) / (F.col("n") + b)).alias("path_share"))
+    return shares
 
 
-def judged(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """`docs` with __evidence, __host_share, __path_share, __posterior and __kept."""
+def judged(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", prefix: str = "__") -> DataFrame:
+    """`docs` with evidence, host_share, path_share, posterior and kept, all under `prefix`."""
     bounded_batches(docs.sparkSession)
-    rows = docs.withColumns({"__host": host, "__path": path, "__evidence": evidence(model, F.col(text_col))})
-    p = 1 / (1 + F.exp(-F.col("__evidence") - math.log(model.prior / (1 - model.prior))))
-    shares = priors(rows.select(F.col("__host").alias("_host"), F.col("__path").alias("_path"), p.alias("_p")))
-    out = rows.join(shares, F.col("__host").eqNullSafe(F.col("_host")) & F.col("__path").eqNullSafe(F.col("_path")))
-    share = F.least(F.greatest(F.col("path_share"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    posterior = 1 / (1 + F.exp(-F.col("__evidence") - F.log(share / (1 - share))))
-    return out.withColumns(
-        {"__host_share": F.col("host_share"), "__path_share": F.col("path_share"), "__posterior": posterior, "__kept": posterior >= 0.5}
-    ).drop("_host", "_path", "n", "host_share", "path_share")
+    name = lambda c: f"{prefix}{c}"
+    col = lambda c: F.col(f"`{prefix}{c}`")
+    rows = docs.withColumns({name("host"): host, name("path"): path, name("evidence"): evidence(model, F.col(text_col))})
+    p = 1 / (1 + F.exp(-col("evidence") - math.log(model.prior / (1 - model.prior))))
+    shares = priors(rows.select(col("host").alias("_host"), col("path").alias("_path"), p.alias("_p")))
+    shares = shares.select(*[F.col(c).alias(name(n)) for c, n in (("_host", "h"), ("_path", "p"), ("host_share", "host_share"), ("path_share", "path_share"))])
+    out = rows.join(_sized(shares), col("host").eqNullSafe(col("h")) & col("path").eqNullSafe(col("p")))
+    share = F.least(F.greatest(col("path_share"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    out = out.withColumn(name("posterior"), 1 / (1 + F.exp(-col("evidence") - F.log(share / (1 - share)))))
+    kept = col("posterior") >= 0.5 if model.weights else F.lit(True)
+    return out.withColumn(name("kept"), kept).drop(name("h"), name("p"))
+
+
+def _sized(shares: DataFrame) -> DataFrame:
+    """A broadcast if the shares, which read from a written table, are counted to be few."""
+    return F.broadcast(shares) if shares.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shares
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The documents that are kept, with all their columns."""
     model = fit(docs, labels, sample, text_col=text_col)
-    return judged(docs, model, F.col(host_col), F.col(path_col), text_col).where("__kept").select(*docs.columns)
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return judged(docs, model, F.col(host_col), F.col(path_col), text_col, prefix).where(F.col(f"`{prefix}kept`")).select(*docs.columns)

@@ -1,0 +1,86 @@
+import html
+import re
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+
+from spokeflow.llm import html_text, registry, secret_scan
+from tests.oracle import SF
+
+
+def plain(page):
+    inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S).group(1)
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_query(spark):
+    pages = dict(duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall())
+    out = registry.op4_html(spark, SF).collect()
+    assert len(out) == len(pages)
+    assert all(r.text == plain(pages[r.page_id]) and r.n_chars == len(r.text) for r in out)
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><ul><li><a href=1>a</a></ul></header><div id=wrap>
+<div class="cookie-notice">We use cookies, all of them, always, and so on and so forth.</div>
+<div class="main-col"><h1>Head &amp; line</h1><p>First para with text, and a comma, enough of it to count as a real paragraph of prose.
+<p>Second   para&nbsp;here is also long enough, I think, to count in the score, surely.</p><blockquote><p>Quote text.</p></blockquote>
+<ul><li>one<li>two</ul><div class="share"><a href=#>Share</a></div>
+<div class=comments><p>I, for one, think, that this is a long comment by a reader, with commas, a lot.</p></div></div>
+<div class=sidebar><p>Some side text, with a comma, that is rather long and would score a bit too.</p></div></div>
+<form><p>Sign up, now, for the newsletter of the century please do it</p></form><footer>c</footer></body></html>"""
+
+
+def test_page_parts():
+    assert html_text.main_text(PAGE).split("\n\n") == [
+        "Head & line", "First para with text, and a comma, enough of it to count as a real paragraph of prose.",
+        "Second para here is also long enough, I think, to count in the score, surely.", "Quote text.", "one", "two",
+    ]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (None, ""), ("", ""), (" ", ""), ("<p", ""), ("<p>short", "short"), ("plain text", "plain text"), ("<script>if(a<b){}", ""), ("<!-- x", ""),
+        ("<div><p>unclosed <b>bold <i>it</p><p>x", "unclosed bold it\n\nx"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+        ("a &lt;b&gt; &copy &#x41; &bogus;", "a <b> © A &bogus;"), ("<p hidden>no<p>yes", "yes"), ("a<br>b", "a b"),
+    ],
+)
+def test_odd_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_deep_and_long_pages(spark):
+    assert html_text.main_text("<div>" * 5000 + "x, y " * 50 + "</div>" * 5000).startswith("x, y")
+    df = spark.createDataFrame([(1, None, None, 2), (1, "u", "<p>a", 2)], "page_id long, url string, html string, text int")
+    assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == [(1, "u", "a", 1), (1, None, "", 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_forest_on_held_out_findings():
+    words = secret_scan.dictionary(public_tokenizers.path("byte_bpe_50k.json"))
+    trees = secret_scan.train(words, secret_scan.labelled_findings(2000, 11, words))
+    test = secret_scan.labelled_findings(1000, 99, words)
+    x = np.array([secret_scan.features(*f[:4], words) for f in test])
+    got = secret_scan.votes(trees, x, 2).argmax(1)
+    assert (got == np.array([f[4] for f in test])).mean() > 0.97
+
+
+def test_scan(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    key = "AKIA" + "Q7ZK4M2PX9RT5WLB"
+    rows = [(1, f"the access key = \"{key}\" is set", "src1", 0), (2, "call 4316522678525456 for internationalisation_of_things", "src1", 0), (3, None, None, 0), (4, "", "x", 0), (1, f"the access key = \"{key}\" is set", "src1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, score int")
+    out = secret_scan.scan(df, path).collect()
+    assert [(r.start, r.length) for r in out if r.is_secret] == [(18, 20)] * 2
+    assert not any(r.is_secret for r in out if r.doc_id == 2)
+    assert secret_scan.scan(df.limit(0), path).count() == 0
+
+
+def test_query_runs(spark):
+    out = registry.op9_secrets(spark, "/root/testdata/sf0.01")
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    hits = out.where("is_secret").collect()
+    assert hits and all(re.search(r"token|key|AKIA|secret|[0-9a-f]{40}", text[r.doc_id][max(0, r.start - 40) : r.start + r.length]) for r in hits)
