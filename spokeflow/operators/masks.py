@@ -11,25 +11,43 @@ from pyspark.sql import functions as F
 from spokeflow.functions.windows import running
 
 
-def iqr_inlier(x: Column, run: Sequence[str], factor: float) -> Column:
+def with_run_aggregates(df: DataFrame, run: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Adds aggregates of a row's run: one row a run, combined before the shuffle, joined back to the rows.
+
+    Unlike a window over the run it never sorts a run in one task, and adaptive execution splits a run that is hot.
+    """
+    per = df.groupBy(*[F.col(c).alias(f"_run_{c}") for c in run]).agg(*[v.alias(k) for k, v in aggregates.items()])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_run_{c}")) for c in run])
+    return df.join(per, same).drop(*[f"_run_{c}" for c in run])
+
+
+def iqr_inlier(df: DataFrame, x: str, run: Sequence[str], factor: float, output: str = "inlier") -> DataFrame:
     """True strictly inside q1 - factor * iqr and q3 + factor * iqr of a run."""
-    w = Window.partitionBy(*run)
-    q1, q3 = F.percentile(x, F.lit(0.25)).over(w), F.percentile(x, F.lit(0.75)).over(w)
-    return (x > q1 - factor * (q3 - q1)) & (x < q3 + factor * (q3 - q1))
+    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
+    rows = with_run_aggregates(df, run, _q=quartiles)
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    return rows.withColumn(output, (F.col(x) > q1 - factor * (q3 - q1)) & (F.col(x) < q3 + factor * (q3 - q1))).drop("_q")
 
 
 def clean_slip(df: DataFrame, x: str, run: Sequence[str], order: Sequence[str], output: str = "clean") -> DataFrame:
     """Inliers both by value and by running deviation; runs of ten rows or fewer have none."""
     df = df.withColumn("_sd", running(F.col(x), "std", run, order, 10, 10))
-    ok = iqr_inlier(F.col("_sd"), run, 5.0) & iqr_inlier(F.col(x), run, 3.0)
-    return df.withColumn(output, ok & (F.count(F.lit(1)).over(Window.partitionBy(*run)) > 10)).drop("_sd")
+    quartiles = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
+    rows = with_run_aggregates(df, run, _qs=quartiles("_sd"), _qx=quartiles(x), _n=F.count(F.lit(1)))
+
+    def inside(c: str, q: str, factor: float) -> Column:
+        q1, q3 = F.col(q)[0], F.col(q)[1]
+        return (F.col(c) > q1 - factor * (q3 - q1)) & (F.col(c) < q3 + factor * (q3 - q1))
+
+    ok = inside("_sd", "_qs", 5.0) & inside(x, "_qx", 3.0) & (F.col("_n") > 10)
+    return rows.withColumn(output, ok).drop("_sd", "_qs", "_qx", "_n")
 
 
 def moving(df: DataFrame, current: str, run: Sequence[str]) -> DataFrame:
     """Rows with a current; a run without any keeps all rows, for a detector on angles to decide."""
     on = F.coalesce(F.nanvl(F.col(current), F.lit(0.0)), F.lit(0.0)) != 0
-    none = ~F.bool_or(on).over(Window.partitionBy(*run))
-    return df.withColumns({"_on": on, "_none": none}).where("_on or _none").drop("_on", "_none")
+    rows = with_run_aggregates(df.withColumn("_on", on), run, _some=F.bool_or("_on"))
+    return rows.where("_on or not _some").drop("_on", "_some")
 
 
 def burn_in(df: DataFrame, run: Sequence[str], order: Sequence[str], low: int) -> DataFrame:

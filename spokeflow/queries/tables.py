@@ -31,7 +31,7 @@ def pressure_files(spark, sf):
     return back.select(F.round("ts").cast("bigint").alias("frame_ts"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), r6("p").alias("p"))
 
 
-@query(f"""SELECT user_id, count(*) AS n, round(sum(value), 6) AS re, round(sum(event_id), 6) + 0.0 AS im, round(max(t), 3) + 0.0 AS f FROM {EV} WHERE user_id < 40 GROUP BY 1""")
+@query(f"""SELECT user_id, count(*) AS n, round(sum(value), 6) AS re, round(sum(event_id)::DOUBLE, 6) + 0.0 AS im, round(max(t), 3) + 0.0 AS f FROM {EV} WHERE user_id < 40 GROUP BY 1""")
 def impedance_files(spark, sf):
     """Sweeps written as text blocks and read again."""
     e = events(spark, sf).where("user_id < 40")

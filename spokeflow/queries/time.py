@@ -157,8 +157,8 @@ def calibration_by_date(spark, sf):
 @query("""WITH q AS (SELECT l_shipdate, quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice > a - 0.2 * (b - a) AND l_extendedprice < b + 0.2 * (b - a) AS inlier FROM lineitem JOIN q USING (l_shipdate)""")
 def iqr_inliers(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", masks.iqr_inlier(F.col("l_extendedprice"), ["l_shipdate"], 0.2).alias("inlier"))
+    li = masks.iqr_inlier(table(spark, sf, "lineitem"), "l_extendedprice", ["l_shipdate"], 0.2)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "inlier")
 
 
 @query(f"""WITH a AS (SELECT *, stddev_pop(value) OVER ({_W} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS sd, count(*) OVER (PARTITION BY user_id) AS n FROM {EV}),

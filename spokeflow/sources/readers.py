@@ -129,11 +129,10 @@ def rock_labels(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def points_text(spark: SparkSession, path: str) -> DataFrame:
-    """id, features of white-space separated numbers, in file order; a single file is one task."""
+def points_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """path, id, features of white-space separated numbers; id is the line in its file, from 0."""
     lines = _files(spark, path).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("n", "line")).where("trim(line) <> ''")
-    rank = F.row_number().over(Window.orderBy("path", "n")) - 1
-    return lines.select(rank.cast("bigint").alias("id"), F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("features"))
+    return lines.select("path", F.col("n").cast("bigint").alias("id"), F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("features"))
 
 
 def points_binary(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
