@@ -10,7 +10,7 @@ The evidence takes one Arrow UDF over whole texts. Priors are grouped aggregates
 per path; they come back by an equi-join, broadcast if their counted rows are within BROADCAST_ROWS and
 shuffled, with adaptive skew handling, beyond.
 
-The classifier is fitted on the driver on at most SAMPLE labelled documents, taken in the order of a hash of
+The classifier is fitted on the driver on at most SAMPLE labelled documents (and SAMPLE_CHARS of text), taken in the order of a hash of
 their ids, copies and near copies among them once. One half of them gives the word and shape weights, the
 other half the regression on top. Bad means labelled low quality or toxic.
 
@@ -36,6 +36,7 @@ from spokeflow.llm.simhash import BKTree, fingerprint
 from spokeflow.plans.lineage import bounded_batches, written
 
 SAMPLE = 4000
+SAMPLE_CHARS = 100_000_000  # characters of text after which no more of them are taken
 SUPPORT = 6  # labelled documents that a word must occur in
 BROADCAST_ROWS = 100_000  # paths up to which their shares are sent to every executor, some 10 MB
 LIMIT = 12.0  # most evidence of one document, as a logarithm
@@ -188,8 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = rows.join(F.broadcast(some), F.col("_id") == F.col("doc_id"))
-    return train([(r[0], r[1], r[2], r[3]) for r in found.select("_id", "_text", "_quality", "_toxic").collect()])
+    found = rows.join(F.broadcast(some), F.col("_id") == F.col("doc_id")).orderBy(F.xxhash64("_id"), "_id")
+    held, size = [], 0
+    for r in found.select("_id", "_text", "_quality", "_toxic").toLocalIterator():
+        held.append((r[0], r[1], r[2], r[3]))
+        size += len(r[1] or "")
+        if size > SAMPLE_CHARS:
+            break
+    return train(held)
 
 
 def evidence(model: Model, text: Column) -> Column:

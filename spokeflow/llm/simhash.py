@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +47,36 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RUN = 1 << 16  # shingles counted at a time
 
 
+def _runs_of_words(data: bytes) -> Iterator[list[bytes]]:
+    """All words at once, or some at a time where a text is long."""
+    if len(data) < 1 << 22:
+        yield _WORD.findall(data)
+        return
+    found = (m.group() for m in _WORD.finditer(data))
+    while run := list(islice(found, _RUN)):
+        yield run
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The 64-bit fingerprint of a text, unsigned."""
-    words = _WORD.findall((text or "").encode().translate(_LOWER))
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
+    h = xxhash.xxh64_intdigest
+    ones, total, tail = np.zeros(64, np.int64), 0, []
+    for words in _runs_of_words((text or "").encode().translate(_LOWER)):
+        words = tail + words
+        tail = words[max(0, len(words) - shingle + 1) :]
+        if len(words) < shingle:
+            continue
+        joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate(([0], ends[:-shingle])).tolist()
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _RUN):
-        bits = np.array(hashes[at : at + _RUN], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+        hashes = [h(joined[i:j], SEED) for i, j in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
+        total += len(hashes)
+        for at in range(0, len(hashes), _RUN):
+            bits = np.array(hashes[at : at + _RUN], dtype=">u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+    if not total:
+        return h(b" ".join(tail), SEED) if tail else 0
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -39,12 +39,16 @@ def components(rows, radius=4):
     return [(doc, f"{f:016x}", low.get(find(i))) for i, (doc, f) in enumerate(rows)]
 
 
-def test_fingerprints():
+def test_fingerprints(monkeypatch):
     r = random.Random(2)
     texts = [None, "", " \n", "A", "a b c", "a b c d", "a É b c D e"] + [" ".join(r.choice("ABcdé") for _ in range(r.randint(0, 300))) for _ in range(40)]
     assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
     long = " ".join(map(str, range(70_000)))
     assert simhash.fingerprint(long) == plain_fingerprint(long)
+    monkeypatch.setattr(simhash, "_RUN", 5)
+    monkeypatch.setattr(simhash, "_runs_of_words", lambda d: (w[i : i + 3] for w in [simhash._WORD.findall(d)] for i in range(0, len(w), 3)))
+    for k in (1, 4, 5):
+        assert [simhash.fingerprint(t, k) for t in texts] == [plain_fingerprint(t, k) for t in texts]
 
 
 @pytest.mark.parametrize("tree_size", [3000, 40])
