@@ -27,6 +27,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ SHINGLE = 5
 ENTRY = 64
 POSTINGS = 32  # in a block
 BLOCK_BYTES = 8 << 20
+LONG = 4 << 20  # characters from which a text is taken in runs of words
+RUN = 200_000
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 
@@ -172,34 +175,56 @@ class BM25Index:
                         seek(x, entry)
         return out
 
-    def search(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item, score, question overlap, answer overlap) of every item that a document holds."""
-        w = words(text)
-        if not w or not self.of:
-            return []
+    def _runs(self, text: str) -> Iterator[np.ndarray]:
+        """Word numbers of a text; of a long one a run at a time, each with the end of the one before."""
         get = self.vocabulary.get
-        ids = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+        if len(text) < LONG:
+            w = words(text)
+            yield np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+            return
+        found = (get(m.group(), -1) for m in _WORD.finditer(text.lower()))
+        tail: list[int] = []
+        while run := list(islice(found, RUN)):
+            yield np.array(tail + run, np.int64)
+            tail = (tail + run)[-2 * self.width - SHINGLE :]
+
+    def _retrieved(self, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
+        """Entries that passages of a run of words reach, with their scores."""
         terms = self.terms(ids)
         at = np.flatnonzero(terms >= 0)
         if not at.size:
-            return []
-        impact = np.zeros(len(w) + 1)
+            return
+        impact = np.zeros(len(ids) + 1)
         impact[at + 1] = self.most[terms[at]]
         total = np.cumsum(impact)
-        starts = np.arange(0, max(1, len(w) - self.width), self.width)
-        ends = np.minimum(starts + 2 * self.width, len(w))
-        best: dict[int, float] = {}
+        starts = np.arange(0, max(1, len(ids) - self.width), self.width)
+        ends = np.minimum(starts + 2 * self.width, len(ids))
         for p in np.flatnonzero(total[ends] - total[starts] >= threshold - 1e-9):
             own = np.unique(terms[starts[p] : ends[p]])
-            for entry, score in self.retrieve(own[own >= 0].tolist(), threshold).items():
-                item = self.of[entry]
-                best[item] = max(best.get(item, 0.0), score)
+            yield from self.retrieve(own[own >= 0].tolist(), threshold).items()
+
+    def search(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
+        """(item, score, question overlap, answer overlap) of every item that a document holds."""
+        if not text or not self.of:
+            return []
+        best: dict[int, float] = {}
+        for ids in self._runs(text):
+            if len(ids):
+                for entry, score in self._retrieved(ids, threshold):
+                    item = self.of[entry]
+                    best[item] = max(best.get(item, 0.0), score)
         if not best:
             return []
-        ids = ids.tolist()
-        held = {size: set(zip(*(ids[i:] for i in range(size)))) for size in {len(s) for i in best for part in self.parts[i] for s in part}}
-        share = lambda part: sum(s in held[len(s)] for s in part) / len(part) if part else 1.0
-        out = [(self.items[i], score, share(self.parts[i][0]), share(self.parts[i][1])) for i, score in best.items()]
+        sizes = {len(s) for i in best for part in self.parts[i] for s in part}
+        met: dict[int, tuple[set, set]] = {i: (set(), set()) for i in best}
+        for ids in self._runs(text):
+            run = ids.tolist()
+            held = {size: set(zip(*(run[i:] for i in range(size)))) for size in sizes}
+            for i, found in met.items():
+                for part, own in zip(self.parts[i], found):
+                    own.update(s for s in part if s in held[len(s)])
+        share = lambda i, k: len(met[i][k]) / len(self.parts[i][k]) if self.parts[i][k] else 1.0
+        out = [(self.items[i], score, share(i, 0), share(i, 1)) for i, score in best.items()]
         return [x for x in out if x[2] >= overlap and x[3] >= overlap]
 
 

@@ -58,6 +58,15 @@ def test_cases(spark):
     assert d.contaminated(df.limit(0), items).count() == 0 and d.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_long_texts_in_runs(monkeypatch):
+    docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    ix = d.BM25Index(duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall())
+    whole = [sorted(x[0] for x in ix.search(t, d.THRESHOLD, d.OVERLAP)) for _, t in docs]
+    monkeypatch.setattr(d, "LONG", 10)
+    monkeypatch.setattr(d, "RUN", 37)
+    assert [sorted(x[0] for x in ix.search(t, d.THRESHOLD, d.OVERLAP)) for _, t in docs] == whole and any(whole)
+
+
 def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
