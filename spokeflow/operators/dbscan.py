@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spokeflow.operators.components import connected_components
@@ -70,21 +72,39 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.count("*").alias("points"), F.count_if("core").alias("cores"))
 
 
-def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", features: str = "features", blocks: int = 16) -> DataFrame:
-    """(query, id, distance, rank): the k nearest points of each of a bounded set of queries.
+def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", features: str = "features", most: int = 10_000) -> DataFrame:
+    """(query, id, distance, rank): the k nearest other points of each of a bounded set of queries.
 
-    Queries are a stated set against all points: they travel in one array of at most 10,000 rows, distances stay in
-    the scan, and each task keeps k per query before the shuffle.
+    Queries are a stated set against all points: `most` of them at most, sent to every worker. A task keeps the k
+    nearest of its own points per query, so k rows a query and task are shuffled. Ties go to the smaller id.
     """
-    held = queries.select(F.col(id_col).alias("q"), F.transform(features, lambda v: v.cast("double")).alias("xq"))
-    few = held.limit(10_001).count()
-    if few > 10_000:
-        raise ValueError("more than 10,000 queries: take them in blocks")
-    pts = points.select(F.col(id_col).alias("id"), F.transform(features, lambda v: v.cast("double")).alias("x"))
-    both = pts.join(F.broadcast(held), F.col("id") != F.col("q"))
-    d = both.select("q", F.struct(squared_distance(F.col("x"), F.col("xq")).alias("d"), F.col("id").alias("id")).alias("s"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    least = lambda c: F.slice(F.array_sort(c), 1, k)
-    part = d.groupBy("q", "b").agg(least(F.collect_list("s")).alias("s"))
-    best = part.groupBy("q").agg(least(F.flatten(F.collect_list("s"))).alias("s"))
-    out = best.select("q", F.posexplode("s").alias("rank", "s"))
-    return out.select(F.col("q").alias("query"), F.col("s.id").alias("id"), F.sqrt("s.d").alias("distance"), (F.col("rank") + 1).alias("rank"))
+    held = queries.select(id_col, features).limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} queries: take them in blocks")
+    spark = points.sparkSession
+    sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        if not len(ids):
+            return
+        best = np.full((len(ids), k), np.inf)
+        who = np.full((len(ids), k), np.iinfo(np.int64).max)
+        for pdf in batches:
+            x, own = np.array(pdf["_x"].tolist(), float), pdf["_id"].to_numpy(np.int64)
+            step = max(1, (1 << 22) // max(1, len(ids) * q.shape[1]))
+            for at in range(0, len(x), step):
+                part, names = x[at : at + step], own[at : at + step]
+                d = ((q[:, None, :] - part[None, :, :]) ** 2).sum(-1)
+                d[ids[:, None] == names[None, :]] = np.inf
+                both = np.concatenate([best, d], axis=1)
+                name = np.concatenate([who, np.broadcast_to(names, d.shape)], axis=1)
+                order = np.lexsort((name, both), axis=1)[:, :k]
+                best, who = np.take_along_axis(both, order, 1), np.take_along_axis(name, order, 1)
+        found = np.isfinite(best)
+        yield pd.DataFrame({"query": np.repeat(ids, found.sum(1)), "id": who[found], "d": best[found]})
+
+    rows = points.select(F.col(id_col).alias("_id"), F.transform(features, lambda v: v.cast("double")).alias("_x"))
+    near = rows.mapInPandas(run, "query bigint, id bigint, d double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", F.sqrt("d").alias("distance"), "rank")

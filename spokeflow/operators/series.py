@@ -69,22 +69,30 @@ def trailing_series(df: DataFrame, x: str, run: Sequence[str], order: str, rows:
     return windows.mapInPandas(run_batch, schema)
 
 
-def image_features(strips: DataFrame, keys: Sequence[str], order: str, row: str = "row", value: str = "p") -> DataFrame:
-    """Geometry of the image that a key's strips make side by side: rows by `row`, columns by `order`."""
-    cell = F.struct(F.col(order).alias("o"), F.col(row).alias("r"), F.col(value).alias("v"))
-    images = strips.groupBy(*keys).agg(F.collect_list(cell).alias("_cells"), F.max(value).alias("_top"))
+def image_features(strips: DataFrame, run: Sequence[str], order: str, lag: str = "lag", row: str = "row", value: str = "p", rows: int = TRAIL) -> DataFrame:
+    """Geometry of the images that trailing strips make side by side: (run.., order, lag, PROPERTIES).
+
+    A strip is one frame's pressure column at a lag; an image is rows + 1 strips at most, as shares of the largest
+    value of all lags in them. So a task holds some images, never a run.
+    """
+    cell = F.struct(F.col(row).alias("r"), F.col(value).cast("double").alias("v"))
+    per = strips.groupBy(*run, order, lag).agg(
+        F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("_strip"), F.max(value).alias("_max")
+    )
+    per = per.withColumn("_max", F.max("_max").over(Window.partitionBy(*run, order)))
+    w = Window.partitionBy(*run, lag).orderBy(order).rowsBetween(-rows, 0)
+    images = per.select(*run, order, lag, F.collect_list("_strip").over(w).alias("_image"), F.max("_max").over(w).alias("_top"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields[:-2]), *(f"{n} double" for n in signal.PROPERTIES)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for cells, top in zip(pdf["_cells"], pdf["_top"]):
-                table = pd.DataFrame([(c["o"], c["r"], c["v"]) for c in cells], columns=["o", "r", "v"])
-                image = table.pivot_table(index="r", columns="o", values="v").to_numpy()
-                out.append(signal.image_geometry(np.nan_to_num(image / top if top else image)))
-            yield pd.concat([pdf.drop(columns=["_cells", "_top"]).reset_index(drop=True), pd.DataFrame(out, columns=signal.PROPERTIES)], axis=1)
+            for image, top in zip(pdf["_image"], pdf["_top"]):
+                pixels = np.array([np.asarray(s, float) for s in image]).T
+                out.append(signal.image_geometry(np.nan_to_num(pixels / top if top else pixels)))
+            yield pd.concat([pdf.drop(columns=["_image", "_top"]).reset_index(drop=True), pd.DataFrame(out, columns=signal.PROPERTIES)], axis=1)
 
-    return images.mapInPandas(run, schema)
+    return images.mapInPandas(compute, schema)
 
 
 def rotations(df: DataFrame, angle: str, run: Sequence[str], order: Sequence[str], distance: float = 200.0, circumference: float = 165.0) -> DataFrame:

@@ -132,4 +132,4 @@ def frame_arrays(spark, sf):
 def image_geometry(spark, sf):
     """Region properties have no SQL form."""
     strips = frames.unwrapped(pixels(spark, sf), ["run", "t", "hub"], "hub", [0, 1], "all", 16)
-    return series.image_features(strips, ["run", "lag"], "t")
+    return series.image_features(strips, ["run"], "t", rows=24)
