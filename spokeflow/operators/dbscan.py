@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -14,7 +15,14 @@ from spokeflow.operators.components import connected_components
 from spokeflow.plans.lineage import written
 
 
-def squared_distance(a: Column, b: Column) -> Column:
+UNROLLED = 128  # dimensions up to which a distance is written out, which compiles; a lambda is interpreted
+
+
+def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
+    """Sum of squared differences, in the order of the dimensions."""
+    if dims and dims <= UNROLLED:
+        d = [F.get(a, F.lit(i)) - F.get(b, F.lit(i)) for i in range(dims)]
+        return reduce(lambda s, v: s + v, [v * v for v in d])
     d = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
 
@@ -28,9 +36,9 @@ def neighbour_pairs(points: DataFrame, eps: float, id_col: str = "id", features:
     """
     x = F.transform(F.col(features), lambda v: v.cast("double"))
     pts = points.select(F.col(id_col).alias("id"), x.alias("x"))
+    shape = pts.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
+    n = shape.low if shape.low == shape.high and shape.low else 0
     if axes is None:  # the widest dimensions separate best
-        dims = pts.select(F.size("x").alias("n")).limit(1).collect()
-        n = dims[0].n if dims else 0
         spread = pts.agg(*[(F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias(f"d{i}") for i in range(n)]).first() if n else ()
         axes = sorted(range(n), key=lambda i: -(spread[i] or 0))[:grid_dims]
     cell = [F.floor(F.col("x")[i] / eps) for i in axes]
@@ -38,7 +46,7 @@ def neighbour_pairs(points: DataFrame, eps: float, id_col: str = "id", features:
     around = F.array(*[F.array(*[c + o for c, o in zip(cell, offset)]) for offset in product((-1, 0, 1), repeat=len(axes))]) if axes else F.array(F.array(F.lit(0).cast("bigint")))
     probe = pts.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.explode(around).alias("cell"))
     both = probe.join(home.select(F.col("id").alias("b"), F.col("x").alias("xb"), "cell"), "cell")
-    return both.where((F.col("a") != F.col("b")) & (squared_distance(F.col("xa"), F.col("xb")) <= eps * eps)).select("a", "b")
+    return both.where((F.col("a") != F.col("b")) & (squared_distance(F.col("xa"), F.col("xb"), n) <= eps * eps)).select("a", "b")
 
 
 def dbscan(
