@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -142,7 +141,3 @@ def feature_name(family: str, subset: str, lag: int | None = None, number: int |
     if number is not None:
         return f"{family}{number}_lag{lag}_mean_{subset}"
     return f"{family}{lag}_{subset}" if lag is not None else f"{family}_{subset}"
-
-
-def pi_over(n: float) -> float:
-    return math.pi / n

@@ -67,9 +67,10 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         lead[max(x, y)] = min(x, y)
-    got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     touched = {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {x: find(x) for x in touched}
+    for hub in (components.HUB, 5):
+        got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "src long, dst long"), hub=hub).collect()}
+        assert got == {x: find(x) for x in touched}
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
