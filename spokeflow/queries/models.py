@@ -144,3 +144,35 @@ def class_probabilities(spark, sf):
     model = ml.forest_classifier(_F, trees=5).fit(df)
     p = vector_to_array("probability")
     return model.transform(df).select("id", r6(F.aggregate(p, F.lit(0.0), lambda a, b: a + b)).alias("total"))
+
+
+def _lifecycle(spark, sf):
+    """Events as the streams of a run, embeddings as its frames, through the whole chain of steps."""
+    from spokeflow.plans import lifecycle
+
+    channel = F.create_map(*[F.lit(x) for x in ("click", "rho", "view", "slip", "purchase", "current", "error", "sink")])
+    e = events(spark, sf)
+    samples = e.select(F.col("user_id").alias("run_id"), channel[F.col("event_type")].alias("channel"), F.col("t").alias("ts"), "value").where("channel is not null")
+    binned = lifecycle.unify(samples, width=6 * 3600.0)
+    frame = table(spark, sf, "embeddings").select((F.col("vec_id") % 150).alias("run_id"), F.expr("vec_id div 150").alias("n"), F.posexplode("embedding").alias("i", "p"))
+    at = binned.select("run_id", "bin", (F.pmod(F.xxhash64("run_id", "bin"), F.lit(3))).alias("n"))
+    pixels = frame.join(at, ["run_id", "n"]).select("run_id", "bin", F.expr("i div 16").cast("int").alias("row"), ((F.col("i") % 16) * 6).alias("col"), (F.col("p").cast("double") * 100).alias("p"))
+    return lifecycle.featurise(binned, pixels, low=0)
+
+
+@query()
+def lifecycle_features(spark, sf):
+    """Streams on one grid, contact, sinkage and trailing features."""
+    out = _lifecycle(spark, sf)
+    return out.select("run_id", "t", "imu_bin", "npix_all", r6("area_ratio").alias("area_ratio"), r6("wheel_sink").alias("wheel_sink"), r6("sink_mean").alias("sink_mean"), r6("sink_std").alias("sink_std"))
+
+
+@query()
+def lifecycle_predictions(spark, sf):
+    """A slip model fitted on the features and applied with its features picked by name."""
+    from spokeflow.plans import lifecycle
+
+    names = ["npix_all", "area_ratio", "sink_mean", "sink_std", "diff_angle_mean"]
+    rows = lifecycle.training_table([_lifecycle(spark, sf).select("run_id", "t", "slip", *[F.col(n).cast("double").alias(n) for n in names])], names, "slip").cache()
+    model = ml.regressor(names, "slip", trees=3, leaf=5).fit(rows)
+    return ml.predicted(model, rows, names, ["run_id", "t"]).select("run_id", "t", r6("prediction").alias("prediction"))
