@@ -24,9 +24,12 @@ def with_bins(df: DataFrame, ts: str, run: Sequence[str], width: float = BIN_S,
 
 
 def grid(df: DataFrame, ts: str, run: Sequence[str], width: float = BIN_S) -> DataFrame:
-    """Per run its `start` and `bins`, the whole bins between its first and last time; a rest is no bin."""
+    """Per run its `start` and `bins`: edges lie a width apart from the first time on and before the last one.
+
+    Bins are what lies between edges, so the rest after the last edge is no bin.
+    """
     span = df.groupBy(*run).agg(F.min(ts).alias("start"), F.max(ts).alias("stop"))
-    return span.select(*run, "start", F.floor((F.col("stop") - F.col("start")) / width).cast("bigint").alias("bins"))
+    return span.select(*run, "start", F.greatest(F.ceil((F.col("stop") - F.col("start")) / width) - 1, F.lit(0)).cast("bigint").alias("bins"))
 
 
 def on_grid(df: DataFrame, edges: DataFrame, ts: str, run: Sequence[str], width: float = BIN_S) -> DataFrame:
@@ -53,15 +56,21 @@ def bin_frames(df: DataFrame, run: Sequence[str], frame: str) -> DataFrame:
     return means.groupBy(*run, "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(frame))
 
 
-def bin_rocks(df: DataFrame, run: Sequence[str], rock: str = "rock", depth: str = "rock_depth") -> DataFrame:
-    """A bin is over a rock if any of its rows is, or if exactly one of its neighbours is; depth is the first found."""
+def bin_rocks(df: DataFrame, run: Sequence[str], rock: str = "rock", depth: str = "rock_depth", onto: DataFrame | None = None) -> DataFrame:
+    """A bin is over a rock if any of its rows is, or if one of it and the bin before is; depth is the mean.
+
+    Bins taken in by their neighbour have the smallest depth of the run's rocks. `onto` gives the bins that
+    count (run.., bin); those without rows are over no rock.
+    """
     bins = df.groupBy(*run, "bin").agg(
-        F.max(F.when(F.col(rock) > 0, 1).otherwise(0)).alias(rock), F.coalesce(F.min(F.when(F.col(rock) > 0, F.col(depth))), F.lit(0.0)).alias(depth)
+        F.max(F.when(F.col(rock) > 0, 1).otherwise(0)).alias(rock), F.avg(depth).alias(depth), F.min(F.when(F.col(rock) > 0, F.col(depth))).alias("_first")
     )
+    if onto is not None:
+        bins = onto.select(*run, "bin").join(bins, [*run, "bin"], "left")
+        bins = bins.withColumns({rock: F.coalesce(rock, F.lit(0)), depth: F.coalesce(depth, F.lit(0.0))})
     w = Window.partitionBy(*run).orderBy("bin")
-    ahead = F.coalesce(F.lag(rock).over(w), F.col(rock))
-    half = (ahead + F.col(rock)) == 1
-    first = F.coalesce(F.min(F.when(F.col(rock) > 0, F.col(depth))).over(Window.partitionBy(*run)), F.lit(0.0))
+    half = F.coalesce(F.lag(rock).over(w), F.col(rock)) + F.col(rock) == 1
+    first = F.coalesce(F.min("_first").over(Window.partitionBy(*run)), F.lit(0.0))
     return bins.select(
         *run, "bin", F.when(half, 1).otherwise(F.col(rock)).alias(rock), F.when(half, first).otherwise(F.col(depth)).alias(depth)
     )

@@ -11,7 +11,7 @@ from spokeflow.functions.windows import circular_running, gaussian, running, tra
 from spokeflow.operators import asof, binning, masks, series
 from spokeflow.queries import EV, events, query, r6, rounded, table
 
-_GRID = f"""g AS (SELECT user_id, min(t) AS start, floor((max(t) - min(t)) / 3600)::BIGINT AS bins FROM {EV} GROUP BY 1),
+_GRID = f"""g AS (SELECT user_id, min(t) AS start, greatest(ceil((max(t) - min(t)) / 3600) - 1, 0)::BIGINT AS bins FROM {EV} GROUP BY 1),
 b0 AS (SELECT e.*, g.start, g.bins, floor((t - start) / 3600)::BIGINT AS i FROM {EV} e JOIN g USING (user_id)),
 b1 AS (SELECT *, CASE WHEN t < start + i * 3600.0::DOUBLE THEN i - 1 WHEN t >= start + (i + 1) * 3600.0::DOUBLE THEN i + 1 ELSE i END AS j FROM b0),
 b AS (SELECT *, CASE WHEN j = bins AND t <= start + bins * 3600.0::DOUBLE THEN bins - 1 ELSE j END AS bin FROM b1),
@@ -58,13 +58,13 @@ def smoothed_angle(spark, sf):
     return e.select("user_id", "event_id", r6(circular_running(F.col("a"), ["user_id"], ["t", "event_id"], 5, 5)).alias("angle"))
 
 
-@query(f"""WITH x AS (SELECT user_id, bin, max(CASE WHEN value > 60 THEN 1 ELSE 0 END) AS rock, coalesce(min(CASE WHEN value > 60 THEN value END), 0) AS depth
+@query(f"""WITH x AS (SELECT user_id, bin, max(CASE WHEN value > 60 THEN 1 ELSE 0 END) AS rock, avg(value) AS depth, min(CASE WHEN value > 60 THEN value END) AS f
   FROM (WITH {_GRID} SELECT * FROM k) GROUP BY 1, 2),
-y AS (SELECT *, coalesce(lag(rock) OVER (PARTITION BY user_id ORDER BY bin), rock) + rock = 1 AS half, coalesce(min(CASE WHEN rock > 0 THEN depth END) OVER (PARTITION BY user_id), 0) AS first FROM x)
-SELECT user_id, bin, CASE WHEN half THEN 1 ELSE rock END AS rock, CASE WHEN half THEN first ELSE depth END AS rock_depth FROM y""")
+y AS (SELECT *, coalesce(lag(rock) OVER (PARTITION BY user_id ORDER BY bin), rock) + rock = 1 AS half, coalesce(min(f) OVER (PARTITION BY user_id), 0) AS first FROM x)
+SELECT user_id, bin, CASE WHEN half THEN 1 ELSE rock END AS rock, round(CASE WHEN half THEN first ELSE depth END, 6) AS rock_depth FROM y""")
 def rock_bins(spark, sf):
     k = _binned(spark, sf).withColumns({"rock": (F.col("value") > 60).cast("int"), "rock_depth": F.col("value")})
-    return binning.bin_rocks(k, ["user_id"])
+    return binning.bin_rocks(k, ["user_id"]).withColumn("rock_depth", F.round("rock_depth", 6))
 
 
 @query(f"""SELECT label, i AS at, round(avg(v), 6) + 0.0 AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL""")
@@ -267,3 +267,20 @@ def sensor_geometry(spark, sf):
         "event_id", F.round(g["r"], 6).alias("r"), F.round(g["theta"], 6).alias("theta"), r6(g["phi"]).alias("phi"),
         F.round(s.scaled(v, 641.42), 6).alias("mm"), s.scaled(v, 1 / 256).alias("pressure"),
     )
+
+
+@query(f"""WITH s AS (SELECT user_id, floor(t / 86400)::BIGINT AS day, list(value ORDER BY t, event_id) AS re, list(event_id::DOUBLE ORDER BY t, event_id) AS im, list(value * 10 ORDER BY t, event_id) AS freq FROM {EV} GROUP BY 1, 2),
+p AS (SELECT *, list_position(list_transform(freq, lambda f: abs(f - 554.863)), list_min(list_transform(freq, lambda f: abs(f - 554.863)))) AS i FROM s),
+a AS (SELECT user_id, day, sqrt(re[i] * re[i] + im[i] * im[i]) AS a, atan2(im[i], re[i]) AS f FROM p)
+SELECT user_id, day, round(a, 6) AS amplitude, round(avg(a) OVER w, 6) AS amplitude_mean, round(avg(f) OVER w, 6) + 0.0 AS phase_mean FROM a WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
+def impedance_features(spark, sf):
+    from spokeflow.operators import impedance
+
+    e = events(spark, sf)
+    rows = F.array_sort(F.collect_list(F.struct("t", "event_id", "value")))
+    sweeps = e.groupBy("user_id", F.floor(F.col("t") / 86400).alias("day")).agg(rows.alias("r")).select(
+        "user_id", "day", F.transform("r", lambda x: x["value"]).alias("re"), F.transform("r", lambda x: x["event_id"].cast("double")).alias("im"),
+        F.transform("r", lambda x: x["value"] * 10).alias("freq"),
+    )
+    out = impedance.sweep_features(sweeps, [554.863], ["user_id"], ["day"], 5)
+    return out.select("user_id", "day", F.round("amplitude_0", 6).alias("amplitude"), F.round("amplitude_0_mean", 6).alias("amplitude_mean"), r6("phase_0_mean").alias("phase_mean"))

@@ -10,7 +10,19 @@ def test_bin_edges_and_tail(spark):
     df = spark.createDataFrame(rows, "run int, t double, v double")
     edges = binning.grid(df, "t", ["run"], 0.1)
     got = [(r.t, r.bin) for r in binning.on_grid(df, edges, "t", ["run"], 0.1).orderBy("t").collect()]
-    assert got[0] == (0.0, 0) and got[1] == (0.1, 1) and all(b < 9 for _, b in got)
+    edges_by_hand = np.arange(0.0, 0.95, 0.1)
+    want = np.histogram([t for _, t, _ in rows], edges_by_hand)[0]
+    assert [sum(b == i for _, b in got) for i in range(len(want))] == want.tolist() and len(got) == want.sum()
+    whole = spark.createDataFrame([(0, 0.0, 1.0), (0, 1.0, 1.0)], "run int, t double, v double")
+    assert binning.grid(whole, "t", ["run"], 0.25).first().bins == len(np.arange(0.0, 1.0, 0.25)) - 1
+
+
+def test_rocks_reach_their_neighbours(spark):
+    rows = [(0, b, r, d) for b, r, d in [(0, 0, 0.0), (1, 1, 4.0), (1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0), (5, 1, 3.0)]]
+    df = spark.createDataFrame(rows, "run int, bin long, rock int, rock_depth double")
+    onto = spark.range(6).select(F.lit(0).alias("run"), F.col("id").alias("bin"))
+    got = [(r.bin, r.rock, r.rock_depth) for r in binning.bin_rocks(df, ["run"], onto=onto).orderBy("bin").collect()]
+    assert got == [(0, 0, 0.0), (1, 1, 3.0), (2, 1, 3.0), (3, 0, 0.0), (4, 0, 0.0), (5, 1, 3.0)]
 
 
 def test_asof_ties_and_wrap(spark):
