@@ -67,16 +67,15 @@ def in_range(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) ->
     return df.where(F.col(column).between(low, high))
 
 
-PRESETS = {  # fixed values: name parts of feature families
-    "noEIS": ["amplitude", "phase"], "noIMU": ["rot_angle", "diff_angle"], "noSink": ["sink"], "noUnwrap": ["unwrap"],
-    "noGeometry": ["_lag"], "noAmbiguous": ["_noamb"],
-}
+#: Name parts that the preset leaves out.
+PRESET = ["bbox_area", "moments_hu", "moments_normalized", "weighted_centroid", "weighted_moments_hu", "weighted_moments_normalized"]
 
 
-def select_features(names: Sequence[str], wanted: Sequence[str] | None = None, exclude: Sequence[str] = (), preset: str | None = None) -> list[str]:
-    """Feature names by list, or without those that hold an excluded part."""
-    parts = [*exclude, *(PRESETS[preset] if preset else [])]
-    return [n for n in names if (wanted is None or n in set(wanted)) and not any(p in n for p in parts)]
+def select_features(names: Sequence[str], wanted: Sequence[str] | None = None, exclude: Sequence[str] = (), preset: bool = False) -> list[str]:
+    """Feature names by list, or without those that hold an excluded part; the preset takes the place of `exclude`."""
+    if wanted is not None:
+        return [n for n in names if n in set(wanted)]
+    return [n for n in names if not any(p in n for p in (PRESET if preset else exclude))]
 
 
 def complete_fields(line: Column, count: int, sep: str = "\t") -> Column:

@@ -176,3 +176,10 @@ def test_folds_and_stack(spark):
 def test_finite_rows(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,)], "x double")
     assert masks.finite_rows(df, ["x"]).count() == 1
+
+
+def test_feature_selection():
+    names = ["npix_all", "bbox_area1_lag0_mean_grouser", "sink_mean"]
+    assert masks.select_features(names, wanted=["sink_mean", "x"]) == ["sink_mean"]
+    assert masks.select_features(names, preset=True) == ["npix_all", "sink_mean"]
+    assert masks.select_features(names, exclude=["npix"]) == names[1:]
