@@ -125,12 +125,12 @@ def image_files(spark, sf):
     return readers.idx_of(files).select(F.col("path").cast("bigint").alias("i"), F.col("values")[0].alias("value"))
 
 
-@query(f"""SELECT t AS frame, 'xts' AS topic, 16 AS x_coils, 4 AS y_coils, round(sum(p) / 256, 6) + 0.0 AS total FROM {PX} GROUP BY 1""")
+@query(f"""SELECT t AS frame, 'scan' AS topic, 16 AS x_coils, 4 AS y_coils, round(sum(p) / 256, 6) + 0.0 AS total FROM {PX} GROUP BY 1""")
 def frame_json_messages(spark, sf):
     px = pixels(spark, sf)
     rows = px.groupBy("t", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "p"))), lambda c: c["p"]).alias("r"))
     words = rows.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "r"))), lambda c: c["r"]).alias("words"))
-    back = readers.frame_messages(writers.frame_json(words, "xts", frame="t"))
+    back = readers.frame_messages(writers.frame_json(words, "scan", frame="t"))
     total = F.aggregate(F.flatten("frame_data"), F.lit(0.0), lambda a, b: a + b)
     return back.select("frame", "topic", "x_coils", "y_coils", r6(total).alias("total"))
 
