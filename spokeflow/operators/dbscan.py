@@ -36,11 +36,11 @@ def neighbour_pairs(points: DataFrame, eps: float, id_col: str = "id", features:
     """
     x = F.transform(F.col(features), lambda v: v.cast("double"))
     pts = points.select(F.col(id_col).alias("id"), x.alias("x"))
-    shape = pts.agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
-    n = shape.low if shape.low == shape.high and shape.low else 0
+    # one row a dimension: how far its values spread and in how many points it occurs
+    dims = pts.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("spread"), F.count("*").alias("n")).collect()
+    n = len(dims) if len({d.n for d in dims}) == 1 else 0
     if axes is None:  # the widest dimensions separate best
-        spread = pts.agg(*[(F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias(f"d{i}") for i in range(n)]).first() if n else ()
-        axes = sorted(range(n), key=lambda i: -(spread[i] or 0))[:grid_dims]
+        axes = [d.i for d in sorted(dims, key=lambda d: (-(d.spread or 0), d.i)) if d.n == max(x.n for x in dims)][:grid_dims]
     cell = [F.floor(F.col("x")[i] / eps) for i in axes]
     home = pts.withColumn("cell", F.array(*cell) if axes else F.array(F.lit(0).cast("bigint")))
     around = F.array(*[F.array(*[c + o for c, o in zip(cell, offset)]) for offset in product((-1, 0, 1), repeat=len(axes))]) if axes else F.array(F.array(F.lit(0).cast("bigint")))
