@@ -248,12 +248,24 @@ def priors(scored: DataFrame) -> DataFrame:
     return shares
 
 
-def judged(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", prefix: str = "__") -> DataFrame:
-    """`docs` with evidence, host_share, path_share, posterior and kept, all under `prefix`."""
+def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", output: str = "evidence") -> DataFrame:
+    """`keep` columns and the evidence, written once: the texts are read a single time for priors and posteriors."""
+    bounded_batches(docs.sparkSession)
+    return written(docs.select(*keep, evidence(model, F.col(text_col)).alias(output)))
+
+
+def judged(
+    docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", prefix: str = "__", score: Column | None = None,
+) -> DataFrame:
+    """`docs` with evidence, host_share, path_share, posterior and kept, all under `prefix`.
+
+    `score` is evidence that `docs` has already; without it texts are scored once for the priors and once for
+    the posteriors, which spares writing the texts.
+    """
     bounded_batches(docs.sparkSession)
     name = lambda c: f"{prefix}{c}"
     col = lambda c: F.col(f"`{prefix}{c}`")
-    rows = docs.withColumns({name("host"): host, name("path"): path, name("evidence"): evidence(model, F.col(text_col))})
+    rows = docs.withColumns({name("host"): host, name("path"): path, name("evidence"): evidence(model, F.col(text_col)) if score is None else score})
     p = 1 / (1 + F.exp(-col("evidence") - math.log(model.prior / (1 - model.prior))))
     shares = priors(rows.select(col("host").alias("_host"), col("path").alias("_path"), p.alias("_p")))
     shares = shares.select(*[F.col(c).alias(name(n)) for c, n in (("_host", "h"), ("_path", "p"), ("host_share", "host_share"), ("path_share", "path_share"))])

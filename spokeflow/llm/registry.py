@@ -74,7 +74,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    out = quality.judged(docs, model, F.col("source"), F.col("lang"))
+    scored = quality.scored(docs, model, ["doc_id", "source", "lang"], output="score")
+    out = quality.judged(scored, model, F.col("source"), F.col("lang"), score=F.col("score"))
     return out.select(
         "doc_id", "source", "lang", F.col("__evidence").alias("evidence"), F.col("__host_share").alias("host_share"),
         F.col("__path_share").alias("path_share"), F.col("__posterior").alias("posterior"), F.col("__kept").alias("kept"),
