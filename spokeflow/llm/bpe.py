@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from spokeflow.plans.lineage import bounded_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 180_000  # pieces in a generation of a worker's memory
+REMEMBERED = 250_000  # pieces in a generation of a worker's memory
+SHORT = 32  # bytes up to which a fragment is merged by scanning
 LONG = 1 << 20  # characters from which a text is taken a run of pieces at a time
 BATCH = 4 << 20  # characters of text in an output batch
 
@@ -78,9 +79,13 @@ class ForcedBoundaryBPE:
             self.token[i] = text.encode()
         self.byte_id = [vocab.get(c, -1) for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self._rank: dict[tuple[int, int], int] = {}
+        self._made: list[int] = []  # the token that the merge of each rank makes
         for rank, m in enumerate(j["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self._rank[vocab[a], vocab[b]] = rank
+            self._made.append(vocab[a + b])
         self._split = regex.compile(PATTERN)
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self._inside = self.inside.tobytes()
@@ -108,6 +113,8 @@ class ForcedBoundaryBPE:
         n = len(ids)
         if n < 2:
             return tuple(ids)
+        if n <= SHORT:
+            return self._merged_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merge = self.merge
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
@@ -128,6 +135,24 @@ class ForcedBoundaryBPE:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return tuple(x for x in ids if x >= 0)
 
+    def _merged_short(self, ids: list[int]) -> tuple[int, ...]:
+        """The same merges for a few bytes, where scanning a list beats a heap."""
+        rank, made = self._rank.get, self._made
+        none = len(made)
+        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            i = ranks.index(least)
+            ids[i : i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
+        return tuple(ids)
+
     def _runs(self, text: str) -> Iterator[list[str]]:
         if len(text) < LONG:
             yield self._split.findall(text)
