@@ -1,17 +1,16 @@
 """Benchmark decontamination: BM25 over test items, answered with block-max WAND.
 
-Test items are cut into entries of at most ENTRY words and indexed by word pairs (an item of one word: by
-that word). Impacts are BM25 weights divided by the entry's score against itself, so a passage that holds
-the whole entry scores 1 whatever the entry's length. Postings of a term are sorted by entry and kept
+The question and the answer of a test item are one entry each, indexed by word pairs (one of a single word: by
+that word). The question is an item's text up to its last sentence, the answer the rest; a single sentence is halved.
+Impacts are BM25 weights divided by the entry's score against itself. Postings of a term are sorted by entry and kept
 in blocks with the block's largest impact.
 
-Every document is a row of overlapping passages, each twice as long as the longest entry and starting one
-such length after the last, so any occurrence of an entry lies whole in a passage. A passage whose
-terms' largest impacts don't add up to the threshold can't reach it and is passed over by one array
-operation for all passages of a document; the others go through block-max WAND, which returns all
-entries at or above the threshold. For each retrieved item, the share of its question's and its answer's
-five-word shingles that the document holds is then taken; both must reach `overlap`. The question is an
-item's text up to its last sentence, the answer the rest; a single sentence is halved.
+An item is held if the whole document has `overlap` of the five-word shingles of its question, and of its answer,
+wherever they stand. So the query is the document's terms, and an entry must reach `threshold` or, if that is less, the
+score that `overlap` of its shingles assures: impacts of such entries are raised in that proportion. Pairs that are in
+no run of pairs as long as a shingle can't be part of one and are left out, but for those of shorter entries. A
+document whose terms' largest impacts don't add up to the threshold is passed over; the others go through block-max
+WAND, which returns all entries at or above the threshold. Items with all their entries retrieved are verified.
 
 The index goes to every worker, so the benchmark is taken in blocks of at most BLOCK_BYTES of text; a larger
 benchmark makes more passes over the documents, each with an index of its own and its own term statistics.
@@ -27,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nlargest
 from itertools import islice
 
 import numpy as np
@@ -40,7 +40,6 @@ from spokeflow.plans.lineage import bounded_batches
 THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
-ENTRY = 64
 POSTINGS = 32  # in a block
 BLOCK_BYTES = 8 << 20
 LONG = 4 << 20  # characters from which a text is taken in runs of words
@@ -72,7 +71,7 @@ def shingles(w: list, size: int = SHINGLE) -> set[tuple]:
 
 
 class BM25Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
         self.vocabulary: dict[str, int] = {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
         self.items, self.parts, entries = [], [], []
@@ -83,10 +82,7 @@ class BM25Index:
             q, a = ([number(x) for x in part] for part in question_and_answer(text))
             self.items.append(item)
             self.parts.append((shingles(q), shingles(a)))
-            pieces = max(1, math.ceil(len(w) / ENTRY))
-            size = math.ceil(len(w) / pieces)
-            entries += [(len(self.items) - 1, w[i : i + size]) for i in range(0, len(w), size)]
-        self.width = max((len(w) for _, w in entries), default=1)
+            entries += [(len(self.items) - 1, part) for part in (q, a) if part]
         self.of = [i for i, _ in entries]
         n = max(1, len(self.vocabulary))
         counts = [Counter(self._codes(w, n)) for _, w in entries]
@@ -96,14 +92,19 @@ class BM25Index:
         self.codes = np.array(sorted(df), np.int64)
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in df]
         place = {t: i for i, t in enumerate(self.codes.tolist())}
+        self.short = np.zeros(len(df), bool)  # terms of entries of less than a shingle
+        self.raised: list[float] = []
         for e, c in enumerate(counts):
             norm = K1 * (1 - B + B * c.total() / mean)
             weight = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in c.items()}
             whole = sum(weight.values())
+            sure = self._assured(entries[e][1], weight, n, overlap) / whole
+            self.raised.append(max(1.0, threshold / sure))
             for t, x in weight.items():
                 ids, impacts = self.postings[place[t]]
                 ids.append(e)
-                impacts.append(x / whole)
+                impacts.append(x / whole * self.raised[e])
+                self.short[place[t]] |= len(entries[e][1]) < SHINGLE
         self.most = np.array([max(x) for _, x in self.postings], float)
         self.blocks = [[max(x[i : i + POSTINGS]) for i in range(0, len(x), POSTINGS)] for _, x in self.postings]
 
@@ -111,19 +112,36 @@ class BM25Index:
     def _codes(w: list[int], n: int) -> list[int]:
         return [a * n + b for a, b in zip(w, w[1:])] if len(w) > 1 else [-1 - x for x in w]
 
+    @classmethod
+    def _assured(cls, w: list[int], weight: dict[int, float], n: int, overlap: float) -> float:
+        """The least weight of the terms in any `overlap` of the entry's shingles.
+
+        A term is missed only with all its shingles, so each of these carries its part of the weight, and no choice
+        of missing shingles misses more than the heaviest of them carry."""
+        runs = [set(cls._codes(list(x), n)) for x in shingles(w)]
+        shared = Counter(t for x in runs for t in x)
+        loads = [sum(weight[t] / shared[t] for t in x) for x in runs]
+        missing = len(loads) - max(1, math.ceil(overlap * len(loads) - 1e-9))
+        return sum(loads) - sum(nlargest(missing, loads))
+
     def terms(self, w: np.ndarray) -> np.ndarray:
-        """The term that starts at each word of a document, -1 for none."""
-        n = len(self.vocabulary)
-        found = np.full(len(w), -1, np.int64)
+        """The terms of a run of words that can be part of a held shingle."""
         if not len(self.codes):
-            return found
+            return np.zeros(0, np.int64)
+        n = len(self.vocabulary)
+        pairs = np.full(len(w), -1, np.int64)
         both = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0))
-        for at, code in ((both, w[both] * n + w[both + 1]), (np.flatnonzero(w >= 0), -1 - w[w >= 0])):
-            if code.size and (code[0] >= 0 or self.codes[0] < 0):
-                i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-                hit = self.codes[i] == code
-                found[at[hit]] = i[hit]
-        return found
+        pairs[both] = self._places(w[both] * n + w[both + 1])
+        found, reach = pairs >= 0, SHINGLE - 1
+        whole = np.convolve(found, np.ones(reach, np.int64))[reach - 1 : len(found)] == reach  # starts of runs of pairs
+        near = np.convolve(whole, np.ones(reach, np.int64))[: len(found)] > 0 if whole.size else np.zeros(len(found), bool)
+        pairs = pairs[found & (near | self.short[pairs])]
+        single = self._places(-1 - np.unique(w[w >= 0])) if self.codes[0] < 0 else pairs[:0]
+        return np.unique(np.concatenate([pairs, single[single >= 0]]))
+
+    def _places(self, code: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[i] == code, i, -1)
 
     def retrieve(self, terms: list[int], threshold: float) -> dict[int, float]:
         """All entries whose score for a passage reaches the threshold, by block-max WAND."""
@@ -186,33 +204,27 @@ class BM25Index:
         tail: list[int] = []
         while run := list(islice(found, RUN)):
             yield np.array(tail + run, np.int64)
-            tail = (tail + run)[-2 * self.width - SHINGLE :]
-
-    def _retrieved(self, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
-        """Entries that passages of a run of words reach, with their scores."""
-        terms = self.terms(ids)
-        at = np.flatnonzero(terms >= 0)
-        if not at.size:
-            return
-        impact = np.zeros(len(ids) + 1)
-        impact[at + 1] = self.most[terms[at]]
-        total = np.cumsum(impact)
-        starts = np.arange(0, max(1, len(ids) - self.width), self.width)
-        ends = np.minimum(starts + 2 * self.width, len(ids))
-        for p in np.flatnonzero(total[ends] - total[starts] >= threshold - 1e-9):
-            own = np.unique(terms[starts[p] : ends[p]])
-            yield from self.retrieve(own[own >= 0].tolist(), threshold).items()
+            tail = (tail + run)[-SHINGLE:]
+
+    def _retrieved(self, text: str, threshold: float) -> dict[int, float]:
+        """Items with all their entries retrieved for the whole document, with the best entry's score."""
+        own = [self.terms(ids) for ids in self._runs(text) if len(ids)]
+        terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+        if not terms.size or self.most[terms].sum() < threshold - 1e-9:
+            return {}
+        best: dict[int, float] = {}
+        met: Counter[int] = Counter()
+        for entry, score in self.retrieve(terms.tolist(), threshold).items():
+            item = self.of[entry]
+            met[item] += 1
+            best[item] = max(best.get(item, 0.0), score / self.raised[entry])
+        return {i: score for i, score in best.items() if met[i] == sum(map(bool, self.parts[i]))}
 
     def search(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of every item that a document holds."""
         if not text or not self.of:
             return []
-        best: dict[int, float] = {}
-        for ids in self._runs(text):
-            if len(ids):
-                for entry, score in self._retrieved(ids, threshold):
-                    item = self.of[entry]
-                    best[item] = max(best.get(item, 0.0), score)
+        best = self._retrieved(text, threshold)
         if not best:
             return []
         sizes = {len(s) for i in best for part in self.parts[i] for s in part}
@@ -254,7 +266,7 @@ def contaminated(
     id_type, item_type = pa_type(docs, id_col), pa_type(benchmark, item_col)
     found = None
     for items in _blocks(benchmark, item_col, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(BM25Index(items))
+        index = docs.sparkSession.sparkContext.broadcast(BM25Index(items, threshold, overlap))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:

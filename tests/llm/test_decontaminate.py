@@ -73,3 +73,31 @@ def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()}
     monkeypatch.setattr(d, "BLOCK_BYTES", 1500)
     assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()} == whole
+
+
+def test_parts_far_apart():
+    r = random.Random(9)
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    noise = lambda n: [f"noise{r.randint(0, 999)}" for _ in range(n)]
+    docs = []
+    for i, text in items:
+        q, a = d.question_and_answer(text)
+        docs.append((i, " ".join(q + noise(400) + a)))
+        docs.append((-i, " ".join(a[: len(a) // 2 + 4] + noise(300) + q[len(q) // 2 :] + noise(300) + q[: len(q) // 2 + 4] + noise(300) + a[len(a) // 2 :])))
+        edited = [x if r.random() > 0.03 else "edited" for x in q + noise(200) + a]
+        docs.append((1_000_000 + i, " ".join(edited)))
+    ix = d.BM25Index(items)
+    got = {(doc, x[0]) for doc, t in docs for x in ix.search(t, d.THRESHOLD, d.OVERLAP)}
+    assert got == plain(docs, items) and {(i, i) for i, t in items if d.words(t)} <= got
+
+
+def test_weight_in_few_shingles():
+    """0.8 of the shingles may carry little of the weight; one-word parts share first words with pairs."""
+    common = [f"c{i}" for i in range(40)]
+    items = [(i, " ".join(common) + " " + " ".join(f"rare{i}x{k}" for k in range(9)) + f". answer{i} is c{i % 3}") for i in range(30)]
+    items += [(100, "c1"), (101, "c1 c2"), (102, "Say it: c3")]
+    r = random.Random(2)
+    docs = [(i, " ".join(common) + f" {r.randint(0, 9)} answer{i} is c{i % 3}") for i in range(30)] + [(50, "say it c3 c1 c2"), (51, "c1"), (52, "")]
+    ix = d.BM25Index(items)
+    got = {(doc, x[0]) for doc, t in docs for x in ix.search(t, d.THRESHOLD, d.OVERLAP)}
+    assert got == plain(docs, items) and {(i, i) for i in range(30)} <= got
