@@ -2,7 +2,9 @@
 
 A page is parsed into a tree of elements (implied end tags, void elements and raw text as HTML has them). What
 is never article text is pruned: scripts, styles, menus, forms, asides, footers, page headers, hidden elements
-and those whose role, class or id says advert, notice, comments, share bar and the like. Each paragraph then
+and those whose role says so, or one of whose classes, or whose id, says nothing but advert, notice, comments,
+share bar and the like. A name with other words in it (`related-work`), or one that may as well be a heading (the id
+`discussion`, the class `header`), prunes only what is made of links; else it lowers the score. Each paragraph then
 passes points, one plus its commas plus one for each hundred characters up to three, to its parent in full,
 to its grandparent by half and to further ancestors by less. An ancestor's points are discounted by its
 link density; names and tags that suggest an article weigh in. The best container is kept, with siblings
@@ -46,6 +48,15 @@ UNLIKELY = frozenset(
     " recommendations trending popular share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation"
     " footer masthead header topbar toolbar skip outbrain taboola tags taglist hidden alert disclaimer".split()
 )
+#: Words that go with those in names of parts.
+PARTS = frozenset(
+    "area areas bar bars block blocks box boxes btn btns button buttons container count counter feed form frame group icon icons inner item items"
+    " link links list lists module outer panel post posts row section slot slots stories story text toggle top bottom left right unit units wrap wrapper"
+    " site page main global article articles content".split()
+)
+#: As a class, such a word alone doesn't tell a part from the article's own; as an id, only PLAIN ones do.
+AMBIGUOUS = frozenset("header discussion notice notices alert disclaimer popular overlay aside rail skip response reply respond".split())
+PLAIN = frozenset("comments commentlist disqus sidebar widgets navbar nav breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer taglist adsense adslot outbrain taboola ads gdpr paywall popup".split())
 LIKELY = frozenset("article body content entry main post story text page blog".split())
 KEEP_NAMED = frozenset("article main body html h1 h2 h3 h4 h5 h6".split())
 SCOPES = {"li": ("li", {"ul", "ol", "menu"}), "dd": ("dd dt", {"dl"}), "dt": ("dd dt", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -145,8 +156,25 @@ def _unwanted(n: Node) -> bool:
         return True
     if n.tag in KEEP_NAMED:
         return False
-    names = set(_NAME.findall(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return bool(names & UNLIKELY) and not (names & {"article", "content"} and not names & {"ad", "ads", "comment", "comments", "sidebar", "related"})
+    return any(_says_part(set(_NAME.findall(x)), False) for x in a.get("class", "").lower().split()) or _says_part(set(_NAME.findall(a.get("id", "").lower())), True)
+
+
+def _says_part(words: set[str], is_id: bool) -> bool:
+    """Whether a whole name says that the element is no article text."""
+    told = words & UNLIKELY
+    if not told or words - UNLIKELY - PARTS:
+        return False
+    if len(words) > 1:
+        return not told <= AMBIGUOUS and not words & {"article", "content", "main", "text"} or bool(told & {"ad", "ads", "comment", "comments", "sidebar", "related"})
+    return told <= PLAIN if is_id else not told <= AMBIGUOUS
+
+
+def _names(n: Node) -> set[str]:
+    return set(_NAME.findall(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower())) if n.attrs else set()
+
+
+def _doubtful(n: Node) -> bool:
+    return n.tag not in KEEP_NAMED and bool(_names(n) & UNLIKELY)
 
 
 def _within(n: Node, tag: str) -> bool:
@@ -157,11 +185,24 @@ def _within(n: Node, tag: str) -> bool:
 
 
 def prune(root: Node) -> None:
-    stack = [root]
+    stack, doubtful = [root], []
     while stack:
         n = stack.pop()
         n.kids = [k for k in n.kids if isinstance(k, str) or not _unwanted(k)]
-        stack += [k for k in n.kids if not isinstance(k, str)]
+        more = [k for k in n.kids if not isinstance(k, str)]
+        doubtful += [k for k in more if _doubtful(k)]
+        stack += more
+    if not doubtful:
+        return
+    size = _measures(root)
+    gone, parents = set(), {}
+    for n in doubtful:
+        chars, links, count = size[id(n)]
+        if count >= 2 and links > 0.5 * chars:
+            gone.add(id(n))
+            parents[id(n.up)] = n.up
+    for n in parents.values():
+        n.kids = [k for k in n.kids if id(k) not in gone]
 
 
 def _measures(root: Node) -> dict[int, tuple[int, int, int]]:
@@ -214,9 +255,9 @@ def _inline(n: Node) -> str:
 
 
 def _bonus(n: Node) -> float:
-    names = set(_NAME.findall(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower())) if n.attrs else set()
+    names = _names(n)
     tags = {"article": 30.0, "main": 20.0, "section": 3.0, "div": 3.0, "td": 1.0, "li": -3.0, "ul": -3.0, "ol": -3.0, "blockquote": 1.0, "h1": -5.0}
-    return tags.get(n.tag, 0.0) + (10.0 if names & LIKELY else 0.0) + (10.0 if n.attrs.get("role") == "main" or n.attrs.get("itemprop") == "articleBody" else 0.0)
+    return tags.get(n.tag, 0.0) + (10.0 if names & LIKELY else 0.0) - (15.0 if _doubtful(n) else 0.0) + (10.0 if n.attrs.get("role") == "main" or n.attrs.get("itemprop") == "articleBody" else 0.0)
 
 
 def main_nodes(root: Node) -> list[Node]:

@@ -84,3 +84,30 @@ def test_query_runs(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
     hits = out.where("is_secret").collect()
     assert hits and all(re.search(r"token|key|AKIA|secret|[0-9a-f]{40}", text[r.doc_id][max(0, r.start - 40) : r.start + r.length]) for r in hits)
+
+
+PROSE = "A sentence of the article, with a comma, that goes on for long enough to count as a paragraph of prose. "
+
+
+@pytest.mark.parametrize("inside", [
+    '<section id="related-work">{}</section>', '<section id="discussion">{}</section>', '<div id="share-of-income">{}</div>', '<div id="popular-culture">{}</div>',
+    '<p id="social-impact">{}</p>', '<div class="header"><h1>{}</h1></div>', '<section class="cookie-recipes">{}</section>', '<div id="related">{}</div>',
+])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div class=post>{}</div>"])
+@pytest.mark.parametrize("said", ["Short, own words.", PROSE * 4])
+def test_headings_as_ids_keep_their_text(inside, around, said):
+    page = "<body><nav>menu</nav>" + around.format(f"<p>{PROSE}</p><p>{PROSE}</p>{inside.format(said)}<p>{PROSE}</p>") + "<div class=comments>" + f"<p>{PROSE}</p>" * 9 + "</div></body>"
+    assert html_text.main_text(page).split("\n\n") == [PROSE.strip()] * 2 + [said.strip(), PROSE.strip()]
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="comments"><p>{0}</p></div>', '<div id="comments"><p>{0}</p></div>', '<div class="sidebar-left"><p>{0}</p></div>', '<div class="related-posts"><p>{0}</p></div>',
+    '<div class="cookie-banner"><p>{0}</p></div>', '<div id="share-buttons">{0}</div>', '<div class="widget social"><p>{0}</p></div>', '<div id="related-reading"><a href=1>{0}</a><a href=2>{0}</a></div>',
+])
+def test_named_parts_go(part):
+    page = f"<article><p>{PROSE}</p>{part.format(PROSE * 3)}<p>{PROSE}</p></article>"
+    assert html_text.main_text(page) == f"{PROSE.strip()}\n\n{PROSE.strip()}"
+
+
+def test_many_doubtful_names():
+    assert html_text.main_text("<div class=share-of-x>" * 5000 + PROSE * 5 + "</div>" * 5000) == (PROSE * 5).strip()
