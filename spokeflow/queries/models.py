@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spokeflow.operators import assemble, evaluate, forest, ml
+from spokeflow.operators import assemble, evaluate, forest, masks, ml
+from spokeflow.plans.lineage import written
 from spokeflow.queries import events, query, r6, rounded, table
 
 
@@ -146,17 +148,34 @@ def class_probabilities(spark, sf):
     return model.transform(df).select("id", r6(F.aggregate(p, F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 
+def _numbered(df, keys, name: str):
+    """Adds numbers without gaps, from 0, in the order of hash buckets and of the keys in each; and how many there are."""
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(64)))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(*keys)) - 1
+    out = rows.withColumn(name, own).join(F.broadcast(before), "_b").withColumn(name, F.col(name) + F.col("_before"))
+    return out.drop("_b", "_n", "_before"), df.count()
+
+
 def _lifecycle(spark, sf):
-    """Events as the streams of a run, embeddings as its frames, through the whole chain of steps."""
+    """Events as the streams of a run, embeddings as its frames, through the whole chain of steps.
+
+    Frames are dealt in turn to the moving bins of all runs: each bin has a frame and each frame a bin. Of more
+    frames than bins, those of one bin are averaged."""
     from spokeflow.plans import lifecycle
 
     channel = F.create_map(*[F.lit(x) for x in ("click", "rho", "view", "slip", "purchase", "current", "error", "sink")])
     e = events(spark, sf)
     samples = e.select(F.col("user_id").alias("run_id"), channel[F.col("event_type")].alias("channel"), F.col("t").alias("ts"), "value").where("channel is not null")
-    binned = lifecycle.unify(samples, width=6 * 3600.0)
-    frame = table(spark, sf, "embeddings").select((F.col("vec_id") % 150).alias("run_id"), F.expr("vec_id div 150").alias("n"), F.posexplode("embedding").alias("i", "p"))
-    at = binned.select("run_id", "bin", (F.pmod(F.xxhash64("run_id", "bin"), F.lit(3))).alias("n"))
-    pixels = frame.join(at, ["run_id", "n"]).select("run_id", "bin", F.expr("i div 16").cast("int").alias("row"), ((F.col("i") % 16) * 6).alias("col"), (F.col("p").cast("double") * 100).alias("p"))
+    binned = written(lifecycle.unify(samples, width=6 * 3600.0))
+    moving = masks.burn_in(masks.moving(binned, "current", ["run_id"]), ["run_id"], ["bin"], 0)
+    bins, n_bins = _numbered(moving.select("run_id", "bin"), ["run_id", "bin"], "i")
+    frame, n_frames = _numbered(table(spark, sf, "embeddings").select("vec_id", "embedding"), ["vec_id"], "j")
+    turn = F.lit(max(1, min(n_bins, n_frames)))
+    cells = frame.withColumn("k", F.col("j") % turn).select("k", F.posexplode("embedding").alias("i", "p"))
+    dealt = bins.select("run_id", "bin", (F.col("i") % turn).alias("k")).join(cells, "k")
+    pixels = dealt.groupBy("run_id", "bin", F.expr("i div 16").cast("int").alias("row"), ((F.col("i") % 16) * 6).alias("col")).agg((F.avg(F.col("p").cast("double")) * 100).alias("p"))
     return lifecycle.featurise(binned, pixels, low=0)
 
 
