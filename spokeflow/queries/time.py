@@ -211,8 +211,7 @@ def series_statistics(spark, sf):
 @query()
 def trailing_wavelet_features(spark, sf):
     """Peaks, jumps and flats of trailing series have no SQL form."""
-    e = events(spark, sf).where("event_type = 'click'")
-    return series.trailing_series(e, "value", ["event_type"], "t", 64)
+    return series.trailing_series(events(spark, sf), "value", ["event_type"], "t")
 
 
 @query()
