@@ -23,7 +23,17 @@ def _fresh(spark, name: str) -> str:
 @query(f"""SELECT t AS frame_ts, "row", col, round(p, 6) + 0.0 AS p FROM {PX} WHERE t < 50""")
 def pressure_files(spark, sf):
     """Frames written as pressure text, one file a frame, and read again."""
-    px = pixels(spark, sf).where("t < 50").withColumn("ts", F.col("t").cast("double"))
+    return _pressure(spark, pixels(spark, sf).where("t < 50"))
+
+
+@query(f"""SELECT t AS frame_ts, "row", col, round(p, 6) + 0.0 AS p FROM {PX}""")
+def pressure_files_whole(spark, sf):
+    """All frames."""
+    return _pressure(spark, pixels(spark, sf))
+
+
+def _pressure(spark, px):
+    px = px.withColumn("ts", F.col("t").cast("double"))
     path = _fresh(spark, "pressure")
     lines = writers.pressure_lines(px, ["t"], columns=16, rows=4)
     writers.write_pressure(lines.repartition(4), path)
@@ -34,7 +44,16 @@ def pressure_files(spark, sf):
 @query(f"""SELECT user_id, count(*) AS n, round(sum(value), 6) AS re, round(sum(event_id)::DOUBLE, 6) + 0.0 AS im, round(max(t), 3) + 0.0 AS f FROM {EV} WHERE user_id < 40 GROUP BY 1""")
 def impedance_files(spark, sf):
     """Sweeps written as text blocks and read again."""
-    e = events(spark, sf).where("user_id < 40")
+    return _impedance(spark, events(spark, sf).where("user_id < 40"))
+
+
+@query(f"""SELECT user_id, count(*) AS n, round(sum(value), 6) AS re, round(sum(event_id)::DOUBLE, 6) + 0.0 AS im, round(max(t), 3) + 0.0 AS f FROM {EV} GROUP BY 1""")
+def impedance_files_whole(spark, sf):
+    """The sweeps of all users."""
+    return _impedance(spark, events(spark, sf))
+
+
+def _impedance(spark, e):
     row = F.concat_ws(" ", F.col("value").cast("string"), F.col("event_id").cast("double").cast("string"), F.col("t").cast("decimal(20,6)").cast("string"))
     body = e.groupBy("user_id").agg(F.array_join(F.collect_list(row), "\n").alias("rows"), F.count("*").alias("n"))
     head = F.concat(F.lit("Peaks=1\nstarttime=1/2/2024 3:04:05 PM\nid="), F.col("user_id").cast("string"), F.lit("\nprimary_data\n3\n"), F.col("n").cast("string"), F.lit("\n"), F.col("rows"), F.lit("\n"))
@@ -162,8 +181,18 @@ def metric_file(spark, sf):
 
 @query("SELECT c_custkey, c_name AS note FROM customer WHERE c_custkey < 100")
 def note_file(spark, sf):
+    return _notes(spark, table(spark, sf, "customer").where("c_custkey < 100"))
+
+
+@query("SELECT c_custkey, c_name AS note FROM customer")
+def note_file_whole(spark, sf):
+    """The notes of all customers."""
+    return _notes(spark, table(spark, sf, "customer"))
+
+
+def _notes(spark, customers):
     path = _fresh(spark, "notes")
-    writers.write_notes(table(spark, sf, "customer").where("c_custkey < 100").select("c_custkey", F.col("c_name").alias("note")), path)
+    writers.write_notes(customers.select("c_custkey", F.col("c_name").alias("note")), path)
     return spark.read.schema("c_custkey bigint, note string").json(path)
 
 
