@@ -13,12 +13,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local master gets a fresh one; on a cluster, whose
+    machines share no local folders, it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         named = "file://" + tempfile.mkdtemp(prefix="spokeflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
