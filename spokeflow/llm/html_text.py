@@ -2,17 +2,24 @@
 
 A page is parsed into a tree of elements (implied end tags, void elements and raw text as HTML has them). What
 is never article text is pruned: scripts, styles, menus, forms, asides, footers, page headers, hidden elements
-and those whose role says so, or one of whose classes, or whose id, says nothing but advert, notice, comments,
-share bar and the like. A name with other words in it (`related-work`), or one that may as well be a heading (the id
-`discussion`, the class `header`), prunes only what is made of links; else it lowers the score. Each paragraph then
-passes points, one plus its commas plus one for each hundred characters up to three, to its parent in full,
-to its grandparent by half and to further ancestors by less. An ancestor's points are discounted by its
-link density; names and tags that suggest an article weigh in. The best container is kept, with siblings
-that score a fifth of it or read like paragraphs, and their blocks are joined.
+and those whose role says so, or one of whose classes, or whose id, says as a whole nothing but advert, notice, comments,
+side bar and the like (`STRONG` words alone, others with a word of `PARTS`). A name with other words in it (`related-work`),
+or one word that may as well be a heading (`related`, `tags`, the id `discussion`), prunes only what is made of links; else it
+lowers the score. A form that holds an article, a main or a first heading wraps the page and is no form.
+
+Each paragraph then passes points, one plus its commas plus one for each hundred characters up to three, to its parent in
+full, to its grandparent by half and to further ancestors by a third of what the one below got. An ancestor's points are
+discounted by its link density; names and tags that suggest an article weigh in. The best container is kept, with siblings
+that score a fifth of it or read like paragraphs, and headings beside an article that has no first heading itself. Nothing is
+cut from what is kept; only where the page itself is the best container are its boxes made of links left out.
+
+White space is what Unicode calls so, no-break spaces included.
 
 Defined cases: null and empty pages have an empty text; a page without a scored paragraph gives the blocks of
-its `article`, `main` or body; a page cut off in the middle is closed where it ends and an unfinished tag is
-dropped; repeated rows are extracted each; an empty table gives no rows.
+its `article`, `main` or body; of containers that score alike the first in the page is the best; a page cut off in the middle
+is closed where it ends and an unfinished tag is dropped; pages of any length and depth are read whole, in time linear in
+them; repeated rows are extracted each; an empty table gives no rows. Only the three named columns are read, so others may
+have any name.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("caption dd dt li tbody td tfoot th thead tr body html".split())
 PRUNED = frozenset(
     "script style title noscript template nav footer aside form button select option textarea input label fieldset iframe"
-    " object embed svg math canvas audio video dialog menu head noembed noframes xmp".split()
+    " object embed svg canvas audio video dialog menu head noembed noframes xmp".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 UNLIKELY = frozenset(
@@ -54,6 +61,28 @@ PARTS = frozenset(
     " link links list lists module outer panel post posts row section slot slots stories story text toggle top bottom left right unit units wrap wrapper"
     " site page main global article articles content".split()
 )
+#: Words that say so alone, as a class and as an id; other UNLIKELY words alone may as well be the article's own.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos cookie cookies consent gdpr"
+    " notice notices newsletter subscribe subscription signup login paywall popup modal comment comments commentlist disqus sidebar"
+    " breadcrumb breadcrumbs pagination pager nav navbar navigation menu footer masthead topbar toolbar outbrain taboola taglist".split()
+)
+#: As an id, a word alone is more often a heading's.
+PLAIN = frozenset("comments commentlist disqus sidebar navbar nav breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer taglist adsense adslot outbrain taboola ads gdpr paywall popup".split())
+AMBIGUOUS = frozenset("header discussion notice notices alert disclaimer popular overlay aside rail skip response reply respond".split())
+LIKELY = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner cookie"
+    " cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall"
+    " comment comments commentlist disqus respond reply replies discussion sidebar rail aside widget widgets related recommended"
+    " recommendations trending popular share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation"
+    " footer masthead header topbar toolbar skip outbrain taboola tags taglist hidden alert disclaimer".split()
+)
+#: Words that go with those in names of parts.
+PARTS = frozenset(
+    "area areas bar bars block blocks box boxes btn btns button buttons container count counter feed form frame group icon icons inner item items"
+    " link links list lists module outer panel post posts row section slot slots stories story text toggle top bottom left right unit units wrap wrapper"
+    " site page main global article articles content".split()
+)
 #: As a class, such a word alone doesn't tell a part from the article's own; as an id, only PLAIN ones do.
 AMBIGUOUS = frozenset("header discussion notice notices alert disclaimer popular overlay aside rail skip response reply respond".split())
 PLAIN = frozenset("comments commentlist disqus sidebar widgets navbar nav breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer taglist adsense adslot outbrain taboola ads gdpr paywall popup".split())
@@ -72,81 +101,84 @@ _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "score")
+    __slots__ = ("tag", "attrs", "kids", "up")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list[Node | str] = []
-        self.score = 0.0
 
 
 def parse(html: str) -> Node:
     """The tree of a page; text is decoded."""
     root = Node("html", {}, None)
-    node, at = root, 0
+    stack, places = [root], {"html": [0]}  # open elements, and where those of a tag stand
+    at = 0
 
-    def text(piece: str) -> None:
-        if piece:
-            node.kids.append(unescape(piece))
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
-    def close(tags: set[str] | frozenset[str], stop: set[str]) -> None:
-        nonlocal node
-        n = node
-        while n.up is not None and n.tag not in stop:
-            if n.tag in tags:
-                node = n.up
-                return
-            n = n.up
+    def shut(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+
+    def close(tags, stop) -> None:
+        """Close the nearest of `tags`, unless one of `stop` is nearer."""
+        found = nearest(tags)
+        if found > max(0, nearest(stop)):
+            shut(found)
 
     size = len(html)
     while m := _TOKEN.search(html, at):
-        text(html[at : m.start()])
+        if at < m.start():
+            stack[-1].kids.append(unescape(html[at : m.start()]))
         at = m.end()
         if m["cdata"] is not None:
-            node.kids.append(m["cdata"])
+            stack[-1].kids.append(m["cdata"])
         elif m["end"]:
             tag = m["end"].lower()
             if tag == "br":
-                node.kids.append(Node("br", {}, node))
+                stack[-1].kids.append(Node("br", {}, stack[-1]))
             elif tag not in ("html", "body"):
-                close({tag}, {"td", "th", "table"} - {tag} if tag not in ("tr", "tbody", "thead", "tfoot") else {"table"})
+                close((tag,), {"td", "th", "table"} - {tag} if tag not in ("tr", "tbody", "thead", "tfoot") else {"table"})
         elif m["tag"]:
             if not m["close"]:
                 break
             tag = m["tag"].lower()
             attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
             if tag in ("html", "body"):
-                if tag == "body" and node.up is not None and node.tag == "head":
-                    node = node.up
+                if tag == "body" and stack[-1].tag == "head":
+                    shut(len(stack) - 1)
                 continue
             if tag in CLOSES_P:
-                close({"p"}, {"td", "th", "li", "div", "section", "article", "blockquote", "button"})
+                close(("p",), ("td", "th", "li", "div", "section", "article", "blockquote", "button"))
             if tag in SCOPES:
                 own, stop = SCOPES[tag]
-                close(set(own.split()), stop)
+                close(own.split(), stop)
                 if tag == "tr":
-                    close({"tr"}, {"table"})
-            if tag in BLOCK and node.tag == "head":
-                node = node.up
-            new = Node(tag, attrs, node)
-            node.kids.append(new)
+                    close(("tr",), ("table",))
+            if tag in BLOCK and stack[-1].tag == "head":
+                shut(len(stack) - 1)
+            new = Node(tag, attrs, stack[-1])
+            stack[-1].kids.append(new)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = end.end() if end else size
             elif tag not in VOID:
-                node = new
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(new)
         if at >= size:
             break
     else:
-        text(html[at:])
+        if at < size:
+            stack[-1].kids.append(unescape(html[at:]))
     return root
 
 
-def _unwanted(n: Node) -> bool:
+def _unwanted(n: Node, in_article: bool, wrapping: set[int]) -> bool:
     if n.tag in PRUNED:
-        return True
+        return not (n.tag == "form" and id(n) in wrapping)
     a = n.attrs
-    if n.tag == "header" and not _within(n, "article"):
+    if n.tag == "header" and not in_article:
         return True
     if not a:
         return False
@@ -156,7 +188,9 @@ def _unwanted(n: Node) -> bool:
         return True
     if n.tag in KEEP_NAMED:
         return False
-    return any(_says_part(set(_NAME.findall(x)), False) for x in a.get("class", "").lower().split()) or _says_part(set(_NAME.findall(a.get("id", "").lower())), True)
+    classes = [set(_NAME.findall(x)) for x in a.get("class", "").lower().split()]
+    single = sum(len(x) == 1 and x <= UNLIKELY for x in classes)
+    return single > 1 or any(_says_part(x, False) for x in classes) or _says_part(set(_NAME.findall(a.get("id", "").lower())), True)
 
 
 def _says_part(words: set[str], is_id: bool) -> bool:
@@ -166,7 +200,7 @@ def _says_part(words: set[str], is_id: bool) -> bool:
         return False
     if len(words) > 1:
         return not told <= AMBIGUOUS and not words & {"article", "content", "main", "text"} or bool(told & {"ad", "ads", "comment", "comments", "sidebar", "related"})
-    return told <= PLAIN if is_id else not told <= AMBIGUOUS
+    return told <= PLAIN if is_id else told <= STRONG
 
 
 def _names(n: Node) -> set[str]:
@@ -177,28 +211,35 @@ def _doubtful(n: Node) -> bool:
     return n.tag not in KEEP_NAMED and bool(_names(n) & UNLIKELY)
 
 
-def _within(n: Node, tag: str) -> bool:
-    while n := n.up:
-        if n.tag == tag:
-            return True
-    return False
+def _wrapping(root: Node) -> set[int]:
+    """Forms that hold an article, a main or a first heading."""
+    out: set[int] = set()
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    while stack:
+        n, form = stack.pop()
+        if form is not None and n.tag in ("article", "main", "h1"):
+            out.add(id(form))
+        if n.tag == "form" and form is None:
+            form = n
+        stack += [(k, form) for k in n.kids if not isinstance(k, str)]
+    return out
 
 
 def prune(root: Node) -> None:
-    stack, doubtful = [root], []
+    stack, doubtful, wrapping = [(root, False)], [], _wrapping(root)
     while stack:
-        n = stack.pop()
-        n.kids = [k for k in n.kids if isinstance(k, str) or not _unwanted(k)]
+        n, inside = stack.pop()
+        n.kids = [k for k in n.kids if isinstance(k, str) or not _unwanted(k, inside or n.tag == "article", wrapping)]
         more = [k for k in n.kids if not isinstance(k, str)]
         doubtful += [k for k in more if _doubtful(k)]
-        stack += more
+        stack += [(k, inside or n.tag == "article") for k in more]
     if not doubtful:
         return
     size = _measures(root)
     gone, parents = set(), {}
     for n in doubtful:
         chars, links, count = size[id(n)]
-        if count >= 2 and links > 0.5 * chars:
+        if count >= 2 and links > 0.5 * chars or count and links == chars:
             gone.add(id(n))
             parents[id(n.up)] = n.up
     for n in parents.values():
@@ -260,30 +301,41 @@ def _bonus(n: Node) -> float:
     return tags.get(n.tag, 0.0) + (10.0 if names & LIKELY else 0.0) - (15.0 if _doubtful(n) else 0.0) + (10.0 if n.attrs.get("role") == "main" or n.attrs.get("itemprop") == "articleBody" else 0.0)
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The best container of a pruned page with the siblings that belong to it, in page order."""
-    size = _measures(root)
-    density = lambda n: size[id(n)][1] / size[id(n)][0] if size[id(n)][0] else 0.0
-    scored: dict[int, Node] = {}
+def _scores(root: Node, density) -> dict[int, tuple[Node, float]]:
+    """Nodes that paragraphs pass points to, in page order, with their points before the discount."""
+    own: dict[int, float] = {}
     for n, said in _paragraphs(root):
         if len(said) < 25 or n.tag in ("html", "figcaption", "caption", "summary"):
             continue
         points = (1 + sum(map(said.count, ",،、，")) + min(len(said) / 100, 3)) * (1 - density(n))
-        holder, share = (n if n.tag in ("article", "main", "section", "div", "td") else n.up), 1.0
-        while holder is not None:
-            if id(holder) not in scored:
-                scored[id(holder)] = holder
-                holder.score = _bonus(holder)
-            holder.score += points * share
-            holder, share = holder.up, share / 2 if share == 1.0 else share / 3
-    final = {i: n.score * (1 - density(n)) for i, n in scored.items()}
-    real = {i: s for i, s in final.items() if scored[i].tag != "html"}
+        holder = n if n.tag in ("article", "main", "section", "div", "td") else n.up
+        if holder is not None:
+            own[id(holder)] = own.get(id(holder), 0.0) + points
+    order = list(_every(root))
+    half: dict[int, float] = {}
+    rest: dict[int, float] = {}
+    for n in reversed(order):  # children before their parents
+        passed = own.get(id(n), 0.0)
+        further = half.get(id(n), 0.0) + rest.get(id(n), 0.0)
+        if n.up is not None and (id(n) in own or id(n) in half or id(n) in rest):
+            half[id(n.up)] = half.get(id(n.up), 0.0) + passed / 2
+            rest[id(n.up)] = rest.get(id(n.up), 0.0) + further / 3
+    return {id(n): (n, _bonus(n) + own.get(id(n), 0.0) + half.get(id(n), 0.0) + rest.get(id(n), 0.0)) for n in order if id(n) in own or id(n) in half or id(n) in rest}
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The best container of a pruned page with the siblings that belong to it, in page order."""
+    size = _measures(root)
+    density = lambda n: size[id(n)][1] / size[id(n)][0] if size[id(n)][0] else 0.0
+    scored = _scores(root, density)
+    final = {i: points * (1 - density(n)) for i, (n, points) in scored.items()}
     if not final:
         for tag in ("article", "main"):
             if found := [n for n in _every(root) if n.tag == tag and size[id(n)][0]]:
                 return [max(found, key=lambda n: size[id(n)][0])]
         return [root]
-    best = scored[max(real or final, key=lambda i: final[i])]
+    real = [i for i in final if scored[i][0].tag != "html"]
+    best = scored[max(real or final, key=lambda i: final[i])][0]
     # an element that the page itself marks as the article takes in its own parts
     up = best
     while up.up is not None:
@@ -292,32 +344,36 @@ def main_nodes(root: Node) -> list[Node]:
             best = up
             if up.tag == "article":
                 break
-    if best.up is None or best.tag == "article":
-        top = final.get(id(best), 0)
-        if best.tag == "article" and best.up is not None:
-            return [k for k in best.up.kids if not isinstance(k, str) and (k is best or k.tag == "article" and final.get(id(k), 0) >= max(10, 0.5 * top))]
+    if best.up is None:
         return [best]
-    top, out = final[id(best)], []
+    top, out = final.get(id(best), 0.0), []
+    marked = best.tag == "article"
+    headed = marked and any(n.tag == "h1" for n in _every(best))
     for k in best.up.kids:
         if isinstance(k, str):
             continue
         said = size[id(k)][0]
-        long_text = k.tag in ("p", "pre", "blockquote") and (said > 80 and density(k) < 0.25 or 0 < said and density(k) == 0)
-        if k is best or final.get(id(k), 0) >= max(10, 0.2 * top) or long_text or (k.tag in ("h1", "h2", "h3") and density(k) < 0.5):
+        long_text = k.tag in ("p", "pre", "blockquote") and (said > 80 and density(k) < 0.25 or 0 < said and density(k) == 0 and not marked)
+        if marked:  # beside an article stand other articles, its headline, and paragraphs
+            belongs = k.tag == "article" and final.get(id(k), 0) >= max(10, 0.5 * top) or long_text
+        else:
+            belongs = final.get(id(k), 0) >= max(10, 0.2 * top) or long_text
+        if k is best or belongs or (k.tag in ("h1", "h2", "h3", "hgroup") and density(k) < 0.5 and not headed):
             out.append(k)
     return out
 
 
 def _every(root: Node) -> Iterator[Node]:
+    """All elements in page order."""
     stack = [root]
     while stack:
         n = stack.pop()
         yield n
-        stack += [k for k in n.kids if not isinstance(k, str)]
+        stack += [k for k in reversed(n.kids) if not isinstance(k, str)]
 
 
 def blocks(nodes: list[Node]) -> list[str]:
-    """The texts of blocks in page order; lists and boxes made of links are left out."""
+    """The texts of blocks in page order; of a whole page without its boxes made of links."""
     out: list[str] = []
     run: list[str] = []
 
@@ -328,7 +384,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             out.append(said)
 
     for top in nodes:
-        size = _measures(top)
+        size = _measures(top) if top.up is None else {}
         stack: list[Node | str | None] = [top]
         while stack:
             n = stack.pop()
@@ -340,7 +396,7 @@ def blocks(nodes: list[Node]) -> list[str]:
                 run.append(" ")
             else:
                 if n.tag in BLOCK:
-                    chars, links, count = size[id(n)]
+                    chars, links, count = size.get(id(n), (0, 0, 0))
                     if n is not top and n.tag in ("ul", "ol", "div", "section", "table", "dl") and count >= 3 and links > 0.5 * chars:
                         flush()
                         continue
