@@ -12,11 +12,17 @@ no run of pairs as long as a shingle can't be part of one and are left out, but
 document whose terms' largest impacts don't add up to the threshold is passed over; the others go through block-max
 WAND, which returns all entries at or above the threshold. Items with all their entries retrieved are verified.
 
-The index goes to every worker, so the benchmark is taken in blocks of at most BLOCK_BYTES of text; a larger
-benchmark makes more passes over the documents, each with an index of its own and its own term statistics.
+The index goes to every worker, so a benchmark is taken in blocks of at most BLOCK_BYTES of text, one pass over the
+documents each. What weighs terms (entries, their mean length, entries that hold a term) is counted over the whole benchmark
+first, and each entry is scored by itself, so rows and scores don't depend on the blocks or on the order of the items.
+
+Words are runs of letters and digits; in scripts that are written without spaces each character is one. An item of fewer
+words than a shingle says too little to be found inside other text: a document holds it if it has those words and no others.
 
 Defined cases: null or empty texts match nothing; an item without words matches nothing; items with
-the same text are each reported; repeated documents are reported each; empty tables give no rows.
+the same text are each reported; repeated documents are reported each; scores at the threshold count; texts of any length
+are taken whole (long ones in runs of words that overlap by a shingle, which finds the same); empty tables give no rows.
+Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from heapq import nlargest
 from itertools import islice
 
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeflow.llm.bpe import small_batches
-from spokeflow.plans.lineage import bounded_batches
+from spokeflow.plans.lineage import bounded_batches, written
 
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -45,7 +52,9 @@ BLOCK_BYTES = 8 << 20
 LONG = 4 << 20  # characters from which a text is taken in runs of words
 RUN = 200_000
 K1, B = 1.2, 0.75
-_WORD = re.compile(r"\w+")
+# Blocks of scripts without spaces between words (Thai to Myanmar, Khmer, kana and ideographs).
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 
 
 def words(text: str | None) -> list[str]:
@@ -54,7 +63,7 @@ def words(text: str | None) -> list[str]:
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """The words of an item's question and of its answer."""
-    cuts = [m.end() for m in re.finditer(r"[.?!:](?=\s+\S)", text.strip())]
+    cuts = [m.end() for m in re.finditer(r"[.?!:](?=\s+\S)|[。？！：](?=\s*\S)", text.strip())]
     for at in reversed(cuts):
         q, a = words(text.strip()[:at]), words(text.strip()[at:])
         if q and a:
@@ -70,40 +79,69 @@ def shingles(w: list, size: int = SHINGLE) -> set[tuple]:
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
 
 
+def terms_of(w: list[str]) -> list[str]:
+    """The terms of an entry: word pairs, or its one word."""
+    return [f"{a} {b}" for a, b in zip(w, w[1:])] if len(w) > 1 else list(w)
+
+
+@dataclass
+class Statistics:
+    """What term weights are taken from: entries, their mean number of terms, and entries that hold a term."""
+
+    entries: int
+    mean: float
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, texts: Iterable[str]) -> Statistics:
+        counts = [Counter(terms_of(w)) for t in texts for w in question_and_answer(t) if w]
+        return cls(len(counts), sum(map(Counter.total, counts)) / max(1, len(counts)), Counter(t for c in counts for t in c))
+
+
 class BM25Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: Statistics | None = None):
+        """An index of items; `whole` are the statistics of the benchmark that they are a part of."""
         self.vocabulary: dict[str, int] = {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
-        self.items, self.parts, entries = [], [], []
+        whole = whole or Statistics.of(t for _, t in items)
+        self.items, self.parts, entries, spelt = [], [], [], []
+        self.tiny: dict[tuple[str, ...], list[int]] = {}
         for item, text in items:
-            w = [number(x) for x in words(text)]
-            if not w:
+            all_words = words(text)
+            if not all_words:
                 continue
-            q, a = ([number(x) for x in part] for part in question_and_answer(text))
+            if len(all_words) < SHINGLE:
+                self.tiny.setdefault(tuple(all_words), []).append(item)
+                continue
+            both = question_and_answer(text)
+            q, a = ([number(x) for x in part] for part in both)
             self.items.append(item)
             self.parts.append((shingles(q), shingles(a)))
             entries += [(len(self.items) - 1, part) for part in (q, a) if part]
+            spelt += [terms_of(part) for part in both if part]
         self.of = [i for i, _ in entries]
         n = max(1, len(self.vocabulary))
         counts = [Counter(self._codes(w, n)) for _, w in entries]
-        df = Counter(t for c in counts for t in c)
-        mean = sum(map(Counter.total, counts)) / max(1, len(counts))
-        idf = {t: math.log(1 + (len(counts) - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        self.codes = np.array(sorted(df), np.int64)
-        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in df]
+        idf: dict[int, float] = {}
+        for (_, w), names in zip(entries, spelt):
+            for t, name in zip(self._codes(w, n), names):
+                d = whole.df[name]
+                idf[t] = math.log(1 + (whole.entries - d + 0.5) / (d + 0.5))
+        self.codes = np.array(sorted(idf), np.int64)
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in idf]
         place = {t: i for i, t in enumerate(self.codes.tolist())}
-        self.short = np.zeros(len(df), bool)  # terms of entries of less than a shingle
+        self.short = np.zeros(len(idf), bool)  # terms of entries of less than a shingle
         self.raised: list[float] = []
         for e, c in enumerate(counts):
-            norm = K1 * (1 - B + B * c.total() / mean)
+            norm = K1 * (1 - B + B * c.total() / whole.mean)
             weight = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in c.items()}
-            whole = sum(weight.values())
-            sure = self._assured(entries[e][1], weight, n, overlap) / whole
+            total = math.fsum(weight.values())
+            sure = self._assured(entries[e][1], weight, n, overlap) / total
             self.raised.append(max(1.0, threshold / sure))
             for t, x in weight.items():
                 ids, impacts = self.postings[place[t]]
                 ids.append(e)
-                impacts.append(x / whole * self.raised[e])
+                impacts.append(x / total * self.raised[e])
                 self.short[place[t]] |= len(entries[e][1]) < SHINGLE
         self.most = np.array([max(x) for _, x in self.postings], float)
         self.blocks = [[max(x[i : i + POSTINGS]) for i in range(0, len(x), POSTINGS)] for _, x in self.postings]
@@ -122,7 +160,7 @@ class BM25Index:
         shared = Counter(t for x in runs for t in x)
         loads = [sum(weight[t] / shared[t] for t in x) for x in runs]
         missing = len(loads) - max(1, math.ceil(overlap * len(loads) - 1e-9))
-        return sum(loads) - sum(nlargest(missing, loads))
+        return math.fsum(loads) - math.fsum(nlargest(missing, loads))
 
     def terms(self, w: np.ndarray) -> np.ndarray:
         """The terms of a run of words that can be part of a held shingle."""
@@ -182,7 +220,7 @@ class BM25Index:
                     seek(x, max(upto, entry + 1))
                 continue
             if lists[0][0] == entry:
-                score = sum(self.postings[x[2]][1][x[1]] for x in lists[: pivot + 1])
+                score = math.fsum(self.postings[x[2]][1][x[1]] for x in lists[: pivot + 1])
                 if score >= low:
                     out[entry] = score
                 for x in lists[: pivot + 1]:
@@ -222,11 +260,15 @@ class BM25Index:
 
     def search(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of every item that a document holds."""
-        if not text or not self.of:
+        if not text:
             return []
-        best = self._retrieved(text, threshold)
+        small = []
+        if self.tiny:
+            first = [m.group() for m in islice(_WORD.finditer(text.lower()), SHINGLE)]
+            small = [(i, 1.0, 1.0, 1.0) for i in self.tiny.get(tuple(first), ())]
+        best = self._retrieved(text, threshold) if self.of else {}
         if not best:
-            return []
+            return small
         sizes = {len(s) for i in best for part in self.parts[i] for s in part}
         met: dict[int, tuple[set, set]] = {i: (set(), set()) for i in best}
         for ids in self._runs(text):
@@ -237,7 +279,31 @@ class BM25Index:
                     own.update(s for s in part if s in held[len(s)])
         share = lambda i, k: len(met[i][k]) / len(self.parts[i][k]) if self.parts[i][k] else 1.0
         out = [(self.items[i], score, share(i, 0), share(i, 1)) for i, score in best.items()]
-        return [x for x in out if x[2] >= overlap and x[3] >= overlap]
+        return small + [x for x in out if x[2] >= overlap and x[3] >= overlap]
+
+
+def _whole_statistics(benchmark: DataFrame, text_col: str) -> tuple[int, float, DataFrame]:
+    """Entries, their mean number of terms, and the written table (term, df) of a benchmark of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [Counter(terms_of(w)) for t in batch.column(0).to_pylist() for w in question_and_answer(t) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in own], pa.list_(pa.string())), pa.array([c.total() for c in own], pa.int64())], names=["terms", "n"])
+
+    texts = benchmark.where(F.length(text_col) > 0).select(F.col(text_col).alias("_text"))
+    entries = written(texts.mapInArrow(run, "terms array<string>, n bigint"))
+    total = entries.agg(F.count("*").alias("entries"), F.sum("n").alias("n")).first()
+    df = written(entries.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    return total.entries, (total.n or 0) / max(1, total.entries), df
+
+
+def _statistics_for(items: list[tuple[int, str]], whole: tuple[int, float, DataFrame]) -> Statistics:
+    """The whole benchmark's statistics for the terms of one block, which bounds what is fetched."""
+    entries, mean, df = whole
+    own = sorted({t for _, text in items for w in question_and_answer(text) for t in terms_of(w)})
+    spark = df.sparkSession
+    wanted = spark.createDataFrame(pa.table({"term": pa.array(own, pa.string())}))
+    return Statistics(entries, mean, {r.term: r.df for r in df.join(wanted, "term").toLocalIterator()})
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -264,9 +330,14 @@ def contaminated(
     schema = f"_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type, item_type = pa_type(docs, id_col), pa_type(benchmark, item_col)
-    found = None
-    for items in _blocks(benchmark, item_col, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(BM25Index(items, threshold, overlap))
+    found, whole = None, None
+    blocks = _blocks(benchmark, item_col, item_text)
+    ahead = next(blocks, None)
+    while ahead is not None:
+        items, ahead = ahead, next(blocks, None)
+        if whole is None and ahead is not None:  # more than one block
+            whole = _whole_statistics(benchmark.where(F.col(item_col).isNotNull()), item_text)
+        index = docs.sparkSession.sparkContext.broadcast(BM25Index(items, threshold, overlap, whole and _statistics_for(items, whole)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pytest
 
 from spokeflow.llm import decontaminate as d
 from spokeflow.llm import registry
@@ -10,9 +11,11 @@ from tests.oracle import SF
 
 def plain(docs, items, overlap=0.8):
     out = set()
-    parts = [(i, d.question_and_answer(t)) for i, t in items if d.words(t)]
+    parts = [(i, d.question_and_answer(t)) for i, t in items if len(d.words(t)) >= 5]
+    tiny = [(i, d.words(t)) for i, t in items if 0 < len(d.words(t)) < 5]
     for doc, text in docs:
         w = d.words(text)
+        out |= {(doc, i) for i, own in tiny if own == w}  # fewer words than a shingle: the whole document
         held = {n: set(zip(*(w[k:] for k in range(n)))) for n in range(1, 6)}
         for i, (q, a) in parts:
             share = lambda p: (lambda s: sum(x in held[len(x)] for x in s) / len(s) if s else 1.0)(d.shingles(p))  # noqa: E731, B023
@@ -61,18 +64,29 @@ def test_cases(spark):
 def test_long_texts_in_runs(monkeypatch):
     docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     ix = d.BM25Index(duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall())
-    whole = [sorted(x[0] for x in ix.search(t, d.THRESHOLD, d.OVERLAP)) for _, t in docs]
+    whole = [sorted(ix.search(t, d.THRESHOLD, d.OVERLAP)) for _, t in docs]
     monkeypatch.setattr(d, "LONG", 10)
     monkeypatch.setattr(d, "RUN", 37)
-    assert [sorted(x[0] for x in ix.search(t, d.THRESHOLD, d.OVERLAP)) for _, t in docs] == whole and any(whole)
+    assert [sorted(ix.search(t, d.THRESHOLD, d.OVERLAP)) for _, t in docs] == whole and any(whole)  # scores too
 
 
-def test_blocks_of_a_large_benchmark(spark, monkeypatch):
+@pytest.mark.parametrize("size", [200, 1500, 4000])
+def test_any_split_of_the_benchmark_scores_alike(spark, monkeypatch, size):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    whole = {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()}
-    monkeypatch.setattr(d, "BLOCK_BYTES", 1500)
-    assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()} == whole
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "Paris")], "item_id long, text string"))
+    rows = lambda items: sorted(tuple(r) for r in d.contaminated(docs, items).collect())
+    whole = rows(items)
+    monkeypatch.setattr(d, "BLOCK_BYTES", size)
+    assert rows(items) == whole and whole
+    assert rows(items.orderBy("text").repartition(5)) == whole
+
+
+def test_short_items_and_scripts_without_spaces():
+    items = [(1, "Paris"), (2, "It is Rome"), (3, "哪一条河流经这座古城的中心？答案是第二条小河。"), (4, "ประเทศไทยมีกี่จังหวัด และเมืองหลวงคืออะไร")]
+    docs = [(1, "I went to Paris last year"), (2, "paris!"), (3, "It is Rome."), (4, "It is Rome now"), (5, "前面的话哪一条河流经这座古城的中心？答案是第二条小河。后面还有很多别的文字"), (6, "别的文字，没有问题，也没有答案"), (7, "xx ประเทศไทยมีกี่จังหวัด และเมืองหลวงคืออะไร yy")]
+    ix = d.BM25Index(items)
+    got = {(doc, x[0]) for doc, t in docs for x in ix.search(t, d.THRESHOLD, d.OVERLAP)}
+    assert got == plain(docs, items) == {(2, 1), (3, 2), (5, 3), (7, 4)}
 
 
 def test_parts_far_apart():
