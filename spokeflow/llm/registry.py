@@ -114,16 +114,17 @@ WITH bits AS (
   SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
 ), d AS (
   SELECT doc_id, coalesce('s' || source, '') AS stratum, source, strlen(coalesce(text, '')) + 8 AS size,
-         md5('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
   FROM documents
 ), c AS (
   SELECT d.* EXCLUDE (bytes), xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
   FROM d, bits
+), k AS (
+  SELECT *, md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32 || ':' || size) AS h FROM c
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size) AS r,
          count(*) OVER (PARTITION BY stratum) AS n, count(*) OVER () AS a
-  FROM c
+  FROM k
 ), p AS (
   SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, stratum, r) - 1 AS pos FROM r
 ), s AS (SELECT *, (pos * 24) // a AS shard FROM p)

@@ -38,3 +38,30 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string")
     plan = sharding.proportional_shards(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_alike_rows_spread(spark):
+    """Null ids with texts of their own don't meet in one piece, and rows that are alike are ranked as one."""
+    rows = [(None, f"text {i}", "a") for i in range(1500)] + [(None, None, "a")] * 1200 + [(7, "same", "b")] * 300 + [(i, "x" * 30_000 if i == 5 else "y", "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = sharding.proportional_shards(df, shards=24, buckets=64).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.source) for r in out) == Counter((i, len(t or "") + 8, zlib.crc32((t or "").encode()), s) for i, t, s in rows)
+    n = Counter(r.shard for r in out)
+    assert len(n) == 24 and max(n.values()) - min(n.values()) <= 1 and all(sorted(r.slot for r in out if r.shard == s) == list(range(n[s])) for s in n)
+    whole = Counter(r.source for r in out)
+    for s in n:
+        part = Counter(r.source for r in out if r.shard == s)
+        assert all(abs(part[k] - whole[k] / 24) <= 2 for k in whole)
+
+
+def test_any_number_of_pieces_gives_one_order(spark):
+    rows = [(i % 40 if i % 5 else None, "t" * (i % 3), f"s{i % 4}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    many = [sorted(map(tuple, sharding.proportional_shards(df, shards=7, buckets=b).collect()), key=repr) for b in (1, 3, 64, 4096)]
+    assert all(m == many[0] for m in many)
+
+
+def test_long_texts_and_any_names(spark):
+    df = spark.createDataFrame([(1, "é" * 3_000_000, "a", 1, 2, 3, 4), (2, "", "a", 1, 2, 3, 4)], "doc_id long, text string, source string, size int, _h int, _c int, _cut int")
+    out = {r.doc_id: r.size for r in sharding.proportional_shards(df).collect()}
+    assert out == {1: 6_000_008, 2: 8}
