@@ -13,15 +13,20 @@ equal bytes have equal anchors, and the windows of one anchor in a text start si
 4. Repeated windows go back to all documents that hold the segment, and their bytes are cut out.
 
 An anchor with more than HOT different segments would make too large a text (a passage in a third of all
-documents has as many different surroundings). Its windows are dealt out one by one by their 128-bit MD5 and
-counted, which combines before the shuffle; this finds the same windows with tasks of any size.
+documents has as many different surroundings). Its windows are split by longer anchors: those with more room behind the
+anchor take it with half of that room behind, the others with half of the room before, so equal windows still meet
+under equal anchors at equal places. Anchors that are still hot are split again; after eight halvings an anchor is
+its window, and equal anchors are equal segments. Splitting changes which text a window is compared in, not the result.
+
+Segments are told apart by 64 bits of their anchor and 64 bits of their content together.
 
 Every step that later steps read more than once is written to the shared folder, and the shuffle files of a
 step are dropped when it is written. Documents are told apart by (id, 64-bit hash of the text).
 
 Defined cases: a null text counts as empty; texts shorter than `length` keep all bytes; rows that repeat an id
-and a text repeat each other's bytes like any other copies; null ids are matched as equal; an empty
-table gives no rows.
+and a text repeat each other's bytes like any other copies; null ids are matched as equal; texts of any length are
+taken whole, very long ones in overlapping slices; an empty table gives no rows. Only the two named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spokeflow.llm._anchors import long_segments, segments
+from spokeflow.llm._anchors import long_segments, run_hashes, segments
 from spokeflow.llm._bwt import repeated
 from spokeflow.llm.bpe import small_batches
 from spokeflow.plans.lineage import bounded_batches, written
@@ -131,6 +137,106 @@ def _expanded(length: int, chunk: int):
     return run
 
 
+_PART = "key bigint, seg bigint, windows int, core int, size int, bytes binary, okey bigint, oseg bigint, oa int"
+
+
+def _cores(length: int):
+    """Segments of hot anchors as parts: the anchor's place is the first run of its hash in the segment's bytes."""
+    k = max(1, length * 8 // 25)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            cores = []
+            for key, data in zip(keys, batch.column(3).to_pylist()):
+                h = run_hashes(np.frombuffer(data, np.uint8), k).view(np.int64)
+                cores.append(int(np.flatnonzero(h == key)[0]))
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(cores, pa.int32()), pa.array([k] * n, pa.int32()), batch.column(3),
+                 batch.column(0), batch.column(1), pa.array([0] * n, pa.int32())],
+                names=["key", "seg", "windows", "core", "size", "bytes", "okey", "oseg", "oa"],
+            )
+
+    return run
+
+
+def _lengthened(length: int):
+    """Each part as two at most, whose core is longer by half of the room before or behind it."""
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for _, _, windows, core, size, data, okey, oseg, oa in zip(*(c.to_pylist() for c in batch.columns)):
+                more = (length - size + 1) // 2
+                # window p has core - p bytes before the core; the first ones have the most
+                edge = min(max(core - (length - size - more), 0), windows)  # from here on there is room behind
+                for a, b, c in ((0, edge, core - more), (edge, windows, core)):
+                    if a < b:
+                        part = data[a : b + length - 1]
+                        c -= a
+                        key = digest(part[c : c + size + more], seed=size)
+                        out.append((key, digest(part), b - a, c, size + more, part, okey, oseg, oa + a))
+            c = list(zip(*out)) or [[]] * 9
+            wide = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [wide(c[0]), wide(c[1]), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.binary()),
+                 pa.array(c[6], pa.int64()), pa.array(c[7], pa.int64()), pa.array(c[8], pa.int32())],
+                names=["key", "seg", "windows", "core", "size", "bytes", "okey", "oseg", "oa"],
+            )
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_id, _h, a, b) sorted by these -> the same with ranges that overlap or touch as one."""
+    now: list | None = None
+    kind = None
+    for batch in batches:
+        kind, out = batch.schema.field(0).type, []
+        for i, h, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is not None and now[0] == i and now[1] == h and a <= now[3]:
+                now[3] = max(now[3], b)
+                continue
+            if now is not None:
+                out.append(tuple(now))
+            now = [i, h, a, b]
+        if out:
+            yield _range_batch(out, kind)
+    if now is not None:
+        yield _range_batch([tuple(now)], kind)
+
+
+def _range_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    c = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(c[0], kind), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["_id", "_h", "a", "b"])
+
+
+def _hot_parts(hot_segments: DataFrame, length: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Parts of hot anchors by longer anchors: (key, seg, n, windows, bytes) to be expanded, and runs that repeat.
+
+    The first come with their segment and place: (okey, oseg, oa). Rows of a part with the same (key, seg) are copies.
+    """
+    cold, again = [], []
+    parts = written(hot_segments.select("key", "seg", "windows", "bytes").mapInArrow(_cores(length), _PART))
+    size = max(1, length * 8 // 25)
+    while size < length:
+        size += (length - size + 1) // 2
+        parts = written(parts.mapInArrow(_lengthened(length), _PART))
+        each = written(parts.groupBy("key", "seg").agg(F.count("*").alias("n")))
+        mixed = written(each.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"))
+        counted = parts.join(each, ["key", "seg"])
+        again.append(counted.where("n > 1").select("okey", "oseg", F.col("oa").alias("a"), (F.col("oa") + F.col("windows") - 1).alias("b")))
+        here = counted.join(mixed, "key")
+        cold.append(here.where(F.col("d") <= hot).select("key", "seg", "n", "windows", "bytes", "okey", "oseg", "oa"))
+        parts = parts.join(mixed.where(F.col("d") > hot).select("key"), "key", "left_semi")
+        if parts.isEmpty():
+            break
+        parts = written(parts)
+    return cold, again
+
+
 def repeated_windows(base: DataFrame, length: int = LENGTH, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """_id, _h, spans: the byte ranges [a, b) of each text that repeated strings cover, maximal and in order."""
     spark = base.sparkSession
@@ -152,28 +258,34 @@ def repeated_windows(base: DataFrame, length: int = LENGTH, hot: int = HOT, chun
     )
     fetched = written(fetched)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = fetched.where(F.col("d") <= hot).select("key", "seg", "n", "windows", "bytes")
-    cold = cold.repartition(parts, "key").sortWithinPartitions("key", "seg")
-    found = cold.mapInArrow(_expanded(length, chunk), "key bigint, seg bigint, a int, b int")
-    each = fetched.where(F.col("d") > hot).dropDuplicates(["key", "seg"]).select(
-        "key", "seg", "n", F.explode(F.expr("sequence(0, windows - 1)")).alias("a"), "bytes"
-    )
-    each = each.select("key", "seg", "n", "a", F.unhex(F.md5(F.expr(f"substring(bytes, a + 1, {length})"))).alias("w"))
-    twice = each.groupBy("w").agg(F.sum("n").alias("total")).where("total > 1").select("w")
-    one_by_one = each.where("n = 1").join(twice, "w", "left_semi").select("key", "seg", "a", F.col("a").alias("b"))
-    whole = contents.where("n > 1").select("key", "seg", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
-    verdict = found.unionByName(one_by_one).unionByName(whole)
-    spans = again.join(verdict, ["key", "seg"]).select(
-        "_id", "_h", F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b")).alias("s")
-    )
-    merged = F.expr(
-        """aggregate(array_sort(spans), cast(array() AS array<struct<a:int,b:int>>), (m, s) ->
-             CASE WHEN size(m) > 0 AND s.a <= element_at(m, -1).b
-                  THEN concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, s.b))))
-                  ELSE concat(m, array(s)) END)"""
+    texts = fetched.where(F.col("d") <= hot).select("key", "seg", "n", "windows", "bytes")
+    verdict = contents.where("n > 1").select("key", "seg", F.lit(0).alias("a"), (F.col("windows") - 1).alias("b"))
+    places = None
+    if not mixed.where(F.col("d") > hot).isEmpty():
+        cold, runs = _hot_parts(fetched.where(F.col("d") > hot).dropDuplicates(["key", "seg"]), length, hot)
+        for r in runs:
+            verdict = verdict.unionByName(r.select(F.col("okey").alias("key"), F.col("oseg").alias("seg"), "a", "b"))
+        for c in cold:
+            texts = texts.unionByName(c.select("key", "seg", "n", "windows", "bytes"))
+            own = c.where("n = 1").select("key", "seg", "okey", "oseg", "oa")
+            places = own if places is None else places.unionByName(own)
+        places = written(places)
+    texts = texts.repartition(parts, "key").sortWithinPartitions("key", "seg")
+    found = texts.mapInArrow(_expanded(length, chunk), "key bigint, seg bigint, a int, b int")
+    if places is not None:
+        found = written(found)
+        found = found.join(places, ["key", "seg"], "left").select(
+            F.coalesce("okey", "key").alias("key"), F.coalesce("oseg", "seg").alias("seg"),
+            (F.col("a") + F.coalesce("oa", F.lit(0))).alias("a"), (F.col("b") + F.coalesce("oa", F.lit(0))).alias("b"),
+        )
+    verdict = verdict.unionByName(found)
+    ranges = again.join(verdict, ["key", "seg"]).select(
+        "_id", "_h", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b")
     )
-    spans = spans.groupBy("_id", "_h").agg(F.collect_set("s").alias("spans"))
-    return written(spans).select("_id", "_h", merged.alias("spans"))
+    ranges = ranges.repartition(parts, "_id", "_h").sortWithinPartitions("_id", "_h", "a")
+    kind = base.schema["_id"].dataType.simpleString()
+    spans = ranges.mapInArrow(_merged, f"_id {kind}, _h bigint, a int, b int").groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return written(spans)
 
 
 def remove_repeats(

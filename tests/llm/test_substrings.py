@@ -63,7 +63,7 @@ def test_segments_partition_windows():
                 assert all((a == b).all() for a, b in zip(one, long_segments(q, length, k, 37)))
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 2, "chunk": 100}])
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "chunk": 100}, {"hot": 1, "chunk": 1}])
 @pytest.mark.parametrize("length", [6, 30])
 def test_small_texts(spark, options, length):
     r = np.random.default_rng(0)
@@ -94,3 +94,38 @@ def test_texts_longer_than_a_slice(spark, monkeypatch):
     big = "".join(r.choice(list("abcdefgh"), 20_000))
     raw, at = np.frombuffer(big.encode(), np.uint8), np.array([0, len(big)])
     assert len(segments(raw, at[:1], at[1:], 200, 64)[0]) == len(long_segments(raw, 200, 64, 1000)[0])
+
+
+def test_a_text_of_megabytes(spark):
+    """A text longer than four slices goes through the overlapping ones."""
+    r = np.random.default_rng(8)
+    letters = "abcdefghijklmnopqrstuvwxyz \u00e9"
+    big = "".join(np.array(list(letters))[r.integers(0, len(letters), 5_000_000)])
+    cut = big[1_040_000:1_060_000]  # over the end of a slice
+    rows = [(1, big + cut[5000:9000]), (2, "x" * 150 + cut[:1000] + "y"), (3, big[4_999_000:] + "z" * 300), (4, "other " * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, 200) == brute(rows, 200)
+
+
+def test_many_spans_and_equal_letters(spark):
+    r = np.random.default_rng(9)
+    shared = "".join(r.choice(list("abcdefgh"), 260))
+    many = "".join(shared + "".join(r.choice(list("ijklmnop"), 30)) for _ in range(3000))
+    rows = [(1, many), (2, "q" * 300_000), (None, "q" * 250), (None, None), (5, many[:5000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, 200) == brute(rows, 200)
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_a_passage_with_many_surroundings(spark, hot):
+    r = np.random.default_rng(10)
+    word = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    passage, tail = word(450), word(90)
+    rows = [(i, word(int(r.integers(0, 400))) + passage + (tail[: int(r.integers(0, 90))] if i % 3 else "") + word(int(r.integers(0, 400)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(df, 200, hot=hot) == brute(rows, 200)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "ab" * 300, 1, 2, 3, 4)], "doc_id long, text string, _id int, key int, seg int, a int")
+    assert got(df, 200) == brute([(1, "ab" * 300)], 200)
