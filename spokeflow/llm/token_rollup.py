@@ -2,16 +2,18 @@
 
 Totals by source, language and tokenizer version are never counted anew. A batch of changes (documents that
 come, go, or get another count) becomes signed sums per group; the sums of all committed batches add up to
-the totals. A batch is written as a whole under its number and counts once its success marker stands:
-committing the same number again replaces the same rows, so a retry or a replay changes nothing, and a batch
-cut off in the middle is not seen. `compact` folds batches up to a number into one; those numbers are closed.
+the totals. A batch is written aside and renamed to its number when it is whole, so it is seen whole or not at all, and a
+number that is committed stays as it is: a retry or a replay of it changes nothing and reads nothing, even if it
+dies half-way or brings other rows. `compact` folds batches up to a number into one; those numbers are closed.
 
 Defined cases: null source, language or version are groups of their own; a null text has no tokens and
-still counts as a document; a batch without rows is committed and adds nothing; repeated rows count each.
+still counts as a document; texts of any length are counted whole; a batch without rows is committed and adds nothing;
+repeated rows count each; columns beside the named ones are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,13 +57,22 @@ class TokenRollup:
         found = [int(n.removeprefix(f"{kind}-")) for n in names if n.startswith(f"{kind}-")]
         return sorted(n for n in found if self._fs.exists(self._at(f"{self.path}/{kind}-{n}/_SUCCESS")))
 
+    def _publish(self, rows: DataFrame, name: str) -> bool:
+        """Write rows aside and rename them to `name`; False if another writer was there first."""
+        aside, goal = f"{self.path}/_aside-{uuid.uuid4().hex}", f"{self.path}/{name}"
+        rows.write.parquet(aside)
+        if self._fs.exists(self._at(f"{goal}/_SUCCESS")) or not self._fs.rename(self._at(aside), self._at(goal)):
+            self._fs.delete(self._at(aside), True)
+            return False
+        return True
+
     def commit(self, number: int, deltas: DataFrame) -> bool:
-        """Commit a batch; False if the number is closed by a compaction and nothing was done."""
-        if number <= max(self._numbers("base"), default=-1):
+        """Commit a batch; False if that number stands already or is closed by a compaction, and nothing was done."""
+        if number <= max(self._numbers("base"), default=-1) or number in self._numbers("batch"):
             return False
+        self._fs.delete(self._at(f"{self.path}/batch-{number}"), True)  # left by a copy that broke off
         sums = deltas.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
-        return True
+        return self._publish(sums, f"batch-{number}")
 
     def _parts(self) -> tuple[list[str], int]:
         base = max(self._numbers("base"), default=-1)
@@ -81,7 +92,7 @@ class TokenRollup:
         last = max([*self._numbers("base"), *self._numbers("batch")], default=-1)
         _, base = self._parts()
         if last > base:
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/base-{last}")
+            self._publish(self.totals(), f"base-{last}")
         return last
 
 

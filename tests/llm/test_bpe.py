@@ -79,8 +79,44 @@ def test_frame_and_rollup(spark, both, tmp_path):
     assert not roll.commit(2, token_rollup.inserts(counts)) and sorted(map(tuple, roll.totals().collect()), key=repr) == after
     (tmp_path / "roll" / "batch-9").mkdir()
     assert sorted(map(tuple, roll.totals().collect()), key=repr) == after
-    roll.commit(4, token_rollup.inserts(counts.limit(0)))
+    assert roll.commit(4, token_rollup.inserts(counts.limit(0)))
     assert sorted(map(tuple, roll.totals().collect()), key=repr) == after
+    # a copy that broke off is committed anew; what stands stays, whatever a replay brings or does
+    assert roll.commit(9, token_rollup.inserts(counts.where("doc_id = 4")))
+    more = sorted(map(tuple, roll.totals().collect()), key=repr)
+    assert more != after and not roll.commit(9, token_rollup.deletes(counts))
+    fails = counts.withColumn("n_tokens", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        roll.commit(10, token_rollup.inserts(fails))
+    assert not roll.commit(9, token_rollup.inserts(fails))  # not even read
+    assert sorted(map(tuple, roll.totals().collect()), key=repr) == more
+    assert roll.commit(10, token_rollup.deletes(counts.where("doc_id = 4"))) and sorted(map(tuple, roll.totals().collect()), key=repr) == after
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(1, "word " * 900_000, "s", "l", 1, 2, 3), (2, None, None, "l", 1, 2, 3), (2, None, None, "l", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_tokens int, n_bytes int, ids int")
+    counts = token_rollup.token_counts(df, PATH, "v")
+    theirs = Tokenizer.from_file(PATH)
+    n = len(theirs.encode(rows[0][1], add_special_tokens=False).ids)
+    assert sorted((r.doc_id, r.n_tokens, r.n_bytes) for r in counts.collect()) == [(1, n, 4_500_000), (2, 0, 0), (2, 0, 0)]
+    out = {r.doc_id: r.n_tokens for r in bpe.digests(bpe.encode(df, PATH, decode=True)).collect()}
+    assert out == {1: n, 2: 0}
+
+
+def test_query_against_the_library(spark):
+    import hashlib
+
+    from spokeflow.llm import registry
+    from tests.oracle import SF
+
+    theirs = Tokenizer.from_file(PATH)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = theirs.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in registry.op7_bpe(spark, SF).collect()} == want
 
 
 def test_rollup_query_adds_up(spark):
@@ -98,5 +134,6 @@ def test_rollup_query_adds_up(spark):
             rows[r.text] = (r.doc_id, r.source, r.lang)
     want = {}
     for t, (_, s, l) in rows.items():
-        want[s, l] = want.get((s, l), 0) + len(theirs.encode(t, add_special_tokens=False).ids)
-    assert {(r.source, r.lang): r.n_tokens for r in totals} == want
+        n, tokens, size = want.get((s, l), (0, 0, 0))
+        want[s, l] = n + 1, tokens + len(theirs.encode(t, add_special_tokens=False).ids), size + len(t.encode())
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_bytes) for r in totals} == want
