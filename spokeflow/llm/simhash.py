@@ -14,13 +14,16 @@ the shards small for the number of fingerprints at hand; any b finds the same li
 A tree serves to connect, not to list pairs: a node inserted asks only for links into components it is
 not yet part of, and a subtree that lies wholly in its own component is skipped, so a dense cluster costs
 about one comparison a node and gives one link a node. A shard of over `tree_size` fingerprints is cut
-into parts, with one tree for each pair of parts, so no task or tree grows with a shard. The trees travel by
+into parts, with one tree for each pair of parts, so no task or tree grows with a shard. That takes a copy of a fingerprint
+for each part; where over CROWDED parts would be needed, the bits left open in the shard are cut into radius + 2 further blocks
+and each choice of two of them names a shard inside it, if that takes fewer copies. The trees travel by
 the shuffle: all of them together grow with the corpus, so a broadcast to every executor would have no
 bound. Each tree goes to the one task that queries it.
 
 Defined cases: a null text counts as empty; documents without words share fingerprint zero and link like
 any other; a null id loses to any other as component id, and a component of null ids has a null one;
-repeated rows share a component; an empty table gives no rows.
+repeated rows share a component; texts of any length are taken whole (long ones in runs of words, which give the same
+fingerprint); an empty table gives no rows. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from spokeflow.plans.lineage import bounded_batches, written
 SEED = 42
 RADIUS = 4
 TREE_SIZE = 3000
+CROWDED = 30  # parts of a shard from which narrower shards inside it are tried
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RUN = 1 << 16  # shingles counted at a time
@@ -196,17 +200,44 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["src", "dst"])
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def _narrower(keyed: DataFrame, sizes: DataFrame, masks: list[int], radius: int, tree_size: int, crowded: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows and sizes with narrower shards in place of the crowded ones that these relieve; None if there are none."""
+    full = sizes.where(F.col("n") > tree_size * crowded)
+    if full.isEmpty():
+        return None
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    deeper = []  # for each choice the masks of two of radius + 2 blocks of the bits it leaves open
+    for m in masks:
+        left = [i for i in range(64) if not m >> i & 1]
+        cuts = [len(left) * i // (radius + 2) for i in range(radius + 3)]
+        one = [sum(1 << left[i] for i in range(a, b)) for a, b in zip(cuts, cuts[1:])]
+        deeper.append([signed(x | y) for x, y in combinations(one, 2)])
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in deeper])
+    rows = keyed.join(full.select("c", "shard", "n"), ["c", "shard"]).select("fp", "c", "shard", "n", F.posexplode(F.get(table, F.col("c"))).alias("k", "mask"))
+    rows = written(rows.select("fp", "c", "shard", "n", F.xxhash64("shard", "k", F.col("fp").bitwiseAND(F.col("mask"))).alias("inner")))
+    own = written(rows.groupBy("c", "shard", "n", "inner").agg(F.count("*").alias("m")))
+    copies = lambda n: n * F.ceil(n / tree_size)
+    better = own.groupBy("c", "shard", "n").agg(F.sum(copies(F.col("m"))).alias("x")).where(F.col("x") < copies(F.col("n"))).select("c", "shard")
+    better = written(better)
+    rows = rows.join(better, ["c", "shard"], "left_semi").select("fp", "c", F.col("inner").alias("shard"))
+    own = own.join(better, ["c", "shard"], "left_semi").where("m > 1").select("c", F.col("inner").alias("shard"), F.col("m").alias("n"))
+    return keyed.join(better, ["c", "shard"], "left_anti").unionByName(rows), written(sizes.join(better, ["c", "shard"], "left_anti").unionByName(own))
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, crowded: int = CROWDED) -> DataFrame:
     """Links (src, dst) between distinct fingerprints `fp` that connect all that lie within the radius."""
     count = distinct.count()
     masks = block_masks(radius, blocks_for(count, radius))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    choice = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]))
-    keyed = distinct.select("fp", choice.alias("k")).select("fp", F.xxhash64("k.c", "k.bits").alias("shard"))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choice = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(masks)]))
+    keyed = distinct.select("fp", choice.alias("k")).select("fp", "k.c", F.xxhash64("k.c", "k.bits").alias("shard"))
     # written, so that the join shuffles both sides itself and adaptive execution can split a hot shard
-    sizes = written(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = written(keyed.groupBy("c", "shard").agg(F.count("*").alias("n")).where("n > 1"))
+    inner = _narrower(keyed, sizes, masks, radius, tree_size, crowded)
+    if inner is not None:
+        keyed, sizes = inner
     parts = F.ceil(F.col("n") / tree_size).cast("int")
-    rows = keyed.join(sizes, "shard").select("fp", "shard", parts.alias("parts"))
+    rows = keyed.join(sizes, ["c", "shard"]).select("fp", "shard", parts.alias("parts"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     # part p is the tree of cells (p, p..) and asks those of the parts before it
     cells = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) AS tree, greatest(x, part) AS asks))")

@@ -51,9 +51,9 @@ def test_fingerprints(monkeypatch):
         assert [simhash.fingerprint(t, k) for t in texts] == [plain_fingerprint(t, k) for t in texts]
 
 
-@pytest.mark.parametrize("tree_size", [3000, 40])
+@pytest.mark.parametrize("tree_size,crowded", [(3000, 30), (40, 30), (5, 2)])
 @pytest.mark.parametrize("count", [10, 10**7])
-def test_links_connect_all(spark, tree_size, count, monkeypatch):
+def test_links_connect_all(spark, tree_size, crowded, count, monkeypatch):
     r = random.Random(3)
     fps = {r.getrandbits(64) for _ in range(100)}
     for b in list(fps)[:30]:
@@ -71,7 +71,10 @@ def test_links_connect_all(spark, tree_size, count, monkeypatch):
     choose = simhash.blocks_for
     monkeypatch.setattr(simhash, "blocks_for", lambda n, radius: choose(count, radius))
     df = spark.createDataFrame([(int(x),) for x in np.array(sorted(fps), np.uint64).view(np.int64)], "fp long")
-    links = [(a.src & (1 << 64) - 1, a.dst & (1 << 64) - 1) for a in simhash.near_links(df, 4, tree_size).collect()]
+    narrow, seen = simhash._narrower, []
+    monkeypatch.setattr(simhash, "_narrower", lambda *a: (seen.append(narrow(*a)), seen[-1])[1])
+    links = [(a.src & (1 << 64) - 1, a.dst & (1 << 64) - 1) for a in simhash.near_links(df, 4, tree_size, crowded).collect()]
+    assert (seen[0] is not None) == (crowded == 2)
     assert all((a ^ b).bit_count() <= 4 for a, b in links)
     lead = {f: f for f in fps}
 
