@@ -8,8 +8,8 @@ group that holds a third of all rows leaves each task as one row.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; a null id loses to any
 other and a group of null ids keeps a null `keep_id`; rows that repeat an id and a text all carry
-`kept`, and `survivors` returns such a row once; an empty table gives no rows. Only the two named
-columns are read, so other columns may have any name.
+`kept`, and `survivors` returns such a row once; texts of any length are compared whole; an empty table gives no rows. Only
+the two named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -54,17 +54,20 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The documents that stay, with all their columns: of equal texts the one of the smallest id.
 
     Decisions join back on the id; a document's text does not move a second time for them unless ids
-    repeat, which a pass over the ids alone finds out.
+    repeat, which a pass over the ids alone finds out. Then of rows of that id and equal texts the one whose columns
+    as JSON come first stays. Columns are told by their place, so they may have any names.
     """
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    repeated = not rows.groupBy(own).count().where("count > 1").isEmpty()
     if not repeated:
-        return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+        gone = exact_dedup(rows, own, text).where("not kept").select(F.col(own).alias("gone"))
+        return rows.join(gone, rows[own].eqNullSafe(gone["gone"]), "left_anti").toDF(*names)
     # ids that repeat do not name a document, so the text decides along with the id
-    norm = normalised(F.col(text_col))
-    keyed = docs.withColumn("__h", F.unhex(F.md5(norm))).withColumn("__sha", F.sha2(norm, 256))
-    keep = _classes(docs, id_col, text_col).select(
-        F.col("_h").alias("__h"), F.col("_sha").alias("__sha"), F.col("keep_id").alias("__keep")
-    )
-    kept = keyed.join(keep, ["__h", "__sha"]).where(F.col(id_col).eqNullSafe(F.col("__keep")))
-    return kept.dropDuplicates(["__h", "__sha"]).select(*docs.columns)
+    keep = _classes(rows, own, text).select("_h", "_sha", "keep_id")
+    norm = normalised(F.col(text))
+    keyed = rows.select(F.struct(*rows.columns).alias("row"), F.unhex(F.md5(norm)).alias("_h"), F.sha2(norm, 256).alias("_sha"))
+    kept = keyed.join(keep, ["_h", "_sha"]).where(F.col(f"row.{own}").eqNullSafe(F.col("keep_id")))
+    kept = kept.groupBy("_h", "_sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.select("row.*").toDF(*names)

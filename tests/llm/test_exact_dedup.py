@@ -52,3 +52,15 @@ def test_sql(spark):
     con = connection()
     for name in ("op5_exact_dedup", "op3_sharding"):
         same(registry.queries()[name](spark, SF), con, registry.oracle_sql()[name])
+
+
+def test_survivors_keep_user_columns(spark):
+    names = "doc_id long, text string, __h string, __sha string, __keep int, _h string, keep_id int, `a.b` string, kept boolean, c0 int, row int"
+    one = lambda i, t, tag: (i, t, f"h{tag}", f"s{tag}", tag, "x", tag, f"d{tag}", True, tag, tag)
+    rows = [one(1, "a b", 2), one(1, "a b", 1), one(2, "a  b", 3), one(3, None, 4), one(None, "n", 5)]
+    once = exact_dedup.survivors(spark.createDataFrame(rows[1:], names))
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr)
+    for part in (rows, rows[::-1]):  # the same row whatever the order
+        kept = exact_dedup.survivors(spark.createDataFrame(part, names).repartition(3))
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr) and kept.columns[0] == "doc_id"
+    assert exact_dedup.survivors(spark.createDataFrame([], names)).count() == 0
