@@ -33,10 +33,6 @@ def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def null_to_nan(x: Column) -> Column:
-    return F.coalesce(x, F.lit(float("nan")))
-
-
 def epoch_seconds(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1_000_000.0)
 
@@ -114,6 +110,21 @@ def spherical(x: Column, y: Column, z: Column) -> dict[str, Column]:
     return {"r": r, "theta": F.when(r > 0, F.acos(z / F.nullif(r, F.lit(0.0)))), "phi": F.atan2(y, x)}
 
 
+#: What the accelerometer of the wheel shows at rest.
+IMU_OFFSETS = (-0.4993, -0.0772, 1.4496)
+
+
+def imu_angles(x: Column, y: Column, z: Column, offsets: Sequence[float] = IMU_OFFSETS) -> dict[str, Column]:
+    """r, theta, phi and rot in degrees of raw accelerations: theta from the vertical, phi signed by y, rot in [0, 360) around y by its quadrant."""
+    x, y, z = (c + F.lit(float(o)) for c, o in zip((x, y, z), offsets))
+    r, flat = F.sqrt(x * x + y * y + z * z), F.sqrt(x * x + y * y)
+    slope = F.degrees(F.atan(z / (x + F.lit(1e-11))))
+    return {
+        "r": r, "theta": F.degrees(F.acos(F.try_divide(z, r))), "phi": F.signum(y) * F.degrees(F.acos(F.try_divide(x, flat))),
+        "rot": F.pmod(F.when(x >= 0, slope).otherwise(slope + 180.0), F.lit(360.0)),
+    }
+
+
 def transform(matrix: Sequence[Sequence[float]], vector: Sequence[Column]) -> list[Column]:
     """Rows of a constant matrix times a vector of columns."""
     return [reduce(lambda a, b: a + b, [F.lit(float(m)) * v for m, v in zip(row, vector)]) for row in matrix]

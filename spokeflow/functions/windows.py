@@ -52,20 +52,32 @@ def circular_running(angle: Column, partition: Sequence[str], order: Sequence[st
     return F.pmod(F.degrees(F.atan2(F.avg(F.sin(rad)).over(w), F.avg(F.cos(rad)).over(w))), F.lit(360.0))
 
 
-def gaussian(x: Column, sigma: float, partition: Sequence[str], order: Sequence[str], truncate: float = 4.0) -> Column:
-    """Gaussian smoothing; beyond an end the run is reflected about its edge (d c b a | a b c d)."""
-    reach = int(truncate * sigma + 0.5)
-    weight = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-reach, reach + 1)]
+def gaussian(
+    x: Column, sigma: float, partition: Sequence[str], order: Sequence[str], truncate: float = 4.0, number: Column | None = None, count: Column | None = None,
+) -> Column:
+    """Gaussian smoothing; beyond an end the run is reflected about its edge (d c b a | a b c d).
+
+    `number` and `count` are a row's number from 0 and the rows of its run, where the partition is a piece of a run that
+    holds `reach(sigma)` rows before and after its own.
+    """
+    near_by = reach(sigma, truncate)
+    weight = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-near_by, near_by + 1)]
     total = sum(weight)
     own = Window.partitionBy(*partition).orderBy(*order)
     whole = Window.partitionBy(*partition)
-    n, i = F.count(F.lit(1)).over(whole), F.row_number().over(own) - 1
-    near = F.collect_list(x).over(own.rowsBetween(-reach, reach))
-    first = F.greatest(i - reach, F.lit(0))
+    n = F.count(F.lit(1)).over(whole) if count is None else count
+    i = F.row_number().over(own) - 1 if number is None else number
+    near = F.collect_list(x).over(own.rowsBetween(-near_by, near_by))
+    first = F.greatest(i - near_by, F.lit(0))
 
     def at(k: int) -> Column:
         j = F.pmod(i + k, 2 * n)
         j = F.when(j >= n, 2 * n - 1 - j).otherwise(j)
         return F.try_element_at(near, (j - first + 1).cast("int"))
 
-    return reduce(lambda a, b: a + b, [at(k) * (w / total) for k, w in zip(range(-reach, reach + 1), weight)])
+    return reduce(lambda a, b: a + b, [at(k) * (w / total) for k, w in zip(range(-near_by, near_by + 1), weight)])
+
+
+def reach(sigma: float, truncate: float = 4.0) -> int:
+    """Rows that Gaussian smoothing looks back and ahead."""
+    return int(truncate * sigma + 0.5)

@@ -59,18 +59,19 @@ def bin_frames(df: DataFrame, run: Sequence[str], frame: str) -> DataFrame:
 def bin_rocks(df: DataFrame, run: Sequence[str], rock: str = "rock", depth: str = "rock_depth", onto: DataFrame | None = None) -> DataFrame:
     """A bin is over a rock if any of its rows is, or if one of it and the bin before is; depth is the mean.
 
-    Bins taken in by their neighbour have the smallest depth of the run's rocks. `onto` gives the bins that
+    Bins taken in by their neighbour have the smallest depth of the run's rows with the flag 1; in a run without such rows
+    none is taken in. `onto` gives the bins that
     count (run.., bin); those without rows are over no rock.
     """
     bins = df.groupBy(*run, "bin").agg(
-        F.max(F.when(F.col(rock) > 0, 1).otherwise(0)).alias(rock), F.avg(depth).alias(depth), F.min(F.when(F.col(rock) > 0, F.col(depth))).alias("_first")
+        F.max(F.when(F.col(rock) > 0, 1).otherwise(0)).alias(rock), F.avg(depth).alias(depth), F.min(F.when(F.col(rock) == 1, F.col(depth))).alias("_first")
     )
     if onto is not None:
         bins = onto.select(*run, "bin").join(bins, [*run, "bin"], "left")
         bins = bins.withColumns({rock: F.coalesce(rock, F.lit(0)), depth: F.coalesce(depth, F.lit(0.0))})
     w = Window.partitionBy(*run).orderBy("bin")
-    half = F.coalesce(F.lag(rock).over(w), F.col(rock)) + F.col(rock) == 1
-    first = F.coalesce(F.min("_first").over(Window.partitionBy(*run)), F.lit(0.0))
+    first = F.min("_first").over(Window.partitionBy(*run))
+    half = (F.coalesce(F.lag(rock).over(w), F.col(rock)) + F.col(rock) == 1) & first.isNotNull()
     return bins.select(
         *run, "bin", F.when(half, 1).otherwise(F.col(rock)).alias(rock), F.when(half, first).otherwise(F.col(depth)).alias(depth)
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeflow.functions.scalars import AMBIGUOUS, BELT_MM, COLUMNS, RADIUS_MM, ROWS, signed_lag, sinkage
+from spokeflow.functions.scalars import AMBIGUOUS, BELT_MM, COLUMNS, RADIUS_MM, ROWS, contact_column, signed_lag, sinkage
 
 SUBSETS = ["all", "grouser", "nongrouser"]
 
@@ -125,13 +125,19 @@ def geometry(marked: DataFrame, keys: Sequence[str], hub: str, columns: int = CO
 
 
 def sink_depth(marked: DataFrame, keys: Sequence[str], hub: str, column_mm: float = BELT_MM / COLUMNS, radius: float = RADIUS_MM) -> DataFrame:
-    """sink from the number of contact columns at or after the hub, and theta_m from the largest contact pixel."""
+    """sink from the number of contact columns at or after the hub, the angles theta_f and theta_r that the contact takes up
+    there and before the hub, and theta_m of the largest contact pixel; all zero without contact."""
     hit, col = F.col("in_contact"), F.col("col")
-    front = F.count_distinct(F.when(hit & (col >= F.col(hub)), col))
+    columns = lambda side: F.count_distinct(F.when(hit & side, col))
     out = marked.groupBy(*keys).agg(
-        front.alias("_front"), F.first(hub).alias("_hub"), F.max_by("col", F.when(hit, F.struct(F.col("p"), -F.col("row"), -col))).alias("_col")
+        columns(col >= F.col(hub)).alias("_front"), columns(col < F.col(hub)).alias("_rear"), F.first(hub).alias("_hub"),
+        F.max_by("col", F.when(hit, F.struct(F.col("p"), -F.col("row"), -col))).alias("_col"),
+    )
+    angle = lambda n: n * column_mm / radius
+    return out.select(
+        *keys, sinkage(F.col("_front"), radius, column_mm).alias("sink"), angle(F.col("_front")).alias("theta_f"), angle(F.col("_rear")).alias("theta_r"),
+        F.coalesce(angle(F.col("_hub") - F.col("_col")), F.lit(0.0)).alias("theta_m"),
     )
-    return out.select(*keys, sinkage(F.col("_front"), radius, column_mm).alias("sink"), (column_mm * (F.col("_hub") - F.col("_col")) / radius).alias("theta_m"))
 
 
 def sharp(marked: DataFrame, keys: Sequence[str], pixels: int = 15, extreme: int = 4, level: float = 80.0) -> DataFrame:
@@ -160,11 +166,17 @@ def lean(marked: DataFrame, keys: Sequence[str], intended: bool = False, quarter
     return out.select(*keys, F.when(F.col("_w").isNull(), 0).when(small("_l"), 1).when(small("_r"), -1).otherwise(0).alias("lean"))
 
 
-def unwrapped(pixels: DataFrame, keys: Sequence[str], hub: str, lags: Sequence[int], subset: str = "all", columns: int = COLUMNS) -> DataFrame:
+def unwrapped(pixels: DataFrame, keys: Sequence[str], hub: str, lags: Sequence[int], subset: str = "all", columns: int = COLUMNS, as_published: bool = False) -> DataFrame:
     """Per frame and lag the pressure column that lies `lag` behind the hub (twice that in a subset, whose columns alternate).
 
-    Frames whose hub column is not of the subset are dropped.
+    Frames whose hub column is not of the subset are dropped. A subset ending in `_noamb` also leaves out frames whose hub column
+    is ambiguous. `as_published` takes the hub's column number for an angle in degrees, as the published means and deviations do.
     """
+    if as_published:
+        pixels = pixels.withColumn(hub, contact_column(F.col(hub), columns))
+    if subset.endswith("_noamb"):
+        pixels = pixels.where(~F.col(hub).isin(AMBIGUOUS))
+        subset = subset.removesuffix("_noamb")
     step = 1 if subset == "all" else 2
     rows = pixels if subset == "all" else pixels.where(F.col(hub) % 2 == (0 if subset.startswith("grouser") else 1))
     at = F.explode(F.array(*[F.struct(F.lit(l).alias("lag"), F.pmod(F.col(hub) - step * l, F.lit(columns)).alias("want")) for l in lags]))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spokeflow.functions.windows import running
+from spokeflow.operators import signal
+from spokeflow.plans.spread import in_pieces, owned
 
 
 def with_run_aggregates(df: DataFrame, run: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -17,6 +20,8 @@ def with_run_aggregates(df: DataFrame, run: Sequence[str], **aggregates: Column)
     Unlike a window over the run it never sorts a run in one task, and adaptive execution splits a run that is hot.
     """
     per = df.groupBy(*[F.col(c).alias(f"_run_{c}") for c in run]).agg(*[v.alias(k) for k, v in aggregates.items()])
+    if not run:
+        return df.crossJoin(F.broadcast(per))  # one row
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_run_{c}")) for c in run])
     return df.join(per, same).drop(*[f"_run_{c}" for c in run])
 
@@ -30,10 +35,11 @@ def iqr_inlier(df: DataFrame, x: str, run: Sequence[str], factor: float, output:
 
 
 def clean_slip(df: DataFrame, x: str, run: Sequence[str], order: Sequence[str], output: str = "clean") -> DataFrame:
-    """Inliers both by value and by running deviation; runs of ten rows or fewer have none."""
-    df = df.withColumn("_sd", running(F.col(x), "std", run, order, 10, 10))
+    """Inliers both by value and by running deviation; runs of ten rows or fewer have none. Long runs are cut into pieces."""
+    rows = in_pieces(df, run, order, 10, 10)
+    rows = owned(rows.withColumn("_sd", running(F.col(x), "std", [*run, "_piece"], ["_rn"], 10, 10)))
     quartiles = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    rows = with_run_aggregates(df, run, _qs=quartiles("_sd"), _qx=quartiles(x), _n=F.count(F.lit(1)))
+    rows = with_run_aggregates(rows, run, _qs=quartiles("_sd"), _qx=quartiles(x), _n=F.count(F.lit(1)))
 
     def inside(c: str, q: str, factor: float) -> Column:
         q1, q3 = F.col(q)[0], F.col(q)[1]
@@ -43,11 +49,34 @@ def clean_slip(df: DataFrame, x: str, run: Sequence[str], order: Sequence[str],
     return rows.withColumn(output, ok).drop("_sd", "_qs", "_qx", "_n")
 
 
-def moving(df: DataFrame, current: str, run: Sequence[str]) -> DataFrame:
-    """Rows with a current; a run without any keeps all rows, for a detector on angles to decide."""
+def moving(df: DataFrame, current: str, run: Sequence[str], angle: str | None = None, order: str | None = None) -> DataFrame:
+    """Rows with a current. A run without any keeps the rows between its first start and first stop by its angle, if one is named."""
     on = F.coalesce(F.nanvl(F.col(current), F.lit(0.0)), F.lit(0.0)) != 0
     rows = with_run_aggregates(df.withColumn("_on", on), run, _some=F.bool_or("_on"))
-    return rows.where("_on or not _some").drop("_on", "_some")
+    if angle is None:
+        return rows.where("_on or not _some").drop("_on", "_some")
+    spans = turning_spans(rows.where("not _some"), angle, run, order)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_span_{c}")) for c in run])
+    rows = rows.join(spans.withColumnsRenamed({c: f"_span_{c}" for c in run}), same, "left")
+    kept = F.when(F.col("_some"), F.col("_on")).otherwise((F.col(order) >= F.col("_first")) & (F.col(order) < F.col("_stop")))
+    return rows.where(kept).drop("_on", "_some", "_first", "_stop", *[f"_span_{c}" for c in run])
+
+
+def turning_spans(df: DataFrame, angle: str, run: Sequence[str], order: str) -> DataFrame:
+    """Per run the values of `order` at its first start and first stop by the detector on its angle; a missing angle repeats the one before.
+
+    A run is one recording: its angles, two numbers a row, are taken together by one task.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*run).schema.fields)
+    kind = df.schema[order].dataType.simpleString()
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(order, kind="stable")
+        start, stop = signal.start_and_stop(rows[angle].astype(float).ffill().fillna(0.0).to_numpy())
+        return pd.DataFrame([[*rows[run].iloc[0], rows[order].iloc[start], rows[order].iloc[stop]]], columns=[*run, "_first", "_stop"])
+
+    run = list(run)
+    return df.select(*run, order, angle).groupBy(*run).applyInPandas(find, f"{fields}, _first {kind}, _stop {kind}")
 
 
 def burn_in(df: DataFrame, run: Sequence[str], order: Sequence[str], low: int) -> DataFrame:
@@ -63,6 +92,16 @@ def finite_rows(df: DataFrame, features: Sequence[str], label: str | None = None
     return df.where(~reduce(lambda a, b: a | b, [bad(c) for c in [*features, *([label] if label else [])]]))
 
 
+def trainable_rows(df: DataFrame, features: Sequence[str], label: str, order: Sequence[str], most: int = 10) -> DataFrame:
+    """`finite_rows`, and of a label with over `most` values only those that `clean_slip` keeps over the whole table in `order`.
+
+    The outliers are found among all rows, those with missing features too.
+    """
+    if df.select(label).distinct().limit(most + 1).count() > most:
+        df = clean_slip(df, label, [], order, "_inlier").where("_inlier").drop("_inlier")
+    return finite_rows(df, features, label)
+
+
 def in_range(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     return df.where(F.col(column).between(low, high))
 
@@ -81,3 +120,8 @@ def select_features(names: Sequence[str], wanted: Sequence[str] | None = None, e
 def complete_fields(line: Column, count: int, sep: str = "\t") -> Column:
     """Whether a line has exactly `count` fields."""
     return F.size(F.split(line, sep)) == count
+
+
+def good_flow(df: DataFrame, quality: str = "quality", over: int = 100) -> DataFrame:
+    """Optical-flow samples whose quality is over a bound."""
+    return df.where(F.col(quality) > over)

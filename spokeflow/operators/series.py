@@ -10,19 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spokeflow.functions import arrays
+from spokeflow.functions.scalars import feature_name
 from spokeflow.functions.windows import TRAIL, frame, trailing, trailing_slope
 from spokeflow.operators import signal
+from spokeflow.plans.spread import in_pieces
 
 SERIES = list(signal.series_features(np.zeros(8)))
 
 
-def sink_features(df: DataFrame, run: Sequence[str], order: Sequence[str], sink: str = "sink", angle: str = "diff_angle", rows: int = TRAIL) -> DataFrame:
-    """Trailing mean, deviation and slope of the sinkage and mean and deviation of an angle."""
-    s, a = F.col(sink), F.col(angle)
+def sink_features(
+    df: DataFrame, run: Sequence[str], order: Sequence[str], sink: str = "sink", front: str = "theta_f", rear: str = "theta_r", largest: str = "theta_m", rows: int = TRAIL,
+) -> DataFrame:
+    """Trailing mean, deviation and slope of the sinkage, mean and deviation of the contact's front angle less its rear one, and mean of the angle of its largest pixel."""
+    s, a = F.col(sink), F.col(front) - F.col(rear)
     return df.withColumns({
         "sink_mean": trailing(s, "mean", run, order, rows), "sink_std": trailing(s, "std", run, order, rows),
-        "sink_slope": trailing_slope(s, run, order, rows),
-        "diff_angle_mean": trailing(a, "mean", run, order, rows), "diff_angle_std": trailing(a, "std", run, order, rows),
+        "sink_slope": trailing_slope(s, run, order, rows), "sink_diff_angle_mean": trailing(a, "mean", run, order, rows),
+        "sink_diff_angle_std": trailing(a, "std", run, order, rows), "sink_theta_m": trailing(F.col(largest), "mean", run, order, rows),
     })
 
 
@@ -52,18 +56,21 @@ def series_columns(x: Column) -> dict[str, Column]:
     }
 
 
-def trailing_series(df: DataFrame, x: str, run: Sequence[str], order: str, rows: int = TRAIL) -> DataFrame:
-    """SERIES features over the trailing rows of each row: (run.., order, features).
+def trailing_series(df: DataFrame, x: str, run: Sequence[str], order: Sequence[str], rows: int = TRAIL, keep: Sequence[str] = (), suffix: str = "", cwt: bool = True) -> DataFrame:
+    """SERIES features over the trailing rows of each row: (run.., order.., keep.., features), their names with a suffix.
 
-    The trailing values travel as one array of at most rows + 1 numbers a row, so no task holds a run.
+    The trailing values travel as one array of at most rows + 1 numbers a row, and a long run is cut into pieces, so
+    no task holds a run.
     """
-    near = F.collect_list(F.col(x).cast("double")).over(frame(run, [order], rows, 0))
-    windows = df.select(*run, order, near.alias("_near"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields[:-1]), *(f"{n} double" for n in SERIES)])
+    pieces = in_pieces(df.select(*dict.fromkeys([*run, *order, x, *keep])), run, order, rows)
+    near = F.collect_list(F.col(x).cast("double")).over(frame([*run, "_piece"], ["_rn"], rows, 0))
+    windows = pieces.withColumn("_near", near).where("_own").select(*dict.fromkeys([*run, *order, *keep]), "_near")
+    names = [n + suffix for n in SERIES]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields[:-1]), *(f"`{n}` double" for n in names)])
 
     def run_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = pd.DataFrame([signal.series_features(np.asarray(v, float)) for v in pdf["_near"]], columns=SERIES)
+            found = pd.DataFrame([list(signal.series_features(np.asarray(v, float), cwt).values()) for v in pdf["_near"]], columns=names)
             yield pd.concat([pdf.drop(columns="_near").reset_index(drop=True), found], axis=1)
 
     return windows.mapInPandas(run_batch, schema)
@@ -95,6 +102,41 @@ def image_features(strips: DataFrame, run: Sequence[str], order: str, lag: str =
     return images.mapInPandas(compute, schema)
 
 
+def frame_regions(frames: DataFrame, key: str, frame: str, rows: int, least: int = 10) -> DataFrame:
+    """Regions of pixels above a frame's Otsu threshold that have `least` pixels: (key, region, PROPERTIES), from flat arrays of `rows` rows."""
+    kind = frames.schema[key].dataType.simpleString()
+    schema = ", ".join([f"`{key}` {kind}, region int", *(f"{n} double" for n in signal.PROPERTIES)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, v in zip(pdf[key], pdf[frame]):
+                image = np.asarray(v, float).reshape(rows, -1)
+                found = signal.label(image > signal.otsu(image))
+                kept = [i for i in range(1, found.max() + 1) if (found == i).sum() >= least]
+                out += [(k, n, *signal.region(found == i, image)) for n, i in enumerate(kept)]
+            yield pd.DataFrame(out, columns=[key, "region", *signal.PROPERTIES])
+
+    return frames.select(key, frame).mapInPandas(run, schema)
+
+
+def degroused(frames: DataFrame, key: str, frame: str, rows: int, name: str = "haar", level: int = 3) -> DataFrame:
+    """Flat frames rebuilt without the detail that lies along their rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            images = [signal.degrouse(np.asarray(v, float).reshape(rows, -1), name, level).ravel() for v in pdf[frame]]
+            yield pd.DataFrame({key: pdf[key], frame: images})
+
+    return frames.select(key, frame).mapInPandas(run, f"`{key}` {frames.schema[key].dataType.simpleString()}, `{frame}` array<double>")
+
+
+def named_features(features: DataFrame, keys: Sequence[str], names: Sequence[str], subset: str, lags: Sequence[int], number: int | None = None) -> DataFrame:
+    """Features per lag, such as `image_features` and `unwrap_features` give, side by side under their published names."""
+    cells = [F.max(F.when(F.col("lag") == l, F.col(n))).alias(feature_name(n, subset, l, number)) for n in names for l in lags]
+    return features.groupBy(*keys).agg(*cells)
+
+
 def rotations(df: DataFrame, angle: str, run: Sequence[str], order: Sequence[str], distance: float = 200.0, circumference: float = 165.0) -> DataFrame:
     """Per run its number of turns and mean slip: gaps of over 100 rows between rows at 360 are whole turns."""
     w = Window.partitionBy(*run).orderBy(*order)
@@ -108,11 +150,11 @@ def rotations(df: DataFrame, angle: str, run: Sequence[str], order: Sequence[str
 
 
 def turning(df: DataFrame, angle: str, run: str, order: str) -> DataFrame:
-    """Per run the first and last row number, from 0, between which the wheel turns."""
+    """Per run the row numbers, from 0, before a turning wheel first starts and before it first stops."""
     kind = df.schema[run].dataType.simpleString()
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[angle].to_numpy(float)
+        x = pdf.sort_values(order, kind="stable")[angle].to_numpy(float)
         start, stop = signal.start_and_stop(x)
         return pd.DataFrame({run: [pdf[run].iloc[0]], "start": [start], "stop": [stop]})
 

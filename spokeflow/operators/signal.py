@@ -262,21 +262,30 @@ def _running_mean(x: np.ndarray, reach: int) -> np.ndarray:
     return np.array([x[max(0, i - reach) : i + reach + 1].mean() for i in range(len(x))]) if len(x) else x
 
 
-def series_features(x: np.ndarray) -> dict[str, float]:
+def zero_runs(x: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of zeros, in order."""
+    zero = np.zeros(len(x) + 2, np.int8)
+    zero[1:-1] = x == 0
+    edges = np.flatnonzero(np.diff(zero))
+    return edges[1::2] - edges[::2]
+
+
+def series_features(x: np.ndarray, cwt: bool = True) -> dict[str, float]:
     """Peaks, jumps and flats of a trailing series of contact counts.
 
-    peak_max_std looks at minima and peak_min_std at maxima, as published.
+    peak_max_std looks at minima and peak_min_std at maxima, as published. Steps of up to 1e-9 are rounding, not jumps.
+    Without `cwt` the feature that takes longest is left out (NaN).
     """
     x = np.asarray(x, float)
     mean = _running_mean(x, 2)
     spread = lambda v: float(np.diff(v).std()) if len(v) > 1 else float("nan")
-    peaks = cwt_peaks(mean)
+    peaks = cwt_peaks(mean) if cwt else np.zeros(0, int)
     coeffs = wavedec(x)
     coarse = waverec([c if i < 4 else c * 0 for i, c in enumerate(coeffs)])
     step = np.diff(coarse)
-    moved = step[step != 0]
+    moved = step[np.abs(step) > 1e-9]
     fine = waverec([c if i == len(coeffs) - 1 else c * 0 for i, c in enumerate(coeffs)])
-    flat = np.diff(np.flatnonzero(np.diff(np.flatnonzero(fine == 0)) > 1))
+    flat = zero_runs(fine)[1:-1]  # the first and the last run have no end of their own
     flat = flat[flat > 4]
     return {
         "peak_max_std": spread(mean[_extrema(x, False)]), "peak_min_std": spread(mean[_extrema(x, True)]),
@@ -311,18 +320,16 @@ def piecewise(y: np.ndarray, depth: int = 5) -> np.ndarray:
 
 
 def start_and_stop(angle: np.ndarray, window: int = 15, still: float = 1e-4) -> tuple[int, int]:
-    """First start and first stop of a turning wheel: a flat piece on one side of a step and none on the other."""
+    """Row before a turning wheel first starts, and row before it first stops; else the first and the last row.
+
+    The steps of the angle's sine (degrees) are smoothed to pieces. A start has `window` still steps before it and
+    as many of which none is still after it; a stop has them the other way round.
+    """
     if len(angle) < 2:
         return 0, max(0, len(angle) - 1)
-    y = piecewise(np.diff(angle))
-    flat = np.abs(y) < still
-    starts, stops = [], []
-    for k in np.flatnonzero(np.diff(y) != 0):
-        if window > k or window > len(y) - k:
-            continue
-        back, ahead = int(flat[k - window : k].sum()), int(flat[k + 1 : k + window + 1].sum())
-        if back == window and ahead == 0:
-            starts.append(int(k))
-        if back == 0 and ahead == window:
-            stops.append(int(k))
-    return (starts or [0])[0], (stops or [len(angle) - 1])[0]
+    steps = piecewise(np.diff(np.sin(np.radians(angle))))
+    calm = np.concatenate(([0], np.cumsum(np.abs(steps) < still)))  # still steps before each place
+    at = np.arange(window, len(steps) - window + 1)
+    before, after = calm[at] - calm[at - window], calm[at + window] - calm[at]
+    starts, stops = at[(before == window) & (after == 0)], at[(before == 0) & (after == window)]
+    return int(starts[0]) - 1 if len(starts) else 0, int(stops[0]) - 1 if len(stops) else len(angle) - 1

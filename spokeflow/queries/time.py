@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from spokeflow.functions import arrays
 from spokeflow.functions import scalars as s
-from spokeflow.functions.windows import circular_running, gaussian, running, trailing, trailing_slope
+from spokeflow.functions.windows import circular_running, gaussian, reach, running, trailing, trailing_slope
 from spokeflow.operators import asof, binning, masks, series
+from spokeflow.plans.spread import in_pieces, owned
 from spokeflow.queries import EV, events, query, r6, rounded, table
 
 _GRID = f"""g AS (SELECT user_id, min(t) AS start, greatest(ceil((max(t) - min(t)) / 3600) - 1, 0)::BIGINT AS bins FROM {EV} GROUP BY 1),
@@ -58,12 +59,13 @@ def smoothed_angle(spark, sf):
     return e.select("user_id", "event_id", r6(circular_running(F.col("a"), ["user_id"], ["t", "event_id"], 5, 5)).alias("angle"))
 
 
-@query(f"""WITH x AS (SELECT user_id, bin, max(CASE WHEN value > 60 THEN 1 ELSE 0 END) AS rock, avg(value) AS depth, min(CASE WHEN value > 60 THEN value END) AS f
+@query(f"""WITH x AS (SELECT user_id, bin, max(CASE WHEN value > 60 THEN 1 ELSE 0 END) AS rock, avg(value) AS depth, min(CASE WHEN value > 60 AND value <= 80 THEN value END) AS f
   FROM (WITH {_GRID} SELECT * FROM k) GROUP BY 1, 2),
-y AS (SELECT *, coalesce(lag(rock) OVER (PARTITION BY user_id ORDER BY bin), rock) + rock = 1 AS half, coalesce(min(f) OVER (PARTITION BY user_id), 0) AS first FROM x)
+y AS (SELECT *, coalesce(lag(rock) OVER (PARTITION BY user_id ORDER BY bin), rock) + rock = 1 AND min(f) OVER (PARTITION BY user_id) IS NOT NULL AS half, min(f) OVER (PARTITION BY user_id) AS first FROM x)
 SELECT user_id, bin, CASE WHEN half THEN 1 ELSE rock END AS rock, round(CASE WHEN half THEN first ELSE depth END, 6) AS rock_depth FROM y""")
 def rock_bins(spark, sf):
-    k = _binned(spark, sf).withColumns({"rock": (F.col("value") > 60).cast("int"), "rock_depth": F.col("value")})
+    flag = F.when(F.col("value") > 80, 2).when(F.col("value") > 60, 1).otherwise(0)
+    k = _binned(spark, sf).withColumns({"rock": flag, "rock_depth": F.col("value")})
     return binning.bin_rocks(k, ["user_id"]).withColumn("rock_depth", F.round("rock_depth", 6))
 
 
@@ -106,14 +108,16 @@ round(max(CASE WHEN user_id % 5 <> 0 THEN value - user_id END) OVER w, 6) + 0.0
 round(stddev_pop(d) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 6) + 0.0 AS smness
 FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN 200 PRECEDING AND CURRENT ROW)""")
 def trailing_features(spark, sf):
-    e, run, order = events(spark, sf), ["event_type"], ["t", "event_id"]
+    e = in_pieces(events(spark, sf), ["event_type"], ["t", "event_id"], 201)
+    run, order = ["event_type", "_piece"], ["_rn"]
     e = series.smoothness(e, "value", run, order)
     e = e.withColumn("user", F.col("user_id").cast("double"))
     e = series.npix_differences(e, run, order, "value", "user", F.col("user_id") % 5 == 0)
     x = F.col("value")
-    return e.select(
-        "event_id", F.round(trailing(x, "mean", run, order), 6).alias("sink_mean"), r6(trailing(x, "std", run, order)).alias("sink_std"),
-        r6(trailing_slope(x, run, order)).alias("sink_slope"), r6("npix_max_diff").alias("max_diff"), r6("npix_min_diff").alias("min_diff"), r6("smness").alias("smness"),
+    e = e.withColumns({"sink_mean": trailing(x, "mean", run, order), "sink_std": trailing(x, "std", run, order), "sink_slope": trailing_slope(x, run, order)})
+    return owned(e).select(
+        "event_id", F.round("sink_mean", 6).alias("sink_mean"), r6("sink_std").alias("sink_std"), r6("sink_slope").alias("sink_slope"),
+        r6("npix_max_diff").alias("max_diff"), r6("npix_min_diff").alias("min_diff"), r6("smness").alias("smness"),
     )
 
 
@@ -139,10 +143,7 @@ def asof_nearest(spark, sf):
 
 @query(f"""SELECT user_id, f.x AS target, arg_min(event_id, (abs(value - f.x), value, event_id)) AS event_id FROM {EV}, (VALUES (10.0::DOUBLE), (25.5::DOUBLE), (60.0::DOUBLE)) f(x) GROUP BY ALL""")
 def nearest_frequency(spark, sf):
-    e = events(spark, sf)
-    rows = e.withColumn("target", F.explode(F.array(*[F.lit(x) for x in (10.0, 25.5, 60.0)])))
-    far = F.struct(F.abs(F.col("value") - F.col("target")), F.col("value"), F.col("event_id"))
-    return rows.groupBy("user_id", "target").agg(F.min_by("event_id", far).alias("event_id"))
+    return asof.nearest_value(events(spark, sf), ["user_id"], "value", [10.0, 25.5, 60.0], ["event_id"]).select("user_id", "target", "event_id")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-06-01' THEN 2.5::DOUBLE WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS offset_mean FROM orders""")
@@ -208,16 +209,58 @@ def series_statistics(spark, sf):
     )
 
 
-@query()
-def trailing_wavelet_features(spark, sf):
-    """Peaks, jumps and flats of trailing series have no SQL form."""
-    return series.trailing_series(events(spark, sf), "value", ["event_type"], "t")
+_RATIOS, _QUANTILES = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0), [i / 10 for i in range(1, 10)]
+_plain = lambda name: name.replace(".", "_")
+
+
+@query(f"""WITH x AS (SELECT user_id, list(value ORDER BY t, event_id) AS x, avg(value) AS m, stddev_pop(value) AS sd, count(*) AS n, sum(value * value) AS e,
+{', '.join(f"quantile_cont(value, {q}) AS q{i}" for i, q in enumerate(_QUANTILES))} FROM {EV} GROUP BY 1)
+SELECT user_id, {', '.join(f"round(len(list_filter(x, lambda y: abs(y - m) > {r} * sd)) / n::DOUBLE, 6) AS {_plain(f'ratio_beyond_{r}_sigma')}" for r in _RATIOS)},
+{', '.join(f"round(q{i}, 6) AS {_plain(f'quantile_{q}')}" for i, q in enumerate(_QUANTILES))},
+{', '.join(f"round(coalesce(list_sum(list_transform(x[({i} * (n // 10) + least({i}, n % 10) + 1):({i} * (n // 10) + least({i}, n % 10) + n // 10 + CASE WHEN {i} < n % 10 THEN 1 ELSE 0 END)], lambda y: y * y)), 0) / e, 6) + 0.0 AS energy_ratio_{i}" for i in range(10))} FROM x""")
+def series_columns(spark, sf):
+    """All ratios, quantiles and energies of the catalogue of series features."""
+    x = events(spark, sf).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))), lambda v: v["value"]).alias("x"))
+    every = series.series_columns(F.col("x"))
+    return x.select("user_id", *[r6(c).alias(_plain(n)) for n, c in every.items() if n.startswith(("ratio_", "quantile_", "energy_"))])
 
 
 @query()
+def trailing_wavelet_features(spark, sf):
+    """Peaks by ridges of a wavelet transform have no SQL form; the other features are compared in trailing_peaks_and_flats."""
+    return series.trailing_series(events(spark, sf), "value", ["event_type"], ["t", "event_id"])
+
+
+_HALF = "list_transform(range(1, (len({0}) + 1) // 2 + 1), lambda i: ({0}[2 * i - 1] + {0}[least(2 * i, len({0}))]) / 2)"
+_SD = "CASE WHEN len({0}) > 1 THEN list_aggregate(list_transform(range(2, len({0}) + 1), lambda i: {0}[i] - {0}[i - 1]), 'stddev_pop') END"
+
+
+@query(f"""WITH e AS (SELECT event_id, list(floor(value / 10)) OVER ({_T} ROWS BETWEEN 200 PRECEDING AND CURRENT ROW) AS x FROM {EV}),
+m AS (SELECT *, len(x) AS n, list_transform(range(1, len(x) + 1), lambda i: list_avg(x[greatest(i - 2, 1):least(i + 2, len(x))])) AS m, {_HALF.format('x')} AS c1 FROM e),
+h2 AS (SELECT *, {_HALF.format('c1')} AS c2 FROM m), h3 AS (SELECT *, {_HALF.format('c2')} AS c3 FROM h2), h4 AS (SELECT *, {_HALF.format('c3')} AS c4 FROM h3),
+p AS (SELECT *, CASE WHEN n < 16 THEN x WHEN n < 32 THEN c1 WHEN n < 64 THEN c2 WHEN n < 128 THEN c3 ELSE c4 END AS c,
+  list_transform(list_filter(range(2, n), lambda i: x[i] > x[i - 1] AND x[i] > x[i + 1]), lambda i: m[i]) AS top, list_transform(list_filter(range(2, n), lambda i: x[i] < x[i - 1] AND x[i] < x[i + 1]), lambda i: m[i]) AS low,
+  CASE WHEN n > 1 THEN list_transform(range(1, (n + 1) // 2 + 1), lambda i: x[2 * i - 1] = x[least(2 * i, n)]) ELSE [x[1] = 0] END AS z, CASE WHEN n > 1 THEN 2 ELSE 1 END AS wide FROM h4),
+r AS (SELECT *, list_filter(list_transform(range(2, len(c) + 1), lambda i: abs(c[i] - c[i - 1])), lambda d: d > 1e-9) AS d,
+  list_filter(range(1, len(z) + 1), lambda i: z[i] AND (i = 1 OR NOT z[greatest(i - 1, 1)])) AS a, list_filter(range(1, len(z) + 1), lambda i: z[i] AND (i = len(z) OR NOT z[least(i + 1, len(z))])) AS b FROM p),
+f AS (SELECT *, list_filter(list_transform(range(2, len(a)), lambda i: wide * (b[i] - a[i] + 1)), lambda k: k > 4) AS f FROM r)
+SELECT event_id, round({_SD.format('low')}, 6) + 0.0 AS peak_max_std, round({_SD.format('top')}, 6) + 0.0 AS peak_min_std, round({_SD.format('x')}, 6) + 0.0 AS smness, round(coalesce(list_max(d), 0), 6) + 0.0 AS wt_jump_max,
+round(list_avg(d), 6) AS wt_jump_mean, round(list_min(c), 6) + 0.0 AS wt_min, round(list_max(c), 6) + 0.0 AS wt_max, coalesce(list_max(f), 0)::DOUBLE AS len_max_flat, len(f)::DOUBLE AS n_flat FROM f""")
+def trailing_peaks_and_flats(spark, sf):
+    """Trailing features of counts: peaks, smoothness, jumps and flats."""
+    e = events(spark, sf).withColumn("npix", F.floor(F.col("value") / 10).cast("double"))
+    out = series.trailing_series(e, "npix", ["event_type"], ["t", "event_id"], cwt=False)
+    names = [n for n in series.SERIES if n != "peak_max_std_cwt"]
+    return out.select("event_id", *[r6(n).alias(n) for n in names])
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, value, row_number() OVER ({_T}) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {EV}), w AS (SELECT k, exp(-0.5 * (k / 3.0::DOUBLE) ** 2) AS w FROM range(-12, 13) r(k)),
+j AS (SELECT e.event_id, e.event_type, n, w, ((i + k) % (2 * n) + 2 * n) % (2 * n) AS j FROM e, w)
+SELECT j.event_id, round(sum(w * f.value) / (SELECT sum(w) FROM w), 6) + 0.0 AS smooth FROM j JOIN e f ON f.event_type = j.event_type AND f.i = CASE WHEN j >= j.n THEN 2 * j.n - 1 - j ELSE j END GROUP BY 1""")
 def gaussian_smoothing(spark, sf):
-    e = events(spark, sf)
-    return e.select("event_id", r6(gaussian(F.col("value"), 3.0, ["event_type"], ["t", "event_id"])).alias("smooth"))
+    e = in_pieces(events(spark, sf), ["event_type"], ["t", "event_id"], reach(3.0), reach(3.0))
+    smooth = gaussian(F.col("value"), 3.0, ["event_type", "_piece"], ["_rn"], number=F.col("_rn"), count=F.col("_n"))
+    return owned(e.withColumn("smooth", smooth)).select("event_id", r6("smooth").alias("smooth"))
 
 
 @query(f"""WITH a AS (SELECT user_id, event_id, t, ceil(CASE WHEN value > 90 THEN 360 ELSE (value * 4) % 360 END)::BIGINT AS a, row_number() OVER ({_W}) AS i FROM {EV}),
@@ -268,6 +311,27 @@ def sensor_geometry(spark, sf):
     )
 
 
+@query(f"""WITH a AS (SELECT event_id, value / 100 - 0.4993 AS x, user_id / 50.0::DOUBLE - 0.0772 AS y, value / 50 - 1 + 1.4496 AS z FROM {EV})
+SELECT event_id, round(sqrt(x * x + y * y + z * z), 6) AS r, round(degrees(acos(z / sqrt(x * x + y * y + z * z))), 5) AS theta, round(sign(y) * degrees(acos(x / sqrt(x * x + y * y))), 5) + 0.0 AS phi,
+round(((degrees(atan(z / (x + 1e-11))) + CASE WHEN x >= 0 THEN 0 ELSE 180 END) % 360 + 360) % 360, 5) + 0.0 AS rot FROM a""")
+def imu_angles(spark, sf):
+    e = events(spark, sf)
+    g = s.imu_angles(F.col("value") / 100, F.col("user_id") / F.lit(50.0), F.col("value") / 50 - 1)
+    return e.select("event_id", F.round(g["r"], 6).alias("r"), F.round(g["theta"], 5).alias("theta"), (F.round(g["phi"], 5) + 0.0).alias("phi"), (F.round(g["rot"], 5) + 0.0).alias("rot"))
+
+
+_M = [[(((3 * i + 5 * j) % 7) - 3.1) / 7.3 for j in range(6)] for i in range(6)]
+_SIX = ["l_quantity", "l_extendedprice / 1000", "l_discount", "l_tax", "l_quantity * l_discount", "l_quantity * l_tax"]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join("round(" + " + ".join(f"({m}::DOUBLE) * ({v})" for m, v in zip(row, _SIX)) + f", 6) + 0.0 AS w{i}" for i, row in enumerate(_M)) + " FROM lineitem")
+def force_transform(spark, sf):
+    """Six readings by a constant 6 x 6 matrix."""
+    li = table(spark, sf, "lineitem")
+    out = s.transform(_M, [F.expr(v) for v in _SIX])
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", *[r6(c).alias(f"w{i}") for i, c in enumerate(out)])
+
+
 @query(f"""WITH s AS (SELECT user_id, floor(t / 86400)::BIGINT AS day, list(value ORDER BY t, event_id) AS re, list(event_id::DOUBLE ORDER BY t, event_id) AS im, list(value * 10 ORDER BY t, event_id) AS freq FROM {EV} GROUP BY 1, 2),
 p AS (SELECT *, list_position(list_transform(freq, lambda f: abs(f - 554.863)), list_min(list_transform(freq, lambda f: abs(f - 554.863)))) AS i FROM s),
 a AS (SELECT user_id, day, sqrt(re[i] * re[i] + im[i] * im[i]) AS a, atan2(im[i], re[i]) AS f FROM p)
