@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spokeflow.plans.lineage import written
 
 
-HUB = 1_000_000  # neighbours from which a node's rows are worth splitting
+HUB = 1_000_000  # edges from which a node may have enough neighbours for its rows to be worth splitting
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, hub: int = HUB) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", hub: int = HUB) -> DataFrame:
     """Label every node that has an edge with the smallest node it can reach.
 
-    Alternates large-star and small-star steps, which shorten paths geometrically. A step is one
-    minimum per node (combined before the shuffle) and one equi-join, so no neighbour list is ever
-    gathered. Each round is written to the shared folder. While a node has over `hub` neighbours the
-    minima are written too: both sides of the joins are then shuffled for them, and adaptive execution
-    can split the node's rows. Null ends and self-loops are ignored. Returns (node, component).
+    Alternates large-star and small-star steps, which shorten paths geometrically, until a round changes nothing. A step is
+    one minimum per node (combined before the shuffle) and one equi-join, so no neighbour list is ever
+    gathered. Each round is written to the shared folder; its count and checksum are taken while it is written. While
+    there are over `hub` edges the minima are written too: both sides of the joins are then shuffled for them, and
+    adaptive execution can split a node's rows. Null ends and self-loops are ignored. Returns (node, component).
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(e)
-    for _ in range(max_rounds):
+    e, before = _round(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while before[0]:
         own = written if before[0] > hub else lambda df: df
         both = _both_ways(e)
         low = own(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -31,14 +30,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = large.where("u <> v").distinct()
         low = own(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e, now = _round(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         # a star forest has one parent per node, and no parent has a parent
-        now = _state(e)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
@@ -49,9 +45,9 @@ def _both_ways(e: DataFrame) -> DataFrame:
     return e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
 
 
-def _state(e: DataFrame) -> tuple:
-    """Most neighbours of a node, edges, and a checksum of them."""
+def _round(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, their number and a checksum of them."""
+    seen = Observation()
     check = F.xxhash64("u", "v").cast("decimal(38,0)")
-    per = _both_ways(e).groupBy("u").agg(F.count("*").alias("d"), F.sum(check).alias("x"))
-    r = per.agg(F.max("d").alias("most"), F.sum("d").alias("n"), F.sum("x").alias("x")).first()
-    return r.most or 0, r.n or 0, r.x
+    table = written(e.observe(seen, F.count("*").alias("n"), F.sum(check).alias("x")))
+    return table, (seen.get["n"], seen.get["x"])

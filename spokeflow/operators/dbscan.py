@@ -1,20 +1,30 @@
-"""Density clustering by cells: candidates by an equi-join on grid cells, exact distances after it."""
+"""Density clustering and neighbours by blocks of points.
+
+Points fall into cubes of side eps over the few dimensions that separate them best; two points within eps lie in the same
+or in touching cubes. A cube is cut into blocks of at most about BLOCK points, and each pair of blocks of touching
+cubes is one unit of work: the points of both meet in one task, which takes their distances as one matrix product and, where
+a distance is too near eps to tell, once more in the order of the dimensions. What comes out of a unit is counts per point
+and at most one link per merge of clusters, never pairs, unless pairs are asked for.
+
+A point is sent to as many units as its block has neighbours. Where no dimension separates the points (many dimensions, wide
+eps) that is one copy for each BLOCK points: the work is that of comparing all with all, the shuffle a BLOCK-th of it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spokeflow.operators.components import connected_components
-from spokeflow.plans.lineage import written
-
+from spokeflow.plans.lineage import bounded_batches, written
 
+BLOCK = 2048  # points of a block, about
 UNROLLED = 128  # dimensions up to which a distance is written out, which compiles; a lambda is interpreted
 
 
@@ -27,51 +37,188 @@ def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
 
 
-def neighbour_pairs(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", grid_dims: int = 3, axes: Sequence[int] | None = None) -> DataFrame:
-    """(a, b) for all ordered pairs of different points within eps.
+def _axes(pts: DataFrame, eps: float, grid_dims: int) -> list[int]:
+    """The widest dimensions, of those that spread over more than three cubes; from one row a dimension."""
+    dims = pts.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("spread"), F.count("v").alias("n")).collect()
+    most = max((d.n for d in dims), default=0)
+    wide = [d for d in dims if d.n == most and (d.spread or 0) > 3 * eps]
+    return [d.i for d in sorted(wide, key=lambda d: (-d.spread, d.i))][:grid_dims]
 
-    A point lies in one cell of eps-wide cubes over at most `grid_dims` chosen dimensions and looks into the 3^d
-    cells around; a pair within eps over all dimensions is within eps on the chosen ones, so none is missed. A
-    crowded cell is split by AQE on the probing side; the other side is replicated by cell only.
-    """
-    x = F.transform(F.col(features), lambda v: v.cast("double"))
-    pts = points.select(F.col(id_col).alias("id"), x.alias("x"))
-    # one row a dimension: how far its values spread and in how many points it occurs
-    dims = pts.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("spread"), F.count("*").alias("n")).collect()
-    n = len(dims) if len({d.n for d in dims}) == 1 else 0
-    if axes is None:  # the widest dimensions separate best
-        axes = [d.i for d in sorted(dims, key=lambda d: (-(d.spread or 0), d.i)) if d.n == max(x.n for x in dims)][:grid_dims]
-    cell = [F.floor(F.col("x")[i] / eps) for i in axes]
-    home = pts.withColumn("cell", F.array(*cell) if axes else F.array(F.lit(0).cast("bigint")))
-    around = F.array(*[F.array(*[c + o for c, o in zip(cell, offset)]) for offset in product((-1, 0, 1), repeat=len(axes))]) if axes else F.array(F.array(F.lit(0).cast("bigint")))
-    probe = pts.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.explode(around).alias("cell"))
-    both = probe.join(home.select(F.col("id").alias("b"), F.col("x").alias("xb"), "cell"), "cell")
-    return both.where((F.col("a") != F.col("b")) & (squared_distance(F.col("xa"), F.col("xb"), n) <= eps * eps)).select("a", "b")
+
+def _units(points: DataFrame, eps: float, id_col: str, features: str, grid_dims: int, axes: Sequence[int] | None, block: int, extra: Sequence[str] = ()) -> DataFrame:
+    """(unit, side, id, x, extra..): the points of each pair of blocks that may hold neighbours; side 0 and 1, or 2 for a block with itself."""
+    pts = points.select(F.col(id_col).alias("id"), F.transform(F.col(features), lambda v: v.cast("double")).alias("x"), *extra)
+    axes = _axes(pts, eps, grid_dims) if axes is None else list(axes)
+    cell = F.array(*[F.floor(F.col("x")[i] / eps) for i in axes]) if axes else F.array(F.lit(0).cast("bigint"))
+    pts = pts.withColumn("cell", cell)
+    cells = pts.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    blocks = written(cells.select("cell", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    around = F.array(*[F.array(*[F.col("cell")[k] + o for k, o in enumerate(offset)]) for offset in product((-1, 0, 1), repeat=max(1, len(axes)))])
+    one = blocks.select("cell", "part", F.explode(around).alias("near"))
+    other = blocks.select(F.col("cell").alias("near"), F.col("part").alias("near_part"))
+    here, there = F.struct("cell", "part"), F.struct(F.col("near").alias("cell"), F.col("near_part").alias("part"))
+    pairs = one.join(other, "near").where(here <= there).select("cell", "part", "near", "near_part", F.xxhash64("cell", "part", "near", "near_part").alias("unit"))
+    alone = here == there
+    member = F.explode(F.when(alone, F.array(F.struct("cell", "part", F.lit(2).alias("side")))).otherwise(
+        F.array(F.struct("cell", "part", F.lit(0).alias("side")), F.struct(F.col("near").alias("cell"), F.col("near_part").alias("part"), F.lit(1).alias("side")))
+    ))
+    members = pairs.select("unit", member.alias("m")).select("unit", "m.cell", "m.part", "m.side")
+    sized = pts.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    return sized.join(members, ["cell", "part"]).select("unit", "side", "id", "x", *extra)
+
+
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of a are within eps of which rows of b."""
+    limit = eps * eps
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    d = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    near = d <= limit
+    doubt = 1e-12 * (aa.max(initial=0) + bb.max(initial=0) + limit) * max(1, a.shape[1])
+    i, j = np.nonzero(np.abs(d - limit) <= doubt)
+    for at in range(0, len(i), 1 << 16):
+        r, c = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        near[r, c] = np.cumsum((a[r] - b[c]) ** 2, axis=1)[:, -1] <= limit if a.shape[1] else True
+    return near
+
+
+def _by_unit(units: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """Runs work(ids_a, x_a, extra_a, ids_b, x_b, extra_b, itself) -> columns over each unit; rows come sorted by unit and side."""
+    bounded_batches(units.sparkSession)
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    extra = units.columns[4:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch | None:
+            side, ids, x = (np.concatenate([h[k] for h in held]) for k in range(3))
+            rest = [np.concatenate([h[3 + k] for h in held]) for k in range(len(extra))]
+            itself = side[0] == 2
+            a, b = (side == 2, side == 2) if itself else (side == 0, side == 1)
+            if not a.any() or not b.any():
+                return None
+            found = work(ids[a], x[a], [r[a] for r in rest], ids[b], x[b], [r[b] for r in rest], itself)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names) if len(found[0]) else None
+
+        for batch in batches:
+            unit = batch.column(0).to_numpy()
+            x = batch.column(3)
+            width = len(x[0]) if len(x) else 0
+            x = x.flatten().to_numpy().reshape(len(unit), width)
+            cuts = np.flatnonzero(np.diff(unit)) + 1
+            for lo, hi in zip(np.concatenate(([0], cuts)).tolist(), np.append(cuts, len(unit)).tolist()):
+                if held and unit[lo] != now:
+                    if (out := done()) is not None:
+                        yield out
+                    held.clear()
+                now = unit[lo]
+                held.append((batch.column(1).to_numpy()[lo:hi], batch.column(2).to_numpy()[lo:hi], x[lo:hi], *[batch.column(4 + k).to_numpy(zero_copy_only=False)[lo:hi] for k in range(len(extra))]))
+        if held and (out := done()) is not None:
+            yield out
+
+    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return units.repartition(parts, "unit").sortWithinPartitions("unit", "side", "id").mapInArrow(run, schema)
+
+
+def neighbour_counts(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", grid_dims: int = 3, axes: Sequence[int] | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, n) of points with neighbours: how many other points lie within eps. Ids are numbers and tell points apart."""
+
+    def count(ids, x, _, jds, y, __, itself):
+        near = _near(x, y, eps)
+        if itself:
+            near[np.arange(len(x)), np.arange(len(x))] = False
+            n = near.sum(1)
+            return ids[n > 0], n[n > 0].astype(np.int64)
+        a, b = near.sum(1), near.sum(0)
+        return np.concatenate([ids[a > 0], jds[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]).astype(np.int64)
+
+    units = _units(points, eps, id_col, features, grid_dims, axes, block)
+    return _by_unit(units, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def neighbour_pairs(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", grid_dims: int = 3, axes: Sequence[int] | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b) for all ordered pairs of different points within eps, where the pairs themselves are wanted."""
+
+    def pairs(ids, x, _, jds, y, __, itself):
+        near = _near(x, y, eps)
+        if itself:
+            near[np.arange(len(x)), np.arange(len(x))] = False
+        i, j = np.nonzero(near)
+        return (ids[i], jds[j]) if itself else (np.concatenate([ids[i], jds[j]]), np.concatenate([jds[j], ids[i]]))
+
+    return _by_unit(_units(points, eps, id_col, features, grid_dims, axes, block), pairs, "a bigint, b bigint")
+
+
+def _merges(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """One link for each merge of components of a symmetric neighbour matrix."""
+    left = np.ones(len(ids), bool)
+    out = []
+    for i in range(len(ids)):
+        if not left[i]:
+            continue
+        left[i] = False
+        front = [i]
+        while front:
+            r = front.pop()
+            new = np.flatnonzero(near[r] & left)
+            left[new] = False
+            out += [(ids[r], ids[c]) for c in new.tolist()]
+            front += new.tolist()
+    return out
 
 
 def dbscan(
     points: DataFrame, eps: float, min_points: int, id_col: str = "id", features: str = "features",
-    count_self: bool = True, grid_dims: int = 3,
+    count_self: bool = True, grid_dims: int = 3, block: int = BLOCK,
 ) -> DataFrame:
     """id, cluster, core. Noise has cluster NULL.
 
     A core point has `min_points` neighbours, itself included or not. A cluster is named by its smallest core
     point; a border point joins the smallest cluster among its core neighbours, which makes the result
     independent of the order of rows. A core point without neighbours is a cluster of its own.
+
+    Two passes over the units: the first counts neighbours, the second links core points (a link for each merge within a
+    unit) and border points (a link to each of the unit's clusters that they touch).
     """
-    pairs = written(neighbour_pairs(points, eps, id_col, features, grid_dims))
     ids = points.select(F.col(id_col).alias("id"))
-    degree = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    degree = neighbour_counts(points, eps, id_col, features, grid_dims, None, block)
     n = F.coalesce(F.col("n"), F.lit(0)) + (1 if count_self else 0)
-    marked = written(ids.join(degree, "id", "left").select("id", (n >= min_points).alias("core")))
+    marked = written(ids.join(degree, "id", "left").select("id", (n >= min_points).alias("core"), (F.coalesce("n", F.lit(0)) > 0).alias("near")))
+    # points without neighbours have no part in links
+    held = points.withColumnRenamed(id_col, "id").join(marked.where("near").select("id", F.col("core").alias("_core")), "id")
+
+    def link(ids, x, core, jds, y, kore, itself):
+        core, kore = core[0].astype(bool), kore[0].astype(bool)
+        near = _near(x, y, eps)
+        if itself:
+            every, solid, all_near = ids, core, near
+        else:
+            every, solid = np.concatenate([ids, jds]), np.concatenate([core, kore])
+            all_near = np.zeros((len(every), len(every)), bool)
+            all_near[: len(ids), len(ids) :], all_near[len(ids) :, : len(ids)] = near, near.T
+        cores = np.flatnonzero(solid)
+        links = _merges(every[cores], all_near[np.ix_(cores, cores)])
+        lead = {}
+
+        def find(i):
+            while lead.get(i, i) != i:
+                i = lead[i]
+            return i
+
+        for p, q in links:
+            lead[max(find(p), find(q))] = min(find(p), find(q))
+        out = [(p, q, True) for p, q in links]
+        for b in np.flatnonzero(~solid):
+            out += [(p, every[b], False) for p in {find(c) for c in every[cores[all_near[b, cores]]].tolist()}]
+        c = list(zip(*out)) or [[], [], []]
+        return np.array(c[0], np.int64), np.array(c[1], np.int64), np.array(c[2], bool)
+
+    units = _units(held, eps, "id", features, grid_dims, None, block, ["_core"])
+    links = written(_by_unit(units, link, "a bigint, b bigint, solid boolean"))
+    named = connected_components(links.where("solid").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     core = marked.where("core").select("id")
-    links = pairs.join(core.withColumnRenamed("id", "a"), "a")
-    among = links.join(core.withColumnRenamed("id", "b"), "b").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    named = connected_components(among)
-    cores = core.join(named, core["id"] == named["node"], "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    cores = written(cores)
-    border = links.join(marked.where("not core").select(F.col("id").alias("b")), "b").join(cores.withColumnRenamed("id", "a"), "a")
-    border = border.groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("cluster"))
+    cores = written(core.join(named, core["id"] == named["node"], "left").select("id", F.coalesce("component", "id").alias("cluster")))
+    border = links.where("not solid").join(cores.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("cluster"))
     return marked.join(cores.unionByName(border), "id", "left").select("id", "cluster", "core")
 
 
@@ -80,26 +227,42 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.count("*").alias("points"), F.count_if("core").alias("cores"))
 
 
-def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", features: str = "features", most: int = 10_000) -> DataFrame:
-    """(query, id, distance, rank): the k nearest other points of each of a bounded set of queries.
+def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, id_col: str = "id", features: str = "features", most_bytes: int = 16 << 20) -> DataFrame:
+    """(query, id, distance, rank): the k nearest other points of each query point.
 
-    Queries are a stated set against all points: `most` of them at most, sent to every worker. A task keeps the k
-    nearest of its own points per query, so k rows a query and task are shuffled. Ties go to the smaller id.
+    Queries are a stated set against all points: they are taken in blocks of `most_bytes`, each sent to every worker for one pass
+    over the points. A task keeps the k nearest of its own points per query, so k rows a query and task are shuffled. Ties
+    go to the smaller id.
     """
-    held = queries.select(id_col, features).limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} queries: take them in blocks")
-    spark = points.sparkSession
-    sent = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float)))
+    found, held, size = None, [], 0
+    for q, x in queries.select(id_col, F.transform(features, lambda v: v.cast("double"))).toLocalIterator():
+        held.append((q, x))
+        size += 8 * len(x) + 8
+        if size >= most_bytes:
+            part = _nearest(points, held, k, id_col, features)
+            found, held, size = part if found is None else found.unionByName(part), [], 0
+    if held or found is None:
+        part = _nearest(points, held, k, id_col, features)
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", F.sqrt("d").alias("distance"), "rank")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nearest(points: DataFrame, held: list[tuple[int, list[float]]], k: int, id_col: str, features: str) -> DataFrame:
+    """(query, id, d): the k nearest points of a task for each query, with squared distances."""
+    sent = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
         if not len(ids):
             return
         best = np.full((len(ids), k), np.inf)
         who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for pdf in batches:
-            x, own = np.array(pdf["_x"].tolist(), float), pdf["_id"].to_numpy(np.int64)
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            if not len(own):
+                continue
+            x = batch.column(1).flatten().to_numpy().reshape(len(own), -1)
             step = max(1, (1 << 22) // max(1, len(ids) * q.shape[1]))
             for at in range(0, len(x), step):
                 part, names = x[at : at + step], own[at : at + step]
@@ -110,9 +273,7 @@ def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, id_col: st
                 order = np.lexsort((name, both), axis=1)[:, :k]
                 best, who = np.take_along_axis(both, order, 1), np.take_along_axis(name, order, 1)
         found = np.isfinite(best)
-        yield pd.DataFrame({"query": np.repeat(ids, found.sum(1)), "id": who[found], "d": best[found]})
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(1))), pa.array(who[found]), pa.array(best[found])], names=["query", "id", "d"])
 
     rows = points.select(F.col(id_col).alias("_id"), F.transform(features, lambda v: v.cast("double")).alias("_x"))
-    near = rows.mapInPandas(run, "query bigint, id bigint, d double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", F.sqrt("d").alias("distance"), "rank")
+    return rows.mapInArrow(run, "query bigint, id bigint, d double")

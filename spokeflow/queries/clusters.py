@@ -18,8 +18,12 @@ def _points(spark, sf):
 
 @query(f"WITH {_PAIRS} SELECT id, n FROM d WHERE n > 0")
 def radius_neighbours(spark, sf):
-    pairs = dbscan.neighbour_pairs(_points(spark, sf), 1.15)
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    return dbscan.neighbour_counts(_points(spark, sf), 1.15)
+
+
+@query(f"WITH {_PAIRS} SELECT a, b FROM p")
+def radius_pairs(spark, sf):
+    return dbscan.neighbour_pairs(_points(spark, sf), 1.15)
 
 
 def _dbscan_sql(self_counts: int) -> str:
@@ -55,19 +59,9 @@ def nearest_neighbours(spark, sf):
     return out.withColumn("distance", F.round("distance", 6))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS a, (c_nationkey * 7 + 3) % 25 AS b FROM customer WHERE c_nationkey % 3 > 0), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
-r AS (SELECT DISTINCT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
-def graph_components(spark, sf):
-    return _nations(table(spark, sf, "customer").where("c_nationkey % 3 > 0"))
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS a, (c_nationkey * 7 + 3) % 25 AS b FROM customer), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT DISTINCT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
-def graph_components_whole(spark, sf):
+def graph_components(spark, sf):
     """The edges of all customers."""
-    return _nations(table(spark, sf, "customer"))
-
-
-def _nations(customers):
-    c = customers.select(F.col("c_nationkey").cast("bigint").alias("src"), ((F.col("c_nationkey") * 7 + 3) % 25).cast("bigint").alias("dst"))
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("src"), ((F.col("c_nationkey") * 7 + 3) % 25).cast("bigint").alias("dst"))
     return components.connected_components(c)
