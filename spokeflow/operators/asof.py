@@ -17,10 +17,11 @@ def _stacked(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str,
 def backward(
     left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str], wrap: bool = False,
 ) -> DataFrame:
-    """The latest row of `right` at or before each row of `left`; with `wrap`, rows before the first get the last."""
+    """The latest row of `right` at or before each row of `left`, of several at one time the largest by its columns; with
+    `wrap`, rows before the first get the last."""
     rows = _stacked(left, right, by, left_ts, right_ts)
     # a right row at the same time sorts before a left one
-    w = Window.partitionBy(*by).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("_ts", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_r", ignorenulls=True).over(w)
     if wrap:
         latest = F.max(F.when(F.col("_r").isNotNull(), F.struct("_ts", "_r"))).over(Window.partitionBy(*by))
@@ -30,9 +31,10 @@ def backward(
 
 
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str]) -> DataFrame:
-    """The row of `right` nearest in time to each row of `left`; the earlier one on ties."""
+    """The row of `right` nearest in time to each row of `left`; the earlier one on ties, of several at one time the largest
+    by its columns if they are earlier and the smallest if they are later."""
     rows = _stacked(left, right, by, left_ts, right_ts)
-    w = Window.partitionBy(*by).orderBy("_ts", "_side")
+    w = Window.partitionBy(*by).orderBy("_ts", "_side", "_r")
     before = F.last(F.when(F.col("_r").isNotNull(), F.struct("_ts", "_r")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(F.when(F.col("_r").isNotNull(), F.struct("_ts", "_r")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumns({"_b": before, "_a": after}).where("_side = 1")
@@ -44,11 +46,11 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str,
 def valid_from(df: DataFrame, versions: DataFrame, date: str, start: str, columns: Sequence[str], base: Sequence = ()) -> DataFrame:
     """The newest version whose start is not after a row's date; rows before all versions get `base` values.
 
-    Versions are a handful of rows (calibrations), so they become one array literal of at most 1,000 entries.
+    Versions are a handful of rows (calibrations), so up to 1,000 become literals; more are joined in time order.
     """
     rows = versions.orderBy(start).limit(1001).collect()
     if len(rows) > 1000:
-        raise ValueError("more than 1,000 versions: use backward()")
+        return _valid_from_many(df, versions, date, start, columns, base)
     out = df
     for i, c in enumerate(columns):
         found = F.lit(base[i]) if base else F.lit(None)
@@ -58,8 +60,20 @@ def valid_from(df: DataFrame, versions: DataFrame, date: str, start: str, column
     return out
 
 
+def _valid_from_many(df: DataFrame, versions: DataFrame, date: str, start: str, columns: Sequence[str], base: Sequence) -> DataFrame:
+    """`valid_from` for any number of versions: per distinct date of `df` its version, joined back to the rows."""
+    dates = df.select(F.lit(0).alias("_k"), F.col(date).alias("_d")).where("_d is not null").distinct()
+    v = versions.select(F.lit(0).alias("_k"), F.col(start).alias("_s"), *[F.col(c).alias(f"_v_{c}") for c in columns])
+    names = [f"_v_{c}" for c in columns]
+    found = backward(dates, v.withColumn("_has", F.lit(True)), ["_k"], "_d", "_s", [*names, "_has"])
+    out = df.join(found.select("_d", "_has", *names), df[date] == F.col("_d"), "left")
+    for i, c in enumerate(columns):
+        out = out.withColumn(c, F.when(F.col("_has"), F.col(f"_v_{c}")).otherwise(F.lit(base[i]) if base else F.lit(None)))
+    return out.drop("_d", "_has", *names)
+
+
 def nearest_value(df: DataFrame, keys: Sequence[str], value: str, targets: Sequence[float], columns: Sequence[str]) -> DataFrame:
-    """Per key and target the row whose value is nearest; the smaller value on ties."""
+    """Per key and target the row whose value is nearest; the smaller value on ties, then the smallest row by `columns`."""
     rows = df.withColumn("target", F.explode(F.array(*[F.lit(float(t)) for t in targets])))
-    far = F.struct(F.abs(F.col(value) - F.col("target")), F.col(value))
+    far = F.struct(F.abs(F.col(value) - F.col("target")), F.col(value), *columns)
     return rows.groupBy(*keys, "target").agg(*[F.min_by(c, far).alias(c) for c in columns])

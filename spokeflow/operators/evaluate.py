@@ -55,9 +55,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 10
 
 
 def kernel_density(df: DataFrame, value: str, points: Sequence[float], bandwidth: float = 0.5) -> DataFrame:
-    """Gaussian kernel density at given points, in one pass: each row adds to a fixed array of sums."""
-    if len(points) > 1000:
-        raise ValueError("at most 1,000 points")
+    """Gaussian kernel density at given points, in one pass: each task sums its rows' shares per point, so a row a point and task is shuffled."""
     norm = 1 / (bandwidth * math.sqrt(2 * math.pi))
     x = F.explode(F.array(*[F.lit(float(p)) for p in points]))
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), x.alias("x"))
@@ -81,3 +79,18 @@ def sweep(spark, **grid: Sequence) -> DataFrame:
     for name, values in grid.items():
         out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return out
+
+
+#: How the programs under test print what a sweep records.
+PRINTED = {
+    "runtime": r"Parallel DBSCAN \(init, local computation, and merging\) took (\d+\.\d+)", "clusters": r"Total number of clusters (\d+)",
+    "samples": r"Test samples: (\d+)", "predict_time": r"Predict took: (\d+\.\d+)", "error_rate": r"the total error rate is:(\d+\.\d+)",
+}
+
+
+def run_results(df: DataFrame, output: str) -> DataFrame:
+    """Adds the numbers that a run printed, NULL where absent; runtime of a forest is its prediction time a sample, and accuracy one less its error rate."""
+    found = {k: F.try_to_number(F.nullif(F.regexp_extract(output, p, 1), F.lit("")), F.lit("9999999999.999999999")).cast("double") for k, p in PRINTED.items()}
+    out = df.withColumns(found)
+    runtime = F.coalesce("runtime", F.try_divide("predict_time", "samples"))
+    return out.withColumns({"runtime": runtime, "accuracy": 1 - F.col("error_rate"), "clusters": F.col("clusters").cast("bigint")}).drop("samples", "predict_time", "error_rate")

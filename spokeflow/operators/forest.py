@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GAP = 1e-6
@@ -67,16 +67,22 @@ def _best_split(x: np.ndarray, y: np.ndarray, classes: int, least: int) -> tuple
     return float(gain[i]), float((s[i] + s[i + 1]) / 2)
 
 
+def feature_count(option: str, features: int) -> int:
+    """Features that a node looks at: `auto` and `sqrt` the root of all, `log2` their logarithm, `none` all."""
+    count = {"auto": np.sqrt, "sqrt": np.sqrt, "log2": np.log2, "none": float}[option.lower()](features)
+    return max(1, int(count))
+
+
 def grow(
     x: np.ndarray, y: np.ndarray, classes: int, max_depth: int = 10, min_leaf: int = 1,
-    max_features: int | None = None, seed: int = 0, bootstrap: bool = True,
+    max_features: int | str | None = None, seed: int = 0, bootstrap: bool = True,
 ) -> Tree:
-    """One tree; `classes` 0 grows a regression tree."""
+    """One tree; `classes` 0 grows a regression tree. `max_features` are looked at in a node: a number, or an option of `feature_count`."""
     rng = np.random.default_rng(seed)
     if bootstrap:
         pick = rng.integers(0, len(x), len(x))
         x, y = x[pick], y[pick]
-    some = max_features or max(1, int(np.sqrt(x.shape[1])))
+    some = max_features if isinstance(max_features, int) and max_features else feature_count(max_features or "auto", x.shape[1])
     nodes: list[list[float]] = []
 
     def leaf(rows: np.ndarray) -> list[float]:
@@ -141,7 +147,12 @@ def fit_forest(
     hash of their values.
     """
     data = df.select(*[F.col(c).cast("double") for c in features], F.col(label).cast("double")).dropna()
-    data = data.orderBy(F.xxhash64(*data.columns), *data.columns).limit(sample).toPandas()
+    rows = data.count()
+    h = F.xxhash64(*data.columns)
+    if rows > sample:  # a share of the hash's range that holds some more than that, so only those are sorted
+        low = -(1 << 63)
+        data = data.where(h < F.lit(min((1 << 63) - 1, low + int((1 << 64) * min(1.0, 1.1 * sample / rows + 1000 / rows)))))
+    data = data.orderBy(h, *data.columns).limit(sample).toPandas()
     x, y = data[features].to_numpy(float), data[label].to_numpy(float)
     spark = df.sparkSession
     held = spark.sparkContext.broadcast((x, y))
@@ -166,6 +177,11 @@ def load_trees(nodes: DataFrame) -> list[Tree]:
     return [Tree(*(g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "value", "share"))) for _, g in table.groupby("tree")]
 
 
+def read_forest(spark: SparkSession, path: str) -> list[Tree]:
+    """Trees of a node table that `writers.write_forest` wrote."""
+    return load_trees(spark.read.parquet(path))
+
+
 def apply_forest(df: DataFrame, trees: list[Tree], features: list[str], classes: int, output: str = "prediction") -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(trees)
 

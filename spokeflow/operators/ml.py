@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from spokeflow.functions.scalars import blind_spot
 from spokeflow.operators.assemble import aligned, group_folds
+from spokeflow.plans.lineage import written
+from spokeflow.plans.spread import numbered
 
 SEED = 5432
 
@@ -46,8 +49,12 @@ def forest_classifier(features: Sequence[str], label: str = "label", trees: int
 
 def out_of_fold(df: DataFrame, estimator, group: str, folds: int = 10, seeds: Sequence[int] = (SEED,)) -> DataFrame:
     """Predictions for every row by a model that saw no row of its group, one set per seed."""
-    table = group_folds(df, group, folds)
-    rows = df.join(F.broadcast(table), group).cache()
+    rows = written(df.join(group_folds(df, group, folds), group))
+    return _over_folds(rows, estimator, folds, seeds)
+
+
+def _over_folds(rows: DataFrame, estimator, folds: int, seeds: Sequence[int]) -> DataFrame:
+    """Each fold's rows by a model that was fitted on the others, one set per seed."""
     out = None
     for seed in seeds:
         for fold in range(folds):
@@ -61,14 +68,56 @@ def out_of_fold(df: DataFrame, estimator, group: str, folds: int = 10, seeds: Se
 
 
 def stratified_folds(df: DataFrame, label: str, folds: int = 3, seed: int = SEED, key: str = "id") -> DataFrame:
-    """Adds fold: rows of each label in the order of a seeded hash, dealt in turn by hash bucket."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(label).cast("string"), key, F.lit(seed)), F.lit(folds)).cast("int"))
+    """Adds fold: rows of each label in the order of a seeded MD5 of their key, dealt in turn, so folds of a label differ by one row at most.
+
+    Labels of any number of rows are numbered by ranges, not sorted in one task.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    rows = numbered(df.withColumn("_h", h), [label], ["_h", key])
+    return rows.withColumn("fold", (F.col("_rn") % folds).cast("int")).drop("_h", "_rn", "_n")
+
+
+def without_angle(df: DataFrame, angle: str, degrees: Sequence[float] = (270.0,)) -> DataFrame:
+    """Rows taken at none of these wheel angles; a missing angle stays."""
+    return df.where(~F.coalesce(F.col(angle).isin(*degrees), F.lit(False)))
+
+
+def out_of_stratum(df: DataFrame, estimator, label: str, folds: int = 3, seeds: Sequence[int] = tuple(range(SEED, SEED + 20)), key: str = "id") -> DataFrame:
+    """Predictions for every row by a model that did not see it, over folds that hold each label alike, dealt anew for each seed."""
+    out = None
+    for seed in seeds:
+        part = _over_folds(written(stratified_folds(df, label, folds, seed, key)), estimator, folds, [seed])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def predicted(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Predictions with the model's features picked by name; a missing one is an error."""
+    """Predictions for every row, with the model's features picked by name; a missing feature column is an error.
+
+    A row with a missing number has no prediction: NaN, and no probability.
+    """
     aligned(df, features)
-    return model.transform(df.dropna(subset=list(features))).select(*keep, "prediction", *(["probability"] if "probability" in model.transform(df.limit(0)).columns else []))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in features])
+    filled = df.withColumn("_whole", whole).withColumns({c: F.when(F.col("_whole"), F.col(c).cast("double")).otherwise(0.0) for c in features})
+    out = model.transform(filled)
+    out = out.withColumn("prediction", F.when(F.col("_whole"), F.col("prediction")).otherwise(F.lit(float("nan"))))
+    if "probability" not in out.columns:
+        return out.select(*keep, "prediction")
+    return out.withColumn("probability", F.when(F.col("_whole"), F.col("probability"))).select(*keep, "prediction", "probability")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """One fitted model at a path, in place of what stood there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def with_rock(df: DataFrame, probability: str = "probability") -> DataFrame:
+    """The probability of a rock, class 1."""
+    return df.withColumn("rock", vector_to_array(probability)[1])
 
 
 def with_class(df: DataFrame, names: Sequence[str], probability: str = "probability") -> DataFrame:

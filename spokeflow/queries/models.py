@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+import uuid
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spokeflow.operators import assemble, evaluate, forest, masks, ml
-from spokeflow.plans.lineage import written
+from spokeflow.plans.lineage import shared_folder, written
 from spokeflow.queries import events, query, r6, rounded, table
+from spokeflow.sources import writers
 
 
 def _wide(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 9).alias("run"), F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(12)])
+    return e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 9).alias("run"), F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
 
 
-_F = [f"f{i}" for i in range(12)]
+_F = [f"f{i}" for i in range(64)]
 
 
-@query("""WITH g AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, n FROM g""")
-def group_sizes(spark, sf):
-    """Folds by greedy choice are tested on their own; here each group has exactly one and keeps its rows."""
-    li = table(spark, sf, "lineitem")
-    folds = assemble.group_folds(li, "l_suppkey", 10)
-    return li.join(F.broadcast(folds), "l_suppkey").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+@query("""WITH RECURSIVE g AS (SELECT l_suppkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS i FROM lineitem GROUP BY 1),
+s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS l_suppkey, 0::BIGINT AS fold, list_transform(range(10), lambda x: 0::BIGINT) AS held
+  UNION ALL SELECT g.i, g.l_suppkey, list_position(held, list_min(held)) - 1, list_transform(range(1, 11), lambda k: held[k] + CASE WHEN k = list_position(held, list_min(held)) THEN g.n ELSE 0 END) FROM s JOIN g ON g.i = s.i + 1)
+SELECT l_suppkey, fold::INT AS fold FROM s WHERE i > 0""")
+def group_folds(spark, sf):
+    """Groups, the largest first, each in the fold of the fewest rows so far."""
+    return assemble.group_folds(table(spark, sf, "lineitem"), "l_suppkey", 10)
 
 
 @query()
@@ -45,9 +49,9 @@ def composition_classes(spark, sf):
 
 @query()
 def hydration_levels(spark, sf):
-    df = _wide(spark, sf).withColumn("rot", (F.col("id") % 360).cast("double"))
-    model = ml.forest_classifier(_F).fit(df)
-    out = ml.hydration(model.transform(df), "rot")
+    """Out-of-fold levels over stratified folds, without rows at the angle that is left out."""
+    df = ml.without_angle(_wide(spark, sf).withColumn("rot", (F.col("id") % 36 * 10).cast("double")), "rot")
+    out = ml.hydration(ml.out_of_stratum(df, ml.forest_classifier(_F), "label", 3, [ml.SEED]), "rot")
     return out.select("id", r6("p_dry").alias("p_dry"), r6("p_max").alias("p_max"), "level")
 
 
@@ -131,16 +135,16 @@ def kernel_density(spark, sf):
 @query()
 def feature_elimination(spark, sf):
     df = _wide(spark, sf)
-    left = ml.eliminated(df, lambda f: ml.forest_classifier(f, trees=3, depth=4), _F[:5], 3)
+    left = ml.eliminated(df, lambda f: ml.forest_classifier(f, trees=3, depth=4), _F, 16, 16)
     return spark.createDataFrame([(f,) for f in left], "feature string")
 
 
-@query()
+@query("""SELECT vec_id AS id, ((row_number() OVER (PARTITION BY label ORDER BY md5('5432:' || vec_id), vec_id) - 1) % 3)::INT AS fold FROM embeddings""")
 def stratified_folds(spark, sf):
-    return ml.stratified_folds(_wide(spark, sf), "label").groupBy("label", "fold").agg(F.count("*").alias("n"))
+    return ml.stratified_folds(_wide(spark, sf).select("id", "label"), "label").select("id", "fold")
 
 
-@query()
+@query("SELECT vec_id AS id, 1.0::DOUBLE AS total FROM embeddings")
 def class_probabilities(spark, sf):
     df = _wide(spark, sf)
     model = ml.forest_classifier(_F, trees=5).fit(df)
@@ -148,6 +152,85 @@ def class_probabilities(spark, sf):
     return model.transform(df).select("id", r6(F.aggregate(p, F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 
+def _probable(df):
+    """Four class probabilities and an angle from a row's numbers."""
+    parts = [F.abs(F.col(f"f{i}")) + 0.01 for i in range(4)]
+    total = parts[0] + parts[1] + parts[2] + parts[3]
+    return df.select("id", (F.col("id") % 36 * 10).cast("double").alias("rot"), array_to_vector(F.array(*[p / total for p in parts])).alias("probability"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, (vec_id % 36 * 10)::DOUBLE AS rot, list_transform(embedding[1:4], lambda x: abs(x::DOUBLE) + 0.01) AS a FROM embeddings), p AS (SELECT id, rot, list_transform(a, lambda x: x / list_sum(a)) AS p FROM v)
+SELECT id, round(list_max(p), 6) AS confidence, 'class' || (list_position(p, list_max(p)) - 1) AS class, round(p[2], 6) AS rock, CASE WHEN rot > 250 AND rot < 290 THEN NULL ELSE round(p[1], 6) END AS p_dry,
+CASE WHEN rot > 250 AND rot < 290 THEN NULL ELSE round(list_max(p), 6) END AS p_max, CASE WHEN rot > 250 AND rot < 290 THEN NULL ELSE (list_position(p, list_max(p)) - 1)::DOUBLE END AS level FROM p""")
+def prediction_outputs(spark, sf):
+    """What is read off class probabilities: name, rock, hydration."""
+    out = ml.hydration(ml.with_rock(ml.with_class(_probable(_wide(spark, sf)), [f"class{i}" for i in range(4)])), "rot")
+    return out.select("id", r6("confidence").alias("confidence"), "class", r6("rock").alias("rock"), r6("p_dry").alias("p_dry"), r6("p_max").alias("p_max"), "level")
+
+
+@query("SELECT vec_id AS id, vec_id % 5 = 0 AS missing FROM embeddings")
+def predictions_of_missing_features(spark, sf):
+    """Every row has a prediction, NaN where a feature is missing."""
+    df = _wide(spark, sf)
+    model = ml.forest_classifier(_F[:8], trees=3, depth=4).fit(df)
+    gaps = df.withColumn("f3", F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("f3")))
+    return ml.predicted(model, gaps, _F[:8], ["id"]).select("id", F.isnan("prediction").alias("missing"))
+
+
+@query("SELECT vec_id AS id, true AS same FROM embeddings")
+def model_round_trip(spark, sf):
+    """A fitted model saved, loaded and applied: equal predictions."""
+    df = _wide(spark, sf)
+    model = ml.forest_classifier(_F[:8], trees=3, depth=4).fit(df)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    ml.save_model(model, path)
+    first, again = (ml.predicted(m, df, _F[:8], ["id"]) for m in (model, ml.load_model(path)))
+    both = first.join(again.withColumnsRenamed({"prediction": "q", "probability": "r"}), "id")
+    equal = (F.col("prediction") == F.col("q")) & (vector_to_array("probability") == vector_to_array("r"))
+    return both.select("id", equal.alias("same"))
+
+
+@query("SELECT vec_id AS id, true AS same FROM embeddings")
+def forest_round_trip(spark, sf):
+    """A forest's node table written and read: equal votes."""
+    df = _wide(spark, sf)
+    classes = 1 + int(df.agg(F.max("label")).first()[0])
+    nodes = written(forest.fit_forest(df, _F, "label", classes, trees=4, max_depth=5, max_features="log2"))
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    writers.write_forest(nodes, path)
+    out = forest.apply_forest(df, forest.load_trees(nodes), _F, classes, "p")
+    out = forest.apply_forest(out, forest.read_forest(spark, path), _F, classes, "q")
+    return out.select("id", (F.col("p") == F.col("q")).alias("same"))
+
+
+@query("""WITH v AS (SELECT vec_id, ((vec_id * 37) % 101)::DOUBLE AS y, unnest(range(64)) AS f, unnest(embedding)::DOUBLE AS x FROM embeddings),
+o AS (SELECT f, x, row_number() OVER w AS i, sum(y) OVER (PARTITION BY f ORDER BY x, vec_id ROWS UNBOUNDED PRECEDING) AS s, lead(x) OVER w AS z, count(*) OVER (PARTITION BY f) AS n, sum(y) OVER (PARTITION BY f) AS t FROM v WINDOW w AS (PARTITION BY f ORDER BY x, vec_id)),
+g AS (SELECT f, (x + z) / 2 AS cut, s / i AS below, (t - s) / (n - i) AS above, s * s / i + (t - s) * (t - s) / (n - i) - t * t / n AS gain FROM o WHERE z - x >= 1e-6)
+SELECT arg_max(f, gain)::INT AS feature, round(arg_max(cut, gain), 6) + 0.0 AS threshold, round(arg_max(below, gain), 6) AS below, round(arg_max(above, gain), 6) AS above FROM g""")
+def cart_root(spark, sf):
+    """The split of largest gain over all rows and features, and the means of its sides."""
+    df = _wide(spark, sf).withColumn("y", (F.col("id") * 37 % 101).cast("double"))
+    nodes = forest.fit_forest(df, _F, "y", 0, trees=1, max_depth=1, max_features="none", bootstrap=False)
+    at = lambda c, node: F.max(F.when(F.col("node") == node, F.col(c)))
+    sides = nodes.agg(at("feature", 0).alias("feature"), r6(at("threshold", 0)).alias("threshold"), at("left", 0).alias("l"), at("right", 0).alias("r"), F.map_from_entries(F.collect_list(F.struct("node", "value"))).alias("v"))
+    return sides.select("feature", "threshold", F.round(F.col("v")[F.col("l")], 6).alias("below"), F.round(F.col("v")[F.col("r")], 6).alias("above"))
+
+
+_STUMPS = [(0, 0.0, 0, 0.9, 2, 0.6), (1, 0.01, 1, 0.7, 0, 0.55), (2, -0.02, 2, 0.5, 1, 0.8)]  # feature, threshold, class and share below and above
+
+
+@query("WITH v AS (SELECT vec_id AS id, " + ", ".join(
+    " + ".join(f"CASE WHEN embedding[{f + 1}]::DOUBLE < {t} THEN {sa if a == c else 0.0}::DOUBLE ELSE {sb if b == c else 0.0}::DOUBLE END" for f, t, a, sa, b, sb in _STUMPS) + f" AS v{c}" for c in range(3)
+) + " FROM embeddings) SELECT id, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0.0::DOUBLE WHEN v1 >= v2 THEN 1.0 ELSE 2.0 END AS prediction FROM v")
+def forest_votes(spark, sf):
+    """Leaf shares summed by class over a forest; the largest sum, the first class on ties."""
+    rows = []
+    for k, (f, t, a, sa, b, sb) in enumerate(_STUMPS):
+        rows += [(k, 0, f, t, 1, 2, 0.0, 0.0), (k, 1, -1, 0.0, -1, -1, float(a), sa), (k, 2, -1, 0.0, -1, -1, float(b), sb)]
+    trees = forest.load_trees(spark.createDataFrame(rows, "tree int, node int, feature int, threshold double, left int, right int, value double, share double"))
+    return forest.apply_forest(_wide(spark, sf), trees, _F, 3).select("id", "prediction")
+
+
 def _numbered(df, keys, name: str):
     """Adds numbers without gaps, from 0, in the order of hash buckets and of the keys in each; and how many there are."""
     rows = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(64)))
@@ -169,7 +252,7 @@ def _lifecycle(spark, sf):
     e = events(spark, sf)
     samples = e.select(F.col("user_id").alias("run_id"), channel[F.col("event_type")].alias("channel"), F.col("t").alias("ts"), "value").where("channel is not null")
     binned = written(lifecycle.unify(samples, width=6 * 3600.0))
-    moving = masks.burn_in(masks.moving(binned, "current", ["run_id"]), ["run_id"], ["bin"], 0)
+    moving = masks.burn_in(masks.moving(binned, "current", ["run_id"], "rho", "bin"), ["run_id"], ["bin"], 0)
     bins, n_bins = _numbered(moving.select("run_id", "bin"), ["run_id", "bin"], "i")
     frame, n_frames = _numbered(table(spark, sf, "embeddings").select("vec_id", "embedding"), ["vec_id"], "j")
     turn = F.lit(max(1, min(n_bins, n_frames)))
@@ -191,7 +274,8 @@ def lifecycle_predictions(spark, sf):
     """A slip model fitted on the features and applied with its features picked by name."""
     from spokeflow.plans import lifecycle
 
-    names = ["npix_all", "area_ratio", "sink_mean", "sink_std", "diff_angle_mean"]
-    rows = lifecycle.training_table([_lifecycle(spark, sf).select("run_id", "t", "slip", *[F.col(n).cast("double").alias(n) for n in names])], names, "slip").cache()
+    names = ["npix_all", "area_ratio", "sink_mean", "sink_std", "sink_diff_angle_mean", "sink_theta_m"]
+    features = _lifecycle(spark, sf).select("run_id", "t", "slip", *[F.col(n).cast("double").alias(n) for n in names])
+    rows = written(lifecycle.training_table([features], names, "slip", ["run_id", "t"]))
     model = ml.regressor(names, "slip", trees=3, leaf=5).fit(rows)
     return ml.predicted(model, rows, names, ["run_id", "t"]).select("run_id", "t", r6("prediction").alias("prediction"))
