@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from spokeflow.plans.lineage import shared_folder
-from spokeflow.queries import EV, events, query, r6, table
+from spokeflow.queries import EV, PX, events, pixels, query, r6, table
+from spokeflow.sources import readers
 from spokeflow.streaming import live
 
 
@@ -19,10 +20,9 @@ def _replayed(spark, sf, parts: int = 3):
 
 
 def _drained(df, mode: str):
-    """The stream's table in memory, with its state and progress in the shared folder."""
-    spark = df.sparkSession
-    name = f"live_{uuid.uuid4().hex}"
-    return live.collected(df, name, mode, f"{shared_folder(spark)}/{name}")
+    """What the stream leaves in the shared folder, with its state and progress beside it."""
+    place = f"{shared_folder(df.sparkSession)}/live-{uuid.uuid4().hex}"
+    return live.collected(df, f"{place}/rows", mode, f"{place}/progress")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL""")
@@ -77,7 +77,22 @@ def thinned_samples(spark, sf):
     return live.thinned(events(spark, sf), "t", ["user_id"], 86400.0).select("event_id")
 
 
-@query()
+@query("SELECT event_type, round(avg(m), 6) AS mean FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS d, avg(value) AS m FROM events GROUP BY ALL) GROUP BY 1")
 def stream_means_of_mean(spark, sf):
     out = _drained(live.tumbling_means(_replayed(spark, sf), "ts", "value", ["event_type"], "1 day"), "complete")
     return out.groupBy("event_type").agg(r6(F.avg("mean")).alias("mean"))
+
+
+@query(f"""SELECT t AS frame, 'scan' AS topic, 16 AS x_coils, 4 AS y_coils, round(sum(p) / 256, 6) + 0.0 AS total FROM {PX} GROUP BY 1""")
+def stream_publish(spark, sf):
+    """Frames that arrive as files, published as messages until the stream is stopped, and read again."""
+    px = pixels(spark, sf)
+    rows = px.groupBy("t", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "p"))), lambda c: c["p"]).alias("r"))
+    words = rows.groupBy(F.col("t").alias("frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "r"))), lambda c: c["r"]).alias("words"))
+    place = f"{shared_folder(spark)}/publish-{uuid.uuid4().hex}"
+    words.repartition(3).write.parquet(f"{place}/frames")
+    publisher = live.Publisher(live.replay(spark, f"{place}/frames", words.schema), f"{place}/messages", "scan", f"{place}/progress")
+    publisher.stop()
+    back = readers.frame_messages(publisher.messages())
+    total = F.aggregate(F.flatten("frame_data"), F.lit(0.0), lambda a, b: a + b)
+    return back.select("frame", "topic", "x_coils", "y_coils", r6(total).alias("total"))

@@ -20,15 +20,9 @@ def _fresh(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"""SELECT t AS frame_ts, "row", col, round(p, 6) + 0.0 AS p FROM {PX} WHERE t < 50""")
-def pressure_files(spark, sf):
-    """Frames written as pressure text, one file a frame, and read again."""
-    return _pressure(spark, pixels(spark, sf).where("t < 50"))
-
-
 @query(f"""SELECT t AS frame_ts, "row", col, round(p, 6) + 0.0 AS p FROM {PX}""")
-def pressure_files_whole(spark, sf):
-    """All frames."""
+def pressure_files(spark, sf):
+    """Frames written as pressure text, and read again."""
     return _pressure(spark, pixels(spark, sf))
 
 
@@ -41,15 +35,9 @@ def _pressure(spark, px):
     return back.select(F.round("ts").cast("bigint").alias("frame_ts"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), r6("p").alias("p"))
 
 
-@query(f"""SELECT user_id, count(*) AS n, round(sum(value), 6) AS re, round(sum(event_id)::DOUBLE, 6) + 0.0 AS im, round(max(t), 3) + 0.0 AS f FROM {EV} WHERE user_id < 40 GROUP BY 1""")
-def impedance_files(spark, sf):
-    """Sweeps written as text blocks and read again."""
-    return _impedance(spark, events(spark, sf).where("user_id < 40"))
-
-
 @query(f"""SELECT user_id, count(*) AS n, round(sum(value), 6) AS re, round(sum(event_id)::DOUBLE, 6) + 0.0 AS im, round(max(t), 3) + 0.0 AS f FROM {EV} GROUP BY 1""")
-def impedance_files_whole(spark, sf):
-    """The sweeps of all users."""
+def impedance_files(spark, sf):
+    """Sweeps written as text blocks, a file a user, and read again."""
     return _impedance(spark, events(spark, sf))
 
 
@@ -179,14 +167,8 @@ def metric_file(spark, sf):
     return spark.read.option("header", True).schema("n bigint, mean double").csv(path)
 
 
-@query("SELECT c_custkey, c_name AS note FROM customer WHERE c_custkey < 100")
-def note_file(spark, sf):
-    return _notes(spark, table(spark, sf, "customer").where("c_custkey < 100"))
-
-
 @query("SELECT c_custkey, c_name AS note FROM customer")
-def note_file_whole(spark, sf):
-    """The notes of all customers."""
+def note_file(spark, sf):
     return _notes(spark, table(spark, sf, "customer"))
 
 
@@ -294,3 +276,58 @@ def lookup_join(spark, sf):
 @query("SELECT event_id, len(string_split(props, ':')) = 2 AS complete FROM events")
 def complete_lines(spark, sf):
     return events(spark, sf).select("event_id", masks.complete_fields(F.col("props"), 2, ":").alias("complete"))
+
+
+@query(f"""WITH m AS (SELECT user_id, CASE WHEN event_type IN ('click', 'error') THEN 'rock' ELSE 'dune' END AS kind, event_type IN ('click', 'view') AS s, t FROM {EV} WHERE event_type IN ('click', 'error', 'view', 'purchase'))
+SELECT user_id, 'run ' || user_id AS notes, count(CASE WHEN kind = 'rock' AND s THEN 1 END)::INT AS rock_starts, count(CASE WHEN kind = 'rock' AND NOT s THEN 1 END)::INT AS rock_ends,
+round(min(CASE WHEN kind = 'dune' AND s THEN t END), 3) AS first_dune, round(max(CASE WHEN kind = 'dune' AND NOT s THEN t END), 3) AS last_dune FROM m GROUP BY 1""")
+def run_notes(spark, sf):
+    """Nested notes with lists of times, written as JSON and read again."""
+    e = events(spark, sf).where(F.col("event_type").isin("click", "error", "view", "purchase"))
+    kind = F.when(F.col("event_type").isin("click", "error"), "rock").otherwise("dune")
+    sign = F.when(F.col("event_type").isin("click", "view"), "start").otherwise("end")
+    marks = e.select("user_id", kind.alias("kind"), sign.alias("sign"), "t")
+    notes = e.select("user_id").distinct().withColumn("notes", F.concat(F.lit("run "), F.col("user_id").cast("string")))
+    path = _fresh(spark, "notes")
+    writers.write_notes(writers.run_notes(notes, marks, "user_id", "kind", "t"), path)
+    back = spark.read.schema("user_id bigint, notes string, run_features_time map<string,array<double>>").json(path)
+    times = lambda k: F.col("run_features_time")[k]
+    n = lambda k: F.coalesce(F.size(F.filter(times(k), lambda t: t.isNotNull())), F.lit(0))
+    return back.select(
+        "user_id", "notes", n("rock_start").alias("rock_starts"), n("rock_end").alias("rock_ends"), F.round(F.array_min(times("dune_start")), 3).alias("first_dune"),
+        F.round(F.array_max(times("dune_end")), 3).alias("last_dune"),
+    )
+
+
+@query("SELECT event_id, value FROM events WHERE user_id % 150 > 100")
+def flow_quality(spark, sf):
+    return masks.good_flow(events(spark, sf).withColumn("quality", F.col("user_id") % 150)).select("event_id", "value")
+
+
+_PRINT = "'Parallel DBSCAN (init, local computation, and merging) took ' || p_size || '.25 s' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN 'Total number of clusters ' || p_partkey ELSE 'the total error rate is:0.125' END"
+
+
+@query("SELECT p_partkey, p_size + 0.25::DOUBLE AS runtime, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS clusters, CASE WHEN p_partkey % 2 = 1 THEN 0.875::DOUBLE END AS accuracy FROM part")
+def run_results(spark, sf):
+    """What the programs of a sweep printed."""
+    out = table(spark, sf, "part").withColumn("out", F.expr(_PRINT.replace("chr(10)", "char(10)")))
+    return evaluate.run_results(out, "out").select("p_partkey", "runtime", "clusters", "accuracy")
+
+
+def _names(values) -> str:
+    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + ")"
+
+
+_SUB, _PARTS, _LAGS = _names(["all", "grouser", "nongrouser"]), _names(["grouser", "nongrouser"]), "range(-4, 5)"
+
+
+@query(f"""SELECT 'contact' AS family, f.n || '_' || k.n AS name FROM {_names(assemble.CONTACT)} f(n), {_SUB} k(n)
+UNION ALL SELECT 'lagged', f.n || '_' || k.n FROM {_names(assemble.LAGGED)} f(n), {_SUB} k(n) UNION ALL SELECT 'lagged', n FROM {_names(['npix_max_diff', 'npix_min_diff'])} f(n)
+UNION ALL SELECT 'unwrap', f.n || l.l || '_' || k.n FROM {_names(['unwrap_mean', 'unwrap_std'])} f(n), {_LAGS} l(l), {_PARTS} k(n)
+UNION ALL SELECT 'image', f.n || '1_lag' || l.l || '_mean_' || k.n FROM {_names(assemble.PROPERTIES)} f(n), {_LAGS} l(l), {_PARTS} k(n)
+UNION ALL SELECT 'sink', n FROM {_names(assemble.SINK)} f(n) UNION ALL SELECT 'hydration', 'rot_angle'
+UNION ALL SELECT 'hydration', f.n || '_' || q.n FROM {_names(['amplitude', 'phase'])} f(n), {_names(['10550.1', '947.86', '111.304', '10.0'])} q(n)""")
+def feature_catalogue(spark, sf):
+    """Published feature names by family."""
+    rows = [(family, n) for family, names in assemble.feature_catalogue().items() for n in names]
+    return spark.createDataFrame(rows, "family string, name string")

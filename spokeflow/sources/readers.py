@@ -174,6 +174,14 @@ def idx_of(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "path string, i bigint, values array<int>")
 
 
+def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A table or a query in parentheses over JDBC; with a numeric key it is read in `parts` ranges of it at once."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if key:
+        reader = reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()
+
+
 def feature_list(spark: SparkSession, path: str) -> list[str]:
     """Feature names, one a line, or those marked 1 in a YAML mapping."""
     lines = [r.value.strip() for r in spark.read.text(path).collect()]

@@ -55,6 +55,21 @@ def write_notes(notes: DataFrame, path: str) -> None:
     notes.write.mode("overwrite").json(path)
 
 
+def run_notes(notes: DataFrame, marks: DataFrame, run: str, kind: str, ts: str, start: str = "start", stop: str = "end") -> DataFrame:
+    """Nested annotations, one row a run: its notes, and run_features_time with the times at which each feature starts and ends.
+
+    `marks` are (run, kind, sign, ts) rows, the sign `start` or `stop`; times of a feature are in order.
+    """
+    of = lambda sign: F.array_sort(F.collect_list(F.when(F.col("sign") == sign, F.col(ts))))
+    per = marks.where(F.col("sign").isin(start, stop)).groupBy(run, kind).agg(of(start).alias("s"), of(stop).alias("e"))
+    names = F.array(F.concat(kind, F.lit(f"_{start}")), F.concat(kind, F.lit(f"_{stop}")))
+    entry = F.map_from_arrays(names, F.array("s", "e"))
+    times = per.groupBy(run).agg(F.array_sort(F.flatten(F.collect_list(F.map_entries(entry)))).alias("_t")).withColumn("_t", F.map_from_entries("_t"))
+    own = [c for c in notes.columns if c != run]
+    out = notes.join(times.withColumnRenamed(run, "_of"), notes[run].eqNullSafe(F.col("_of")), "left")
+    return out.select(F.col(run), *own, F.col("_t").alias("run_features_time"))
+
+
 def write_forest(nodes: DataFrame, path: str) -> None:
     """A forest's node table."""
     nodes.write.mode("overwrite").parquet(path)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spokeflow.sources.writers import frame_json
+
 COMMANDS = ("start", "stop", "begin", "end", "note")
 
 
@@ -23,8 +25,8 @@ def tumbling_means(stream: DataFrame, ts: str, value: str, by: Sequence[str], wi
 
 
 def latest(stream: DataFrame, by: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:
-    """The newest value of each field per channel, for update or complete mode."""
-    newest = F.max_by(F.struct(*values), ts)
+    """The newest value of each field per channel, of several at one time the largest, for update or complete mode."""
+    newest = F.max_by(F.struct(*values), F.struct(ts, *values))
     return stream.groupBy(*by).agg(F.max(ts).alias(ts), newest.alias("_v")).select(*by, ts, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -60,7 +62,8 @@ def gated(samples: DataFrame, spans: DataFrame, by: Sequence[str], ts: str) -> D
 def running_gate(stream: DataFrame, by: str, ts: str, kind: str, start: str, stop: str) -> DataFrame:
     """The stream of rows between start and stop commands, with one flag of state a key.
 
-    Rows of a batch are taken in time order; the commands themselves are not passed on.
+    Rows of a batch are taken in time order; the commands themselves are not passed on. A row that comes a batch late meets the
+    flag as it stands by then: topics are logged in order, and for those that are not `gated` decides by event time.
     """
     import pandas as pd
 
@@ -98,10 +101,45 @@ def thinned(df: DataFrame, ts: str, by: Sequence[str], seconds: float = 0.1) ->
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_slot")
 
 
-def collected(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is available into a table in memory and return it; for tests and small views."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def collected(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is available into Parquet at a path that the cluster shares, and read that.
+
+    In append mode each batch adds its rows once, by the file sink's log; in complete mode a batch is a whole table of its own
+    number, of which the last counts. Nothing of it passes the driver.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", path).outputMode(mode)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(schema).parquet(path)
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last.append(number)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/{last[-1]}") if last else spark.createDataFrame([], schema)
+
+
+class Publisher:
+    """A stream of frames as JSON messages, one folder of lines a batch; stopping ends after a whole batch.
+
+    A batch that is run again after a failure replaces its own folder, so each frame is published once.
+    """
+
+    def __init__(self, frames: DataFrame, path: str, topic: str, checkpoint: str, frame: str = "frame", data: str = "words", divisor: float = 256.0):
+        def send(batch: DataFrame, number: int) -> None:
+            frame_json(batch, topic, frame, data, divisor).write.mode("overwrite").text(f"{path}/batch={number}")
+
+        self.path, self.spark = path, frames.sparkSession
+        self.query = frames.writeStream.option("checkpointLocation", checkpoint).foreachBatch(send).start()
+
+    def stop(self) -> None:
+        """Publish what has arrived, then stop."""
+        self.query.processAllAvailable()
+        self.query.stop()
+
+    def messages(self) -> DataFrame:
+        """What has been published, as `value`."""
+        return self.spark.read.schema("value string, batch int").text(self.path).select("value")

@@ -66,3 +66,23 @@ def test_lifecycle(spark):
     px = [("r", int(b), y, x, float(r.exponential())) for b in range(0, 99, 9) for y in range(4) for x in range(96)]
     out = lifecycle.featurise(binned, spark.createDataFrame(px, "run_id string, bin long, row int, col int, p double"))
     assert out.where("npix_all is not null").count() > 0 and "sink_slope" in out.columns
+
+
+def test_jdbc_tables(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    stats = spark.createDataFrame([(i % 4, str(i % 12 * 100 if i % 5 else i % 12), float(i % 3 == 0)) for i in range(60)], "param_id int, feature string, stat double")
+    stats.write.format("jdbc").option("url", url).option("dbtable", "stats").option("driver", driver).option("createTableColumnTypes", "feature VARCHAR(64)").save()
+    back = readers.jdbc(spark, url, "stats", "param_id", 0, 4, 2, driver=driver)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, stats.collect()))
+    short = readers.jdbc(spark, url, '(SELECT "feature", "stat" FROM stats WHERE LENGTH("feature") < 4) s', driver=driver)
+    assert short.count() == stats.where("length(feature) < 4").count() > 0
+
+
+def test_nested_notes(spark, tmp_path):
+    notes = spark.createDataFrame([(1, "slip", "none"), (2, "hydration", "wet")], "run int, type string, notes string")
+    marks = spark.createDataFrame([(1, "rock", "start", 5.0), (1, "rock", "start", 2.0), (1, "rock", "end", 3.0), (1, "dune", "start", 7.0), (3, "rock", "start", 1.0), (1, "rock", "note", 9.0)], "run int, kind string, sign string, ts double")
+    writers.write_notes(writers.run_notes(notes, marks, "run", "kind", "ts"), f"file://{tmp_path}/notes")
+    back = {r.run: r for r in spark.read.schema("run int, type string, notes string, run_features_time map<string,array<double>>").json(f"file://{tmp_path}/notes").collect()}
+    assert back[1].run_features_time == {"rock_start": [2.0, 5.0], "rock_end": [3.0], "dune_start": [7.0], "dune_end": []} and back[2].run_features_time is None and set(back) == {1, 2}
