@@ -1,12 +1,16 @@
-"""Joins in time order, as one union and one window pass instead of a range join."""
+"""Joins in time order, as one union and one pass in time order instead of a range join. A key with rows of any number is
+taken by ranges of time, each of which hands its last row on to the next."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spokeflow.plans.spread import filled
+
 
 def _stacked(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str) -> DataFrame:
     l = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
@@ -21,12 +25,12 @@ def backward(
     `wrap`, rows before the first get the last."""
     rows = _stacked(left, right, by, left_ts, right_ts)
     # a right row at the same time sorts before a left one
-    w = Window.partitionBy(*by).orderBy("_ts", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_r", ignorenulls=True).over(w)
+    rows = filled(rows, by, ["_ts", "_side", "_r"], _f=(F.col("_r"), False)).where("_side = 1")
     if wrap:
-        latest = F.max(F.when(F.col("_r").isNotNull(), F.struct("_ts", "_r"))).over(Window.partitionBy(*by))
-        found = F.coalesce(found, latest["_r"])
-    rows = rows.withColumn("_f", found).where("_side = 1")
+        names = [f"_of{i}" for i in range(len(by))]
+        latest = right.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)]).agg(F.max(F.struct(F.col(right_ts).alias("_ts"), F.struct(*right.columns).alias("_r"))).alias("_last"))
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(by, names)])
+        rows = rows.join(latest, same, "left").withColumn("_f", F.coalesce("_f", "_last._r"))
     return rows.select("_l.*", *[F.col(f"_f.{c}").alias(c) for c in columns])
 
 
@@ -34,10 +38,8 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str,
     """The row of `right` nearest in time to each row of `left`; the earlier one on ties, of several at one time the largest
     by its columns if they are earlier and the smallest if they are later."""
     rows = _stacked(left, right, by, left_ts, right_ts)
-    w = Window.partitionBy(*by).orderBy("_ts", "_side", "_r")
-    before = F.last(F.when(F.col("_r").isNotNull(), F.struct("_ts", "_r")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("_r").isNotNull(), F.struct("_ts", "_r")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"_b": before, "_a": after}).where("_side = 1")
+    stamped = F.when(F.col("_r").isNotNull(), F.struct("_ts", "_r"))
+    rows = filled(rows, by, ["_ts", "_side", "_r"], _b=(stamped, False), _a=(stamped, True)).where("_side = 1")
     back, ahead = F.col("_ts") - F.col("_b._ts"), F.col("_a._ts") - F.col("_ts")
     take = F.when(F.col("_a").isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_a"))
     return rows.withColumn("_f", take).select("_l.*", *[F.col(f"_f._r.{c}").alias(c) for c in columns])

@@ -17,12 +17,6 @@ def bin_number(ts: Column, start: Column, width: float) -> Column:
     return i.cast("bigint")
 
 
-def with_bins(df: DataFrame, ts: str, run: Sequence[str], width: float = BIN_S, start: str | None = None) -> DataFrame:
-    """Adds `bin`, counted from the run's first time or from column `start`."""
-    first = F.col(start) if start else F.min(ts).over(Window.partitionBy(*run))
-    return df.withColumn("bin", bin_number(F.col(ts), first, width))
-
-
 def grid(df: DataFrame, ts: str, run: Sequence[str], width: float = BIN_S) -> DataFrame:
     """Per run its `start` and `bins`: edges lie a width apart from the first time on and before the last one.
 

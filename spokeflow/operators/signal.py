@@ -259,7 +259,11 @@ def _extrema(x: np.ndarray, greater: bool) -> np.ndarray:
 
 
 def _running_mean(x: np.ndarray, reach: int) -> np.ndarray:
-    return np.array([x[max(0, i - reach) : i + reach + 1].mean() for i in range(len(x))]) if len(x) else x
+    if not len(x):
+        return x
+    ones = np.pad(np.ones(len(x)), reach)
+    around = lambda v: np.lib.stride_tricks.sliding_window_view(v, 2 * reach + 1).sum(1)
+    return around(np.pad(x, reach)) / around(ones)
 
 
 def zero_runs(x: np.ndarray) -> np.ndarray:

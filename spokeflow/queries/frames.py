@@ -61,16 +61,6 @@ def contact_statistics(spark, sf):
     return rounded(out.select("t", "mean", "std", "max", "min", real("skew", 5), real("kurtosis", 4)), "mean", "std", "max", "min")
 
 
-@query("""WITH c AS (SELECT l_returnflag, l_quantity AS q, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS mu FROM lineitem)
-SELECT l_returnflag, round(avg((q - mu) ** 3) / stddev_pop(q) ** 3, 6) + 0.0 AS skew, round(avg((q - mu) ** 4) / var_pop(q) ** 2 - 3, 6) + 0.0 AS kurtosis, round(stddev_pop(q), 6) AS std FROM c GROUP BY 1""")
-def moments(spark, sf):
-    from spokeflow.queries import table
-
-    q = F.col("l_quantity")
-    out = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.skewness(q).alias("skew"), F.kurtosis(q).alias("kurtosis"), F.stddev_pop(q).alias("std"))
-    return rounded(out, "skew", "kurtosis", "std")
-
-
 @query(f"""WITH {_MARKED}, c AS (SELECT t, col, lag, max(p) AS p FROM m GROUP BY ALL)
 SELECT m.t, round((CASE WHEN count(CASE WHEN hit AND col < hub THEN 1 END) = 0 THEN 0.01 ELSE count(CASE WHEN hit AND col < hub THEN 1 END) END)::DOUBLE / (CASE WHEN count(CASE WHEN hit AND col > hub THEN 1 END) = 0 THEN 0.01 ELSE count(CASE WHEN hit AND col > hub THEN 1 END) END)::DOUBLE, 6) AS area_ratio,
 round(count(DISTINCT CASE WHEN hit THEN col END) / 16, 6) + 0.0 AS row_wheel_ratio, -any_value(l.lag) AS maxcol_imu_diff FROM m JOIN (SELECT t, arg_max(lag, (p, -col)) AS lag FROM c GROUP BY 1) l USING (t) GROUP BY 1""")

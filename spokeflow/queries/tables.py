@@ -181,11 +181,33 @@ def _notes(spark, customers):
 _NAME = "'x_lab' || o_orderkey || '_terrain_flatlvl_vel_1_EISfreqsweep_2_grousers_4_loading_' || o_orderstatus || '_material_mm_hydra_' || (o_orderkey % 3) || '_pretreat_0_date_20190' || (100 + o_orderkey % 30) || '_rep_' || (o_orderkey % 5)"
 
 
-@query("""SELECT o_orderkey, 'lab' || o_orderkey AS label, 'flatlvl' AS terrain, o_orderstatus AS loading, (o_orderkey % 3)::VARCHAR AS hydration, '20190' || (100 + o_orderkey % 30) AS date, (o_orderkey % 5)::VARCHAR AS rep FROM orders""")
+@query("""SELECT o_orderkey, 'lab' || o_orderkey AS label, 'flatlvl' AS terrain, o_orderstatus AS loading, (o_orderkey % 3)::VARCHAR AS hydration, '20190' || (100 + o_orderkey % 30) AS date, (o_orderkey % 5)::VARCHAR AS rep,
+'label_terrain_flatlvl_' || o_orderstatus || '_mm_' || (o_orderkey % 3) || '_20190' || (100 + o_orderkey % 30) || '_' || (o_orderkey % 5) AS type FROM orders""")
 def run_names(spark, sf):
     o = table(spark, sf, "orders").withColumn("name", F.expr(_NAME))
     f = s.run_fields(F.col("name"))
-    return o.select("o_orderkey", *[f[k].alias(k) for k in ("label", "terrain", "loading", "hydration", "date", "rep")])
+    return o.select("o_orderkey", *[f[k].alias(k) for k in ("label", "terrain", "loading", "hydration", "date", "rep")], s.run_type(f).alias("type"))
+
+
+@query("""SELECT s_suppkey, 'lab' || s_suppkey AS label, 'bedrock' AS terrain, (s_nationkey)::VARCHAR AS hydration, '20190205' AS date FROM supplier""")
+def run_discovery(spark, sf):
+    """Runs found by the names of their folders."""
+    name = "concat('x_lab', s_suppkey, '_terrain_bedrock_vel_1_EISfreqsweep_2_grousers_4_loading_none_material_mm_hydra_', s_nationkey, '_pretreat_0_date_20190205_rep_1')"
+    path = _fresh(spark, "found")
+    table(spark, sf, "supplier").select(F.lit("x").alias("value"), F.expr(name).alias("run")).repartition("run").write.partitionBy("run").text(path)
+    found = readers.discover(spark, path, "*.txt")
+    return found.select(F.regexp_extract("label", r"lab(\d+)", 1).cast("bigint").alias("s_suppkey"), "label", "terrain", "hydration", "date")
+
+
+@query("SELECT DISTINCT 'feature_' || c_mktsegment AS name FROM customer UNION SELECT r_name FROM region WHERE r_regionkey % 2 = 1")
+def feature_lists(spark, sf):
+    """Names from a list, one a line, and those marked 1 in a mapping."""
+    path = _fresh(spark, "lists")
+    table(spark, sf, "customer").select(F.concat(F.lit("feature_"), "c_mktsegment").alias("value")).distinct().write.text(f"{path}/a")
+    marked = F.concat(F.lit("  "), "r_name", F.lit(": "), (F.col("r_regionkey") % 2).cast("string"))
+    lines = table(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("i"), marked.alias("value")).unionByName(spark.createDataFrame([(0, "features:")], "i int, value string"))
+    lines.orderBy("i").coalesce(1).select("value").write.text(f"{path}/b")
+    return spark.createDataFrame([(n,) for n in readers.feature_list(spark, f"{path}/a") + readers.feature_list(spark, f"{path}/b")], "name string")
 
 
 @query("""SELECT c_custkey, string_split(c_name, '#')[2] AS number, string_split(c_mktsegment, 'H')[1] AS head FROM customer""")

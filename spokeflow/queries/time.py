@@ -244,14 +244,14 @@ p AS (SELECT *, CASE WHEN n < 16 THEN x WHEN n < 32 THEN c1 WHEN n < 64 THEN c2
 r AS (SELECT *, list_filter(list_transform(range(2, len(c) + 1), lambda i: abs(c[i] - c[i - 1])), lambda d: d > 1e-9) AS d,
   list_filter(range(1, len(z) + 1), lambda i: z[i] AND (i = 1 OR NOT z[greatest(i - 1, 1)])) AS a, list_filter(range(1, len(z) + 1), lambda i: z[i] AND (i = len(z) OR NOT z[least(i + 1, len(z))])) AS b FROM p),
 f AS (SELECT *, list_filter(list_transform(range(2, len(a)), lambda i: wide * (b[i] - a[i] + 1)), lambda k: k > 4) AS f FROM r)
-SELECT event_id, round({_SD.format('low')}, 6) + 0.0 AS peak_max_std, round({_SD.format('top')}, 6) + 0.0 AS peak_min_std, round({_SD.format('x')}, 6) + 0.0 AS smness, round(coalesce(list_max(d), 0), 6) + 0.0 AS wt_jump_max,
-round(list_avg(d), 6) AS wt_jump_mean, round(list_min(c), 6) + 0.0 AS wt_min, round(list_max(c), 6) + 0.0 AS wt_max, coalesce(list_max(f), 0)::DOUBLE AS len_max_flat, len(f)::DOUBLE AS n_flat FROM f""")
+SELECT event_id, round({_SD.format('low')}, 8) + 0.0 AS peak_max_std, round({_SD.format('top')}, 8) + 0.0 AS peak_min_std, round({_SD.format('x')}, 8) + 0.0 AS smness, round(coalesce(list_max(d), 0), 8) + 0.0 AS wt_jump_max,
+round(list_avg(d), 8) AS wt_jump_mean, round(list_min(c), 8) + 0.0 AS wt_min, round(list_max(c), 8) + 0.0 AS wt_max, coalesce(list_max(f), 0)::DOUBLE AS len_max_flat, len(f)::DOUBLE AS n_flat FROM f""")
 def trailing_peaks_and_flats(spark, sf):
     """Trailing features of counts: peaks, smoothness, jumps and flats."""
     e = events(spark, sf).withColumn("npix", F.floor(F.col("value") / 10).cast("double"))
     out = series.trailing_series(e, "npix", ["event_type"], ["t", "event_id"], cwt=False)
     names = [n for n in series.SERIES if n != "peak_max_std_cwt"]
-    return out.select("event_id", *[r6(n).alias(n) for n in names])
+    return out.select("event_id", *[(F.round(n, 8) + 0.0).alias(n) for n in names])
 
 
 @query(f"""WITH e AS (SELECT event_id, event_type, value, row_number() OVER ({_T}) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {EV}), w AS (SELECT k, exp(-0.5 * (k / 3.0::DOUBLE) ** 2) AS w FROM range(-12, 13) r(k)),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spokeflow.plans.spread import in_pieces, owned, summed
 from spokeflow.sources.writers import frame_json
 
 COMMANDS = ("start", "stop", "begin", "end", "note")
@@ -87,10 +88,11 @@ def running_gate(stream: DataFrame, by: str, ts: str, kind: str, start: str, sto
 
 
 def integrated(df: DataFrame, flow: str, ts: str, by: Sequence[str], output: str = "position") -> DataFrame:
-    """The running sum of flow times the time since the row before."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    step = F.col(flow) * (F.col(ts) - F.lag(ts).over(w))
-    return df.withColumn("_s", F.coalesce(step, F.lit(0.0))).withColumn(output, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    """The running sum of flow times the time since the row before, of several at one time the smaller flow first."""
+    pieces = in_pieces(df, by, [ts, flow], 1)
+    w = Window.partitionBy(*by, "_piece").orderBy("_rn")
+    step = F.coalesce(F.col(flow) * (F.col(ts) - F.lag(ts).over(w)), F.lit(0.0))
+    return summed(owned(pieces.withColumn("_step", step)), by, [ts, flow], F.col("_step"), output).drop("_step")
 
 
 def thinned(df: DataFrame, ts: str, by: Sequence[str], seconds: float = 0.1) -> DataFrame:

@@ -376,3 +376,48 @@ def test_named_features_and_categories(spark):
     assert wide.count() == 3 and set(wide.columns) - {"run", "t"} <= set(catalogue["image"])
     quirk = frames.unwrapped(px, ["run", "t", "hub"], "hub", [0], "all", as_published=True)
     assert quirk.where("t = 0").first().hub == 16
+
+
+def test_values_carried_over_ranges(spark):
+    from pyspark.sql import Window
+
+    from spokeflow.plans.spread import filled, summed
+
+    r = np.random.default_rng(11)
+    rows = [(g, int(i), float(v) if v > 0.8 else None, float(v)) for g, n in (("a", 900), ("b", 4), (None, 60)) for i, v in enumerate(r.uniform(size=n))]
+    df = spark.createDataFrame(rows, "g string, i int, x double, v double").repartition(6)
+    out = summed(filled(df, ["g"], ["i"], back=(F.col("x"), False), ahead=(F.col("x"), True)), ["g"], ["i"], F.col("v"), "total")
+    assert set(out.columns) == {"g", "i", "x", "v", "back", "ahead", "total"}
+    w = Window.partitionBy("g").orderBy("i")
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    want = df.withColumns({"back": F.last("x", True).over(up), "ahead": F.first("x", True).over(down), "total": F.sum("v").over(up)})
+    rows_of = lambda d: {(x.g, x.i): (x.back, x.ahead, round(x.total, 9)) for x in d.collect()}
+    assert rows_of(out) == rows_of(want)
+
+
+def plain_euler(mask):
+    """Regions less holes, by counting corners, edges and faces of pixels joined by their sides (4-neighbours)."""
+    m = np.pad(mask, 1).astype(int)
+    pixels = m.sum()
+    sides = (m[1:] & m[:-1]).sum() + (m[:, 1:] & m[:, :-1]).sum()
+    blocks = (m[1:, 1:] & m[:-1, 1:] & m[1:, :-1] & m[:-1, :-1]).sum()
+    return int(pixels - sides + blocks)
+
+
+def test_region_properties_against_their_definitions():
+    r = np.random.default_rng(12)
+    for _ in range(60):
+        image = r.uniform(size=(9, 14))
+        found = signal.label(image > 0.45)
+        for k in range(1, found.max() + 1):
+            mask = found == k
+            p = dict(zip(signal.PROPERTIES, signal.region(mask, image)))
+            y, x = np.nonzero(mask)
+            n = len(y)
+            spread = np.cov(np.vstack([y, x]), bias=True) + np.eye(2) / 12 if n > 1 else np.eye(2) / 12
+            low, high = np.linalg.eigvalsh(spread)
+            assert p["area"] == n and np.isclose(p["mean_intensity"], image[mask].mean()) and p["max_intensity"] == image[mask].max() and p["min_intensity"] == image[mask].min()
+            assert np.isclose(p["major_axis_length"], 4 * np.sqrt(high)) and np.isclose(p["minor_axis_length"], 4 * np.sqrt(max(low, 0)))
+            assert np.isclose(p["eccentricity"], np.sqrt(1 - max(low, 0) / high)) and np.isclose(p["equivalent_diameter"], np.sqrt(4 * n / np.pi))
+            assert np.isclose(p["extent"], n / ((np.ptp(y) + 1) * (np.ptp(x) + 1))) and p["euler_number"] == plain_euler(mask)
+            assert n <= p["filled_area"] and n <= p["convex_area"] <= (np.ptp(y) + 1) * (np.ptp(x) + 1) and np.isclose(p["solidity"], n / p["convex_area"])
