@@ -210,6 +210,19 @@ def _ricker(points: int, width: float) -> np.ndarray:
     return 2 / (math.sqrt(3 * width) * math.pi**0.25) * (1 - (t / width) ** 2) * np.exp(-(t**2) / (2 * width**2))
 
 
+def _floor(x: np.ndarray, window: int, percent: float) -> np.ndarray:
+    """A percentile of the `window` values around each place; windows are cut at the ends."""
+    n = len(x)
+    half, odd = divmod(window, 2)
+    out = np.empty(n)
+    whole = max(half, n - half - odd + 1)  # places from half up to here have a whole window
+    if whole > half:
+        out[half:whole] = np.percentile(np.lib.stride_tricks.sliding_window_view(x, window), percent, axis=1)
+    for i in (*range(half), *range(whole, n)):
+        out[i] = np.percentile(x[max(i - half, 0) : i + half + odd], percent)
+    return out
+
+
 def cwt_peaks(x: np.ndarray, widths: tuple[int, ...] = (1, 2, 3, 4), snr: float = 1.0, noise_percent: float = 10.0) -> np.ndarray:
     """Peaks as ridges of local maxima over the widths of a wavelet transform that stand out of the noise."""
     n = len(x)
@@ -228,8 +241,8 @@ def cwt_peaks(x: np.ndarray, widths: tuple[int, ...] = (1, 2, 3, 4), snr: float
         for line in lines:
             line[2] += 1
         last = np.array([line[1][-1] for line in lines])
-        for c in at.tolist():
-            near = int(np.abs(last - c).argmin()) if len(last) else -1
+        nearest = np.abs(last - at[:, None]).argmin(1).tolist() if len(last) else [-1] * len(at)
+        for c, near in zip(at.tolist(), nearest):
             if near >= 0 and abs(last[near] - c) <= reach:
                 lines[near][0].append(i)
                 lines[near][1].append(c)
@@ -239,9 +252,7 @@ def cwt_peaks(x: np.ndarray, widths: tuple[int, ...] = (1, 2, 3, 4), snr: float
         done += [line for line in lines if line[2] > gap]
         lines = [line for line in lines if line[2] <= gap]
     done += lines
-    window = math.ceil(n / 20)
-    half, odd = divmod(window, 2)
-    noise = np.array([np.percentile(rows[0][max(i - half, 0) : min(i + half + odd, n)], noise_percent) for i in range(n)])
+    noise = _floor(rows[0], math.ceil(n / 20), noise_percent)
     keep = []
     for r, c, _ in done:
         if len(r) < math.ceil(len(widths) / 4):
