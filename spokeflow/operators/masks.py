@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spokeflow.functions.windows import running
 from spokeflow.operators import signal
-from spokeflow.plans.spread import in_pieces, owned
+from spokeflow.plans.spread import in_pieces, numbered, owned
 
 
 def with_run_aggregates(df: DataFrame, run: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -80,10 +80,9 @@ def turning_spans(df: DataFrame, angle: str, run: Sequence[str], order: str) ->
 
 
 def burn_in(df: DataFrame, run: Sequence[str], order: Sequence[str], low: int) -> DataFrame:
-    """Rows from number `low` on, or the last row of a run that is no longer; adds `t`, from 0."""
-    w = Window.partitionBy(*run)
-    rows = df.withColumns({"t": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    return rows.where(F.col("t") >= F.least(F.lit(low), F.col("_n") - 1)).drop("_n")
+    """Rows from number `low` on, or the last row of a run that is no longer; adds `t`, from 0. A run is numbered by ranges of `order`."""
+    rows = numbered(df, run, order).withColumn("t", F.col("_rn").cast("int"))
+    return rows.where(F.col("_rn") >= F.least(F.lit(low), F.col("_n") - 1)).drop("_rn", "_n")
 
 
 def finite_rows(df: DataFrame, features: Sequence[str], label: str | None = None) -> DataFrame:

@@ -45,11 +45,14 @@ def commands(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def intervals(events: DataFrame, by: Sequence[str], ts: str, kind: str, start: str, stop: str) -> DataFrame:
-    """Pairs of a start with the stop that follows it, before another start: (by.., begin, end)."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    rows = events.where(F.col(kind).isin(start, stop))
-    rows = rows.withColumns({"_next": F.lead(kind).over(w), "end": F.lead(ts).over(w)})
-    return rows.where((F.col(kind) == start) & (F.col("_next") == stop)).select(*by, F.col(ts).alias("begin"), "end")
+    """Pairs of a start with the stop that follows it, before another start: (by.., begin, end); at one time in the order of their names.
+
+    A key with commands of any number is taken in pieces, each with the command after it.
+    """
+    w = Window.partitionBy(*by, "_piece").orderBy("_rn")
+    rows = in_pieces(events.where(F.col(kind).isin(start, stop)).select(*by, ts, kind), by, [ts, kind], 0, 1)
+    rows = owned(rows.withColumns({"_next": F.lead(kind).over(w), "_end": F.lead(ts).over(w)}))
+    return rows.where((F.col(kind) == start) & (F.col("_next") == stop)).select(*by, F.col(ts).alias("begin"), F.col("_end").alias("end"))
 
 
 def gated(samples: DataFrame, spans: DataFrame, by: Sequence[str], ts: str) -> DataFrame:

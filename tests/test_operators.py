@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spokeflow.operators import assemble, asof, binning, components, dbscan, forest, frames, masks, series, signal
+from spokeflow.streaming import live
 
 
 def test_bin_edges_and_tail(spark):
@@ -47,6 +48,26 @@ def test_burn_in_keeps_last_row(spark):
     assert masks.burn_in(df, ["r"], ["i"], 3).count() == 2
 
 
+def test_burn_in_of_a_hot_run(spark):
+    df = spark.range(20_000).selectExpr("if(id % 4 = 0, id % 12, 1) AS r", "20000 - id AS i")
+    got = {(x.r, x.i): x.t for x in masks.burn_in(df, ["r"], ["i"], 30).collect()}
+    runs: dict = {}
+    for x in df.collect():
+        runs.setdefault(x.r, []).append(x.i)
+    assert got == {(r, i): t for r, rows in runs.items() for t, i in enumerate(sorted(rows)) if t >= min(30, len(rows) - 1)}
+
+
+def test_intervals_of_a_key_in_many_pieces(spark):
+    df = spark.range(60_000).selectExpr("if(id % 9 = 0, 2, 1) AS k", "id AS t", "element_at(array('on', 'off', 'note'), cast(pmod(xxhash64(id), 3) + 1 as int)) AS kind")
+    got = sorted(tuple(x) for x in live.intervals(df, ["k"], "t", "kind", "on", "off").collect())
+    want, last = [], {}
+    for x in sorted(df.where("kind <> 'note'").collect(), key=lambda x: x.t):
+        if x.kind == "off" and last.get(x.k, ("", 0))[0] == "on":
+            want.append((x.k, last[x.k][1], x.t))
+        last[x.k] = x.kind, x.t
+    assert got == sorted(want)
+
+
 def test_impute_neighbours():
     near = frames.neighbours(20, 96, 23)
     assert {x for r, y, x in near if r == 5} == {22, 24} and len([1 for r, _, _ in near if r == 5]) == 6
