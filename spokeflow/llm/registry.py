@@ -13,12 +13,14 @@ from spokeflow.llm import (
     bpe,
     decontaminate,
     exact_dedup,
+    fill_middle,
     html_text,
     quality,
     secret_scan,
     sharding,
     simhash,
     substring_dedup,
+    token_files,
     token_rollup,
 )
 from spokeflow.plans.lineage import shared_folder, written
@@ -90,10 +92,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are written to a new folder of the shared one and read back."""
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    files = token_files.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.digests(files.tokens())
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_decontaminate, op2_substrings, op3_sharding, op4_html, op5_exact_dedup,
         op6_token_rollup, op7_bpe, op8_quality, op9_secrets, op10_simhash,
+        op11_token_files, op12_fill_middle,
     )
     return {f.__name__: f for f in every}
 
@@ -134,5 +148,24 @@ FROM s
 """
 
 
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), k AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS r1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS r2,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4
+  FROM d
+), f AS (
+  SELECT doc_id, t, n, least(r1, r2) AS a, greatest(r1, r2) AS b,
+         CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), c AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op3_sharding": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op12_fill_middle": OP12_SQL}
