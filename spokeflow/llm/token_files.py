@@ -42,7 +42,8 @@ from spokeflow.plans.lineage import bounded_batches
 
 REMEMBERED = 250_000  # chunks, and as many words, in a generation of a worker's memory
 RUN = 1 << 16  # chunks that are taken at once
-GROUP = 32 << 20  # bytes of a row group before encoding
+GROUP = 32 << 20  # bytes of a row group, as the writer holds them
+GROUP_ROWS = 100_000
 PAGE_ROWS = 2_000
 WHITE = regex.compile(r"[^\S\x1c-\x1f]+")  # str.split() would also split at these four separators
 _SEPARATOR = regex.compile(r"[\x1c-\x1f]")
@@ -111,7 +112,7 @@ def loaded(spec: str) -> WordEncoder:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text",
-    files: int | None = None, group_bytes: int = GROUP, page_rows: int = PAGE_ROWS,
+    files: int | None = None, group_bytes: int = GROUP, group_rows: int = GROUP_ROWS, page_rows: int = PAGE_ROWS,
 ) -> TokenFiles:
     """Encode all texts and write their ids, each text followed by `end`, in ascending order of `id_col`."""
     spark = docs.sparkSession
@@ -138,7 +139,8 @@ def write_tokens(
     kind = docs.schema[id_col].dataType.simpleString()
     made = rows.mapInArrow(run, f"part int, place bigint, _id {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("_id", id_col)
     writer = made.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
-    writer = writer.option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", page_rows)
+    writer = writer.option("parquet.block.size", group_bytes).option("parquet.block.row.count.limit", group_rows)
+    writer = writer.option("parquet.page.row.count.limit", page_rows)
     for c in ("part", "place", id_col, "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
     writer.parquet(path)

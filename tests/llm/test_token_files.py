@@ -74,12 +74,12 @@ def test_files_against_the_library(spark, both, tmp_path):
 
 def test_layout_of_the_files(spark, tmp_path):
     df = spark.createDataFrame([(i, f"document number {i} " * 40) for i in range(2000)], "doc_id long, text string")
-    files = token_files.write_tokens(df, f"{tmp_path}/t", PATH, end=1, files=2, group_bytes=1 << 16, page_rows=50)
+    files = token_files.write_tokens(df, f"{tmp_path}/t", PATH, end=1, files=2, group_rows=400, page_rows=50)
     ids = []
     for f in sorted((tmp_path / "t").glob("part-*")):
         p = pq.ParquetFile(f)
         ids += p.read(columns=["doc_id"])["doc_id"].to_pylist()
-        assert p.metadata.num_row_groups > 1
+        assert p.metadata.num_row_groups > 1 and p.metadata.row_group(0).num_rows == 400
         for c in range(p.metadata.num_columns):
             at = p.metadata.row_group(0).column(c)
             assert at.has_column_index and at.has_offset_index
