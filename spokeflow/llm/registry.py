@@ -22,6 +22,7 @@ from spokeflow.llm import (
     substring_dedup,
     token_files,
     token_rollup,
+    turn_repair,
 )
 from spokeflow.plans.lineage import shared_folder, written
 
@@ -103,11 +104,17 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are damaged by a rule and repaired."""
+    rows = turn_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return turn_repair.report(rows, stands=F.col("stands"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_decontaminate, op2_substrings, op3_sharding, op4_html, op5_exact_dedup,
         op6_token_rollup, op7_bpe, op8_quality, op9_secrets, op10_simhash,
-        op11_token_files, op12_fill_middle,
+        op11_token_files, op12_fill_middle, op13_turn_repair,
     )
     return {f.__name__: f for f in every}
 
