@@ -26,6 +26,7 @@ import json
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain, groupby, islice
 
@@ -40,7 +41,7 @@ from tokenizers import Tokenizer
 from spokeflow.llm.bpe import _lists, _Memo, byte_alphabet, small_batches
 from spokeflow.plans.lineage import bounded_batches
 
-REMEMBERED = 250_000  # chunks, and as many words, in a generation of a worker's memory
+REMEMBERED = 400_000  # chunks, and as many words, in a generation of a worker's memory
 RUN = 1 << 16  # chunks that are taken at once
 GROUP = 32 << 20  # bytes of a row group, as the writer holds them
 GROUP_ROWS = 100_000
@@ -58,7 +59,10 @@ def _doubtful() -> regex.Pattern:
 
 
 class WordEncoder:
-    """Ids of texts for a word-level BPE file of the tokenizers library that lower-cases and drops white space."""
+    """Ids of texts for a word-level BPE file of the tokenizers library that lower-cases and drops white space.
+
+    What is remembered are the bytes of ids, so those of a text are joined without an object for each.
+    """
 
     def __init__(self, spec: str):
         self._whole = Tokenizer.from_str(spec)
@@ -66,36 +70,44 @@ class WordEncoder:
         self._whole.no_padding()
         self._model = self._whole.model
         j = json.loads(spec)
-        self.specials = [t["content"] for t in j.get("added_tokens", [])]
+        specials = [t["content"] for t in j.get("added_tokens", [])]
+        self._special = os.path.commonprefix(specials) if specials else None
         split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"]).findall
         self._doubtful = _doubtful().search
+        self._usual = {c for c in map(chr, range(0x80, 0x2000)) if not self._doubtful(c)} | set(map(chr, range(0x80)))
         self._stand_in = {b: c for c, b in byte_alphabet().items()}
         self._word = _Memo(self._tokenized, REMEMBERED)
         self._chunk = _Memo(self._cut, REMEMBERED)
 
-    def _tokenized(self, word: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._stand_in)))
+    def _tokenized(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):  # those stand for themselves
+            word = word.encode().decode("latin-1").translate(self._stand_in)
+        return array("i", [t.id for t in self._model.tokenize(word)]).tobytes()
 
-    def _cut(self, chunk: str) -> tuple[int, ...]:
+    def _cut(self, chunk: str) -> bytes:
         """Ids of a stretch without white space."""
         plain = chunk.isascii()
-        if any(s in chunk for s in self.specials) or not plain and self._doubtful(chunk):
-            return tuple(self._whole.encode(chunk, add_special_tokens=False).ids)
+        if self._special is not None and self._special in chunk or not (plain or self._usual.issuperset(chunk) or not self._doubtful(chunk)):
+            return array("i", self._whole.encode(chunk, add_special_tokens=False).ids).tobytes()
         if not plain:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # str.lower() would mind where a sigma stands
-        return tuple(chain.from_iterable(map(self._word.__getitem__, self._words(chunk.lower()))))
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return self._word[chunk]
+        return b"".join(map(self._word.__getitem__, self._words(chunk)))
 
     def encode(self, text: str, end: int) -> np.ndarray:
         """Ids of a text and then `end`."""
+        last = array("i", [end]).tobytes()
         if len(text) < 8 * RUN:
             chunks = WHITE.split(text) if _SEPARATOR.search(text) else text.split()
-            return np.fromiter(chain(chain.from_iterable(map(self._chunk.__getitem__, chunks)), (end,)), np.int32)
+            return np.frombuffer(b"".join(chain(map(self._chunk.__getitem__, chunks), (last,))), np.int32)
         found = (m.group() for m in regex.finditer(r"(?:\S|[\x1c-\x1f])+", text))
         parts = []
         while run := list(islice(found, RUN)):
-            parts.append(np.fromiter(chain.from_iterable(map(self._chunk.__getitem__, run)), np.int32))
-        return np.concatenate([*parts, np.array([end], np.int32)])
+            parts.append(b"".join(map(self._chunk.__getitem__, run)))
+        return np.frombuffer(b"".join([*parts, last]), np.int32)
 
 
 _loaded: dict[int, WordEncoder] = {}
