@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spokeflow.llm.bpe import _lists, _Memo, byte_alphabet, small_batches
+from spokeflow.llm.bpe import _lists, byte_alphabet, small_batches
 from spokeflow.plans.lineage import bounded_batches
 
-REMEMBERED = 400_000  # chunks, and as many words, in a generation of a worker's memory
+REMEMBERED = 900_000  # chunks, and as many words, that a worker remembers
 RUN = 1 << 16  # chunks that are taken at once
 GROUP = 32 << 20  # bytes of a row group, as the writer holds them
 GROUP_ROWS = 100_000
@@ -58,6 +58,27 @@ def _doubtful() -> regex.Pattern:
     return regex.compile("[" + "".join(f"\\U{e - n:08x}-\\U{e - 1:08x}" for (k, n), e in zip(runs, ends) if k) + "]")
 
 
+class _Known(dict):
+    """Values of up to `most` keys, the first that come. Others are made anew each time; after `most` of those all are forgotten,
+    so that the keys of other texts get their turn."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.passed = make, most, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.most:
+            if len(key) <= 64:
+                self[key] = value
+            return value
+        self.passed += 1
+        if self.passed == self.most:
+            self.passed = 0
+            self.clear()
+        return value
+
+
 class WordEncoder:
     """Ids of texts for a word-level BPE file of the tokenizers library that lower-cases and drops white space.
 
@@ -77,8 +98,8 @@ class WordEncoder:
         self._doubtful = _doubtful().search
         self._usual = {c for c in map(chr, range(0x80, 0x2000)) if not self._doubtful(c)} | set(map(chr, range(0x80)))
         self._stand_in = {b: c for c, b in byte_alphabet().items()}
-        self._word = _Memo(self._tokenized, REMEMBERED)
-        self._chunk = _Memo(self._cut, REMEMBERED)
+        self._word = _Known(self._tokenized, REMEMBERED)
+        self._chunk = _Known(self._cut, REMEMBERED)
 
     def _tokenized(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):  # those stand for themselves
