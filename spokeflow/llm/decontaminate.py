@@ -366,6 +366,15 @@ def pa_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents that hold no test item, with all their columns.
+
+    Ids may repeat with other texts: a document is told by its id and text. Columns are told by their place, so they may have any names.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    keyed = rows.select(F.struct(own.alias("id"), digest.alias("md5")).alias("key"), text.alias("text"))
+    gone = contaminated(keyed, benchmark, id_col="key", text_col="text", **options)
+    gone = gone.select(F.col("key.id").alias("gone"), F.col("key.md5").alias("md5")).distinct()
+    return rows.join(gone, own.eqNullSafe(F.col("gone")) & (digest == F.col("md5")), "left_anti").toDF(*names)

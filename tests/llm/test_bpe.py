@@ -93,6 +93,68 @@ def test_frame_and_rollup(spark, both, tmp_path):
     assert roll.commit(10, token_rollup.deletes(counts.where("doc_id = 4"))) and sorted(map(tuple, roll.totals().collect()), key=repr) == after
 
 
+def delta(spark, n):
+    return spark.createDataFrame([("s", "l", "v", n, n, n)], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_bytes bigint")
+
+
+def docs_in(roll):
+    return sum(r.n_docs for r in roll.totals().collect())
+
+
+def between(roll, act):
+    """Does `act` after the writer has looked at what stands and before it publishes."""
+    publish = roll._publish
+
+    def late(*args):
+        roll._publish = publish
+        act()
+        return publish(*args)
+
+    roll._publish = late
+
+
+def test_a_batch_committed_during_a_compaction_counts_once(spark, tmp_path):
+    one, two = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/roll") for _ in range(2))
+    one.commit(1, delta(spark, 1))
+    one.commit(2, delta(spark, 10))
+    between(one, lambda: two.commit(3, delta(spark, 100)))
+    assert one.compact() == 2 and docs_in(one) == 111
+    assert one.compact() == 3 and docs_in(two) == 111 and not two.commit(3, delta(spark, 100))
+    between(one, lambda: two.compact())
+    assert two.commit(4, delta(spark, 1000)) and one.compact() == 4 and docs_in(one) == 1111
+
+
+def test_two_writers_of_one_number(spark, tmp_path):
+    one, two = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/roll") for _ in range(2))
+    told = []
+    between(one, lambda: told.append(two.commit(5, delta(spark, 5))))
+    assert not one.commit(5, delta(spark, 7)) and told == [True] and docs_in(one) == 5
+    # the other publishes between the last look and the rename
+    rename = one._fs.rename
+
+    class Late:
+        def __getattr__(self, name):
+            return getattr(two._fs, name)
+
+        def rename(self, a, b):
+            told.append(two.commit(6, delta(spark, 20)))
+            return rename(a, b)
+
+    one._fs = Late()
+    assert not one.commit(6, delta(spark, 70)) and told == [True, True] and docs_in(two) == 25
+    assert not [p for p in (tmp_path / "roll").rglob("_aside-*")]
+
+
+def test_a_late_number_counts_after_a_compaction(spark, tmp_path):
+    roll = token_rollup.TokenRollup(spark, f"file://{tmp_path}/roll")
+    assert roll.compact() == -1
+    roll.commit(1, delta(spark, 1))
+    roll.commit(3, delta(spark, 100))
+    assert roll.compact() == 3
+    assert roll.commit(2, delta(spark, 10)) and not roll.commit(2, delta(spark, 10)) and not roll.commit(3, delta(spark, 9)) and docs_in(roll) == 111
+    assert roll.compact() == 3 and docs_in(roll) == 111 and not roll.commit(2, delta(spark, 10))
+
+
 def test_clashing_columns_and_long_texts(spark):
     rows = [(1, "word " * 900_000, "s", "l", 1, 2, 3), (2, None, None, "l", 1, 2, 3), (2, None, None, "l", 1, 2, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_tokens int, n_bytes int, ids int")
