@@ -1,27 +1,28 @@
-"""Density clustering and neighbours by blocks of points.
+"""Density clustering and neighbours by balanced boxes of points.
 
-Points fall into cubes of side eps over the few dimensions that separate them best; two points within eps lie in the same
-or in touching cubes. A cube is cut into blocks of at most about BLOCK points, and each pair of blocks of touching
-cubes is one unit of work: the points of both meet in one task, which takes their distances as one matrix product and, where
+Points are dealt to boxes by median cuts (`boxes`), each box with copies of the points around it, so all neighbours of a point
+are in its own box. A box's points are taken in blocks of at most about BLOCK; a block with itself and the copies around it, or two
+blocks of a box, are one unit of work: its points meet in one task, which takes their distances as one matrix product and, where
 a distance is too near eps to tell, once more in the order of the dimensions. What comes out of a unit is counts per point
 and at most one link per merge of clusters, never pairs, unless pairs are asked for.
 
-A point is sent to as many units as its block has neighbours. Where no dimension separates the points (many dimensions, wide
-eps) that is one copy for each BLOCK points: the work is that of comparing all with all, the shuffle a BLOCK-th of it.
+Dense regions get small boxes, so a point is compared with what lies around it. Where no cut parts the points (many dimensions, wide
+eps) they stay in one box whose blocks all meet: the work is that of comparing all with all, the shuffle a BLOCK-th of it.
+`work_of` tells what a setting costs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeflow.operators.components import connected_components
+from spokeflow.operators.boxes import boxed
+from spokeflow.operators.components import few_or_many_components
 from spokeflow.plans.lineage import bounded_batches, written
 
 BLOCK = 2048  # points of a block, about
@@ -37,34 +38,33 @@ def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
 
 
-def _axes(pts: DataFrame, eps: float, grid_dims: int) -> list[int]:
-    """The widest dimensions, of those that spread over more than three cubes; from one row a dimension."""
-    dims = pts.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("spread"), F.count("v").alias("n")).collect()
-    most = max((d.n for d in dims), default=0)
-    wide = [d for d in dims if d.n == most and (d.spread or 0) > 3 * eps]
-    return [d.i for d in sorted(wide, key=lambda d: (-d.spread, d.i))][:grid_dims]
-
-
-def _units(points: DataFrame, eps: float, id_col: str, features: str, grid_dims: int, axes: Sequence[int] | None, block: int, extra: Sequence[str] = ()) -> DataFrame:
-    """(unit, side, id, x, extra..): the points of each pair of blocks that may hold neighbours; side 0 and 1, or 2 for a block with itself."""
+def _units(points: DataFrame, eps: float, id_col: str, features: str, block: int, extra: Sequence[str] = ()) -> DataFrame:
+    """(unit, side, id, x, extra..): side 0 and 1 are two blocks of a box, 2 a block that also meets itself, 3 points around the box."""
     pts = points.select(F.col(id_col).alias("id"), F.transform(F.col(features), lambda v: v.cast("double")).alias("x"), *extra)
-    axes = _axes(pts, eps, grid_dims) if axes is None else list(axes)
-    cell = F.array(*[F.floor(F.col("x")[i] / eps) for i in axes]) if axes else F.array(F.lit(0).cast("bigint"))
-    pts = pts.withColumn("cell", cell)
-    cells = pts.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    blocks = written(cells.select("cell", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    around = F.array(*[F.array(*[F.col("cell")[k] + o for k, o in enumerate(offset)]) for offset in product((-1, 0, 1), repeat=max(1, len(axes)))])
-    one = blocks.select("cell", "part", F.explode(around).alias("near"))
-    other = blocks.select(F.col("cell").alias("near"), F.col("part").alias("near_part"))
-    here, there = F.struct("cell", "part"), F.struct(F.col("near").alias("cell"), F.col("near_part").alias("part"))
-    pairs = one.join(other, "near").where(here <= there).select("cell", "part", "near", "near_part", F.xxhash64("cell", "part", "near", "near_part").alias("unit"))
-    alone = here == there
-    member = F.explode(F.when(alone, F.array(F.struct("cell", "part", F.lit(2).alias("side")))).otherwise(
-        F.array(F.struct("cell", "part", F.lit(0).alias("side")), F.struct(F.col("near").alias("cell"), F.col("near_part").alias("part"), F.lit(1).alias("side")))
-    ))
-    members = pairs.select("unit", member.alias("m")).select("unit", "m.cell", "m.part", "m.side")
-    sized = pts.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    return sized.join(members, ["cell", "part"]).select("unit", "side", "id", "x", *extra)
+    held = boxed(pts, eps, block)
+    sizes = held.groupBy("box").agg(F.count_if("own").alias("_own"), F.count_if(~F.col("own")).alias("_around"))
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int")
+    sizes = written(sizes.select("box", parts("_own").alias("_blocks"), parts("_around").alias("_rings")))
+    held = held.join(sizes, "box").withColumn("_at", F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("_blocks")).otherwise(F.col("_rings"))).cast("int"))
+    # a block meets itself and ring 0 in one unit, each other ring and each later block in one more
+    unit = lambda kind, i, j: F.xxhash64("box", F.lit(kind), i, j)
+    at, none = F.col("_at"), F.lit(0)
+    to = lambda side, u: F.struct(F.lit(side).alias("side"), u.alias("unit"))
+    later = F.transform(F.sequence(at, F.col("_blocks") - 1), lambda j: F.when(j == at, to(2, unit("own", at, none))).otherwise(to(0, unit("pair", at, j))))
+    earlier = F.transform(F.filter(F.sequence(none, at), lambda i: i < at), lambda i: to(1, unit("pair", i, at)))
+    rings = F.transform(F.filter(F.sequence(none, F.col("_rings") - 1), lambda r: r > 0), lambda r: to(0, unit("ring", at, r)))
+    around = F.transform(F.sequence(none, F.col("_blocks") - 1), lambda i: to(3, F.when(at == 0, unit("own", i, none)).otherwise(unit("ring", i, at))))
+    goes = F.when(F.col("own"), F.concat(later, earlier, rings)).otherwise(around)
+    return held.select("id", "x", *extra, F.explode(goes).alias("_u")).select(F.col("_u.unit").alias("unit"), F.col("_u.side").alias("side"), "id", "x", *extra)
+
+
+def work_of(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", block: int = BLOCK) -> DataFrame:
+    """One row: points, rows that are sent to units, and pairs of points that the units compare."""
+    sides = _units(points, eps, id_col, features, block).groupBy("unit").agg(*[F.count_if(F.col("side") == s).alias(f"n{s}") for s in range(4)])
+    n2 = F.col("n2")
+    pairs = F.col("n0") * (F.col("n1") + F.col("n3")) + n2 * F.col("n3") + n2 * (n2 - 1) / 2
+    rows = sum(F.col(f"n{s}") for s in range(4))
+    return sides.agg(F.sum(rows).alias("rows"), F.sum(pairs).cast("bigint").alias("pairs")).select(F.lit(points.count()).alias("points"), "rows", "pairs")
 
 
 def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
@@ -82,7 +82,10 @@ def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
 
 
 def _by_unit(units: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """Runs work(ids_a, x_a, extra_a, ids_b, x_b, extra_b, itself) -> columns over each unit; rows come sorted by unit and side."""
+    """Runs work(ids_a, x_a, extra_a, ids_b, x_b, extra_b, itself, around) -> columns over each unit; rows come sorted by unit and side.
+
+    `itself`: the points of a also meet each other. `around`: b are copies, which get their own counts and links in their own box.
+    """
     bounded_batches(units.sparkSession)
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     extra = units.columns[4:]
@@ -93,11 +96,10 @@ def _by_unit(units: DataFrame, work: Callable, schema: str) -> DataFrame:
         def done() -> pa.RecordBatch | None:
             side, ids, x = (np.concatenate([h[k] for h in held]) for k in range(3))
             rest = [np.concatenate([h[3 + k] for h in held]) for k in range(len(extra))]
-            itself = side[0] == 2
-            a, b = (side == 2, side == 2) if itself else (side == 0, side == 1)
-            if not a.any() or not b.any():
+            a, b, itself = (side == 0) | (side == 2), (side == 1) | (side == 3), bool((side == 2).any())
+            if not a.any() or not (itself or b.any()):
                 return None
-            found = work(ids[a], x[a], [r[a] for r in rest], ids[b], x[b], [r[b] for r in rest], itself)
+            found = work(ids[a], x[a], [r[a] for r in rest], ids[b], x[b], [r[b] for r in rest], itself, not (side == 1).any())
             return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names) if len(found[0]) else None
 
         for batch in batches:
@@ -120,33 +122,40 @@ def _by_unit(units: DataFrame, work: Callable, schema: str) -> DataFrame:
     return units.repartition(parts, "unit").sortWithinPartitions("unit", "side", "id").mapInArrow(run, schema)
 
 
-def neighbour_counts(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", grid_dims: int = 3, axes: Sequence[int] | None = None, block: int = BLOCK) -> DataFrame:
+def _own_near(x: np.ndarray, eps: float) -> np.ndarray:
+    """Which different rows of x are within eps of each other."""
+    near = _near(x, x, eps)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def neighbour_counts(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", block: int = BLOCK) -> DataFrame:
     """(id, n) of points with neighbours: how many other points lie within eps. Ids are numbers and tell points apart."""
 
-    def count(ids, x, _, jds, y, __, itself):
+    def count(ids, x, _, jds, y, __, itself, around):
         near = _near(x, y, eps)
-        if itself:
-            near[np.arange(len(x)), np.arange(len(x))] = False
-            n = near.sum(1)
-            return ids[n > 0], n[n > 0].astype(np.int64)
-        a, b = near.sum(1), near.sum(0)
+        a = near.sum(1) + (_own_near(x, eps).sum(1) if itself else 0)
+        if around:
+            return ids[a > 0], a[a > 0].astype(np.int64)
+        b = near.sum(0)
         return np.concatenate([ids[a > 0], jds[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]).astype(np.int64)
 
-    units = _units(points, eps, id_col, features, grid_dims, axes, block)
+    units = _units(points, eps, id_col, features, block)
     return _by_unit(units, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def neighbour_pairs(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", grid_dims: int = 3, axes: Sequence[int] | None = None, block: int = BLOCK) -> DataFrame:
+def neighbour_pairs(points: DataFrame, eps: float, id_col: str = "id", features: str = "features", block: int = BLOCK) -> DataFrame:
     """(a, b) for all ordered pairs of different points within eps, where the pairs themselves are wanted."""
 
-    def pairs(ids, x, _, jds, y, __, itself):
-        near = _near(x, y, eps)
+    def pairs(ids, x, _, jds, y, __, itself, around):
+        i, j = np.nonzero(_near(x, y, eps))
+        found = [(ids[i], jds[j])] + ([] if around else [(jds[j], ids[i])])
         if itself:
-            near[np.arange(len(x)), np.arange(len(x))] = False
-        i, j = np.nonzero(near)
-        return (ids[i], jds[j]) if itself else (np.concatenate([ids[i], jds[j]]), np.concatenate([jds[j], ids[i]]))
+            i, j = np.nonzero(_own_near(x, eps))
+            found.append((ids[i], ids[j]))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
-    return _by_unit(_units(points, eps, id_col, features, grid_dims, axes, block), pairs, "a bigint, b bigint")
+    return _by_unit(_units(points, eps, id_col, features, block), pairs, "a bigint, b bigint")
 
 
 def _merges(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
@@ -169,33 +178,33 @@ def _merges(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
 
 def dbscan(
     points: DataFrame, eps: float, min_points: int, id_col: str = "id", features: str = "features",
-    count_self: bool = True, grid_dims: int = 3, block: int = BLOCK,
+    count_self: bool = True, block: int = BLOCK, lone_is_noise: bool = False,
 ) -> DataFrame:
     """id, cluster, core. Noise has cluster NULL.
 
     A core point has `min_points` neighbours, itself included or not. A cluster is named by its smallest core
     point; a border point joins the smallest cluster among its core neighbours, which makes the result
-    independent of the order of rows. A core point without neighbours is a cluster of its own.
+    independent of the order of rows. A core point without neighbours is a cluster of its own or, with
+    `lone_is_noise`, noise: so is then every cluster of one point, as where clusters are trees of at least two.
 
     Two passes over the units: the first counts neighbours, the second links core points (a link for each merge within a
     unit) and border points (a link to each of the unit's clusters that they touch).
     """
     ids = points.select(F.col(id_col).alias("id"))
-    degree = neighbour_counts(points, eps, id_col, features, grid_dims, None, block)
+    degree = neighbour_counts(points, eps, id_col, features, block)
     n = F.coalesce(F.col("n"), F.lit(0)) + (1 if count_self else 0)
     marked = written(ids.join(degree, "id", "left").select("id", (n >= min_points).alias("core"), (F.coalesce("n", F.lit(0)) > 0).alias("near")))
     # points without neighbours have no part in links
     held = points.withColumnRenamed(id_col, "id").join(marked.where("near").select("id", F.col("core").alias("_core")), "id")
 
-    def link(ids, x, core, jds, y, kore, itself):
-        core, kore = core[0].astype(bool), kore[0].astype(bool)
-        near = _near(x, y, eps)
+    def link(ids, x, core, jds, y, kore, itself, around):
+        n, every, solid = len(ids), np.concatenate([ids, jds]), np.concatenate([core[0], kore[0]]).astype(bool)
+        all_near = np.zeros((len(every), len(every)), bool)
+        if len(jds):
+            near = _near(x, y, eps)
+            all_near[:n, n:], all_near[n:, :n] = near, near.T
         if itself:
-            every, solid, all_near = ids, core, near
-        else:
-            every, solid = np.concatenate([ids, jds]), np.concatenate([core, kore])
-            all_near = np.zeros((len(every), len(every)), bool)
-            all_near[: len(ids), len(ids) :], all_near[len(ids) :, : len(ids)] = near, near.T
+            all_near[:n, :n] = _own_near(x, eps)
         cores = np.flatnonzero(solid)
         links = _merges(every[cores], all_near[np.ix_(cores, cores)])
         lead = {}
@@ -208,18 +217,23 @@ def dbscan(
         for p, q in links:
             lead[max(find(p), find(q))] = min(find(p), find(q))
         out = [(p, q, True) for p, q in links]
-        for b in np.flatnonzero(~solid):
+        for b in np.flatnonzero(~solid[: n if around else None]):
             out += [(p, every[b], False) for p in {find(c) for c in every[cores[all_near[b, cores]]].tolist()}]
         c = list(zip(*out)) or [[], [], []]
         return np.array(c[0], np.int64), np.array(c[1], np.int64), np.array(c[2], bool)
 
-    units = _units(held, eps, "id", features, grid_dims, None, block, ["_core"])
+    units = _units(held, eps, "id", features, block, ["_core"])
     links = written(_by_unit(units, link, "a bigint, b bigint, solid boolean"))
-    named = connected_components(links.where("solid").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    named = few_or_many_components(links.where("solid").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     core = marked.where("core").select("id")
     cores = written(core.join(named, core["id"] == named["node"], "left").select("id", F.coalesce("component", "id").alias("cluster")))
     border = links.where("not solid").join(cores.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("cluster"))
-    return marked.join(cores.unionByName(border), "id", "left").select("id", "cluster", "core")
+    found = marked.join(cores.unionByName(border), "id", "left").select("id", "cluster", "core")
+    if not lone_is_noise:
+        return found
+    alone = written(found.where("cluster is not null").groupBy(F.col("cluster").alias("_c")).count().where("count = 1").select("_c"))
+    found = found.join(alone, found["cluster"] == alone["_c"], "left")
+    return found.select("id", F.when(F.col("_c").isNull(), F.col("cluster")).alias("cluster"), (F.col("core") & F.col("_c").isNull()).alias("core"))
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

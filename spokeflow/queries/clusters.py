@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spokeflow.operators import components, dbscan
+from spokeflow.operators import components, dbscan, knn
 from spokeflow.queries import query, table
 
 _PAIRS = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
@@ -48,10 +48,14 @@ def cluster_sizes(spark, sf):
     return dbscan.cluster_sizes(dbscan.dbscan(_points(spark, sf), 1.15, 4))
 
 
-@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
-d AS (SELECT q.id AS query, v.id, list_sum(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v q JOIN v ON q.id <> v.id WHERE q.id % 20 = 0),
+def _nearest_sql(which: str, k: int) -> str:
+    return f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+d AS (SELECT q.id AS query, v.id, list_sum(list_transform(list_zip(q.x, v.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v q JOIN v ON q.id <> v.id WHERE {which}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM d)
-SELECT query, id, round(sqrt(d), 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 9""")
+SELECT query, id, round(sqrt(d), 6) AS distance, rank::INT AS rank FROM r WHERE rank <= {k}"""
+
+
+@query(_nearest_sql("q.id % 20 = 0", 9))
 def nearest_neighbours(spark, sf):
     """Queries are the rows whose id is divisible by 20, against all rows."""
     pts = _points(spark, sf)
@@ -59,6 +63,19 @@ def nearest_neighbours(spark, sf):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@query(_nearest_sql("true", 5))
+def nearest_neighbour_join(spark, sf):
+    """All points against all, by cells and their bounds."""
+    out = knn.nearest_neighbour_join(_points(spark, sf), 5, block=256)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {_PAIRS}, c AS (SELECT d.id, k.cluster, d.n + 1 >= 4 AS core FROM d LEFT JOIN ({_dbscan_sql(1)}) k USING (id)), s AS (SELECT cluster FROM c WHERE cluster IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT id, CASE WHEN cluster IN (SELECT cluster FROM s) THEN cluster END AS cluster, core AND cluster IN (SELECT cluster FROM s) AS core FROM c")
+def dbscan_lone_points_noise(spark, sf):
+    """A cluster of one point is noise, as where clusters are trees of at least two."""
+    return dbscan.dbscan(_points(spark, sf), 1.15, 4, lone_is_noise=True)
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS a, (c_nationkey * 7 + 3) % 25 AS b FROM customer), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT DISTINCT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf):
