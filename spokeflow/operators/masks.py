@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spokeflow.functions.windows import running
-from spokeflow.operators import signal
+from spokeflow.operators.turning import turning_spans
 from spokeflow.plans.spread import in_pieces, numbered, owned
 
 
@@ -62,23 +61,6 @@ def moving(df: DataFrame, current: str, run: Sequence[str], angle: str | None =
     return rows.where(kept).drop("_on", "_some", "_first", "_stop", *[f"_span_{c}" for c in run])
 
 
-def turning_spans(df: DataFrame, angle: str, run: Sequence[str], order: str) -> DataFrame:
-    """Per run the values of `order` at its first start and first stop by the detector on its angle; a missing angle repeats the one before.
-
-    A run is one recording: its angles, two numbers a row, are taken together by one task.
-    """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*run).schema.fields)
-    kind = df.schema[order].dataType.simpleString()
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable")
-        start, stop = signal.start_and_stop(rows[angle].astype(float).ffill().fillna(0.0).to_numpy())
-        return pd.DataFrame([[*rows[run].iloc[0], rows[order].iloc[start], rows[order].iloc[stop]]], columns=[*run, "_first", "_stop"])
-
-    run = list(run)
-    return df.select(*run, order, angle).groupBy(*run).applyInPandas(find, f"{fields}, _first {kind}, _stop {kind}")
-
-
 def burn_in(df: DataFrame, run: Sequence[str], order: Sequence[str], low: int) -> DataFrame:
     """Rows from number `low` on, or the last row of a run that is no longer; adds `t`, from 0. A run is numbered by ranges of `order`."""
     rows = numbered(df, run, order).withColumn("t", F.col("_rn").cast("int"))

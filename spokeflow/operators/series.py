@@ -147,15 +147,3 @@ def rotations(df: DataFrame, angle: str, run: Sequence[str], order: Sequence[str
     first, last = F.min_by("_a", "_i"), F.max_by("_a", "_i")
     out = rows.groupBy(*run).agg((full + (360.0 - first + last) / 360.0).alias("n_rot"))
     return out.withColumn("mean_slip", 1 - F.least(F.try_divide(F.lit(distance), F.col("n_rot") * circumference), F.lit(1.0)))
-
-
-def turning(df: DataFrame, angle: str, run: str, order: str) -> DataFrame:
-    """Per run the row numbers, from 0, before a turning wheel first starts and before it first stops."""
-    kind = df.schema[run].dataType.simpleString()
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order, kind="stable")[angle].to_numpy(float)
-        start, stop = signal.start_and_stop(x)
-        return pd.DataFrame({run: [pdf[run].iloc[0]], "start": [start], "stop": [stop]})
-
-    return df.select(run, order, angle).groupBy(run).applyInPandas(find, f"`{run}` {kind}, start int, stop int")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from spokeflow.functions import arrays
 from spokeflow.functions import scalars as s
 from spokeflow.functions.windows import circular_running, gaussian, reach, running, trailing, trailing_slope
-from spokeflow.operators import asof, binning, masks, series
+from spokeflow.operators import asof, binning, masks, series, turning
+from spokeflow.plans import spread
 from spokeflow.plans.spread import in_pieces, owned
 from spokeflow.queries import EV, events, query, r6, rounded, table
 
@@ -272,9 +273,39 @@ def wheel_rotations(spark, sf):
     return rounded(series.rotations(e, "a", ["user_id"], ["t", "event_id"]), "n_rot", "mean_slip")
 
 
-@query()
+def _turning_sql(rows: str, run: str) -> str:
+    """Five rounds of best cuts; `rows` gives the run, i from 0, n rows and the sine s."""
+    rounds, last = "", "p0"
+    for k in range(1, 6):
+        rounds += f""", b{k} AS (SELECT p.g, p.a, max({{'gain': (r.s - p.sa) ** 2 / (r.i - p.a) + (p.sb - r.s) ** 2 / (p.b - r.i), 'at': -r.i, 's': r.s}}) AS c
+FROM p{k - 1} p JOIN r ON r.g IS NOT DISTINCT FROM p.g AND r.i > p.a AND r.i < p.b WHERE p.o GROUP BY 1, 2),
+j{k} AS (SELECT p.*, c, p.o AND c IS NOT NULL AND c.gain - (p.sb - p.sa) ** 2 / (p.b - p.a) > 1e-12 AS cut FROM p{k - 1} p LEFT JOIN b{k} b ON b.g IS NOT DISTINCT FROM p.g AND b.a = p.a),
+p{k} AS (SELECT g, n, a, CASE WHEN cut THEN -c.at ELSE b END AS b, sa, CASE WHEN cut THEN c.s ELSE sb END AS sb, coalesce(cut, false) AS o FROM j{k}
+UNION ALL SELECT g, n, -c.at, b, c.s, sb, true FROM j{k} WHERE cut)"""
+        last = f"p{k}"
+    return f"""WITH r AS ({rows}), p0 AS (SELECT g, max(n) AS n, 0::BIGINT AS a, max(n) - 1 AS b, max(CASE WHEN i = 0 THEN s END) AS sa, max(CASE WHEN i = n - 1 THEN s END) AS sb, true AS o FROM r GROUP BY g){rounds},
+q AS (SELECT *, b > a AND abs((sb - sa) / (b - a)) < 1e-4 AS calm FROM {last}), e AS (SELECT *, coalesce(lag(calm) OVER w IS DISTINCT FROM calm, true) AS fresh FROM q WINDOW w AS (PARTITION BY g ORDER BY a, b)),
+z AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY g ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS span FROM e), y AS (SELECT g, n, span, bool_and(calm) AS calm, min(a) AS a, max(b) AS b FROM z GROUP BY g, n, span),
+x AS (SELECT *, lag(calm) OVER w AS calm_before, lag(b - a) OVER w AS before FROM y WINDOW w AS (PARTITION BY g ORDER BY span))
+SELECT g AS {run}, coalesce(min(CASE WHEN calm_before AND before >= 15 AND b - a >= 15 THEN a - 1 END), 0)::INT AS start,
+coalesce(min(CASE WHEN NOT calm_before AND before >= 15 AND b - a >= 15 THEN a - 1 END), max(n) - 1)::INT AS stop FROM x GROUP BY g"""
+
+
+@query(_turning_sql(f"SELECT user_id AS g, row_number() OVER ({_W}) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, sin(radians(value)) AS s FROM {EV}", "user_id"))
 def wheel_turning(spark, sf):
-    return series.turning(events(spark, sf), "value", "user_id", "t")
+    return turning.turning(events(spark, sf), "value", "user_id", ["t", "event_id"])
+
+
+@query(_turning_sql(f"""SELECT g, i, n, sin(radians(CASE WHEN i < n // 5 THEN 0.0 WHEN i < n - n // 4 THEN ((i - n // 5) * 4.0) % 360 ELSE ((n - n // 4 - n // 5) * 4.0) % 360 END)) AS s FROM
+(SELECT event_type AS g, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {EV})""", "event_type"))
+def turning_of_long_runs(spark, sf):
+    """Each event type is a run: its wheel stands for a fifth, turns, and stands for the last quarter."""
+    rows = spread.numbered(events(spark, sf), ["event_type"], ["t", "event_id"])
+    i, n = F.col("_rn"), F.col("_n")
+    low, high = F.floor(n / 5), n - F.floor(n / 4)
+    angle = F.when(i < low, 0.0).when(i < high, ((i - low) * 4.0) % 360).otherwise(((high - low) * 4.0) % 360)
+    rows = rows.select("event_type", "t", "event_id", angle.alias("angle"))
+    return turning.turning(rows, "angle", "event_type", ["t", "event_id"])
 
 
 @query(f"""SELECT event_id, round(sum(value * d) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 3) + 0.0 AS position FROM
