@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from spokeflow.plans.lineage import shared_folder
 from spokeflow.queries import EV, PX, events, pixels, query, r6, table
 from spokeflow.sources import readers
-from spokeflow.streaming import live
+from spokeflow.streaming import live, ordered
 
 
 def _replayed(spark, sf, parts: int = 3):
@@ -19,6 +20,16 @@ def _replayed(spark, sf, parts: int = 3):
     return live.replay(spark, path, e.schema)
 
 
+def _shuffled(spark, rows, parts: int = 4):
+    """A topic of rows with `ts` whose files hold any of its times, and a heartbeat after all of them; and the lateness that covers it."""
+    path = f"{shared_folder(spark)}/topic-{uuid.uuid4().hex}"
+    rows.repartition(parts, "event_id").write.parquet(path)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    late = datetime.timedelta(seconds=1) + (last - first if first else datetime.timedelta(0))
+    ordered.heartbeat(spark, rows.schema, "ts", (last or datetime.datetime(2000, 1, 1)) + 2 * late).coalesce(1).write.mode("append").parquet(path)
+    return live.replay(spark, path, rows.schema), f"{late.total_seconds():.6f} seconds"
+
+
 def _drained(df, mode: str):
     """What the stream leaves in the shared folder, with its state and progress beside it."""
     place = f"{shared_folder(df.sparkSession)}/live-{uuid.uuid4().hex}"
@@ -96,3 +107,48 @@ def stream_publish(spark, sf):
     back = readers.frame_messages(publisher.messages())
     total = F.aggregate(F.flatten("frame_data"), F.lit(0.0), lambda a, b: a + b)
     return back.select("frame", "topic", "x_coils", "y_coils", r6(total).alias("total"))
+
+
+def _messages(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query(f"""SELECT event_id FROM {EV} e ASOF JOIN {_PAIRS} p ON e.user_id = p.user_id AND e.t >= p.begin_at WHERE e.event_type NOT IN ('click', 'error') AND e.t <= p.end_at""")
+def stream_ordered_gate(spark, sf):
+    """Messages between a start and its stop, from files that hold any times."""
+    stream, late = _shuffled(spark, _messages(spark, sf))
+    return _drained(ordered.gate(stream, ["user_id"], "ts", "event_type", "click", "error", late, ["event_type", "event_id"]), "append").select("event_id")
+
+
+@query(f'SELECT user_id, round(begin_at, 3) AS "begin", round(end_at, 3) AS "end" FROM {_PAIRS}')
+def stream_intervals(spark, sf):
+    stream, late = _shuffled(spark, _messages(spark, sf))
+    out = _drained(ordered.intervals(stream, ["user_id"], "ts", "event_type", "click", "error", late, ["event_type"]), "append")
+    return out.select("user_id", *[F.round(F.unix_micros(c) / 1e6, 3).alias(c) for c in ("begin", "end")])
+
+
+@query(f"""SELECT event_id, round(sum(value * d) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 3) + 0.0 AS position FROM
+(SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id), 0) AS d FROM {EV})""")
+def stream_position(spark, sf):
+    stream, late = _shuffled(spark, _messages(spark, sf))
+    out = _drained(ordered.integral(stream, ["user_id"], "ts", "value", late, ["event_id"]), "append").where("user_id is not null")
+    return out.select("event_id", (F.round("position", 3) + 0.0).alias("position"))
+
+
+#: Time runs so much faster in the replay of snapshots that their grid of 100 ms suits the events' spacing.
+_SPEED = 10_000
+_FAST = f"(SELECT event_id, event_type, CASE WHEN user_id % 3 > 0 THEN value END AS value, CASE WHEN user_id % 2 > 0 THEN user_id END AS user_id, (epoch_us(ts) // {_SPEED})::BIGINT AS us FROM events)"
+
+
+@query(f"""WITH e AS {_FAST}, b AS (SELECT event_type, min(ceil(us / 100000.0)::BIGINT) AS lo, max(ceil(us / 100000.0)::BIGINT) AS hi FROM e GROUP BY 1),
+g AS (SELECT event_type, unnest(generate_series(lo, hi)) AS k FROM b),
+v AS (SELECT g.event_type, g.k, x.value FROM g ASOF LEFT JOIN (SELECT event_type, us, arg_max(value, event_id) AS value FROM e WHERE value IS NOT NULL GROUP BY 1, 2) x ON x.event_type = g.event_type AND g.k * 100000 >= x.us)
+SELECT v.event_type, v.k * 100 AS at_ms, v.value, x.user_id FROM v ASOF LEFT JOIN (SELECT event_type, us, arg_max(user_id, event_id) AS user_id FROM e WHERE user_id IS NOT NULL GROUP BY 1, 2) x ON x.event_type = v.event_type AND v.k * 100000 >= x.us""")
+def stream_snapshots(spark, sf):
+    """Ten times a second the last value of each field per channel."""
+    fast = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts")) / _SPEED))
+    rows = _messages(spark, sf).select(
+        "event_id", "event_type", fast.alias("ts"), F.when(F.col("user_id") % 3 > 0, F.col("value")).alias("value"), F.when(F.col("user_id") % 2 > 0, F.col("user_id")).alias("user_id")
+    )
+    stream, late = _shuffled(spark, rows)
+    return _drained(ordered.snapshots(stream, ["event_type"], "ts", ["value", "user_id"], late, 100, ["event_id"]), "append").where("event_type is not null")
