@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from spokeflow.functions import scalars as s
 from spokeflow.operators import assemble, evaluate, masks
 from spokeflow.plans.lineage import shared_folder
 from spokeflow.queries import EV, PX, events, pixels, query, r6, rounded, table
-from spokeflow.sources import readers, writers
+from spokeflow.sources import readers, sliced, writers
 
 
 def _fresh(spark, name: str) -> str:
@@ -53,27 +50,15 @@ def _impedance(spark, e):
     return out.select("user_id", "n", F.round("re", 6).alias("re"), r6("im").alias("im"), (F.round("f", 3) + 0.0).alias("f"))
 
 
-def _content(pdf_to_bytes, schema: str):
-    def run(batches):
-        for pdf in batches:
-            yield pdf_to_bytes(pdf)
-
-    return lambda df: df.mapInPandas(run, schema)
-
-
 @query("SELECT vec_id, 64 AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) + 0.0 AS total FROM embeddings")
 def array_files(spark, sf):
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for v in pdf["embedding"]:
-            b = io.BytesIO()
-            np.save(b, np.asarray(v, float))
-            out.append(b.getvalue())
-        return pd.DataFrame({"path": pdf["vec_id"].map("run/{}.npy".format), "content": out})
-
-    files = _content(save, "path string, content binary")(table(spark, sf, "embeddings").select("vec_id", "embedding"))
-    back = readers.arrays_of(files)
-    out = back.groupBy(F.regexp_extract("path", r"(\d+)\.npy", 1).cast("bigint").alias("vec_id")).agg(F.count("*").cast("int").alias("n"), F.sum(F.col("values")[0]).alias("total"))
+    """Two-dimensional array files in the shared folder, each read by many tasks."""
+    path = _fresh(spark, "arrays")
+    e = table(spark, sf, "embeddings")
+    sliced.write_rows(e.select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("values")), path, "npy")
+    back = sliced.read_rows(spark, path, "npy", ".npy", slice_bytes=1 << 16)
+    own = F.slice("values", 2, F.size("values") - 1)
+    out = back.select(F.col("values")[0].cast("bigint").alias("vec_id"), F.size(own).alias("n"), F.aggregate(own, F.lit(0.0), lambda a, b: a + b).alias("total"))
     return rounded(out, "total")
 
 
@@ -106,30 +91,26 @@ def rock_files(spark, sf):
 
 @query("SELECT vec_id AS id, 64 AS dims, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings")
 def point_files(spark, sf):
-    """Points in the binary layout, read in slices."""
-    import struct
-
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "path": pdf["vec_id"].astype(str), "content": [struct.pack("<ii", 1, len(v)) + np.asarray(v, "<f4").tobytes() for v in pdf["embedding"]],
-        })
-
-    files = _content(save, "path string, content binary")(table(spark, sf, "embeddings").select("vec_id", "embedding"))
-    return readers.points_binary_of(files).select(F.col("path").cast("bigint").alias("id"), F.size("features").alias("dims"), r6(F.col("features")[0].cast("double")).alias("first"))
+    """Point files in the binary layout, each read by slices of its bytes; the id stands in two numbers before the features."""
+    path = _fresh(spark, "points")
+    e = table(spark, sf, "embeddings")
+    name = F.array(F.floor(F.col("vec_id") / 65536).cast("float"), (F.col("vec_id") % 65536).cast("float"))
+    sliced.write_rows(e.select(F.concat(name, F.col("embedding").cast("array<float>")).alias("values")), path, "points")
+    back = sliced.read_rows(spark, path, "points", slice_bytes=1 << 15)
+    v = F.col("values")
+    return back.select((v[0].cast("bigint") * 65536 + v[1].cast("bigint")).alias("id"), (F.size(v) - 2).alias("dims"), r6(v[2].cast("double")).alias("first"))
 
 
 @query("SELECT p_partkey AS i, (p_size % 256)::INT AS value FROM part")
 def image_files(spark, sf):
-    """Labels in the IDX layout."""
-    import struct
-
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "path": pdf["p_partkey"].astype(str), "content": [bytes([0, 0, 8, 1]) + struct.pack(">i", 1) + bytes([v % 256]) for v in pdf["p_size"]],
-        })
-
-    files = _content(save, "path string, content binary")(table(spark, sf, "part").select("p_partkey", "p_size"))
-    return readers.idx_of(files).select(F.col("path").cast("bigint").alias("i"), F.col("values")[0].alias("value"))
+    """Images of nine bytes in the IDX layout: eight of a key and a label."""
+    path = _fresh(spark, "images")
+    p = table(spark, sf, "part")
+    byte = lambda k: F.shiftright("p_partkey", 8 * k).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+    sliced.write_rows(p.select(F.array(*[byte(7 - k) for k in range(8)], (F.col("p_size") % 256).cast("int")).alias("values")), path, "idx")
+    back = sliced.read_rows(spark, path, "idx", slice_bytes=1 << 12)
+    key = F.aggregate(F.slice("values", 1, 8), F.lit(0).cast("bigint"), lambda a, b: a * 256 + b)
+    return back.select(key.alias("i"), F.col("values")[8].alias("value"))
 
 
 @query(f"""SELECT t AS frame, 'scan' AS topic, 16 AS x_coils, 4 AS y_coils, round(sum(p) / 256, 6) + 0.0 AS total FROM {PX} GROUP BY 1""")
