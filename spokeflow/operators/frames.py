@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spokeflow.functions.scalars import AMBIGUOUS, BELT_MM, COLUMNS, RADIUS_MM, ROWS, contact_column, signed_lag, sinkage
+from spokeflow.plans.quantiles import quantiles
 
 SUBSETS = ["all", "grouser", "nongrouser"]
 
@@ -39,7 +40,7 @@ def calibrated(pixels: DataFrame, cal: DataFrame, keys: Sequence[str] = (), turn
 
 def without_drift(pixels: DataFrame, run: Sequence[str]) -> DataFrame:
     """p less the pixel's median over the run: an aggregate of one row per pixel, joined back."""
-    drift = pixels.groupBy(*run, "row", "col").agg(F.median("p").alias("_median"))
+    drift = quantiles(pixels, [*run, "row", "col"], {"_m": "p"}, [0.5]).withColumn("_median", F.col("_m")[0]).drop("_m")
     return pixels.join(drift, [*run, "row", "col"]).withColumn("p", F.col("p") - F.col("_median")).drop("_median")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spokeflow.functions.windows import running
 from spokeflow.operators.turning import turning_spans
+from spokeflow.plans.quantiles import quantiles
 from spokeflow.plans.spread import in_pieces, numbered, owned
 
 
@@ -25,10 +26,19 @@ def with_run_aggregates(df: DataFrame, run: Sequence[str], **aggregates: Column)
     return df.join(per, same).drop(*[f"_run_{c}" for c in run])
 
 
+def with_run_quantiles(df: DataFrame, run: Sequence[str], columns: dict[str, str], shares: Sequence[float] = (0.25, 0.75)) -> DataFrame:
+    """Adds quantiles of a row's run, one array for each output; runs may have any number of rows."""
+    per = quantiles(df, run, columns, shares)
+    if not run:
+        return df.crossJoin(F.broadcast(per))  # one row
+    per = per.withColumnsRenamed({c: f"_run_{c}" for c in run})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_run_{c}")) for c in run])
+    return df.join(per, same).drop(*[f"_run_{c}" for c in run])
+
+
 def iqr_inlier(df: DataFrame, x: str, run: Sequence[str], factor: float, output: str = "inlier") -> DataFrame:
     """True strictly inside q1 - factor * iqr and q3 + factor * iqr of a run."""
-    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-    rows = with_run_aggregates(df, run, _q=quartiles)
+    rows = with_run_quantiles(df, run, {"_q": x})
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return rows.withColumn(output, (F.col(x) > q1 - factor * (q3 - q1)) & (F.col(x) < q3 + factor * (q3 - q1))).drop("_q")
 
@@ -36,9 +46,8 @@ def iqr_inlier(df: DataFrame, x: str, run: Sequence[str], factor: float, output:
 def clean_slip(df: DataFrame, x: str, run: Sequence[str], order: Sequence[str], output: str = "clean") -> DataFrame:
     """Inliers both by value and by running deviation; runs of ten rows or fewer have none. Long runs are cut into pieces."""
     rows = in_pieces(df, run, order, 10, 10)
-    rows = owned(rows.withColumn("_sd", running(F.col(x), "std", [*run, "_piece"], ["_rn"], 10, 10)))
-    quartiles = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    rows = with_run_aggregates(rows, run, _qs=quartiles("_sd"), _qx=quartiles(x), _n=F.count(F.lit(1)))
+    rows = owned(rows.withColumn("_sd", running(F.col(x), "std", [*run, "_piece"], ["_rn"], 10, 10)), ["_n"])
+    rows = with_run_quantiles(rows, run, {"_qs": "_sd", "_qx": x})
 
     def inside(c: str, q: str, factor: float) -> Column:
         q1, q3 = F.col(q)[0], F.col(q)[1]

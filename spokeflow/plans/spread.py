@@ -96,6 +96,6 @@ def in_pieces(df: DataFrame, by: Sequence[str], order: Sequence[str], before: in
     return out.withColumn("_own", F.col("_piece") == F.col("_home")).drop("_home")
 
 
-def owned(df: DataFrame) -> DataFrame:
-    """The rows of the pieces, without what `in_pieces` added."""
-    return df.where("_own").drop("_own", "_piece", "_rn", "_n")
+def owned(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of the pieces, without what `in_pieces` added but for what is to be kept of it."""
+    return df.where("_own").drop(*[c for c in ("_own", "_piece", "_rn", "_n") if c not in keep])

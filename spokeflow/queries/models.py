@@ -126,9 +126,9 @@ def quantity_histogram(spark, sf):
     return out.withColumn("density", F.round("density", 9))
 
 
-@query("""SELECT x::DOUBLE AS x, round(avg(exp(-0.5 * ((x - value) / 0.5) ** 2)) / (0.5 * sqrt(2 * pi())), 9) AS density FROM events, range(0, 100, 5) r(x) GROUP BY 1""")
+@query("""SELECT x / 10.0::DOUBLE AS x, round(avg(exp(-0.5 * ((x / 10.0::DOUBLE - value) / 0.5) ** 2)) / (0.5 * sqrt(2 * pi())), 9) + 0.0 AS density FROM events, range(0, 1000) r(x) GROUP BY 1""")
 def kernel_density(spark, sf):
-    out = evaluate.kernel_density(events(spark, sf), "value", list(range(0, 100, 5)))
+    out = evaluate.kernel_density(events(spark, sf), "value", [i / 10 for i in range(1000)])
     return out.withColumn("density", F.round("density", 9))
 
 
