@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spokeflow.operators import assemble, evaluate, forest, masks, ml
+from spokeflow.operators import assemble, evaluate, forest, levels, masks, ml
 from spokeflow.plans.lineage import shared_folder, written
 from spokeflow.queries import events, query, r6, rounded, table
 from spokeflow.sources import writers
@@ -203,10 +203,13 @@ def forest_round_trip(spark, sf):
     return out.select("id", (F.col("p") == F.col("q")).alias("same"))
 
 
-@query("""WITH v AS (SELECT vec_id, ((vec_id * 37) % 101)::DOUBLE AS y, unnest(range(64)) AS f, unnest(embedding)::DOUBLE AS x FROM embeddings),
+_CART_ROOT = """WITH v AS (SELECT vec_id, ((vec_id * 37) % 101)::DOUBLE AS y, unnest(range(64)) AS f, unnest(embedding)::DOUBLE AS x FROM embeddings),
 o AS (SELECT f, x, row_number() OVER w AS i, sum(y) OVER (PARTITION BY f ORDER BY x, vec_id ROWS UNBOUNDED PRECEDING) AS s, lead(x) OVER w AS z, count(*) OVER (PARTITION BY f) AS n, sum(y) OVER (PARTITION BY f) AS t FROM v WINDOW w AS (PARTITION BY f ORDER BY x, vec_id)),
 g AS (SELECT f, (x + z) / 2 AS cut, s / i AS below, (t - s) / (n - i) AS above, s * s / i + (t - s) * (t - s) / (n - i) - t * t / n AS gain FROM o WHERE z - x >= 1e-6)
-SELECT arg_max(f, gain)::INT AS feature, round(arg_max(cut, gain), 6) + 0.0 AS threshold, round(arg_max(below, gain), 6) AS below, round(arg_max(above, gain), 6) AS above FROM g""")
+SELECT arg_max(f, gain)::INT AS feature, round(arg_max(cut, gain), 6) + 0.0 AS threshold, round(arg_max(below, gain), 6) AS below, round(arg_max(above, gain), 6) AS above FROM g"""
+
+
+@query(_CART_ROOT)
 def cart_root(spark, sf):
     """The split of largest gain over all rows and features, and the means of its sides."""
     df = _wide(spark, sf).withColumn("y", (F.col("id") * 37 % 101).cast("double"))
@@ -216,6 +219,25 @@ def cart_root(spark, sf):
     return sides.select("feature", "threshold", F.round(F.col("v")[F.col("l")], 6).alias("below"), F.round(F.col("v")[F.col("r")], 6).alias("above"))
 
 
+@query(_CART_ROOT)
+def cart_root_by_levels(spark, sf):
+    """The same split from sums of all rows by node, feature and value."""
+    df = _wide(spark, sf).withColumn("y", (F.col("id") * 37 % 101).cast("double"))
+    (tree,) = levels.forest_levels(df, _F, "y", 0, trees=1, bootstrap=False, max_depth=1, most_bins=1 << 13)
+    sides = [float(tree.value[n]) for n in (tree.left[0], tree.right[0])]
+    rows = [(int(tree.feature[0]), float(tree.threshold[0]), *sides)]
+    return rounded(spark.createDataFrame(rows, "feature int, threshold double, below double, above double"), "threshold", "below", "above")
+
+
+@query()
+def composition_boosted(spark, sf):
+    """Multinomial boosting over all rows and dimensions."""
+    df = _wide(spark, sf)
+    classes = 1 + int(df.agg(F.max("label")).first()[0])
+    model = levels.boosted(df, _F, "label", classes, rounds=5, max_depth=3, min_leaf=5, subsample=0.5, max_features=21, most_bins=128)
+    return levels.with_classes(df, model, _F).select("id", "prediction", r6(F.array_max("probability")).alias("confidence"))
+
+
 _STUMPS = [(0, 0.0, 0, 0.9, 2, 0.6), (1, 0.01, 1, 0.7, 0, 0.55), (2, -0.02, 2, 0.5, 1, 0.8)]  # feature, threshold, class and share below and above
 
 
