@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import io
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spokeflow.plans.lineage import shared_folder
 from spokeflow.queries import EV, PX, events, pixels, query, r6, table
 from spokeflow.sources import readers
-from spokeflow.streaming import live, ordered
+from spokeflow.streaming import device, live, ordered
 
 
 def _replayed(spark, sf, parts: int = 3):
@@ -94,15 +96,53 @@ def stream_means_of_mean(spark, sf):
     return out.groupBy("event_type").agg(r6(F.avg("mean")).alias("mean"))
 
 
+def _filmed(frames, path: str) -> None:
+    """A file a frame, numbered from 0: tables number frames so."""
+
+    def run(batches):
+        from spokeflow.sources.sliced import _opened
+
+        system, at = _opened(path)
+        system.create_dir(at, recursive=True)
+        for pdf in batches:
+            for number, words in zip(pdf["frame"], pdf["words"]):
+                held = io.BytesIO()
+                np.save(held, np.array([list(r) for r in words], float))
+                with system.open_output_stream(f"{at}/_{number}") as out:
+                    out.write(held.getvalue())
+                system.move(f"{at}/_{number}", f"{at}/{device.frame_name(number)}")
+            yield pdf[["frame"]]
+
+    frames.mapInPandas(run, "frame bigint").count()
+
+
+@query("""SELECT user_id, CASE WHEN user_id % 7 > 0 THEN count(*) END AS n, CASE WHEN user_id % 7 > 0 THEN round(sum(round(value, 3)), 3) + 0.0 END AS total, user_id % 7 = 0 AS failed FROM events GROUP BY user_id""")
+def watched_files(spark, sf):
+    """A folder with a file of numbers a user, each parsed once; those of some users are broken and come as errors."""
+    place = f"{shared_folder(spark)}/watched-{uuid.uuid4().hex}"
+    number = F.when(F.col("user_id") % 7 == 0, F.lit("broken")).otherwise(F.round("value", 3).cast("string"))
+    rows = table(spark, sf, "events").select("user_id", number.alias("value"))
+    rows.repartition("user_id").write.partitionBy("user_id").text(f"{place}/in")
+
+    def parse(content: bytes) -> dict[str, float]:
+        numbers = [float(x) for x in content.decode().split()]
+        return {"n": len(numbers), "total": sum(numbers)}
+
+    found = live.collected(device.watched(spark, f"{place}/in", parse, "*.txt"), f"{place}/rows", "append", f"{place}/progress")
+    user = F.regexp_extract("path", r"user_id=(\d+)", 1).cast("bigint")
+    return found.select(user.alias("user_id"), F.col("values")["n"].cast("bigint").alias("n"), (F.round(F.col("values")["total"], 3) + 0.0).alias("total"), F.col("error").isNotNull().alias("failed"))
+
+
 @query(f"""SELECT t AS frame, 'scan' AS topic, 16 AS x_coils, 4 AS y_coils, round(sum(p) / 256, 6) + 0.0 AS total FROM {PX} GROUP BY 1""")
 def stream_publish(spark, sf):
-    """Frames that arrive as files, published as messages until the stream is stopped, and read again."""
+    """A device's frames, published as messages until the stream is stopped, and read again."""
     px = pixels(spark, sf)
     rows = px.groupBy("t", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "p"))), lambda c: c["p"]).alias("r"))
     words = rows.groupBy(F.col("t").alias("frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "r"))), lambda c: c["r"]).alias("words"))
     place = f"{shared_folder(spark)}/publish-{uuid.uuid4().hex}"
-    words.repartition(3).write.parquet(f"{place}/frames")
-    publisher = live.Publisher(live.replay(spark, f"{place}/frames", words.schema), f"{place}/messages", "scan", f"{place}/progress")
+    _filmed(words, f"{place}/device")
+    frames = device.device_frames(spark, f"{place}/device", 200)
+    publisher = live.Publisher(frames, f"{place}/messages", "scan", f"{place}/progress", halt=lambda: device.fix_end(f"{place}/device"))
     publisher.stop()
     back = readers.frame_messages(publisher.messages())
     total = F.aggregate(F.flatten("frame_data"), F.lit(0.0), lambda a, b: a + b)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -133,16 +134,29 @@ class Publisher:
     A batch that is run again after a failure replaces its own folder, so each frame is published once.
     """
 
-    def __init__(self, frames: DataFrame, path: str, topic: str, checkpoint: str, frame: str = "frame", data: str = "words", divisor: float = 256.0):
+    def __init__(self, frames: DataFrame, path: str, topic: str, checkpoint: str, frame: str = "frame", data: str = "words", divisor: float = 256.0, halt: Callable[[], object] | None = None):
         def send(batch: DataFrame, number: int) -> None:
             frame_json(batch, topic, frame, data, divisor).write.mode("overwrite").text(f"{path}/batch={number}")
 
-        self.path, self.spark = path, frames.sparkSession
+        self.path, self.spark, self.halt = path, frames.sparkSession, halt
         self.query = frames.writeStream.option("checkpointLocation", checkpoint).foreachBatch(send).start()
 
     def stop(self) -> None:
-        """Publish what has arrived, then stop."""
-        self.query.processAllAvailable()
+        """Publish what has arrived, then stop.
+
+        `halt` fixes the source's end, so this ends however many frames keep coming. A source whose end can't be fixed is stopped
+        behind the batch that it is in when this is called, or behind the next one if it is idle and has more.
+        """
+        if self.halt:
+            self.halt()
+            self.query.processAllAvailable()
+        else:
+            begun = -1 if self.query.lastProgress is None else self.query.lastProgress["batchId"]
+            while self.query.isActive and self.query.exception() is None:
+                status, last = self.query.status, self.query.lastProgress
+                if last is not None and last["batchId"] > begun or not (status["isDataAvailable"] or status["isTriggerActive"]) and last is not None:
+                    break
+                time.sleep(0.05)
         self.query.stop()
 
     def messages(self) -> DataFrame:
