@@ -5,12 +5,14 @@ is never article text is pruned: scripts, styles, menus, forms, asides, footers,
 and those whose role says so, or one of whose classes, or whose id, says as a whole nothing but advert, notice, comments,
 side bar and the like (`STRONG` words alone, others with a word of `PARTS`). A name with other words in it (`related-work`),
 or one word that may as well be a heading (`related`, `tags`, the id `discussion`), prunes only what is made of links; else it
-lowers the score. A form that holds an article, a main or a first heading wraps the page and is no form.
+lowers the score. Such a block goes by its structure too: made of alike entries with an author or a date each it is readers' comments,
+and where one word of its name is decisive (`promo-card`, `user-comments`) it goes if it is the smaller part of its article and its id is not
+made of its heading's words. A form that holds an article, a main or a first heading wraps the page and is no form.
 
 Each paragraph then passes points, one plus its commas plus one for each hundred characters up to three, to its parent in
 full, to its grandparent by half and to further ancestors by a third of what the one below got. An ancestor's points are
 discounted by its link density; names and tags that suggest an article weigh in. The best container is kept, with siblings
-that score a fifth of it or read like paragraphs, and headings beside an article that has no first heading itself. Nothing is
+that score a fifth of it or read like paragraphs, the ones of the same form between and right behind them, and headings beside an article that has no first heading itself. Nothing is
 cut from what is kept; only where the page itself is the best container are its boxes made of links left out.
 
 White space is what Unicode calls so, no-break spaces included.
@@ -70,6 +72,11 @@ STRONG = frozenset(
 #: As an id, a word alone is more often a heading's.
 PLAIN = frozenset("comments commentlist disqus sidebar widgets navbar nav breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer taglist adsense adslot outbrain taboola ads gdpr paywall popup".split())
 AMBIGUOUS = frozenset("header discussion notice notices alert disclaimer popular overlay aside rail skip response reply respond".split())
+#: Words that tell adverts and readers' comments in any name, if the block's form doesn't speak against it; an `ad` with sizes beside it too.
+DECISIVE = frozenset("ads adsense adslot advert adverts advertisement sponsored promo promos newsletter comments commentlist disqus outbrain taboola".split())
+BESIDE_AD = frozenset("x px google gpt dfp mpu banner".split())
+#: Words of what stands with each comment.
+BYLINE = frozenset("author avatar byline commenter date name posted reply time timestamp user username".split())
 LIKELY = frozenset("article body content entry main post story text page blog".split())
 KEEP_NAMED = frozenset("article main body html h1 h2 h3 h4 h5 h6".split())
 SCOPES = {"li": ("li", {"ul", "ol", "menu"}), "dd": ("dd dt", {"dl"}), "dt": ("dd dt", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -223,13 +230,50 @@ def prune(root: Node) -> None:
     gone, parents = set(), {}
     for n in doubtful:
         chars, links, count = size[id(n)]
-        if count >= 2 and links > 0.5 * chars or count and links == chars:
+        around = n.up
+        while around.up is not None and around.tag not in ("article", "main"):
+            around = around.up
+        most = 0.5 if around.up is None else 0.8  # inside an article a list may hold links and words
+        linked = count >= 2 and links > most * chars or count and links == chars
+        foreign = _decisive(n) and chars <= MINOR * size[id(around)][0] and not _slug(n)
+        if linked or foreign or _thread(n):
             gone.add(id(n))
             parents[id(n.up)] = n.up
     for n in parents.values():
         n.kids = [k for k in n.kids if id(k) not in gone]
 
 
+MINOR = 0.4  # share of its article that an advert or the comments may take to be seen by their name
+
+
+def _decisive(n: Node) -> bool:
+    for name in (*n.attrs.get("class", "").lower().split(), n.attrs.get("id", "").lower()):
+        words = set(_NAME.findall(name))
+        if words & DECISIVE or "ad" in words and words - {"ad"} and words <= {"ad"} | BESIDE_AD | PARTS | UNLIKELY:
+            return True
+    return False
+
+
+def _slug(n: Node) -> bool:
+    """Whether the id is made of the words of the block's first heading, as generated anchors are."""
+    own = set(_NAME.findall(n.attrs.get("id", "").lower()))
+    first = next((k for k in _every(n) if k.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), None)
+    return bool(own) and first is not None and not n.attrs.get("class") and own <= set(_NAME.findall(" ".join(k if isinstance(k, str) else _inline(k) for k in first.kids).lower()))
+
+
+def _thread(n: Node) -> bool:
+    """Whether a block is made of two or more alike entries with an author or a date each, as comments are."""
+    rows = n
+    while len(only := [k for k in rows.kids if not isinstance(k, str) and k.tag in BLOCK and k.tag not in KEEP_NAMED]) == 1:
+        rows = only[0]
+    alike: dict[tuple[str, str], int] = {}
+    for k in only:
+        if any(x.tag in ("time", "cite") or x is not k and _names(x) & BYLINE for x in _every(k)):
+            at = (k.tag, k.attrs.get("class", ""))
+            alike[at] = alike.get(at, 0) + 1
+    return max(alike.values(), default=0) >= 2
+
+
 def _measures(root: Node) -> dict[int, tuple[int, int, int]]:
     """For every node: characters of text, of them in links, and links."""
     out: dict[int, tuple[int, int, int]] = {}
@@ -344,7 +388,24 @@ def main_nodes(root: Node) -> list[Node]:
             belongs = final.get(id(k), 0) >= max(10, 0.2 * top) or long_text
         if k is best or belongs or (k.tag in ("h1", "h2", "h3", "hgroup") and density(k) < 0.5 and not headed):
             out.append(k)
-    return out
+    return _with_like(best, out, size) if not marked else out
+
+
+def _with_like(best: Node, kept: list[Node], size: dict[int, tuple[int, int, int]]) -> list[Node]:
+    """Kept siblings and, where two or more of one form are kept, those of that form that stand between them or right behind the last."""
+    form = lambda n: (n.tag, n.attrs.get("class", ""))
+    plain = lambda n: size[id(n)][0] > 0 and size[id(n)][1] < 0.25 * size[id(n)][0] and not _doubtful(n)
+    if sum(form(k) == form(best) for k in kept) < 2:
+        return kept
+    held = {id(k) for k in kept}
+    every = [k for k in best.up.kids if not isinstance(k, str)]
+    like = [i for i, k in enumerate(every) if id(k) in held and form(k) == form(best)]
+    for i in range(like[0], len(every)):
+        if i > like[-1] and not (form(every[i]) == form(best) and plain(every[i])):
+            break
+        if form(every[i]) == form(best) and plain(every[i]):
+            held.add(id(every[i]))
+    return [k for k in every if id(k) in held]
 
 
 def _every(root: Node) -> Iterator[Node]:

@@ -171,3 +171,45 @@ def test_large_nested_pages_in_seconds(page):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a", 2, "x", "y"), (1, "u", "<p>a", 2, "x", "y")], "page_id long, url string, html string, text int, _id string, n_chars string")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "u", "a", 1)] * 2
+
+
+LONG = "The harbour lay quiet that morning, and the boats, all of them, stood still upon the grey water while the town slept on. " * 3
+MORE = "Later in the day the wind rose, the nets were taken in, and nobody, not even the oldest of the men, went out again. " * 3
+CLEAN = f"{LONG.strip()}\n\n{MORE.strip()}"
+SAID = "I was there that day, and I can say that it was not at all like this, believe me, whatever the paper writes."
+BUY = "Buy the new boat shoes, now at half the price, and walk on any deck, wet or dry, without a slip, in all sizes."
+
+
+@pytest.mark.parametrize("block", [
+    f'<div class="user-comments"><div class="row"><span class="author">Ann</span><p>{SAID}</p></div><div class="row"><span class="author">Bob</span><p>{SAID}</p></div></div>',
+    f'<div class="user-comments"><p>{SAID}</p></div>',
+    f'<div id="discussion"><h2>Discussion</h2><div class="e"><b class="user">Ann</b><time>3 May</time><p>{SAID}</p></div><div class="e"><b class="user">Bob</b><time>4 May</time><p>{SAID}</p></div></div>',
+    f'<div class="promo-card"><p>{BUY}</p></div>', f'<div class="sponsored-content"><p>{BUY}</p></div>', f'<div class="ad-300x250"><p>{BUY}</p></div>',
+    f'<div id="google_ads"><p>{BUY}</p></div>', f'<section class="newsletter-cta"><h3>Our letter</h3><p>{BUY}</p></section>',
+    f'<section class="reader-comments-v2"><ol><li class="c"><cite>Ann</cite> {SAID}</li><li class="c"><cite>Bob</cite> {SAID}</li></ol></section>',
+])
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_what_is_no_article_goes_by_its_structure(block, outer):
+    page = f"<html><body><{outer}><p>{LONG}</p>{block}<p>{MORE}</p></{outer}></body></html>"
+    assert html_text.main_text(page) == CLEAN
+
+
+@pytest.mark.parametrize("block,want", [
+    (f'<section id="related-work"><h2>Related work</h2><p>{SAID}</p></section>', f"Related work\n\n{SAID}"),
+    (f'<section id="discussion"><h2>Discussion</h2><p>{SAID}</p><p>{BUY}</p></section>', f"Discussion\n\n{SAID}\n\n{BUY}"),
+    (f'<section id="the-first-newsletter-of-1890"><h2>The first newsletter of 1890</h2><p>{SAID}</p></section>', f"The first newsletter of 1890\n\n{SAID}"),
+    (f'<div class="ad-hoc-networks"><p>{SAID}</p></div>', SAID),
+    ('<ul class="related-work"><li><a href="/a">The sea chart</a>, which all pilots of that coast still use today</li><li><a href="/b">Tides</a>, a table of the year</li></ul>',
+     "The sea chart, which all pilots of that coast still use today\n\nTides, a table of the year"),
+    (f'<div class="share-of-income"><p>{SAID}</p></div>', SAID),
+])
+def test_what_is_article_stays(block, want):
+    page = f"<html><body><article><p>{LONG}</p>{block}<p>{MORE}</p></article></body></html>"
+    assert html_text.main_text(page) == f"{LONG.strip()}\n\n{want}\n\n{MORE.strip()}"
+
+
+def test_siblings_of_one_form_stay_together():
+    page = f"<html><body><div><div><p>{LONG}</p></div><div><p>Short middle.</p></div><div><p>{MORE}</p></div><div><p>Short end.</p></div></div><footer>x</footer></body></html>"
+    assert html_text.main_text(page) == f"{LONG.strip()}\n\nShort middle.\n\n{MORE.strip()}\n\nShort end."
+    page = f'<html><body><div class="a"><p>{LONG}</p></div><div class="a"><p>{MORE}</p></div><div class="links"><a href="/x">One</a></div><div class="a"><p>far</p></div></body></html>'
+    assert html_text.main_text(page) == CLEAN
