@@ -174,5 +174,57 @@ FROM c
 """
 
 
+#: One table of states over all conversations, a turn a recursion; what is repaired is carried along.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM conversations
+), f AS (
+  SELECT d.* EXCLUDE (bytes), xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS fault FROM d, bits
+), m AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM f
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS k FROM m
+), b AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unfinished, lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before
+  FROM n
+), r AS (
+  SELECT *, left(role, 1) AS ini, blank OR again AS gone, unfinished AND NOT blank AND NOT again AS cut FROM b
+), c AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+         count_if(cut) AS truncated, count_if(before IS NOT NULL AND left(before, 1) || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), st(s, n, name) AS (VALUES ('-', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')
+), ins AS (
+  SELECT s, s AS t, 0::BIGINT AS c, '' AS a, []::VARCHAR[] AS o FROM st UNION ALL SELECT s, n, 5, 'I', [name || ':'] FROM st
+  UNION ALL SELECT x.s, y.n, 10, 'II', [x.name || ':', y.name || ':'] FROM st x JOIN st y ON y.s = x.n
+), ops(op) AS (VALUES ('K'), ('R'), ('D')
+), w AS (
+  SELECT conv_id, 0::BIGINT AS k, '-' AS s, 0::BIGINT AS c, '' AS a, []::VARCHAR[] AS o FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, k + 1, s2, min(p).c, min(p).a, arg_min(o2, p) FROM (
+    SELECT w.conv_id, w.k, CASE op WHEN 'D' THEN i.t WHEN 'R' THEN st.n ELSE r.ini END AS s2,
+           {'c': w.c + i.c + CASE op WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN op <> 'D' AND r.cut THEN 5 ELSE 0 END, 'a': w.a || i.a || op} AS p,
+           w.o || i.o || CASE op WHEN 'D' THEN []::VARCHAR[] WHEN 'R' THEN [st.name || ':' || r.text] ELSE [r.role || ':' || r.text] END AS o2
+    FROM w JOIN ins i ON i.s = w.s JOIN st ON st.s = i.t JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k CROSS JOIN ops
+    WHERE op = 'D' OR NOT r.gone AND (op = 'R' OR r.ini = st.n OR r.ini = 's' AND i.t = '-')
+  ) GROUP BY conv_id, k, s2
+), e AS (
+  SELECT w.conv_id, {'c': w.c + i.c, 'a': w.a || i.a} AS p, w.o || i.o AS o
+  FROM w LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN ins i ON i.s = w.s WHERE w.k = coalesce(c.n, 0) AND i.t IN ('-', 'a')
+), z AS (SELECT conv_id, min(p) AS p, arg_min(o, p) AS o FROM e GROUP BY conv_id)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       z.p.c AS cost, z.p.a AS audit, sha256(array_to_string(z.o, chr(10))) AS repaired_sha256
+FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op12_fill_middle": OP12_SQL}
+    return {"op3_sharding": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op12_fill_middle": OP12_SQL, "op13_turn_repair": OP13_SQL}

@@ -7,6 +7,7 @@ import zlib
 import pytest
 
 from spokeflow.llm import registry, turn_repair
+from tests import oracle
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -163,3 +164,7 @@ def test_query_over_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = sorted((tuple(r) for r in registry.queries()["op13_turn_repair"](spark, sf).collect()), key=repr)
     assert got == brute(rows, stepped)
+
+
+def test_query_equals_its_sql(spark):
+    oracle.same(registry.queries()["op13_turn_repair"](spark, oracle.SF), oracle.connection(), registry.oracle_sql()["op13_turn_repair"])
