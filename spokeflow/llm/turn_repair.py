@@ -211,7 +211,9 @@ def _walked(pieces: DataFrame) -> DataFrame:
     stat_fields = [pa.field(*(lambda c: (c[0], pa.string() if c[1] == "string" else pa.int64()))(c.split())) for c in _STATS.split(", ")]
     parts_type = _parts_type()
     bounded_batches(pieces.sparkSession)
-    light = pieces.select("_conv", "seq", "turn", "initial", "blank", "open", "alive").join(_repeats(pieces), "seq", "left")
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for isn't made less where rows are few and costly
+    light = pieces.select("_conv", "seq", "turn", "initial", "blank", "open", "alive").repartition(parts, "seq")
+    light = light.join(_repeats(pieces).repartition(parts, "seq"), "seq", "left")
     light = light.select("_conv", "seq", "turn", "initial", "blank", "open", "alive", "_again")
     kind = pieces.schema["_conv"].dataType.simpleString()
     return written(light.mapInArrow(run, f"_conv {kind}, seq bigint, {_STATS}, parts {_PARTS}"))
