@@ -272,12 +272,12 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents of smallest id in their components, with all their columns.
 
     Ids may repeat with other texts: a document is told by its id and text, of equal ids in a component the text whose MD5 comes first
-    stays, and rows equal in both are one document. Columns are told by their place, so they may have any names.
+    stays, a null id only where there is no other, and rows equal in both are one document. Columns are told by their place, so they may have any names.
     """
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
     digest = F.unhex(F.md5(F.coalesce(text, F.lit(""))))
-    found = simhash_components(rows.select(F.struct(own.alias("id"), digest.alias("md5")).alias("key"), text.alias("text")), radius, shingle, "key", "text")
+    found = simhash_components(rows.select(F.struct(own.isNull().alias("none"), own.alias("id"), digest.alias("md5")).alias("key"), text.alias("text")), radius, shingle, "key", "text")
     gone = found.where(F.col("key") != F.col("component_id")).select(F.col("key.id").alias("gone"), F.col("key.md5").alias("md5")).distinct()
     return rows.join(gone, own.eqNullSafe(F.col("gone")) & (digest == F.col("md5")), "left_anti").toDF(*names)

@@ -58,7 +58,7 @@ def test_repeated_ids_lose_no_other_text(spark):
     assert two.columns == df.columns and {(r.doc_id, r.text) for r in two.collect()} == set(rows) - {(2, long[0])}
     three = stage["SimHash near-dedup"](spark, two, SF)
     near = {(r.doc_id, r.text) for r in three.collect()}
-    ranked = sorted(set(rows) - {(2, long[0])}, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1].encode()).digest()))
+    ranked = sorted(set(rows) - {(2, long[0])}, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).digest()))
     want = components([(k, plain_fingerprint(t)) for k, (_, t) in enumerate(ranked)])
     assert near == {ranked[k] for k, _, c in want if k == c} and len(near) < len(ranked)
     four = stage["benchmark decontamination"](spark, df, SF)
