@@ -18,7 +18,8 @@ into parts, with one tree for each pair of parts, so no task or tree grows with
 for each part; where over CROWDED parts would be needed, the bits left open in the shard are cut into radius + 2 further blocks
 and each choice of two of them names a shard inside it, if that takes fewer copies. The trees travel by
 the shuffle: all of them together grow with the corpus, so a broadcast to every executor would have no
-bound. Each tree goes to the one task that queries it.
+bound. Each tree goes to the one task that queries it. The joins are merges by hint: fingerprints in a file are small, so their size
+would have Spark broadcast them with all their copies, which meet in the driver first.
 
 Defined cases: a null text counts as empty; documents without words share fingerprint zero and link like
 any other; a null id loses to any other as component id, and a component of null ids has a null one;
@@ -213,12 +214,13 @@ def _narrower(keyed: DataFrame, sizes: DataFrame, masks: list[int], radius: int,
         one = [sum(1 << left[i] for i in range(a, b)) for a, b in zip(cuts, cuts[1:])]
         deeper.append([signed(x | y) for x, y in combinations(one, 2)])
     table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in deeper])
-    rows = keyed.join(full.select("c", "shard", "n"), ["c", "shard"]).select("fp", "c", "shard", "n", F.posexplode(F.get(table, F.col("c"))).alias("k", "mask"))
+    few = F.broadcast(full.select("c", "shard", "n"))  # one for at least tree_size * crowded rows
+    rows = keyed.join(few, ["c", "shard"]).select("fp", "c", "shard", "n", F.posexplode(F.get(table, F.col("c"))).alias("k", "mask"))
     rows = written(rows.select("fp", "c", "shard", "n", F.xxhash64("shard", "k", F.col("fp").bitwiseAND(F.col("mask"))).alias("inner")))
     own = written(rows.groupBy("c", "shard", "n", "inner").agg(F.count("*").alias("m")))
     copies = lambda n: n * F.ceil(n / tree_size)
     better = own.groupBy("c", "shard", "n").agg(F.sum(copies(F.col("m"))).alias("x")).where(F.col("x") < copies(F.col("n"))).select("c", "shard")
-    better = written(better)
+    better = F.broadcast(written(better))
     rows = rows.join(better, ["c", "shard"], "left_semi").select("fp", "c", F.col("inner").alias("shard"))
     own = own.join(better, ["c", "shard"], "left_semi").where("m > 1").select("c", F.col("inner").alias("shard"), F.col("m").alias("n"))
     return keyed.join(better, ["c", "shard"], "left_anti").unionByName(rows), written(sizes.join(better, ["c", "shard"], "left_anti").unionByName(own))
@@ -237,7 +239,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_
     if inner is not None:
         keyed, sizes = inner
     parts = F.ceil(F.col("n") / tree_size).cast("int")
-    rows = keyed.join(sizes, ["c", "shard"]).select("fp", "shard", parts.alias("parts"))
+    rows = keyed.join(sizes.hint("merge"), ["c", "shard"]).select("fp", "shard", parts.alias("parts"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     # part p is the tree of cells (p, p..) and asks those of the parts before it
     cells = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) AS tree, greatest(x, part) AS asks))")
@@ -259,11 +261,11 @@ def simhash_components(
     distinct = written(prints.groupBy("fp").agg(F.min("_id").alias("low")))
     links = written(near_links(distinct.select("fp"), radius, tree_size))
     parts = connected_components(links)
-    low = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    low = distinct.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     low = low.withColumn("part", F.coalesce("component", "fp"))
     named = low.groupBy("part").agg(F.min("low").alias("component_id"))
-    by_print = low.select("fp", "part").join(named, "part").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    by_print = low.select("fp", "part").join(named.hint("merge"), "part").select("fp", "component_id")
+    return prints.join(by_print.hint("merge"), "fp").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", h
     one minimum per node (combined before the shuffle) and one equi-join, so no neighbour list is ever
     gathered. Each round is written to the shared folder; its count and checksum are taken while it is written. While
     there are over `hub` edges the minima are written too: both sides of the joins are then shuffled for them, and
-    adaptive execution can split a node's rows. Null ends and self-loops are ignored. Returns (node, component).
+    adaptive execution can split a node's rows. No side is broadcast, so nothing of the graph passes the driver. Null ends and self-loops are ignored. Returns (node, component).
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     e, before = _round(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -29,10 +29,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", h
         own = written if before[0] > hub else lambda df: df
         both = _both_ways(e)
         low = own(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = own(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e, now = _round(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         # a star forest has one parent per node, and no parent has a parent
         if now == before:

@@ -4,8 +4,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spokeflow.llm import registry, simhash
+from spokeflow.plans.lineage import written
 from tests.oracle import SF
 
 
@@ -109,3 +111,10 @@ def test_cases(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
     kept = simhash.one_per_component(df)
     assert kept.columns == df.columns and sorted({r.doc_id for r in kept.collect()}) == [1, 2, 7, 9]
+
+
+def test_no_table_of_fingerprints_is_broadcast(spark):
+    """Files of fingerprints are small, their copies by shards are not: by the files' size Spark would broadcast them."""
+    fps = spark.range(300).select((F.col("id") * 1_000_003).alias("fp"))
+    links = simhash.near_links(written(fps))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
