@@ -3,7 +3,8 @@
 No row leaves its task: a level is one pass in which each task sums, for every open node, the rows of each bin of each feature (their number and
 the sums of the targets, or of the classes), and the sums of all tasks are added by groups. The best cut of a node is read off its
 bins, and the nodes, of all branches and all trees at once, are what reaches the driver. Bins are a feature's values where it has few, and
-quantiles otherwise; where they are its values, cuts are those of a sort: midway between two values that the node holds.
+quantiles otherwise; where they are its values, cuts are those of a sort: midway between two values that the node holds. With `exact` a
+feature of many values has no bins: its sums by value are added up in order by many tasks, and of each node the best cut comes back.
 
 `boosted` fits one tree for each class and round on the softmax gradient, with a Newton step in each leaf.
 """
@@ -15,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from spokeflow.operators.boxes import _vectors
 from spokeflow.operators.forest import GAP, Tree, feature_count
 from spokeflow.plans.lineage import bounded_batches, written
+from spokeflow.plans.spread import _in_ranges, _over_ranges
 
 BINS = 1024
 CELLS = 4 << 20  # sums that a task holds in one pass; more open nodes than fit take further passes
@@ -44,14 +46,18 @@ class Bins:
         return float(np.nextafter(e[a], np.inf) if b == a + 1 else (e[a] + e[b - 1]) / 2)
 
 
-def bins(rows: DataFrame, most: int = BINS) -> Bins:
-    """From one row a feature: its values if they are at most `most`, else so many quantiles."""
+def bins(rows: DataFrame, most: int = BINS, rough: bool = True) -> Bins:
+    """From one row a feature: its values if they are at most `most`, else so many quantiles or, unless `rough`, a single bin."""
     cells = rows.select(F.posexplode("x").alias("i", "v"))
     few = cells.groupBy("i").agg(F.approx_count_distinct("v", 0.02).alias("n"))
     shares = [(k + 1) / most for k in range(most)]
     exact = cells.join(F.broadcast(few.where(F.col("n") <= 0.9 * most)), "i").groupBy("i").agg(F.sort_array(F.collect_set("v")).alias("e"), F.lit(True).alias("exact"))
-    rough = cells.join(F.broadcast(few.where(F.col("n") > 0.9 * most)), "i").groupBy("i").agg(F.percentile_approx("v", shares, 20 * most).alias("e"), F.lit(False).alias("exact"))
-    found = sorted(exact.unionByName(rough).collect(), key=lambda r: r.i)
+    many = few.where(F.col("n") > 0.9 * most)
+    if rough:
+        others = cells.join(F.broadcast(many), "i").groupBy("i").agg(F.percentile_approx("v", shares, 20 * most).alias("e"), F.lit(False).alias("exact"))
+    else:
+        others = many.select("i", F.array(F.lit(0.0)).alias("e"), F.lit(False).alias("exact"))
+    found = sorted(exact.unionByName(others).collect(), key=lambda r: r.i)
     return Bins([np.unique(np.array(r.e, float)) for r in found], [r.exact for r in found])
 
 
@@ -152,10 +158,75 @@ def _cuts(sums: DataFrame, b: Bins, classes: int, least: int) -> list:
     return found.groupBy("o").agg(F.max(F.struct("gain", (-F.col("f")).alias("f"), "cut", "s")).alias("b")).collect()
 
 
+def _sorted_cuts(rows: DataFrame, trees: list[Tree], open_nodes: list[tuple[int, int]], chosen: np.ndarray, classes: int, least: int) -> list:
+    """The same as `_cuts` of `_sums`, of all values of the features: sums by node, feature and value, added up over ranges of values."""
+    sent = rows.sparkSession.sparkContext.broadcast((trees, open_nodes, chosen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, nodes, chosen = sent.value
+        at = [{n: o for o, (t, n) in enumerate(nodes) if t == k} for k in range(len(trees))]
+        for batch in batches:
+            x, y, w = (_vectors(c) for c in batch.columns)
+            if not len(x):
+                continue
+            for k, tree in enumerate(trees):
+                if not at[k]:
+                    continue
+                place = np.full(len(tree.feature), -1)
+                place[list(at[k])] = list(at[k].values())
+                o = place[tree.leaves(x)]
+                here = np.flatnonzero((o >= 0) & (w[:, k] > 0))
+                r, f = np.nonzero(chosen[o[here]])
+                r = here[r]
+                for low in range(0, len(r), 50_000):
+                    i, j = r[low : low + 50_000], f[low : low + 50_000]
+                    out = [o[i].astype(np.int32), j.astype(np.int32), x[i, j], w[i, k], y[i, k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["o", "f", "v", "w", "y"])
+
+    cells = rows.select("x", "y", "w").mapInArrow(run, "o int, f int, v double, w double, y double")
+    w, y = F.col("w"), F.col("y")
+    sums = [F.sum(F.when(y == k, w).otherwise(0.0)) for k in range(classes)] if classes else [F.sum(w), F.sum(w * y)]
+    ks = range(len(sums))
+    held = _in_ranges(cells.groupBy("o", "f", "v").agg(*[c.alias(f"_k{k}") for k, c in enumerate(sums)]), ["o", "f"], ["v"])
+    group = Window.partitionBy("_by0", "_by1")
+    before = group.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    each = {f"_e{k}": F.sum(f"_k{k}") for k in ks} | {"_low": F.min("v")}
+    carried = {f"_b{k}": F.coalesce(F.sum(f"_e{k}").over(before), F.lit(0.0)) for k in ks} | {f"_t{k}": F.sum(f"_e{k}").over(group) for k in ks}
+    held = _over_ranges(held, ["o", "f"], each, carried | {"_next": F.lead("_low").over(group.orderBy("_of"))})
+    own = Window.partitionBy("o", "f", "_range").orderBy("_at")
+    below = {f"_a{k}": F.col(f"_b{k}") + F.sum(f"_k{k}").over(own.rowsBetween(Window.unboundedPreceding, 0)) for k in ks}
+    held = held.withColumns(below | {"_z": F.coalesce(F.lead("v").over(own), F.col("_next"))})
+    a, t = [F.col(f"_a{k}") for k in ks], [F.col(f"_t{k}") for k in ks]
+    left, n = (sum(a[1:], a[0]), sum(t[1:], t[0])) if classes else (a[0], t[0])
+    parts = list(ks) if classes else [1]
+    part = lambda s, m: F.try_divide(sum([v * v for v in s[1:]], s[0] * s[0]), m)
+    gain = part([a[k] for k in parts], left) + part([t[k] - a[k] for k in parts], n - left) - part([t[k] for k in parts], n)
+    ok = (F.col("_z") - F.col("v") >= GAP) & (left >= least) & (n - left >= least) & (gain > 1e-12)
+    cut = (F.col("v") + F.col("_z")) / 2
+    found = held.select("o", F.when(ok, gain).otherwise(0.0).alias("gain"), (-F.col("f")).alias("f"), F.when(ok, cut).otherwise(0.0).alias("cut"), F.array(*t).alias("s"))
+    return found.groupBy("o").agg(F.max_by(F.struct("gain", "f", "cut", "s"), F.struct("gain", "f", -F.col("cut"))).alias("b")).collect()
+
+
+def _best(rows: DataFrame, trees: list[Tree], block: list[tuple[int, int]], b: Bins, chosen: np.ndarray, classes: int, least: int, exact: bool) -> list[tuple[int, Row]]:
+    """(open node, its sums and the cut of largest gain): from bins and, with `exact`, from sorted values of features whose bins are not their values."""
+    binned = chosen & np.array(b.exact, bool) if exact else chosen
+    found = {}
+    if binned.any():
+        found = {r.o: r.b for r in _cuts(_sums(rows, trees, block, b, binned, classes), b, classes, least)}
+    if (chosen & ~binned).any():
+        for r in _sorted_cuts(rows, trees, block, chosen & ~binned, classes, least):
+            if r.o not in found or (r.b.gain, r.b.f) > (found[r.o].gain, found[r.o].f):
+                found[r.o] = r.b
+    return sorted(found.items())
+
+
 def grow_levels(
-    rows: DataFrame, trees: int, classes: int, b: Bins, max_depth: int = 10, min_leaf: int = 1, max_features: int | str = "none", seed: int = 0,
+    rows: DataFrame, trees: int, classes: int, b: Bins, max_depth: int = 10, min_leaf: int = 1, max_features: int | str = "none", seed: int = 0, exact: bool = False,
 ) -> list[Tree]:
-    """Trees over rows (x, y, w): arrays of features, and of a target and a weight for each tree. `classes` 0 grows regression trees."""
+    """Trees over rows (x, y, w): arrays of features, and of a target and a weight for each tree. `classes` 0 grows regression trees.
+
+    With `exact` cuts lie between any two values, also of features whose bins are not all their values.
+    """
     bounded_batches(rows.sparkSession)
     width = len(b.edges)
     many = max((len(e) for e in b.edges), default=1)
@@ -170,12 +241,12 @@ def grow_levels(
             chosen = np.zeros((len(block), width), bool)
             for o, (t, node) in enumerate(block):
                 chosen[o, np.random.default_rng([seed, t, node]).permutation(width)[:some]] = True
-            for r in _cuts(_sums(rows, grown.trees(), block, b, chosen, classes), b, classes, min_leaf):
-                t, node = block[r.o]
-                nodes, s = grown.nodes[t], np.array(r.b.s)
+            for o, best in _best(rows, grown.trees(), block, b, chosen, classes, min_leaf, exact):
+                t, node = block[o]
+                nodes, s = grown.nodes[t], np.array(best.s)
                 nodes[node][4:] = [int(s.argmax()), float(s.max() / s.sum())] if classes else [float(s[1] / s[0]), 1.0]
-                if depth < max_depth and r.b.gain > 1e-12:
-                    nodes[node][:4] = [-r.b.f, r.b.cut, len(nodes), len(nodes) + 1]
+                if depth < max_depth and best.gain > 1e-12:
+                    nodes[node][:4] = [-best.f, best.cut, len(nodes), len(nodes) + 1]
                     following += [(t, len(nodes)), (t, len(nodes) + 1)]
                     nodes += [[-1, 0.0, -1, -1, 0.0, 1.0] for _ in range(2)]
         open_nodes = following
@@ -194,15 +265,16 @@ def training_rows(df: DataFrame, features: Sequence[str], targets: Sequence[Colu
     return rows.where(whole).withColumnsRenamed({"_x_": "x", "_y_": "y", "_w_": "w"})
 
 
-def forest_levels(df: DataFrame, features: Sequence[str], label: str, classes: int, trees: int = 20, seed: int = 0, bootstrap: bool = True, most_bins: int = BINS, key: str = "id", **options) -> list[Tree]:
-    """A forest over all rows. With `bootstrap` a row counts in a tree as often as a Poisson number of mean 1 says that its key gives."""
+def forest_levels(df: DataFrame, features: Sequence[str], label: str, classes: int, trees: int = 20, seed: int = 0, bootstrap: bool = True, most_bins: int = BINS, key: str = "id", exact: bool = False, **options) -> list[Tree]:
+    """A forest over all rows. With `exact` every cut between two values counts; no bins then: `most_bins` 0. With `bootstrap` a row counts in a tree as often as a Poisson number of mean 1 says that its key gives."""
     weights = None
     if bootstrap:
         u = [F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.col(key)), F.lit(1 << 40)) / float(1 << 40) for t in range(trees)]
         steps = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), initial=1.0) for k in range(8)])
         weights = [sum(F.when(x >= s, 1).otherwise(0) for s in steps.tolist()) for x in u]
     rows = written(training_rows(df, features, [F.col(label)] * trees, weights).select("x", "y", "w"))
-    return grow_levels(rows, trees, classes, bins(rows, most_bins), seed=seed, **options)
+    b = bins(rows, most_bins, not exact) if most_bins else Bins([np.zeros(1) for _ in features], [False for _ in features])
+    return grow_levels(rows, trees, classes, b, seed=seed, exact=exact, **options)
 
 
 def _softmax(f: np.ndarray) -> np.ndarray:

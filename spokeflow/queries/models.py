@@ -209,24 +209,25 @@ g AS (SELECT f, (x + z) / 2 AS cut, s / i AS below, (t - s) / (n - i) AS above,
 SELECT arg_max(f, gain)::INT AS feature, round(arg_max(cut, gain), 6) + 0.0 AS threshold, round(arg_max(below, gain), 6) AS below, round(arg_max(above, gain), 6) AS above FROM g"""
 
 
+def _root(spark, sf, most_bins: int):
+    """The root of a regression tree over all rows and features, and the means of its sides."""
+    df = _wide(spark, sf).withColumn("y", (F.col("id") * 37 % 101).cast("double"))
+    (tree,) = levels.forest_levels(df, _F, "y", 0, trees=1, bootstrap=False, max_depth=1, most_bins=most_bins, exact=True)
+    sides = [float(tree.value[n]) for n in (tree.left[0], tree.right[0])]
+    rows = [(int(tree.feature[0]), float(tree.threshold[0]), *sides)]
+    return rounded(spark.createDataFrame(rows, "feature int, threshold double, below double, above double"), "threshold", "below", "above")
+
+
 @query(_CART_ROOT)
 def cart_root(spark, sf):
-    """The split of largest gain over all rows and features, and the means of its sides."""
-    df = _wide(spark, sf).withColumn("y", (F.col("id") * 37 % 101).cast("double"))
-    nodes = forest.fit_forest(df, _F, "y", 0, trees=1, max_depth=1, max_features="none", bootstrap=False)
-    at = lambda c, node: F.max(F.when(F.col("node") == node, F.col(c)))
-    sides = nodes.agg(at("feature", 0).alias("feature"), r6(at("threshold", 0)).alias("threshold"), at("left", 0).alias("l"), at("right", 0).alias("r"), F.map_from_entries(F.collect_list(F.struct("node", "value"))).alias("v"))
-    return sides.select("feature", "threshold", F.round(F.col("v")[F.col("l")], 6).alias("below"), F.round(F.col("v")[F.col("r")], 6).alias("above"))
+    """The split of largest gain over all rows and features, and the means of its sides, from sorted values."""
+    return _root(spark, sf, 0)
 
 
 @query(_CART_ROOT)
 def cart_root_by_levels(spark, sf):
-    """The same split from sums of all rows by node, feature and value."""
-    df = _wide(spark, sf).withColumn("y", (F.col("id") * 37 % 101).cast("double"))
-    (tree,) = levels.forest_levels(df, _F, "y", 0, trees=1, bootstrap=False, max_depth=1, most_bins=1 << 13)
-    sides = [float(tree.value[n]) for n in (tree.left[0], tree.right[0])]
-    rows = [(int(tree.feature[0]), float(tree.threshold[0]), *sides)]
-    return rounded(spark.createDataFrame(rows, "feature int, threshold double, below double, above double"), "threshold", "below", "above")
+    """The same split from sums of all rows by node, feature and value; only features of more values than bins are sorted."""
+    return _root(spark, sf, 1 << 13)
 
 
 @query()
