@@ -117,7 +117,7 @@ def boxed(points: DataFrame, reach: float, most: int, id_col: str = "id", featur
                 if tree["axis"] is None:  # a box that is small enough
                     yield pa.RecordBatch.from_arrays(part.columns[:width], names=part.schema.names[:width])
                     continue
-                row, sub, own = _routed(tree, _vectors(part.column(1)), part.column(3).to_numpy(zero_copy_only=False), reach)
+                row, sub, own = _routed(tree, _vectors(part.column(1)).astype(float), part.column(3).to_numpy(zero_copy_only=False), reach)
                 out = part.take(pa.array(row))
                 many = len(tree["axis"])
                 done = pa.array(np.full(len(row), many == 1))  # nothing parts it

@@ -25,7 +25,8 @@ from spokeflow.operators.boxes import boxed
 from spokeflow.operators.components import few_or_many_components
 from spokeflow.plans.lineage import bounded_batches, written
 
-BLOCK = 2048  # points of a block, about
+BLOCK = 4096  # points of a block, about: a point is sent once for each block of its box
+STRIP = 512  # points of a block whose distances are held at once
 UNROLLED = 128  # dimensions up to which a distance is written out, which compiles; a lambda is interpreted
 
 
@@ -40,8 +41,9 @@ def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
 
 def _units(points: DataFrame, eps: float, id_col: str, features: str, block: int, extra: Sequence[str] = ()) -> DataFrame:
     """(unit, side, id, x, extra..): side 0 and 1 are two blocks of a box, 2 a block that also meets itself, 3 points around the box."""
-    pts = points.select(F.col(id_col).alias("id"), F.transform(F.col(features), lambda v: v.cast("double")).alias("x"), *extra)
-    held = boxed(pts, eps, block)
+    narrow = points.schema[features].dataType.elementType.simpleString() == "float"  # sent as they are, half as wide
+    x = F.col(features) if narrow else F.transform(F.col(features), lambda v: v.cast("double"))
+    held = boxed(points.select(F.col(id_col).alias("id"), x.alias("x"), *extra), eps, block)
     sizes = held.groupBy("box").agg(F.count_if("own").alias("_own"), F.count_if(~F.col("own")).alias("_around"))
     parts = lambda n: F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int")
     sizes = written(sizes.select("box", parts("_own").alias("_blocks"), parts("_around").alias("_rings")))
@@ -68,7 +70,14 @@ def work_of(points: DataFrame, eps: float, id_col: str = "id", features: str = "
 
 
 def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """Which rows of a are within eps of which rows of b."""
+    """Which rows of a are within eps of which rows of b, a strip of a at a time."""
+    near = np.empty((len(a), len(b)), bool)
+    for at in range(0, len(a), STRIP):
+        near[at : at + STRIP] = _strip_near(a[at : at + STRIP], b, eps)
+    return near
+
+
+def _strip_near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     limit = eps * eps
     aa, bb = (a * a).sum(1), (b * b).sum(1)
     d = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
@@ -95,6 +104,7 @@ def _by_unit(units: DataFrame, work: Callable, schema: str) -> DataFrame:
 
         def done() -> pa.RecordBatch | None:
             side, ids, x = (np.concatenate([h[k] for h in held]) for k in range(3))
+            x = x.astype(float)
             rest = [np.concatenate([h[3 + k] for h in held]) for k in range(len(extra))]
             a, b, itself = (side == 0) | (side == 2), (side == 1) | (side == 3), bool((side == 2).any())
             if not a.any() or not (itself or b.any()):

@@ -85,3 +85,14 @@ def test_pairs_are_left_early():
     i, j, _, terms = knn.k_best(x, ids, bound, x, ids, 3)
     assert terms < 0.85 * 300 * 299 * 64
     assert sorted(zip(i.tolist(), j.tolist())) == sorted((a, int(b)) for a in range(300) for b in np.argsort(d[a], kind="stable")[:3])
+
+
+def test_floats_are_sent_as_floats_and_compared_as_doubles(spark):
+    x = np.random.default_rng(5).normal(size=(600, 16)).astype(np.float32)
+    x[1::2] = x[::2] + np.float32(0.25) * np.eye(16, dtype=np.float32)[np.arange(300) % 16]  # pairs about at the reach
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<float>")
+    assert dbscan._units(df, 0.25, "id", "features", 64).schema["x"].dataType.elementType.simpleString() == "float"
+    wide = x.astype(float)
+    near = ((wide[:, None, :] - wide[None, :, :]) ** 2).sum(-1) <= 0.25 * 0.25
+    want = {i: int(n) for i, n in enumerate(near.sum(1) - 1) if n}
+    assert {r.id: r.n for r in dbscan.neighbour_counts(df, 0.25, block=64).collect()} == want
