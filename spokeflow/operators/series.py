@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from spokeflow.operators import signal
 from spokeflow.plans.spread import in_pieces
 
 SERIES = list(signal.series_features(np.zeros(8)))
+SERIES_PIECE = 1 << 12  # rows of a run that a task takes features of at once
 
 
 def sink_features(
@@ -59,21 +61,25 @@ def series_columns(x: Column) -> dict[str, Column]:
 def trailing_series(df: DataFrame, x: str, run: Sequence[str], order: Sequence[str], rows: int = TRAIL, keep: Sequence[str] = (), suffix: str = "", cwt: bool = True) -> DataFrame:
     """SERIES features over the trailing rows of each row: (run.., order.., keep.., features), their names with a suffix.
 
-    The trailing values travel as one array of at most rows + 1 numbers a row, and a long run is cut into pieces, so
-    no task holds a run.
+    A long run is cut into pieces that carry the rows before them, so no task holds a run and each value travels once;
+    within a piece the windows of one length are taken together.
     """
-    pieces = in_pieces(df.select(*dict.fromkeys([*run, *order, x, *keep])), run, order, rows)
-    near = F.collect_list(F.col(x).cast("double")).over(frame([*run, "_piece"], ["_rn"], rows, 0))
-    windows = pieces.withColumn("_near", near).where("_own").select(*dict.fromkeys([*run, *order, *keep]), "_near")
+    kept = list(dict.fromkeys([*run, *order, *keep]))
+    pieces = in_pieces(df.select(*kept, F.col(x).cast("double").alias("_x")), run, order, rows, rows=SERIES_PIECE)
     names = [n + suffix for n in SERIES]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields[:-1]), *(f"`{n}` double" for n in names)])
-
-    def run_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = pd.DataFrame([list(signal.series_features(np.asarray(v, float), cwt).values()) for v in pdf["_near"]], columns=names)
-            yield pd.concat([pdf.drop(columns="_near").reset_index(drop=True), found], axis=1)
-
-    return windows.mapInPandas(run_batch, schema)
+    schema = ", ".join([*(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept), *(f"`{n}` double" for n in names)])
+
+    def of_piece(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rn")
+        values = np.array(table.column("_x").to_pylist(), object if table.column("_x").null_count else float)
+        found = signal.trailing_rows(values, rows, cwt)
+        own = table.column("_own")
+        found = found[own.to_numpy()]
+        return pa.table([*table.filter(own).select(kept).columns, *(pa.array(c, from_pandas=True) for c in found.T)], names=[*kept, *names])
+
+    parts = [*run, "_piece"]
+    dealt = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *parts)  # small in bytes, not in work
+    return dealt.groupBy(*parts).applyInArrow(of_piece, schema)
 
 
 def image_features(strips: DataFrame, run: Sequence[str], order: str, lag: str = "lag", row: str = "row", value: str = "p", rows: int = TRAIL) -> DataFrame:

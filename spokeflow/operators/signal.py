@@ -54,10 +54,10 @@ def idwt(a: np.ndarray, d: np.ndarray, name: str) -> np.ndarray:
 
 
 def wavedec(x: np.ndarray, name: str = "haar", level: int | None = None) -> list[np.ndarray]:
-    """Coefficients, the coarsest approximation first, then details from coarse to fine."""
+    """Coefficients along the last axis, the coarsest approximation first, then details from coarse to fine."""
     out: list[np.ndarray] = []
     a = np.asarray(x, float)
-    for _ in range(max_level(len(a), name) if level is None else level):
+    for _ in range(max_level(a.shape[-1], name) if level is None else level):
         a, d = dwt(a, name)
         out.insert(0, d)
     return [a, *out]
@@ -66,7 +66,7 @@ def wavedec(x: np.ndarray, name: str = "haar", level: int | None = None) -> list
 def waverec(coeffs: list[np.ndarray], name: str = "haar") -> np.ndarray:
     a = coeffs[0]
     for d in coeffs[1:]:
-        a = idwt(a[: len(d)] if len(a) > len(d) else a, d, name)
+        a = idwt(a[..., : d.shape[-1]], d, name)
     return a
 
 
@@ -311,6 +311,144 @@ def series_features(x: np.ndarray, cwt: bool = True) -> dict[str, float]:
     }
 
 
+ROWS = 128  # windows that are taken at once
+
+
+def _ridge_ends(top: np.ndarray) -> np.ndarray:
+    """For maxima (width, place, window) the ends of their ridges: those whose last maximum is at a width and place.
+
+    The lines of `cwt_peaks` for reaches and gaps of one place. No two open lines have one last place, so a line is known
+    by it; `rank` is the order in which lines began.
+    """
+    k, n, b = top.shape
+    none = np.iinfo(np.int32).max
+    rank, gap = np.full((n + 2, b), none, np.int32), np.zeros((n + 2, b), bool)
+    ends = np.zeros(top.shape, bool)
+    for i in range(k - 1, -1, -1):
+        before, here, behind = rank[:-2], rank[1:-1], rank[2:]
+        own = top[i] & (here < none)
+        free = top[i] & (here == none)
+        down, up = free & (before < behind), free & (behind < before)  # of two lines as near the older one
+        taken = own.copy()
+        taken[:-1] |= down[1:]
+        taken[1:] |= up[:-1]
+        up[:-2] &= ~down[2:]  # of two maxima of one line the later place counts
+        left = (here < none) & ~taken
+        if i + 2 < k:
+            ends[i + 2] |= left & gap[1:-1]
+        left &= ~gap[1:-1]
+        began = (k - 1 - i) * n + np.arange(n, dtype=np.int32)[:, None]
+        now = np.select([own | left, down, up, free & (before == none) & (behind == none)], [here, before, behind, np.broadcast_to(began, here.shape)], none)
+        rank[1:-1], gap[1:-1] = now, left
+    open_ = rank[1:-1] < none
+    ends[0] |= open_ & ~gap[1:-1]
+    if k > 1:
+        ends[1] |= open_ & gap[1:-1]
+    return ends
+
+
+def _floors(x: np.ndarray, window: int, percent: float) -> np.ndarray:
+    """`_floor` down each column; where the percentile lies at or below the second value of a window, from its two least."""
+    n = len(x)
+    if (min(window, n) - 1) * (percent / 100) > 1:
+        return np.stack([_floor(c, window, percent) for c in x.T], 1)
+    half, odd = divmod(window, 2)
+    wide = np.full((n + window, x.shape[1]), np.inf)
+    wide[half : half + n] = x
+    least, second = np.full(x.shape, np.inf), np.full(x.shape, np.inf)
+    for o in range(2 * half + odd):
+        v = wide[o : o + n]
+        second = np.minimum(second, np.maximum(least, v))
+        least = np.minimum(least, v)
+    i = np.arange(n)
+    at = ((np.minimum(i + half + odd, n) - np.maximum(i - half, 0) - 1) * (percent / 100))[:, None]
+    step = np.where(at > 0, second - least, 0.0)
+    return np.where(at == 0, least, np.where(at >= 0.5, second - step * (1 - at), least + step * at))
+
+
+def _transformed(x: np.ndarray, width: int) -> np.ndarray:
+    """The wavelet transform down each column."""
+    n = len(x)
+    h = _ricker(min(10 * width, n), width)[::-1]
+    m = len(h)
+    wide = np.zeros((n + m - 1, x.shape[1]))
+    wide[m - 1 - (m - 1) // 2 :][:n] = x
+    out, held = np.zeros(x.shape), np.empty(x.shape)
+    for k in range(m):
+        out += np.multiply(wide[m - 1 - k : m - 1 - k + n], h[k], out=held)
+    return out
+
+
+def _spreads(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Deviation of the steps between the values of each of n rows; NaN without a step. Values of a row stand together."""
+    same = row[1:] == row[:-1]
+    d, r = np.diff(values)[same], row[1:][same]
+    with np.errstate(invalid="ignore"):
+        count = np.bincount(r, minlength=n).astype(float)
+        mean = np.bincount(r, d, n) / count
+        return np.sqrt(np.bincount(r, (d - mean[r]) ** 2, n) / count)
+
+
+def series_rows(x: np.ndarray, cwt: bool = True, widths: tuple[int, ...] = (1, 2, 3, 4), snr: float = 1.0, noise_percent: float = 10.0) -> np.ndarray:
+    """`series_features` of many windows of one length at once: a row each, a column a feature."""
+    b, n = x.shape
+    if n < 3:
+        return np.array([list(series_features(v, cwt).values()) for v in x]).reshape(b, -1)
+    wide, ones = np.pad(x, ((0, 0), (2, 2))), np.pad(np.ones(n), 2)
+    around = lambda v: sum(v[..., k : k + n] for k in range(5))
+    mean = around(wide) / around(ones)
+    ridges = np.full(b, np.nan)
+    if cwt:
+        columns = np.ascontiguousarray(mean.T)
+        rows = np.stack([_transformed(columns, w) for w in widths])
+        top = np.zeros(rows.shape, bool)
+        top[:, 1:-1] = (rows[:, 1:-1] > rows[:, :-2]) & (rows[:, 1:-1] > rows[:, 2:])
+        row, place, width = np.nonzero(_ridge_ends(top).transpose(2, 1, 0))
+        noise = _floors(rows[0], math.ceil(n / 20), noise_percent)[place, row]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            loud = (noise == 0) | (np.abs(rows[width, place, row] / noise) >= snr)
+        ridges = _spreads(mean[row[loud], place[loud]], row[loud], b)
+    extreme = []
+    for sign in (-1, 1):
+        y = sign * x
+        row, place = np.nonzero((y[:, 1:-1] > y[:, :-2]) & (y[:, 1:-1] > y[:, 2:]))
+        extreme.append(_spreads(mean[row, place + 1], row, b))
+    coeffs = wavedec(x)
+    coarse = waverec([c if i < 4 else c * 0 for i, c in enumerate(coeffs)])
+    step = np.abs(np.diff(coarse))
+    moved = step > 1e-9
+    with np.errstate(invalid="ignore"):
+        jump = np.where(moved, step, 0.0).sum(1) / moved.sum(1)
+    fine = idwt(np.zeros_like(coeffs[-1]), coeffs[-1], "haar")
+    zero = np.zeros((b, fine.shape[1] + 2), np.int8)
+    zero[:, 1:-1] = fine == 0
+    row, edge = np.nonzero(np.diff(zero))
+    row, flat = row[::2], edge[1::2] - edge[::2]
+    inner = np.zeros(len(row), bool)
+    inner[1:-1] = (row[1:-1] == row[:-2]) & (row[1:-1] == row[2:])  # the first and the last run have no end of their own
+    row, flat = row[inner & (flat > 4)], flat[inner & (flat > 4)]
+    longest = np.zeros(b)
+    np.maximum.at(longest, row, flat)
+    return np.stack([*extreme, np.diff(x).std(1), ridges, step.max(1), jump, coarse.min(1), coarse.max(1), longest, np.bincount(row, minlength=b)], 1)
+
+
+def trailing_rows(x: np.ndarray, rows: int, cwt: bool = True) -> np.ndarray:
+    """`series_features` of each place's last rows + 1 values; missing ones (None) take a place but give no value."""
+    here = np.array([v is not None for v in x], bool) if x.dtype == object else np.ones(len(x), bool)
+    values = x[here].astype(float)
+    count = np.append(0, np.cumsum(here))
+    stop = count[1:]
+    start = count[np.maximum(np.arange(len(x)) - rows, 0)]
+    out = np.empty((len(x), len(series_features(np.zeros(0)))))
+    sizes = stop - start
+    order = np.argsort(sizes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        for low in range(0, len(at), ROWS):
+            some = at[low : low + ROWS]
+            out[some] = series_rows(values[start[some, None] + np.arange(sizes[some[0]])], cwt)
+    return out
+
+
 def piecewise(y: np.ndarray, depth: int = 5) -> np.ndarray:
     """A regression tree over the row number: the means of its pieces."""
     out = np.empty(len(y))
