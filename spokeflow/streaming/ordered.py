@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType, TimestampType
 
@@ -148,10 +149,10 @@ class _Integral(_Ordered):
         return (row[self.ts], total), [(*(row[f] for f in self.fields.names), total)]
 
 
-def _run(stream: DataFrame, by: Sequence[str], ts: str, late: str, processor: _Ordered, out: StructType) -> DataFrame:
+def _run(stream: DataFrame, by: Sequence[str], ts: str, late: str | None, processor: _Ordered, out: StructType) -> DataFrame:
     stream.sparkSession.conf.set(_PROVIDER, _ROCKS)
     processor.names = out.names
-    rows = stream.withWatermark(ts, late)
+    rows = stream.withWatermark(ts, late) if late else stream  # has a watermark already
     return rows.groupBy(*by).transformWithState(processor, out, "append", "eventTime")
 
 
@@ -173,12 +174,24 @@ def intervals(stream: DataFrame, by: Sequence[str], ts: str, kind: str, start: s
 
 
 def snapshots(stream: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], late: str, milliseconds: int = 100, ties: Sequence[str] = ()) -> DataFrame:
-    """(by.., at_ms, values..): at each tick the last value of each field that a message has brought (a null brings none)."""
+    """(by.., at_ms, values..): at each tick the last value of each field that a message has brought (a null brings none).
+
+    Messages are first reduced to one a key and tick, its last values, by an aggregation of the engine. What waits in order of time is
+    then a row a tick, however many messages there are.
+    """
     from pyspark.sql.types import LongType
 
-    keys, fields = _parts(stream.select(*by, ts, *values, *[t for t in ties if t != ts and t not in values]), by)
-    out = StructType([*keys, StructField("at_ms", LongType()), *[fields[v] for v in values]])
-    return _run(stream.select(*by, *fields.names), by, ts, late, _Snapshot(fields, ts, ties, values, milliseconds), out)
+    width = milliseconds * 1000
+    at = F.unix_micros(ts)
+    tick = F.timestamp_micros(at + F.pmod(-at, F.lit(width)))
+    place = F.struct(F.col(ts), *[F.struct(F.col(t).isNotNull(), F.col(t)) for t in ties])
+    last = [F.max_by(F.col(v), F.when(F.col(v).isNotNull(), place)).alias(v) for v in values]
+    kinds = {v: stream.schema[v].dataType for v in values}
+    ticks = stream.select(*by, *values, tick.alias("_tick"), *[c for c in dict.fromkeys([ts, *ties]) if c not in (*by, *values)])
+    ticks = ticks.withWatermark("_tick", late).groupBy(*by, "_tick").agg(*last)
+    keys, fields = _parts(ticks, by)
+    out = StructType([*keys, StructField("at_ms", LongType()), *[StructField(v, kinds[v]) for v in values]])
+    return _run(ticks, by, "_tick", None, _Snapshot(fields, "_tick", (), values, milliseconds), out)
 
 
 def integral(stream: DataFrame, by: Sequence[str], ts: str, flow: str, late: str, ties: Sequence[str] = (), output: str = "position") -> DataFrame:
