@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spokeflow.functions.scalars import COLUMNS, parse_stamp, run_fields
+from spokeflow.plans.lineage import written
+from spokeflow.sources.sliced import _opened
 
 
 def _files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
@@ -21,11 +26,69 @@ def _files(spark: SparkSession, path: str | Sequence[str], pattern: str | None =
     return reader.load(path).select("path", "content")
 
 
+LISTED = 4096  # paths that a task hands on at once
+READ = 4 << 20  # bytes of files that are held at once, about
+
+
+def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path of the files below a folder whose names fit a pattern, as Spark's readers name them; hidden ones are left out.
+
+    Folders are listed by tasks, a level at a time, and the paths stay in a written table, so the driver holds none of them. Paths that Arrow
+    cannot open are listed by Spark's own reader.
+    """
+    try:
+        system, at = _opened(root)
+    except (pa.ArrowException, ValueError, OSError):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+    head = "file:" if system.type_name == "local" else root[: len(root) - len(at)] if root.endswith(at) else ""
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there, _ = _opened(root)
+        for pdf in batches:
+            for folder in pdf["path"]:
+                found = [f for f in there.get_file_info(fs.FileSelector(folder)) if not (f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name)]
+                rows = [(f.path, f.type == fs.FileType.Directory) for f in found if f.type == fs.FileType.Directory or fnmatch.fnmatchcase(f.base_name, pattern)]
+                for low in range(0, len(rows), LISTED):
+                    yield pd.DataFrame(rows[low : low + LISTED], columns=["path", "folder"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, files = spark.createDataFrame([(at.rstrip("/") or "/",)], "path string"), None
+    while True:
+        below = written(level.mapInPandas(run, "path string, folder boolean"))
+        here = below.where("not folder").select(F.concat(F.lit(head), "path").alias("path"))
+        files = here if files is None else files.unionByName(here)
+        if below.where("folder").isEmpty():
+            return files
+        level = below.where("folder").select("path").repartition(parts, "path")
+
+
+def contents(paths: DataFrame) -> DataFrame:
+    """(path, content) of files, read by tasks, some at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held, size = [], 0
+            for path in pdf["path"]:
+                system, at = _opened(path)
+                with system.open_input_file(at) as f:
+                    held.append((path, f.read()))
+                size += len(held[-1][1])
+                if size >= READ:
+                    yield pd.DataFrame(held, columns=["path", "content"])
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["path", "content"])
+
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paths.repartition(parts, "path").mapInPandas(run, "path string, content binary")
+
+
 def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Runs found below a folder: path, name and the fields of the name; sorted."""
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
     name = F.element_at(F.split("path", "/"), -2)
-    runs = paths.withColumn("run", name)
+    runs = listed(spark, root, pattern).withColumn("run", name)
     return runs.select("path", "run", *[c.alias(k) for k, c in run_fields(F.col("run")).items()]).orderBy("path")
 
 
@@ -49,13 +112,14 @@ def pressure_text(spark: SparkSession, path: str | Sequence[str], columns: int =
     return cells.select("path", "frame", "ts", (top - F.col("xi")).alias("row"), "col", F.expr("try_cast(v AS double)").alias("p"))
 
 
-def impedance(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def impedance(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """path, exp_time, peaks, timesteps, times, primary and pretreat lists of (re, im, freq) of `.idf` files.
 
     A block starts at a line with its name, two lines on stands its count, then rows of three numbers.
-    Absent keys are NULL.
+    Absent keys are NULL. With a pattern a folder's files of such names are listed and read by tasks.
     """
-    text = _files(spark, path).withColumn("text", F.decode("content", "UTF-8"))
+    files = _files(spark, path) if pattern is None else contents(listed(spark, path, pattern))
+    text = files.withColumn("text", F.decode("content", "UTF-8"))
     one = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
 
     def block(name: str):

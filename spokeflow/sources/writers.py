@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,30 @@ def frame_json(frames: DataFrame, topic: str, frame: str = "frame", data: str =
     return frames.select(F.to_json(message).alias("value"))
 
 
+def write_texts(files: DataFrame, path: str) -> None:
+    """A text file for each row (name, value), the name with its folders below the path.
+
+    Tasks write their files themselves under hidden names and rename them, so nothing is left to be moved one after another
+    by the driver, and a task that is run again replaces its own.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from spokeflow.sources.sliced import _opened
+
+        system, at = _opened(path)
+        for pdf in batches:
+            for name, value in zip(pdf["name"], pdf["value"]):
+                folder, own = f"{at}/{name}".rsplit("/", 1)
+                system.create_dir(folder, recursive=True)
+                hidden = f"{folder}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as out:
+                    out.write(f"{value}\n".encode())
+                system.move(hidden, f"{folder}/{own}")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.select("name", "value").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def write_clusters(clusters: DataFrame, path: str) -> None:
     """`id cluster` lines; noise is -1."""
     clusters.select(F.concat_ws(" ", F.col("id").cast("string"), F.coalesce("cluster", F.lit(-1)).cast("string")).alias("value")).write.mode("overwrite").text(path)
