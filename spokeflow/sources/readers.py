@@ -162,24 +162,24 @@ SENSORS = [("wheel_v3", "rho", -1), ("wheel", "rho", -1), ("slip_sp", "slip", -1
 
 
 def sensor_stream(samples: DataFrame) -> DataFrame:
-    """(path, channel, ts, value) from `arrays`; forces give six channels ft_0 to ft_5.
+    """(run, channel, ts, value) from `arrays`; forces give six channels ft_0 to ft_5.
 
-    Where a run has files of two generations for a channel the first in SENSORS counts.
+    Where a run has files of two generations for a channel the first in SENSORS counts. That is settled among the files; samples then
+    meet the channels of their own file only.
     """
     stem = F.regexp_extract("path", r"([^/]+)\.npy$", 1)
-    v, n = F.col("values"), F.size("values")
     rules = []
     for rank, (suffix, channel, at) in enumerate(SENSORS):
-        here = stem.endswith(suffix)
-        if at is None:
-            value = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.struct(F.concat(F.lit("ft_"), (i - 1).cast("string")).alias("channel"), F.get(v, i).alias("value"), F.lit(rank).alias("rank")))
-        else:
-            value = F.array(F.struct(F.lit(channel).alias("channel"), (F.element_at(v, -1) if at < 0 else F.get(v, F.lit(at))).alias("value"), F.lit(rank).alias("rank")))
-        rules.append(F.when(here, value).otherwise(F.array().cast("array<struct<channel:string,value:double,rank:int>>")))
-    rows = samples.where(n > 1).select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("run"), v[0].alias("ts"), F.explode(F.concat(*rules)).alias("s"))
-    rows = rows.select("path", "run", "ts", "s.*")
-    best = rows.groupBy("run", "channel").agg(F.min("rank").alias("rank"))
-    return rows.join(best, ["run", "channel", "rank"]).select("run", "channel", "ts", "value")
+        taken = [(f"ft_{i}", i + 1) for i in range(6)] if at is None else [(channel, at)]
+        each = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(k).alias("at"), F.lit(rank).alias("rank")) for c, k in taken])
+        rules.append(F.when(stem.endswith(suffix), each).otherwise(F.array().cast("array<struct<channel:string,at:int,rank:int>>")))
+    rows = samples.where(F.size("values") > 1)
+    files = rows.select("path").distinct().select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("run"), F.explode(F.concat(*rules)).alias("s")).select("path", "run", "s.*")
+    files = files.withColumn("best", F.min("rank").over(Window.partitionBy("run", "channel"))).where("rank = best")
+    files = files.groupBy("path", "run").agg(F.collect_list(F.struct("channel", "at")).alias("s"))  # the channels of a file are few
+    v = F.col("values")
+    met = rows.join(files, "path").select("run", v, F.explode("s").alias("s"))
+    return met.select("run", "s.channel", v[0].alias("ts"), F.when(F.col("s.at") < 0, F.element_at(v, -1)).otherwise(F.get(v, F.col("s.at"))).alias("value"))
 
 
 def rock_labels(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
