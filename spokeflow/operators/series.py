@@ -86,26 +86,32 @@ def image_features(strips: DataFrame, run: Sequence[str], order: str, lag: str =
     """Geometry of the images that trailing strips make side by side: (run.., order, lag, PROPERTIES).
 
     A strip is one frame's pressure column at a lag; an image is rows + 1 strips at most, as shares of the largest
-    value of all lags in them. So a task holds some images, never a run.
+    value of all lags in them. A long run is cut into pieces that carry the strips before them, so no task holds a run and each
+    strip travels once; within a piece the images of one width are taken together.
     """
     cell = F.struct(F.col(row).alias("r"), F.col(value).cast("double").alias("v"))
     per = strips.groupBy(*run, order, lag).agg(
-        F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("_strip"), F.max(value).alias("_max")
+        F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("_strip"), F.max(value).cast("double").alias("_max")
     )
     per = per.withColumn("_max", F.max("_max").over(Window.partitionBy(*run, order)))
-    w = Window.partitionBy(*run, lag).orderBy(order).rowsBetween(-rows, 0)
-    images = per.select(*run, order, lag, F.collect_list("_strip").over(w).alias("_image"), F.max("_max").over(w).alias("_top"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields[:-2]), *(f"{n} double" for n in signal.PROPERTIES)])
+    kept = [*run, order, lag]
+    pieces = in_pieces(per.select(*kept, "_strip", "_max"), [*run, lag], [order], rows, rows=SERIES_PIECE)
+    parts = [*run, lag, "_piece"]
+    schema = ", ".join([*(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept), *(f"{n} double" for n in signal.PROPERTIES)])
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for image, top in zip(pdf["_image"], pdf["_top"]):
-                pixels = np.array([np.asarray(s, float) for s in image]).T
-                out.append(signal.image_geometry(np.nan_to_num(pixels / top if top else pixels)))
-            yield pd.concat([pdf.drop(columns=["_image", "_top"]).reset_index(drop=True), pd.DataFrame(out, columns=signal.PROPERTIES)], axis=1)
-
-    return images.mapInPandas(compute, schema)
+    def of_piece(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rn")
+        held = table.column("_strip").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        own = table.column("_own")
+        which = np.flatnonzero(own.to_numpy())
+        mine = table.filter(own)
+        tops = mine.column("_top").to_numpy().astype(float)
+        found = signal.trailing_images(held.reshape(table.num_rows, -1), tops, which, rows)
+        return pa.table([*mine.select(kept).columns, *map(pa.array, found.T)], names=[*kept, *signal.PROPERTIES])
+
+    w = Window.partitionBy(*parts).orderBy("_rn").rowsBetween(-rows, 0)
+    dealt = pieces.repartition(int(strips.sparkSession.conf.get("spark.sql.shuffle.partitions")), *parts)  # small in bytes, not in work
+    return dealt.withColumn("_top", F.max("_max").over(w)).groupBy(*parts).applyInArrow(of_piece, schema)
 
 
 def frame_regions(frames: DataFrame, key: str, frame: str, rows: int, least: int = 10) -> DataFrame:

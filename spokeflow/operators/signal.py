@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 
+ROWS = 128  # windows that are taken at once
 _R2 = 1 / math.sqrt(2)
 _S3 = math.sqrt(3)
 #: Low-pass reconstruction filters; the others follow from them.
@@ -71,19 +72,20 @@ def waverec(coeffs: list[np.ndarray], name: str = "haar") -> np.ndarray:
 
 
 def degrouse(image: np.ndarray, name: str = "haar", level: int = 3) -> np.ndarray:
-    """The image rebuilt without the second detail (down the rows smooth, along them not) of any level."""
+    """Images (the last two axes) rebuilt without the second detail (down the rows smooth, along them not) of any level."""
     stack, a = [], np.asarray(image, float)
+    turned = lambda v: np.swapaxes(v, -1, -2)
     for _ in range(level):
         lo, hi = dwt(a, name)  # along columns, then along rows
-        aa, da = (np.swapaxes(v, 0, 1) for v in dwt(np.swapaxes(lo, 0, 1), name))
-        ad, dd = (np.swapaxes(v, 0, 1) for v in dwt(np.swapaxes(hi, 0, 1), name))
+        aa, da = map(turned, dwt(turned(lo), name))
+        ad, dd = map(turned, dwt(turned(hi), name))
         stack.append((da, ad, dd))
         a = aa
     for da, ad, dd in reversed(stack):
-        a = a[: da.shape[0], : da.shape[1]]
-        up = lambda p, q: np.swapaxes(idwt(np.swapaxes(p, 0, 1), np.swapaxes(q, 0, 1), name), 0, 1)
+        a = a[..., : da.shape[-2], : da.shape[-1]]
+        up = lambda p, q: turned(idwt(turned(p), turned(q), name))
         a = idwt(up(a, da), up(ad * 0, dd), name)
-    return a[: image.shape[0], : image.shape[1]]
+    return a[..., : image.shape[-2], : image.shape[-1]]
 
 
 def otsu(x: np.ndarray, bins: int = 256) -> float:
@@ -156,11 +158,13 @@ def perimeter(mask: np.ndarray) -> float:
     side = border[:-2, 1:-1] + border[2:, 1:-1] + border[1:-1, :-2] + border[1:-1, 2:]
     corner = border[:-2, :-2] + border[:-2, 2:] + border[2:, :-2] + border[2:, 2:]
     value = border[1:-1, 1:-1] * (1 + 2 * side + 10 * corner)
-    weight = np.zeros(60)
-    weight[[5, 7, 15, 17, 25, 27]] = 1
-    weight[[21, 33]] = math.sqrt(2)
-    weight[[13, 23]] = (1 + math.sqrt(2)) / 2
-    return float(weight[value.ravel()].sum())
+    return float(_LENGTHS[value.ravel()].sum())
+
+
+_LENGTHS = np.zeros(60)  # of the line at a border pixel, by the border pixels beside it
+_LENGTHS[[5, 7, 15, 17, 25, 27]] = 1
+_LENGTHS[[21, 33]] = math.sqrt(2)
+_LENGTHS[[13, 23]] = (1 + math.sqrt(2)) / 2
 
 
 PROPERTIES = [  # fixed values: names and order of region properties
@@ -169,14 +173,17 @@ PROPERTIES = [  # fixed values: names and order of region properties
 ]
 
 
+def _moments(r: np.ndarray, c: np.ndarray) -> tuple[float, float, float]:
+    return r.var() + 1 / 12, c.var() + 1 / 12, ((r - r.mean()) * (c - c.mean())).mean()
+
+
 def region(mask: np.ndarray, image: np.ndarray) -> list[float]:
     """PROPERTIES of one region."""
     r, c = np.nonzero(mask)
     n = len(r)
     box = mask[r.min() : r.max() + 1, c.min() : c.max() + 1]
     values = image[r, c]
-    mu20, mu02 = r.var() + 1 / 12, c.var() + 1 / 12
-    mu11 = ((r - r.mean()) * (c - c.mean())).mean()
+    mu20, mu02, mu11 = _moments(r, c)
     root = math.sqrt((mu20 - mu02) ** 2 + 4 * mu11**2)
     l1, l2 = (mu20 + mu02 + root) / 2, max(0.0, (mu20 + mu02 - root) / 2)
     if mu20 == mu02:
@@ -205,6 +212,151 @@ def image_geometry(image: np.ndarray, least: int = 10) -> dict[str, float]:
     return dict(zip(PROPERTIES, mean.tolist()))
 
 
+def _labels(mask: np.ndarray) -> np.ndarray:
+    """Connected components of many masks (image, row, column) at once: each pixel has the first place of its own, others -1.
+
+    Places hand the smallest number on to their neighbours and follow it to where it came from, so long components take few rounds.
+    """
+    none = mask.size
+    at = np.where(mask.ravel(), np.arange(none), none)
+    at = np.append(at, none)
+    while True:
+        wide = np.pad(at[:-1].reshape(mask.shape), ((0, 0), (1, 1), (1, 1)), constant_values=none)
+        near = np.minimum(np.minimum(wide[:, :-2, 1:-1], wide[:, 2:, 1:-1]), np.minimum(wide[:, 1:-1, :-2], wide[:, 1:-1, 2:]))
+        least = np.where(mask, np.minimum(near, wide[:, 1:-1, 1:-1]), none).ravel()
+        now = np.append(least, none)
+        np.minimum.at(now, at[:-1], least)  # the place a number came from takes the smaller one as well
+        now = now[now]
+        now = now[now]
+        if (now == at).all():
+            return np.where(mask, at[:-1].reshape(mask.shape), -1)
+        at = now
+
+
+def _convex_areas(of: np.ndarray, r: np.ndarray, c: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """`convex_area` of n regions from their pixels (region, row, column).
+
+    In a hull of midpoints only each half row's first and last one count; a row of it reaches as far as a line between two
+    of them does.
+    """
+    level = 2 * rows + 1
+    low, high = np.full((n, level), np.inf), np.full((n, level), -np.inf)
+    for d, e in ((0, 0.0), (1, 0.5), (2, 0.0)):
+        np.minimum.at(low, (of, 2 * r + d), c - e)
+        np.maximum.at(high, (of, 2 * r + d), c + e)
+    count = np.zeros(n)
+    for row in range(rows):
+        k = 2 * row + 1
+        first, last = low[:, k].copy(), high[:, k].copy()
+        for a in range(k):
+            for b in range(k + 1, level):
+                share = (k - a) / (b - a)
+                both = np.isfinite(low[:, a]) & np.isfinite(low[:, b])
+                np.minimum(first, np.where(both, low[:, a] * (1 - share) + np.where(both, low[:, b], 0) * share, np.inf), out=first, where=both)
+                np.maximum(last, np.where(both, high[:, a] * (1 - share) + np.where(both, high[:, b], 0) * share, -np.inf), out=last, where=both)
+        some = np.isfinite(first)
+        count[some] += np.floor(last[some] + 1e-9) - np.ceil(first[some] - 1e-9) + 1
+    return count
+
+
+def regions(labels: np.ndarray, images: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The image, and PROPERTIES as `region` gives them, of all components (`_labels`) of at least some pixels."""
+    place = np.flatnonzero(labels.ravel() >= 0)
+    first, of, size = np.unique(labels.ravel()[place], return_inverse=True, return_counts=True)
+    number = np.cumsum(size >= least) - 1
+    place, of = place[size[of] >= least], number[of[size[of] >= least]]
+    first, n = first[size >= least], size[size >= least]
+    k = len(n)
+    held = np.full(labels.size, -1)
+    held[place] = of
+    held = held.reshape(labels.shape)
+    i, r, c = np.unravel_index(place, labels.shape)
+    total = lambda w: np.bincount(of, w, k)
+    values = images[i, r, c]
+    top, bottom = np.full(k, -np.inf), np.full(k, np.inf)
+    np.maximum.at(top, of, values)
+    np.minimum.at(bottom, of, values)
+    ends = []
+    for x in (r, c):
+        lo, hi = np.full(k, labels.size), np.full(k, -1)
+        np.minimum.at(lo, of, x)
+        np.maximum.at(hi, of, x)
+        ends.append((lo, hi))
+    box = (ends[0][1] - ends[0][0] + 1) * (ends[1][1] - ends[1][0] + 1)
+    dr, dc = r - (total(r) / n)[of], c - (total(c) / n)[of]
+    mu20, mu02, mu11 = total(dr * dr) / n + 1 / 12, total(dc * dc) / n + 1 / 12, total(dr * dc) / n
+    # where nothing but rounding tells which way a region lies, it is rounded as that of one region is
+    even = n * (total(r * r) - total(c * c)) == total(r) ** 2 - total(c) ** 2
+    straight = n * total(r * c) == total(r) * total(c)
+    mu11[straight] = 0.0
+    gap = mu20 - mu02
+    wide = (ends[0][1] > ends[0][0]) & (ends[1][1] > ends[1][0])
+    unsure = np.flatnonzero((even | straight & (gap < 0)) & wide)
+    if len(unsure):
+        by = np.argsort(of, kind="stable")
+        stop = np.cumsum(n)
+        for j in unsure:
+            mine = by[stop[j] - n[j] : stop[j]]
+            mu20[j], mu02[j], mu11[j] = _moments(r[mine], c[mine])
+            gap[j] = mu20[j] - mu02[j]
+    root = np.sqrt(gap**2 + 4 * mu11**2)
+    l1, l2 = (mu20 + mu02 + root) / 2, np.maximum(0.0, (mu20 + mu02 - root) / 2)
+    turn = np.where(gap == 0, np.where(mu11 < 0, -math.pi / 4, math.pi / 4), 0.5 * np.arctan2(2 * mu11, gap))
+    # neighbours by label, in a frame of no region
+    wide = np.pad(held, ((0, 0), (1, 1), (1, 1)), constant_values=-1)
+    near8 = {(y, x): wide[i, r + 1 + y, c + 1 + x] == of for y in (-1, 0, 1) for x in (-1, 0, 1)}
+    edge = ~(near8[-1, 0] & near8[1, 0] & near8[0, -1] & near8[0, 1])
+    border = np.zeros(wide.shape, bool)
+    border[i, r + 1, c + 1] = edge
+    lies = lambda y, x: near8[y, x] & border[i, r + 1 + y, c + 1 + x]
+    side = sum(lies(y, x).astype(int) for y, x in ((-1, 0), (1, 0), (0, -1), (0, 1)))
+    corner = sum(lies(y, x).astype(int) for y, x in ((-1, -1), (-1, 1), (1, -1), (1, 1)))
+    around = total(_LENGTHS[edge * (1 + 2 * side + 10 * corner)])
+    # holes by the squares of four pixels that a region has one, three or two opposite pixels of
+    squares = np.zeros(len(of), int)
+    for y in (-1, 1):
+        for x in (-1, 1):
+            others = near8[y, 0].astype(int) + near8[0, x] + near8[y, x]
+            squares += np.select([others == 0, others == 2, (others == 1) & near8[y, x]], [3, -1, 3], 0)
+    euler = np.rint(total(squares) / 12)
+    filled = n.astype(float)
+    for j in np.flatnonzero(euler < 1):
+        (r0, r1), (c0, c1) = ((int(a[j]), int(b[j]) + 1) for a, b in ends)
+        out = label(~np.pad(held[first[j] // (labels.shape[1] * labels.shape[2]), r0:r1, c0:c1] == j, 1), diagonal=True)
+        filled[j] = (out != out[0, 0]).sum()
+    hull = _convex_areas(of, r, c, k, labels.shape[1])
+    return first // (labels.shape[1] * labels.shape[2]), np.stack([
+        n, top, n / hull, around, hull, np.sqrt(np.maximum(0.0, 1 - l2 / l1)), turn, bottom, 4 * np.sqrt(l1), 4 * np.sqrt(l2), n / box, filled,
+        np.sqrt(4 * n / math.pi), total(values) / n, euler,
+    ], 1)
+
+
+def image_rows(images: np.ndarray, least: int = 10) -> np.ndarray:
+    """`image_geometry` of many images of one shape at once: a row each, a column a property."""
+    smooth = degrouse(images, "db2", min(2, max_level(images.shape[2], "db2")))
+    cuts = np.array([otsu(x) for x in smooth])
+    image, found = regions(_labels(smooth > cuts[:, None, None]), smooth, least)
+    count = np.bincount(image, minlength=len(images))
+    found = np.nan_to_num(found)
+    sums = np.stack([np.bincount(image, x, len(images)) for x in found.T], 1)
+    return sums / np.maximum(count, 1)[:, None]
+
+
+def trailing_images(strips: np.ndarray, tops: np.ndarray, which: np.ndarray, rows: int) -> np.ndarray:
+    """`image_geometry` of the last rows + 1 strips at each of some places, as shares of the place's top."""
+    sizes = np.minimum(which, rows) + 1
+    out = np.empty((len(which), len(PROPERTIES)))
+    order = np.argsort(sizes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        for low in range(0, len(at), ROWS):
+            some = at[low : low + ROWS]
+            size = sizes[some[0]]
+            taken = strips[which[some, None] + np.arange(1 - size, 1)].transpose(0, 2, 1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                out[some] = image_rows(np.nan_to_num(taken / np.where(tops[some] == 0, 1.0, tops[some])[:, None, None]))
+    return out
+
+
 def _ricker(points: int, width: float) -> np.ndarray:
     t = np.arange(points) - (points - 1) / 2
     return 2 / (math.sqrt(3 * width) * math.pi**0.25) * (1 - (t / width) ** 2) * np.exp(-(t**2) / (2 * width**2))
@@ -311,9 +463,6 @@ def series_features(x: np.ndarray, cwt: bool = True) -> dict[str, float]:
     }
 
 
-ROWS = 128  # windows that are taken at once
-
-
 def _ridge_ends(top: np.ndarray) -> np.ndarray:
     """For maxima (width, place, window) the ends of their ridges: those whose last maximum is at a width and place.
 
