@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spokeflow.plans.lineage import shared_folder
 from spokeflow.queries import EV, PX, events, pixels, query, r6, table
 from spokeflow.sources import readers
+from spokeflow.sources.writers import write_texts
 from spokeflow.streaming import device, live, ordered
 
 
@@ -121,8 +122,9 @@ def watched_files(spark, sf):
     """A folder with a file of numbers a user, each parsed once; those of some users are broken and come as errors."""
     place = f"{shared_folder(spark)}/watched-{uuid.uuid4().hex}"
     number = F.when(F.col("user_id") % 7 == 0, F.lit("broken")).otherwise(F.round("value", 3).cast("string"))
-    rows = table(spark, sf, "events").select("user_id", number.alias("value"))
-    rows.repartition("user_id").write.partitionBy("user_id").text(f"{place}/in")
+    texts = table(spark, sf, "events").groupBy("user_id").agg(F.concat_ws("\n", F.collect_list(number)).alias("value"))
+    name = F.concat(F.lit("user_id="), F.coalesce(F.col("user_id").cast("string"), F.lit("none")), F.lit("/part.txt"))
+    write_texts(texts.select(name.alias("name"), "value"), f"{place}/in")
 
     def parse(content: bytes) -> dict[str, float]:
         numbers = [float(x) for x in content.decode().split()]

@@ -30,6 +30,12 @@ LISTED = 4096  # paths that a task hands on at once
 READ = 4 << 20  # bytes of files that are held at once, about
 
 
+def below(system: fs.FileSystem, folder: str, pattern: str) -> list[tuple[str, bool]]:
+    """What lies in a folder and whether it is a folder: its folders, and its files whose names fit; hidden ones are left out."""
+    found = [f for f in system.get_file_info(fs.FileSelector(folder)) if not (f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name)]
+    return [(f.path, f.type == fs.FileType.Directory) for f in found if f.type == fs.FileType.Directory or fnmatch.fnmatchcase(f.base_name, pattern)]
+
+
 def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path of the files below a folder whose names fit a pattern, as Spark's readers name them; hidden ones are left out.
 
@@ -48,20 +54,19 @@ def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
         there, _ = _opened(root)
         for pdf in batches:
             for folder in pdf["path"]:
-                found = [f for f in there.get_file_info(fs.FileSelector(folder)) if not (f.base_name.startswith(".") or f.base_name.startswith("_") and "=" not in f.base_name)]
-                rows = [(f.path, f.type == fs.FileType.Directory) for f in found if f.type == fs.FileType.Directory or fnmatch.fnmatchcase(f.base_name, pattern)]
+                rows = below(there, folder, pattern)
                 for low in range(0, len(rows), LISTED):
                     yield pd.DataFrame(rows[low : low + LISTED], columns=["path", "folder"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level, files = spark.createDataFrame([(at.rstrip("/") or "/",)], "path string"), None
     while True:
-        below = written(level.mapInPandas(run, "path string, folder boolean"))
-        here = below.where("not folder").select(F.concat(F.lit(head), "path").alias("path"))
+        found = written(level.mapInPandas(run, "path string, folder boolean"))
+        here = found.where("not folder").select(F.concat(F.lit(head), "path").alias("path"))
         files = here if files is None else files.unionByName(here)
-        if below.where("folder").isEmpty():
+        if found.where("folder").isEmpty():
             return files
-        level = below.where("folder").select("path").repartition(parts, "path")
+        level = found.where("folder").select("path").repartition(parts, "path")
 
 
 def contents(paths: DataFrame) -> DataFrame:

@@ -74,3 +74,17 @@ def test_each_path_once_over_a_restart(spark, tmp_path):
     second = run()
     assert second == first | {"d.txt": ({"sum": 7.0}, "")}
     assert live.collected(device.watched(spark, f"file://{place}", parse, "*.txt"), *calls).count() == 3
+
+
+def test_the_driver_lists_no_watched_files(spark, tmp_path):
+    place = tmp_path / "in"
+    for k in range(30):
+        (place / f"a={k % 3}" / f"b={k}").mkdir(parents=True)
+        (place / f"a={k % 3}" / f"b={k}" / "f.txt").write_text(f"{k}")
+    (place / "top.txt").write_text("100")
+    (place / "_hidden.txt").write_text("1")
+    stream = device.watched(spark, f"file://{place}", lambda content: {"x": float(content)}, "*.txt")
+    calls = (f"file://{tmp_path}/rows", "append", f"file://{tmp_path}/log")
+    assert sorted(r["values"]["x"] for r in live.collected(stream, *calls).collect()) == [*map(float, range(30)), 100.0]
+    kept = [f.read_text() for f in (tmp_path / "log" / "sources").rglob("*") if f.is_file() and not f.name.endswith(".crc")]
+    assert not any("f.txt" in text for text in kept)  # the source's log would hold every path
