@@ -28,6 +28,7 @@ NAME = "spokeflow_frames"
 SCANS = "spokeflow_scans"
 STOP = "_stop"
 FRAMES = 64  # that a task reads
+BACKLOG = 4  # a batch takes this part of the frames that wait, if that is more than its usual number
 
 
 def frame_name(number: int) -> str:
@@ -83,7 +84,8 @@ class _FrameReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         end = _fixed(self.path)
-        self.seen = min(_come(self.path) if end is None else end, self.seen + self.most)
+        come = _come(self.path) if end is None else end
+        self.seen = min(come, self.seen + max(self.most, (come - self.seen) // BACKLOG))
         return {"frames": self.seen}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -115,7 +117,10 @@ class DeviceFrames(DataSource):
 
 
 def device_frames(spark: SparkSession, path: str, frames_per_batch: int = 10_000) -> DataFrame:
-    """The stream (frame, words) of a device's folder, some frames a batch at most."""
+    """The stream (frame, words) of a device's folder, some frames a batch, or a part of those that wait if that is more.
+
+    So the batches of a backlog grow with its logarithm; a task still reads FRAMES frames of whatever a batch holds.
+    """
     spark.dataSource.register(DeviceFrames)
     return spark.readStream.format(NAME).option("path", path).option("frames_per_batch", frames_per_batch).load()
 

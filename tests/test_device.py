@@ -88,3 +88,12 @@ def test_the_driver_lists_no_watched_files(spark, tmp_path):
     assert sorted(r["values"]["x"] for r in live.collected(stream, *calls).collect()) == [*map(float, range(30)), 100.0]
     kept = [f.read_text() for f in (tmp_path / "log" / "sources").rglob("*") if f.is_file() and not f.name.endswith(".crc")]
     assert not any("f.txt" in text for text in kept)  # the source's log would hold every path
+
+
+def test_a_backlog_is_published_in_few_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/device"
+    film(tmp_path / "device", range(900))
+    publisher = live.Publisher(device.device_frames(spark, path, 10), f"file://{tmp_path}/out", "scan", f"file://{tmp_path}/log", halt=lambda: device.fix_end(path))
+    publisher.stop()
+    assert frames_of(publisher) == list(range(900))
+    assert len(list((tmp_path / "out").glob("batch=*"))) < 30  # 90 of ten frames
