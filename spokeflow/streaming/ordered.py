@@ -4,6 +4,10 @@ Messages of a key wait in state until the watermark has passed them and are then
 depend on how messages were dealt to batches and equal those of a batch over the same rows. A key has one timer: the time
 at which its earliest waiting message is due. State holds the messages of one lateness, and what an operator remembers.
 
+Gates, intervals and integrals let the engine's own aggregation do the waiting (`_slots`): messages of a key and a slot of time, a
+quarter of the lateness, come as one row when the watermark has passed the slot. State of an operator is then what it remembers, without
+timers, and a message is not handed to it one by one. Their last messages come out a slot later.
+
 `heartbeat` messages carry no key of interest and only move the watermark on, as a live topic's clock does; a replay
 ends with one, so that its last messages come out.
 """
@@ -16,7 +20,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -79,29 +83,47 @@ class _Ordered(StatefulProcessor):
         return iter([Row(**dict(zip(self.names, (*key, *r)))) for r in (*out, *made)])
 
 
-class _Gate(_Ordered):
-    """Messages between a start and the stop that follows it before another start; they wait for the stop."""
+class _Gate(StatefulProcessor):
+    """Of slots of messages in order: those between a start and the stop that follows it before another start; they wait for the stop."""
 
-    remembered = "begin timestamp, held array<string>"
+    names: list[str]  # of the output
 
-    def __init__(self, fields, ts, ties, kind, start, stop, spans):
-        super().__init__(fields, ts, ties)
-        self.kind, self.start, self.stop, self.spans = kind, start, stop, spans
+    def __init__(self, held: StructType, kind: str, start: str, stop: str, spans: bool):
+        self.held, self.kind, self.start, self.stop, self.spans = held, kind, start, stop, spans
 
-    def take(self, memory, row):
-        import pickle
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.begin = handle.getValueState("begin", "at bigint")
+        self.waiting = None if self.spans else handle.getListState("held", self.held)
 
-        begin, held = memory or (None, [])
-        if row[self.kind] == self.start:
-            return (row[self.ts], []), []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        begin = was = self.begin.get()[0] if self.begin.exists() else None
+        old, held, out = True, [], []  # whether what state holds still waits, and what waits beside it
+        for slot in sorted(rows, key=lambda r: r["_slot"]):
+            for row in slot["_rows"]:
+                at = row["_at"]
+                if row[self.kind] == self.start:
+                    begin, old, held = at, False, []
+                elif begin is None:
+                    continue
+                elif row[self.kind] == self.stop:
+                    if self.spans:
+                        out.append((begin, at))
+                    else:
+                        out += [*(map(tuple, self.waiting.get()) if old else ()), *held]
+                    begin, old, held = None, False, []
+                elif not self.spans:
+                    held.append(tuple(row[n] for n in self.held.names))
         if begin is None:
-            return memory, []
-        if row[self.kind] == self.stop:
-            done = [(begin, row[self.ts])] if self.spans else [pickle.loads(h.encode("latin-1")) for h in held]
-            return (None, []), done
-        if self.spans:
-            return memory, []
-        return (begin, [*held, pickle.dumps(tuple(row[f] for f in self.fields.names), 0).decode("latin-1")]), []
+            self.begin.clear()
+        elif begin != was:
+            self.begin.update((begin,))
+        if not self.spans:
+            if not old:
+                self.waiting.clear()
+            if held:
+                self.waiting.appendList(held)
+        made = ["begin", "end"] if self.spans else self.held.names
+        return iter([Row(*self.names)(*key, [dict(zip(made, o)) for o in out])] if out else [])
 
 
 class _Snapshot(_Ordered):
@@ -134,19 +156,51 @@ class _Snapshot(_Ordered):
         return (memory[0] + 1, *memory[1:]), [(memory[0] * self.width, *memory[1:])]
 
 
-class _Integral(_Ordered):
-    """The running sum of flow times the time since the message before."""
+class _Integral(StatefulProcessor):
+    """Of slots of messages in order the running sum of flow times the time since the message before."""
 
-    remembered = "at timestamp, total double"
+    names: list[str]  # of the output
 
-    def __init__(self, fields, ts, ties, flow):
-        super().__init__(fields, ts, ties)
-        self.flow = flow
+    def __init__(self, fields: Sequence[str], flow: str, output: str):
+        self.fields, self.flow, self.output = list(fields), flow, output
 
-    def take(self, memory, row):
-        at, total = memory or (row[self.ts], 0.0)
-        total += (row[self.flow] or 0.0) * (row[self.ts] - at).total_seconds()
-        return (row[self.ts], total), [(*(row[f] for f in self.fields.names), total)]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.memory = handle.getValueState("memory", "at bigint, total double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, total = self.memory.get() if self.memory.exists() else (None, 0.0)
+        for slot in sorted(rows, key=lambda r: r["_slot"]):
+            out = []
+            for row in slot["_rows"]:
+                if last is not None:
+                    total += (row[self.flow] or 0.0) * ((row["_at"] - last) / 1e6)
+                last = row["_at"]
+                out.append({**{n: row[n] for n in self.fields}, self.output: total})
+            yield Row(*self.names)(*key, out)
+        self.memory.update((last, total))
+
+
+SLOTS = 4  # that a lateness is parted in
+
+
+def _slots(stream: DataFrame, by: Sequence[str], ts: str, late: str, ties: Sequence[str]) -> DataFrame:
+    """(by.., _slot, _rows): the messages of a key and slot of time, with their microseconds and in order, once no other can come any more."""
+    import pandas as pd
+
+    width = max(1, pd.Timedelta(late) // pd.Timedelta(microseconds=1) // SLOTS)
+    names = [c for c in stream.columns if c not in by]
+    message = F.struct(F.unix_micros(ts).alias("_at"), *names)
+    rows = stream.withWatermark(ts, late).groupBy(*by, F.window(ts, f"{width} microseconds").alias("_w")).agg(F.collect_list(message).alias("_rows"))
+    tie = lambda m, t: m[t] if t in names else F.col(t)
+    place = lambda m, i: F.struct(m["_at"].alias("at"), *[x for k, t in enumerate(ties) for x in (tie(m, t).isNotNull().alias(f"n{k}"), tie(m, t).alias(f"t{k}"))], i.alias("i"))
+    order = F.array_sort(F.transform("_rows", place))
+    return rows.select(*by, F.unix_micros("_w.start").alias("_slot"), F.transform(order, lambda p: F.get("_rows", p["i"])).alias("_rows"))
+
+
+def _stated(slots: DataFrame, by: Sequence[str], processor: _Gate | _Integral, out: StructType) -> DataFrame:
+    processor.names = out.names
+    slots.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    return slots.groupBy(*by).transformWithState(processor, out, "append", "none")
 
 
 def _run(stream: DataFrame, by: Sequence[str], ts: str, late: str | None, processor: _Ordered, out: StructType) -> DataFrame:
@@ -160,17 +214,24 @@ def _parts(stream: DataFrame, by: Sequence[str]) -> tuple[list[StructField], Str
     return [stream.schema[c] for c in by], StructType([f for f in stream.schema.fields if f.name not in by])
 
 
+def _gated(stream: DataFrame, by: Sequence[str], ts: str, kind: str, start: str, stop: str, late: str, ties: Sequence[str], spans: bool) -> DataFrame:
+    keys, fields = _parts(stream, by)
+    made = StructType([StructField("begin", LongType()), StructField("end", LongType())]) if spans else fields
+    processor = _Gate(fields, kind, start, stop, spans)
+    out = _stated(_slots(stream, by, ts, late, ties), by, processor, StructType([*keys, StructField("_out", ArrayType(made))]))
+    return out.select(*by, F.inline("_out"))
+
+
 def gate(stream: DataFrame, by: Sequence[str], ts: str, kind: str, start: str, stop: str, late: str, ties: Sequence[str] = ()) -> DataFrame:
     """Messages between a start and its stop. A start before the stop begins anew, and what waited since the start before is dropped."""
-    keys, fields = _parts(stream, by)
-    return _run(stream, by, ts, late, _Gate(fields, ts, ties, kind, start, stop, False), StructType([*keys, *fields.fields]))
+    return _gated(stream, by, ts, kind, start, stop, late, ties, False)
 
 
 def intervals(stream: DataFrame, by: Sequence[str], ts: str, kind: str, start: str, stop: str, late: str, ties: Sequence[str] = ()) -> DataFrame:
     """(by.., begin, end): a start with the stop that follows it before another start."""
-    keys, fields = _parts(stream.select(*by, ts, kind, *[t for t in ties if t not in (ts, kind)]), by)
-    out = StructType([*keys, StructField("begin", TimestampType()), StructField("end", TimestampType())])
-    return _run(stream.select(*by, *fields.names), by, ts, late, _Gate(fields, ts, ties, kind, start, stop, True), out)
+    rows = stream.select(*by, ts, kind, *[t for t in ties if t not in (ts, kind)])
+    spans = _gated(rows, by, ts, kind, start, stop, late, ties, True)
+    return spans.select(*by, F.timestamp_micros("begin").alias("begin"), F.timestamp_micros("end").alias("end"))
 
 
 def snapshots(stream: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], late: str, milliseconds: int = 100, ties: Sequence[str] = ()) -> DataFrame:
@@ -179,8 +240,6 @@ def snapshots(stream: DataFrame, by: Sequence[str], ts: str, values: Sequence[st
     Messages are first reduced to one a key and tick, its last values, by an aggregation of the engine. What waits in order of time is
     then a row a tick, however many messages there are.
     """
-    from pyspark.sql.types import LongType
-
     width = milliseconds * 1000
     at = F.unix_micros(ts)
     tick = F.timestamp_micros(at + F.pmod(-at, F.lit(width)))
@@ -196,10 +255,10 @@ def snapshots(stream: DataFrame, by: Sequence[str], ts: str, values: Sequence[st
 
 def integral(stream: DataFrame, by: Sequence[str], ts: str, flow: str, late: str, ties: Sequence[str] = (), output: str = "position") -> DataFrame:
     """The messages with the running sum of their flow over time."""
-    from pyspark.sql.types import DoubleType
-
     keys, fields = _parts(stream, by)
-    return _run(stream, by, ts, late, _Integral(fields, ts, ties, flow), StructType([*keys, *fields.fields, StructField(output, DoubleType())]))
+    made = StructType([*fields.fields, StructField(output, DoubleType())])
+    out = _stated(_slots(stream, by, ts, late, ties), by, _Integral(fields.names, flow, output), StructType([*keys, StructField("_out", ArrayType(made))]))
+    return out.select(*by, F.inline("_out"))
 
 
 def heartbeat(spark: SparkSession, schema: StructType, ts: str, at) -> DataFrame:
