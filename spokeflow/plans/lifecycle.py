@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spokeflow.functions.scalars import AMBIGUOUS, contact_column
 from spokeflow.operators import assemble, binning, frames, masks, series
+from spokeflow.plans.lineage import written
 from spokeflow.plans.spread import in_pieces, owned
 
 
@@ -31,7 +32,7 @@ def featurise(binned: DataFrame, pixels: DataFrame, run: str = "run_id", low: in
     moving = masks.burn_in(masks.moving(binned, "current", [run], angle, "bin"), [run], ["bin"], low)
     cells = pixels.join(moving.select(run, "bin", "t", "imu_bin"), [run, "bin"])
     keys = [run, "t"]
-    marked = frames.contact(cells, keys, "imu_bin")
+    marked = written(frames.contact(cells, keys, "imu_bin"))  # three aggregates read it
     out = moving.withColumn("rot_angle", F.col(angle))
     depth = frames.sink_depth(marked.drop("sink"), keys, "imu_bin").withColumnRenamed("sink", "wheel_sink")
     for part in (frames.contact_area(marked, keys), frames.geometry(marked, keys, "imu_bin"), depth):
