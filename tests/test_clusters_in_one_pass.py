@@ -52,11 +52,12 @@ def test_core_points_of_a_cluster_are_not_compared_again():
     assert (known.core == (near >= 3)).all() and (known.seen[~known.core] == near[~known.core]).all()
 
 
-def test_pairs_are_met_once_by_the_clustering(spark, monkeypatch):
+@pytest.mark.parametrize("how", [{}, {"count_self": False}])
+def test_pairs_are_met_once_by_the_clustering(spark, monkeypatch, how):
     """Chunks travel as rows: not every point again for every block."""
     rows = []
     by_unit = dbscan._by_unit
     monkeypatch.setattr(dbscan, "_by_unit", lambda units, *a: (rows.append(units.count()), by_unit(units, *a))[1])
     df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(3).normal(size=(1000, 12)))], "id long, features array<double>")
-    assert dbscan.dbscan(df, 4.0, 4, block=32).count() == 1000
+    assert dbscan.dbscan(df, 4.0, 4, block=32, **how).count() == 1000
     assert sum(rows) == 1000
