@@ -424,6 +424,7 @@ def dbscan(
     found = marked.join(cores.unionByName(border), "id", "left").select("id", "cluster", "core")
     if not lone_is_noise:
         return found
+    found = written(found)  # read twice
     alone = written(found.where("cluster is not null").groupBy(F.col("cluster").alias("_c")).count().where("count = 1").select("_c"))
     found = found.join(alone, found["cluster"] == alone["_c"], "left")
     return found.select("id", F.when(F.col("_c").isNull(), F.col("cluster")).alias("cluster"), (F.col("core") & F.col("_c").isNull()).alias("core"))

@@ -52,7 +52,7 @@ def test_core_points_of_a_cluster_are_not_compared_again():
     assert (known.core == (near >= 3)).all() and (known.seen[~known.core] == near[~known.core]).all()
 
 
-@pytest.mark.parametrize("how", [{}, {"count_self": False}])
+@pytest.mark.parametrize("how", [{}, {"count_self": False}, {"lone_is_noise": True}])
 def test_pairs_are_met_once_by_the_clustering(spark, monkeypatch, how):
     """Chunks travel as rows: not every point again for every block."""
     rows = []
