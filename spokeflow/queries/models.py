@@ -300,5 +300,5 @@ def lifecycle_predictions(spark, sf):
     names = ["npix_all", "area_ratio", "sink_mean", "sink_std", "sink_diff_angle_mean", "sink_theta_m"]
     features = _lifecycle(spark, sf).select("run_id", "t", "slip", *[F.col(n).cast("double").alias(n) for n in names])
     rows = written(lifecycle.training_table([features], names, "slip", ["run_id", "t"]))
-    model = ml.regressor(names, "slip", trees=3, leaf=5).fit(rows)
+    model = ml.regressor(names, "slip", leaf=5).fit(rows)
     return ml.predicted(model, rows, names, ["run_id", "t"]).select("run_id", "t", r6("prediction").alias("prediction"))
